@@ -31,9 +31,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
     global _pow, _inv
     if len(_pow) < n:
-        n = max(n, 2 * len(_pow))
+        size = max(n, 2 * len(_pow))
         for name, b in (("_pow", _BASE), ("_inv", pow(_BASE, -1, 1 << 64))):
-            x = np.full(n, U64(b))
+            x = np.full(size, U64(b))
             x[0] = 1
             globals()[name] = np.cumprod(x, dtype=U64)
     return _pow[:n], _inv[:n]

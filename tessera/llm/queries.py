@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import ngram_join, quality, toxicity
+from tessera.llm import line_dedup, ngram_join, quality, toxicity
 from tessera.llm.shared import table
 
 
@@ -18,6 +19,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,9 +53,29 @@ from sets d left join classes c on d.s = c.s left join least l on c.rep = l.x le
 """,
 }
 
+ORACLES["op4_line_dedup"] = r"""
+with pieces as (select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents),
+tokens as (select doc_id, i, line, list_sort(list_distinct(regexp_extract_all(lower(line), '[0-9a-z_\x{80}-\x{10FFFF}]+'))) as s from pieces),
+big as (select * from tokens where len(s) >= 5),
+sets as (select s, min((doc_id, i)) as f, row_number() over (order by min((doc_id, i))) as k, len(s) as n from big group by s),
+grams as (select k, n, unnest(s) as g from sets),
+df as (select g, count(*) as c from grams group by g),
+ranked as (select k, n, g, row_number() over (partition by k order by c, g) as p from grams join df using (g)),
+pre as (select k, n, g from ranked where p <= n - ceil(0.8 * n - 1e-9) + 1),
+cand as (select distinct a.k as x, b.k as y from pre a join pre b on a.g = b.g and a.k < b.k and a.n >= 0.8 * b.n and b.n >= 0.8 * a.n),
+alike as (select distinct y from cand join sets a on a.k = x join sets b on b.k = y
+    where len(list_intersect(a.s, b.s)) >= 0.8 * (a.n + b.n - len(list_intersect(a.s, b.s))) - 1e-9),
+gone as (select b.doc_id, b.i from big b join sets using (s) left join alike on y = k where y is not null or (b.doc_id, b.i) <> f),
+kept as (select t.doc_id, count(*) as n_lines, count(g.i) as n_removed, string_agg(t.line, chr(10) order by t.i) filter (g.i is null) as text
+    from tokens t left join gone g on t.doc_id = g.doc_id and t.i = g.i group by t.doc_id)
+select d.doc_id, case when d.text is null then null else coalesce(k.text, '') end as text,
+    cast(case when coalesce(d.text, '') = '' then 0 else k.n_lines end as bigint) as n_lines, cast(coalesce(k.n_removed, 0) as bigint) as n_removed
+from documents d left join kept k using (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -63,11 +63,11 @@ def utf8(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.nd
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes each; a longer text is a range of its own."""
+    """Row ranges of about ``most`` bytes and 8,192 rows at most each; a longer text is a range of its own."""
     _, off = utf8(column)
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1), i + 8192)
         yield i, j
         i = j
 

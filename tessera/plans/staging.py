@@ -39,8 +39,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished stages; call it once their results are staged."""
+    """Let Spark drop the shuffle files of finished stages; call it once their results are staged.
+
+    Spark drops them when the driver's JVM has collected the plans, and that holds only after Python has let go of them.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)

@@ -7,15 +7,15 @@ a Jaccard similarity of at least ``threshold`` with it, whether or not that line
 by newlines again. Null and empty texts stay as they are. Rows that repeat both doc_id and text count as one document
 and are cut alike. Clashing names of other columns don't matter: they pass through.
 
-Plan. One pass counts words over all texts in 2**21 hash buckets, an array of fixed size that orders tokens by rarity
+Plan. One pass counts words over all texts in 2**20 hash buckets, an array of fixed size that orders tokens by rarity
 (any total order gives exact results). The second pass sorts each line's tokens by rarity and keeps the prefix, the
 positions and a 128-bit signature of the set. Prefix tokens that occur once in all texts can't match and aren't sent.
 A token of more than ``HOT`` occurrences is refined: it is sent joined with each later token of the prefix one longer,
 since a pair whose rarest common token is hot also shares its second-rarest common token there. Lines meet under their
-keys and pass the length, positional and signature filters (all are bounds: none loses a match). For each later line the
-earliest few candidates are verified on full token sets from a third pass; lines that none of them removes and that have
-more candidates go through further rounds with wider choices until none is left. Exact copies combine before every
-shuffle by key.
+keys and pass the length, positional and signature filters (all are bounds: none loses a match). Rows travel in columnar
+blobs, one for each share of the keys; the number of shares grows with the words counted, so that a share stays near
+24 MB. For each later line the earliest few candidates are verified on full token sets from a third pass; lines that
+none of them removes and that have more candidates go through further rounds with wider choices until none is left.
 """
 
 from __future__ import annotations
@@ -31,10 +31,14 @@ from tessera.llm.shared import bitmap, maybe, pair_blocks, sorted_groups
 from tessera.llm.text import U64, mix, slices, utf8, words
 from tessera.plans.staging import partitions, release, stage
 
-BITS = 21
+BITS = 20
 HOT = 4096
-_N, _POS = (1 << 20) - 1, (1 << 12) - 1
+#: Sizes and positions from here on are only known to be at least so large, and pass the filters that need them.
+CLIP = (1 << 16) - 1
+SHARE_BYTES = 24e6
 _LINES = 60_000
+_LIGHT = {"key": "<u8", "set": "<u8", "ord": "<i8", "s0": "<u8", "s1": "<u8", "line": "<i4", "n": "<u2", "pos": "<u2"}
+_PLACES = {"set": "<u8", "ord": "<i8", "dk": "<i8", "line": "<i4"}
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,13 +54,49 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(texts: DataFrame) -> np.ndarray:
-    """Occurrences in all texts for each bucket of word hashes, clipped to 16 bits."""
-    got = texts.mapInArrow(_counted, "b int, n long").groupBy("b").agg(F.least(F.sum("n"), F.lit(65_535)).cast("int").alias("n")).toArrow()
-    out = np.zeros(1 << BITS, np.uint16)
+    """Occurrences in all texts for each bucket of word hashes."""
+    got = texts.mapInArrow(_counted, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BITS, np.int64)
     out[got["b"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
+class Blobs:
+    """Columns gathered row by row and given out as one blob for each share."""
+
+    def __init__(self, layout: dict[str, str], offset: int, rows: int = 300_000):
+        self.layout, self.offset, self.rows, self.parts, self.n = layout, offset, rows, [], 0
+
+    def add(self, share: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((share, [columns[c].astype(t) for c, t in self.layout.items()]))
+        self.n += len(share)
+        if self.n >= self.rows:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        share = np.concatenate([x for x, _ in self.parts])
+        columns = [np.concatenate(c) for c in zip(*(c for _, c in self.parts), strict=True)]
+        self.parts, self.n = [], 0
+        order = np.argsort(share, kind="stable")
+        share, columns = share[order], [c[order] for c in columns]
+        at = np.flatnonzero(np.append(True, share[1:] != share[:-1]))
+        data = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(at, np.append(at[1:], len(share)), strict=True)]
+        yield pa.record_batch({"share": (share[at] + self.offset).astype(np.int32), "n": np.diff(np.append(at, len(share))).astype(np.int32), "data": pa.array(data, pa.binary())})
+
+
+def unpacked(group: pa.Table, layout: dict[str, str]) -> dict[str, np.ndarray]:
+    """The columns of all blobs of a share."""
+    parts: dict[str, list] = {c: [] for c in layout}
+    for n, blob in zip(group["n"].to_pylist(), group["data"].combine_chunks(), strict=True):
+        at, buffer = 0, blob.as_buffer()
+        for c, t in layout.items():
+            parts[c].append(np.frombuffer(buffer, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return {c: np.concatenate(x) for c, x in parts.items()}
+
+
 def _line_tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every word its line's index and hash; for every line with words its row and its number in the text."""
     w = words(buf, off)
@@ -86,8 +126,11 @@ def _sorted_sets(line: np.ndarray, h: np.ndarray, rank: np.ndarray, least: int):
     return lines, size, np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else np.zeros(0, np.int64), (key >> U64(32)) & U64(0xFFFF), key & U64(0xFFFFFFFF)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, threshold: float, least: int) -> Iterator[pa.RecordBatch]:
-    """Every line of enough tokens; keys are null where this task has sent the same set from an earlier line."""
+def _prefixes(
+    batches: Iterator[pa.RecordBatch], counts: np.ndarray, threshold: float, least: int, shares: int, places: bool
+) -> Iterator[pa.RecordBatch]:
+    """Blobs of prefix rows, and with ``places`` of each line's place. A task sends a set again only from an earlier line."""
+    light, whole = Blobs(_LIGHT, 0), Blobs(_PLACES, shares)
     slot_set, slot_doc, slot_line = np.zeros(1 << 17, U64), np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
     for batch in batches:
         text = batch.column("text")
@@ -130,61 +173,101 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, threshold:
                     k = np.concatenate([k, mix((token[x] << U64(32)) | token[y])])
                     order = np.argsort(o, kind="stable")
                     o, p, k = o[order], p[order], k[order]
-                starts = np.searchsorted(o, np.arange(len(lines) + 1)).astype(np.int32)
-                meta = (num << 32) | np.minimum(size, _N)
-                yield pa.record_batch(
-                    {
-                        "dk": dk[row[a + lines]], "ord": d, "line": num.astype(np.int32), "set": sets.view(np.int64), "meta": meta,
-                        "s0": sig[0].view(np.int64), "s1": sig[1].view(np.int64),
-                        "keys": pa.ListArray.from_arrays(starts, pa.array(k.view(np.int64))),
-                        "pos": pa.ListArray.from_arrays(starts, pa.array(np.minimum(p, _POS).astype(np.int32))),
-                    }
+                yield from light.add(
+                    (k % U64(shares)).astype(np.int64), key=k, set=sets[o], ord=d[o], s0=sig[0][o], s1=sig[1][o], line=num[o],
+                    n=np.minimum(size[o], CLIP), pos=np.minimum(p, CLIP),
                 )
+                if places:
+                    yield from whole.add((sets % U64(max(1, shares // 8))).astype(np.int64), set=sets, ord=d, dk=dk[row[a + lines]], line=num)
+    yield from light.flush()
+    yield from whole.flush()
+
 
+def _met(batches: Iterator[pa.RecordBatch], threshold: float, width: int, shares: int, open_: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """kind 0: a candidate (early) of set a, in b. kind 1: the first place of set a. kind 2: a place of a copy."""
+    for group in sorted_groups(batches, ["share"]):
+        if group["share"][0].as_py() < shares:
+            late, early, more = _candidates(unpacked(group, _LIGHT), threshold, width, open_)
+            yield _row(0, len(late), a=late.view(np.int64), b=early.view(np.int64), more=more)
+        else:
+            x = unpacked(group, _PLACES)
+            order = np.lexsort((x["dk"], x["line"], x["ord"], x["set"]))
+            sets, doc, dk, line = (x[c][order] for c in ("set", "ord", "dk", "line"))
+            new = np.append(True, sets[1:] != sets[:-1])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            copy = np.flatnonzero((doc != doc[first]) | (dk != dk[first]) | (line != line[first]))
+            yield _row(1, int(new.sum()), a=sets[new].view(np.int64), dk=dk[new], line=line[new])
+            yield _row(2, len(copy), dk=dk[copy], line=line[copy])
 
-def _candidates(batches: Iterator[pa.RecordBatch], threshold: float, width: int) -> Iterator[pa.RecordBatch]:
+
+def _row(kind: int, n: int, **columns: np.ndarray) -> pa.RecordBatch:
+    types = {"a": pa.int64(), "b": pa.int64(), "dk": pa.int64(), "line": pa.int32(), "more": pa.bool_()}
+    return pa.record_batch({"kind": np.full(n, kind, np.int32)} | {c: pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()})
+
+
+def _earliest(x: dict) -> dict:
+    """Of the rows of one set under one key, sent by several tasks, only the earliest."""
+    h = mix(x["key"] + x["set"] * U64(0x9E3779B97F4A7C15))
+    ordered = np.sort(h)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return x
+    at = np.searchsorted(twice, h)
+    again = np.flatnonzero(twice[np.minimum(at, len(twice) - 1)] == h)
+    key, sets, doc, line = (x[c][again] for c in ("key", "set", "ord", "line"))
+    order = np.lexsort((line, doc, sets, key))
+    key, sets = key[order], sets[order]
+    later = np.append(False, (key[1:] == key[:-1]) & (sets[1:] == sets[:-1]))
+    kept = np.ones(len(h), bool)
+    kept[again[order[later]]] = False
+    return {c: v[kept] for c, v in x.items()}
+
+
+def _candidates(x: dict, threshold: float, width: int, open_: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each line with earlier candidates under one key: the earliest ``width``, and whether there are more."""
     slack = (1 - threshold) / (1 + threshold)
-    for group in sorted_groups(batches, ["key"], rows=40_000):
-        key, sets, doc, meta, s0, s1 = (group[c].to_numpy() for c in ("key", "set", "ord", "meta", "s0", "s1"))
-        n, pos, line = meta & _N, (meta >> 20) & _POS, meta >> 32
-        order = np.lexsort((n, key))
-        key, sets, doc, line, n, pos, s0, s1 = (x[order] for x in (key, sets, doc, line, n, pos, s0.view(U64), s1.view(U64)))
-        first = np.append(True, key[1:] != key[:-1])
-        bucket = np.cumsum(first) - 1
-        scaled = bucket * (1 << 21) + n
-        end = np.searchsorted(scaled, bucket * (1 << 21) + np.floor(n / threshold + 1e-9).astype(np.int64), "right")
-        i0 = np.arange(len(key))
-        total = np.concatenate([[0], np.cumsum(end - i0 - 1)])
-        late, early = [], []
-        a = 0
-        while a < len(key):
-            b = max(a + 1, int(np.searchsorted(total, total[a] + 2_000_000, "right")) - 1)
-            i = np.repeat(i0[a:b], (end - i0 - 1)[a:b])
-            j = pair_blocks(i0[a:b] + 1, end[a:b])
-            apart = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
-            ok = (apart <= (n[i] + n[j]) * slack + 1e-9) | (n[j] == _N)
-            i, j = i[ok], j[ok]
-            needed = np.ceil((n[i] + n[j]) * threshold / (1 + threshold) - 1e-9)
-            ok = (sets[i] != sets[j]) & ((1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= needed) | (n[j] == _N) | (pos[i] == _POS) | (pos[j] == _POS))
-            i, j = i[ok], j[ok]
-            before = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & ((line[i] < line[j]) | ((line[i] == line[j]) & (sets[i] < sets[j]))))
-            late.append(np.where(before, j, i))
-            early.append(np.where(before, i, j))
-            a = b
-        late, early = np.concatenate(late), np.concatenate(early)
-        if not len(late):
-            continue
-        order = np.lexsort((sets[early], line[early], doc[early], sets[late], bucket[late]))
-        late, early = late[order], early[order]
-        new = np.append(True, (sets[late][1:] != sets[late][:-1]) | (bucket[late][1:] != bucket[late][:-1]))
-        other = np.append(True, new[1:] | (sets[early][1:] != sets[early][:-1]))
-        late, early, new = late[other], early[other], new[other]
-        at = np.flatnonzero(new)
-        place = np.arange(len(late)) - np.repeat(at, np.diff(np.append(at, len(late))))
-        size = np.repeat(np.diff(np.append(at, len(late))), np.diff(np.append(at, len(late))))
-        kept = place < width
-        yield pa.record_batch({"late": sets[late[kept]], "early": sets[early[kept]], "more": size[kept] > width})
+    x = _earliest(x)
+    order = np.lexsort((x["n"], x["key"]))
+    key, sets, doc, line, s0, s1 = (x[c][order] for c in ("key", "set", "ord", "line", "s0", "s1"))
+    n, pos = (x[c][order].astype(np.int64) for c in ("n", "pos"))
+    first = np.append(True, key[1:] != key[:-1])
+    bucket = np.cumsum(first) - 1
+    scaled = bucket * (1 << 21) + n
+    end = np.searchsorted(scaled, bucket * (1 << 21) + np.floor(n / threshold + 1e-9).astype(np.int64), "right")
+    i0 = np.arange(len(key))
+    total = np.concatenate([[0], np.cumsum(end - i0 - 1)])
+    late, early = [], []
+    a = 0
+    while a < len(key):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + 2_000_000, "right")) - 1)
+        i = np.repeat(i0[a:b], (end - i0 - 1)[a:b])
+        j = pair_blocks(i0[a:b] + 1, end[a:b])
+        apart = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
+        ok = (apart <= (n[i] + n[j]) * slack + 1e-9) | (n[j] == CLIP)
+        i, j = i[ok], j[ok]
+        needed = np.ceil((n[i] + n[j]) * threshold / (1 + threshold) - 1e-9)
+        ok = (sets[i] != sets[j]) & ((1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= needed) | (n[j] == CLIP) | (pos[i] == CLIP) | (pos[j] == CLIP))
+        i, j = i[ok], j[ok]
+        before = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & ((line[i] < line[j]) | ((line[i] == line[j]) & (sets[i] < sets[j]))))
+        late.append(np.where(before, j, i))
+        early.append(np.where(before, i, j))
+        a = b
+    late, early = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (late, early))
+    if open_ is not None:
+        still = maybe(open_, sets[late])
+        late, early = late[still], early[still]
+    if not len(late):
+        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
+    order = np.lexsort((sets[early], line[early], doc[early], sets[late], bucket[late]))
+    late, early = late[order], early[order]
+    new = np.append(True, (sets[late][1:] != sets[late][:-1]) | (bucket[late][1:] != bucket[late][:-1]))
+    other = np.append(True, new[1:] | (sets[early][1:] != sets[early][:-1]))
+    late, early, new = late[other], early[other], new[other]
+    at = np.flatnonzero(new)
+    place = np.arange(len(late)) - np.repeat(at, np.diff(np.append(at, len(late))))
+    size = np.repeat(np.diff(np.append(at, len(late))), np.diff(np.append(at, len(late))))
+    kept = place < width
+    return sets[late[kept]], sets[early[kept]], size[kept] > width
 
 
 def _token_sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
@@ -210,43 +293,38 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, least: int = 5) -> Da
     """(dk, lines): for each document with removed lines, their numbers from 0. docs: dk, ord and text."""
     spark = docs.sparkSession
     p = partitions(spark)
-    counts = spark.sparkContext.broadcast(word_counts(docs.select("text")))
-    schema = "dk long, ord long, line int, set long, meta long, s0 long, s1 long, keys array<long>, pos array<int>"
-    lines = stage(docs.mapInArrow(lambda b: _prefixes(b, counts.value, threshold, least), schema), "dedup-lines")
-    release(spark)
-    keyed = (
-        lines.where("size(keys) > 0").select("set", "ord", "meta", "s0", "s1", F.explode(F.arrays_zip("keys", "pos")).alias("x"))
-        .select(F.col("x.keys").alias("key"), "set", "ord", F.col("meta").bitwiseOR(F.shiftleft(F.col("x.pos").cast("long"), 20)).alias("meta"), "s0", "s1")
-    )
-    similar = None
-    width = 2
+    total = word_counts(docs.select("text"))
+    shares = 8 * max(1, int(np.ceil(total.sum() * (1 - threshold) * 48 / SHARE_BYTES / 8)))
+    counts = spark.sparkContext.broadcast(np.minimum(total, CLIP).astype(np.uint16))
+    removed, similar, filtered, width = None, None, None, 2
     while True:
-        found = (
-            keyed.repartition(p, "key").sortWithinPartitions("key")
-            .mapInArrow(lambda b, w=width: _candidates(b, threshold, w), "late long, early long, more boolean")
+        sent = docs.mapInArrow(lambda b, first=filtered is None: _prefixes(b, counts.value, threshold, least, shares, first), "share int, n int, data binary")
+        found = stage(
+            sent.repartition(max(p, shares), "share").sortWithinPartitions("share").mapInArrow(
+                lambda b, w=width, o=filtered: _met(b, threshold, w, shares, o and o.value), "kind int, a long, b long, dk long, line int, more boolean"
+            ),
+            "dedup-found",
         )
-        pairs = stage(found.groupBy("late", "early").agg(F.max("more").alias("more")), "dedup-pairs")
         release(spark)
-        wanted = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("late", "early")).alias("k")), "k"))
-        sets = docs.select("text").mapInArrow(lambda b, w=wanted: _token_sets(b, w.value, least), "set long, tokens array<long>").dropDuplicates(["set"])
-        both = (
-            pairs.join(sets.select(F.col("set").alias("late"), F.col("tokens").alias("a")), "late")
-            .join(sets.select(F.col("set").alias("early"), F.col("tokens").alias("b")), "early")
-        )
-        common = F.size(F.array_intersect("a", "b"))
-        checked = stage(both.select("late", "more", (common >= threshold * (F.size("a") + F.size("b") - common) - 1e-9).alias("ok")).groupBy("late").agg(F.max("ok").alias("ok"), F.max("more").alias("more")), "dedup-checked")
+        if removed is None:
+            removed, firsts = found.where("kind = 2").select("dk", "line"), found.where("kind = 1").select("a", "dk", "line")
+        pairs = found.where("kind = 0").groupBy("a", "b").agg(F.max("more").alias("more"))
+        wanted = spark.sparkContext.broadcast(bitmap(found.where("kind = 0").select(F.explode(F.array("a", "b")).alias("k")), "k"))
+        sets = docs.select("text").mapInArrow(lambda b, w=wanted: _token_sets(b, w.value, least), "s long, tokens array<long>")
+        sets = stage(sets.groupBy("s").agg(F.any_value("tokens").alias("tokens")), "dedup-sets")
+        both = pairs.join(sets.select(F.col("s").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("tokens").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        ok = common >= threshold * (F.size("x") + F.size("y") - common) - 1e-9
+        checked = stage(both.select("a", "more", ok.alias("ok")).groupBy("a").agg(F.max("ok").alias("ok"), F.max("more").alias("more")), "dedup-checked")
         release(spark)
-        hits = checked.where("ok").select(F.col("late").alias("set"))
+        hits = checked.where("ok").select("a")
         similar = hits if similar is None else similar.union(hits)
-        open_ = checked.where("not ok and more").select(F.col("late").alias("set"))
-        if open_.isEmpty():
+        rest = checked.where("not ok and more").select("a")
+        if rest.isEmpty():
             break
         width *= 16
-        keys = keyed.join(open_, "set", "left_semi").select("key").distinct()
-        keyed = stage(keyed.join(keys, "key", "left_semi"), "dedup-open")
-    first = lines.groupBy("set").agg(F.min(F.struct("ord", "line", "dk")).alias("first"), F.count("*").alias("n"))
-    marked = first.join(similar.distinct().withColumn("similar", F.lit(True)), "set", "left").where("n > 1 or similar")
-    gone = lines.select("set", "ord", "line", "dk").join(marked, "set").where("similar or struct(ord, line, dk) <> first")
+        filtered = spark.sparkContext.broadcast(bitmap(rest, "a"))
+    gone = removed.union(firsts.join(similar.distinct(), "a").select("dk", "line"))
     return gone.groupBy("dk").agg(F.collect_set("line").alias("lines"))
 
 

@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, ngram_join, pieces, quality, simhash, toxicity
+from tessera.llm import line_dedup, mixing, ngram_join, pieces, quality, simhash, toxicity, url_filter
 from tessera.llm.shared import table
 
 
+#: Shares of all tokens, by the domain that a document's language is.
+TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): the language of the documents that the labelled table names."""
+    named = labels.select("doc_id").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(named, "doc_id", "left_semi")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = mixing.mixing_rates(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGETS)
+    return rated.select("doc_id", F.col("_tokens").alias("tokens"), F.col("_domains").alias("domains"), F.col("_posteriors").alias("posteriors"), F.col("_rate").alias("rate"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -32,6 +48,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.url_filter(pages.select("page_id", "url", url_filter.fetched_on().alias("fetched")), url_filter.listed_hosts(pages))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,6 +102,31 @@ select d.doc_id, case when d.text is null then null else coalesce(k.text, '') en
 from documents d left join kept k using (doc_id)
 """
 
+ORACLES["op7_url_filters"] = r"""
+with own as (select page_id, url, date '2024-01-01' + cast(coalesce(page_id, 0) % 366 as integer) as fetched,
+    regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.$', '') as host,
+    list_filter(string_split(regexp_extract(coalesce(url, ''), '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') as parts from pages),
+hosts as (select distinct host, parts[1] as part, cast('0x' || substr(md5(host), 1, 4) as integer) as m from own where host <> ''),
+made as (
+    select 'domain' as kind, host as pattern, 'add' as action, date '2024-01-01' + (m // 8) % 250 as dated from hosts where m % 8 in (0, 1)
+    union all select 'domain', host, 'remove', date '2024-01-01' + (m // 8) % 250 + 60 from hosts where m % 8 = 0
+    union all select 'prefix', host || '/' || part, 'add', date '2024-01-01' + (m // 8) % 250 + n from hosts, (values (0), (120)) v(n) where m % 8 = 2 and part is not null
+    union all select 'prefix', host || '/' || part, 'remove', date '2024-01-01' + (m // 8) % 250 + 90 from hosts where m % 8 = 2 and part is not null
+    union all select 'domain', 'cheap-pills.example.com', 'add', date '2024-01-01'
+    union all select 'domain', 'example.org', 'add', date '2024-11-01'),
+latest as (select kind, pattern, dated, max(action) as action from made group by all),
+spans as (select *, lead(dated) over (partition by kind, pattern order by dated) as until from latest),
+asked as (
+    select distinct url, fetched, 'domain' as kind, array_to_string(string_split(host, '.')[i:], '.') as pattern
+    from own, lateral (select unnest(range(1, greatest(2, len(string_split(host, '.'))))) as i) where host <> ''
+    union select distinct url, fetched, 'prefix', host || '/' || array_to_string(parts[1:i], '/')
+    from own, lateral (select unnest(range(1, len(parts) + 1)) as i) where host <> ''),
+best as (select a.url, a.fetched, min((-length(pattern), pattern, dated)) as hit from asked a join spans s using (kind, pattern)
+    where s.action = 'add' and a.fetched >= s.dated and (s.until is null or a.fetched < s.until) group by all)
+select o.page_id, o.url, o.fetched, b.hit is not null as blocked, b.hit[2] as rule, b.hit[3] as since
+from own o left join best b on o.url = b.url and o.fetched = b.fetched
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}

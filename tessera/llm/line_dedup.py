@@ -9,12 +9,12 @@ and are cut alike. Clashing names of other columns don't matter: they pass throu
 
 Plan. One pass counts words over all texts in 2**20 hash buckets, an array of fixed size that orders tokens by rarity
 (any total order gives exact results). The second pass sorts each line's tokens by rarity and keeps the prefix, the
-positions and a 128-bit signature of the set. Prefix tokens that occur once in all texts can't match and aren't sent.
+positions and a signature of the set, of at least two bits a token. Prefix tokens that occur once in all texts can't match and aren't sent.
 A token of more than ``HOT`` occurrences is refined: it is sent joined with each later token of the prefix one longer,
 since a pair whose rarest common token is hot also shares its second-rarest common token there. Lines meet under their
 keys and pass the length, positional and signature filters (all are bounds: none loses a match). Rows travel in columnar
 blobs, one for each share of the keys; the number of shares grows with the words counted, so that a share stays near
-24 MB. For each later line the earliest few candidates are verified on full token sets from a third pass; lines that
+24 MB. For each later line the few likest candidates are verified on full token sets from a third pass; lines that
 none of them removes and that have more candidates go through further rounds with wider choices until none is left.
 """
 
@@ -37,7 +37,7 @@ HOT = 4096
 CLIP = (1 << 16) - 1
 SHARE_BYTES = 24e6
 _LINES = 60_000
-_LIGHT = {"key": "<u8", "set": "<u8", "ord": "<i8", "s0": "<u8", "s1": "<u8", "line": "<i4", "n": "<u2", "pos": "<u2"}
+_LIGHT = {"key": "<u8", "set": "<u8", "ord": "<i8", "line": "<i4", "n": "<u2", "pos": "<u2"}
 _PLACES = {"set": "<u8", "ord": "<i8", "dk": "<i8", "line": "<i4"}
 
 
@@ -61,39 +61,84 @@ def word_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def sig_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the signature of a set of n tokens: at least two bits a token, and a power of two from 2 to 64."""
+    return (1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 32)), 1, 6).astype(np.int64)).astype(np.int64)
+
+
+def signatures(token: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures' words one after another, and where each begins (n + 1): a bit is set for each token."""
+    width = sig_words(size)
+    begin = np.concatenate([[0], np.cumsum(width)])
+    word = np.repeat(begin[:-1], size) + ((token >> U64(6)) & (np.repeat(width, size) - 1).astype(U64)).astype(np.int64)
+    order = np.argsort(word, kind="stable")
+    word, bit = word[order], (U64(1) << (token & U64(63)))[order]
+    out = np.zeros(begin[-1], U64)
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+    out[word[first]] = np.bitwise_or.reduceat(bit, first) if len(first) else out[:0]
+    return out, begin
+
+
+def apart(sig: np.ndarray, begin: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs of sets, i's not larger: a number of tokens by which they differ at least.
+
+    A signature twice as long is folded: a token's bit is its hash modulo the length.
+    """
+    out = np.zeros(len(i), np.int64)
+    wide_i, wide_j = begin[i + 1] - begin[i], begin[j + 1] - begin[j]
+    for w in np.unique(wide_i).tolist():
+        at = np.flatnonzero(wide_i == w)
+        a, b, twice = begin[i[at]], begin[j[at]], wide_j[at] > w
+        fold = np.where(twice, b + w, b)
+        total = np.zeros(len(at), np.int64)
+        for k in range(w):
+            total += np.bitwise_count(sig[a + k] ^ (sig[b + k] | sig[fold + k]))
+        out[at] = total
+    return out
+
+
 class Blobs:
     """Columns gathered row by row and given out as one blob for each share."""
 
     def __init__(self, layout: dict[str, str], offset: int, rows: int = 300_000):
         self.layout, self.offset, self.rows, self.parts, self.n = layout, offset, rows, [], 0
 
-    def add(self, share: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((share, [columns[c].astype(t) for c, t in self.layout.items()]))
+    def add(self, share: np.ndarray, sig: np.ndarray | None = None, begin: np.ndarray | None = None, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """sig and begin: the rows' signatures, of ``sig_words`` of column n."""
+        order = np.argsort(share, kind="stable")
+        if sig is not None:
+            sig = sig[pair_blocks(begin[:-1][order], begin[1:][order])]
+        self.parts.append((share[order], [columns[c][order].astype(t) for c, t in self.layout.items()], sig))
         self.n += len(share)
         if self.n >= self.rows:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
+        """Parts are sorted by share already; a share's rows of all parts make one blob, columns first, then signatures."""
         if not self.n:
             return
-        share = np.concatenate([x for x, _ in self.parts])
-        columns = [np.concatenate(c) for c in zip(*(c for _, c in self.parts), strict=True)]
+        pieces: dict[int, list] = {}
+        for share, columns, sig in self.parts:
+            at = np.flatnonzero(np.append(True, share[1:] != share[:-1])) if len(share) else np.zeros(0, np.int64)
+            begin = np.concatenate([[0], np.cumsum(sig_words(columns[list(self.layout).index("n")]))]) if sig is not None else None
+            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(share)], strict=True):
+                pieces.setdefault(int(share[a]), []).append([c[a:b] for c in columns] + ([sig[begin[a] : begin[b]]] if sig is not None else []))
         self.parts, self.n = [], 0
-        order = np.argsort(share, kind="stable")
-        share, columns = share[order], [c[order] for c in columns]
-        at = np.flatnonzero(np.append(True, share[1:] != share[:-1]))
-        data = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(at, np.append(at[1:], len(share)), strict=True)]
-        yield pa.record_batch({"share": (share[at] + self.offset).astype(np.int32), "n": np.diff(np.append(at, len(share))).astype(np.int32), "data": pa.array(data, pa.binary())})
+        keys = sorted(pieces)
+        sizes = [sum(len(x[0]) for x in pieces[k]) for k in keys]
+        data = [b"".join(b"".join(x.tobytes() for x in column) for column in zip(*pieces[k], strict=True)) for k in keys]
+        yield pa.record_batch({"share": (np.array(keys) + self.offset).astype(np.int32), "n": np.array(sizes, np.int32), "data": pa.array(data, pa.binary())})
 
 
 def unpacked(group: pa.Table, layout: dict[str, str]) -> dict[str, np.ndarray]:
     """The columns of all blobs of a share."""
-    parts: dict[str, list] = {c: [] for c in layout}
+    parts: dict[str, list] = {c: [] for c in [*layout, "sig"]}
     for n, blob in zip(group["n"].to_pylist(), group["data"].combine_chunks(), strict=True):
         at, buffer = 0, blob.as_buffer()
         for c, t in layout.items():
             parts[c].append(np.frombuffer(buffer, t, n, at))
             at += n * np.dtype(t).itemsize
+        parts["sig"].append(np.frombuffer(buffer, U64, (len(buffer) - at) // 8, at))
     return {c: np.concatenate(x) for c, x in parts.items()}
 
 
@@ -145,9 +190,7 @@ def _prefixes(
                 if not len(lines):
                     continue
                 sets = _set_hash(token, at)
-                bit = U64(1) << (token & U64(63))
-                high = (token >> U64(6)) & U64(1) == 1
-                sig = [np.bitwise_or.reduceat(np.where(high == half, bit, U64(0)), at) for half in (False, True)]
+                sig, begin = signatures(token, at, size)
                 owner = np.repeat(np.arange(len(lines)), size)
                 pos = np.arange(len(token)) - at[owner]
                 length = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
@@ -173,9 +216,10 @@ def _prefixes(
                     k = np.concatenate([k, mix((token[x] << U64(32)) | token[y])])
                     order = np.argsort(o, kind="stable")
                     o, p, k = o[order], p[order], k[order]
+                width = (begin[1:] - begin[:-1])[o]
                 yield from light.add(
-                    (k % U64(shares)).astype(np.int64), key=k, set=sets[o], ord=d[o], s0=sig[0][o], s1=sig[1][o], line=num[o],
-                    n=np.minimum(size[o], CLIP), pos=np.minimum(p, CLIP),
+                    (k % U64(shares)).astype(np.int64), sig[pair_blocks(begin[o], begin[o] + width)], np.concatenate([[0], np.cumsum(width)]),
+                    key=k, set=sets[o], ord=d[o], line=num[o], n=np.minimum(size[o], CLIP), pos=np.minimum(p, CLIP),
                 )
                 if places:
                     yield from whole.add((sets % U64(max(1, shares // 8))).astype(np.int64), set=sets, ord=d, dk=dk[row[a + lines]], line=num)
@@ -220,54 +264,58 @@ def _earliest(x: dict) -> dict:
     later = np.append(False, (key[1:] == key[:-1]) & (sets[1:] == sets[:-1]))
     kept = np.ones(len(h), bool)
     kept[again[order[later]]] = False
-    return {c: v[kept] for c, v in x.items()}
+    begin = np.concatenate([[0], np.cumsum(sig_words(x["n"]))])
+    sig = x["sig"][pair_blocks(begin[:-1][kept], begin[1:][kept])]
+    return {c: v[kept] for c, v in x.items() if c != "sig"} | {"sig": sig}
 
 
 def _candidates(x: dict, threshold: float, width: int, open_: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each line with earlier candidates under one key: the earliest ``width``, and whether there are more."""
+    """For each line with earlier candidates under one key: the ``width`` likest by signature, and whether there are more."""
     slack = (1 - threshold) / (1 + threshold)
     x = _earliest(x)
     order = np.lexsort((x["n"], x["key"]))
-    key, sets, doc, line, s0, s1 = (x[c][order] for c in ("key", "set", "ord", "line", "s0", "s1"))
+    key, sets, doc, line = (x[c][order] for c in ("key", "set", "ord", "line"))
+    begin = np.concatenate([[0], np.cumsum(sig_words(x["n"]))])
+    sig = x["sig"][pair_blocks(begin[:-1][order], begin[1:][order])]
     n, pos = (x[c][order].astype(np.int64) for c in ("n", "pos"))
+    begin = np.concatenate([[0], np.cumsum(sig_words(n))])
     first = np.append(True, key[1:] != key[:-1])
     bucket = np.cumsum(first) - 1
     scaled = bucket * (1 << 21) + n
     end = np.searchsorted(scaled, bucket * (1 << 21) + np.floor(n / threshold + 1e-9).astype(np.int64), "right")
     i0 = np.arange(len(key))
     total = np.concatenate([[0], np.cumsum(end - i0 - 1)])
-    late, early = [], []
+    late, early, far = [], [], []
     a = 0
     while a < len(key):
         b = max(a + 1, int(np.searchsorted(total, total[a] + 2_000_000, "right")) - 1)
         i = np.repeat(i0[a:b], (end - i0 - 1)[a:b])
         j = pair_blocks(i0[a:b] + 1, end[a:b])
-        apart = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
-        ok = (apart <= (n[i] + n[j]) * slack + 1e-9) | (n[j] == CLIP)
-        i, j = i[ok], j[ok]
+        differ = apart(sig, begin, i, j)
+        ok = (differ <= (n[i] + n[j]) * slack + 1e-9) | (n[j] == CLIP)
+        i, j, differ = i[ok], j[ok], differ[ok]
         needed = np.ceil((n[i] + n[j]) * threshold / (1 + threshold) - 1e-9)
         ok = (sets[i] != sets[j]) & ((1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= needed) | (n[j] == CLIP) | (pos[i] == CLIP) | (pos[j] == CLIP))
-        i, j = i[ok], j[ok]
+        i, j, differ = i[ok], j[ok], differ[ok]
         before = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & ((line[i] < line[j]) | ((line[i] == line[j]) & (sets[i] < sets[j]))))
         late.append(np.where(before, j, i))
         early.append(np.where(before, i, j))
+        far.append(differ / (n[i] + n[j]))
         a = b
-    late, early = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (late, early))
+    late, early, far = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (late, early, far))
     if open_ is not None:
         still = maybe(open_, sets[late])
-        late, early = late[still], early[still]
+        late, early, far = late[still], early[still], far[still]
     if not len(late):
         return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
-    order = np.lexsort((sets[early], line[early], doc[early], sets[late], bucket[late]))
+    order = np.lexsort((sets[early], far, sets[late], bucket[late]))
     late, early = late[order], early[order]
     new = np.append(True, (sets[late][1:] != sets[late][:-1]) | (bucket[late][1:] != bucket[late][:-1]))
-    other = np.append(True, new[1:] | (sets[early][1:] != sets[early][:-1]))
-    late, early, new = late[other], early[other], new[other]
     at = np.flatnonzero(new)
-    place = np.arange(len(late)) - np.repeat(at, np.diff(np.append(at, len(late))))
-    size = np.repeat(np.diff(np.append(at, len(late))), np.diff(np.append(at, len(late))))
+    size = np.diff(np.append(at, len(late)))
+    place = np.arange(len(late)) - np.repeat(at, size)
     kept = place < width
-    return sets[late[kept]], sets[early[kept]], size[kept] > width
+    return sets[late[kept]], sets[early[kept]], np.repeat(size, size)[kept] > width
 
 
 def _token_sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
@@ -296,7 +344,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, least: int = 5) -> Da
     total = word_counts(docs.select("text"))
     shares = 8 * max(1, int(np.ceil(total.sum() * (1 - threshold) * 48 / SHARE_BYTES / 8)))
     counts = spark.sparkContext.broadcast(np.minimum(total, CLIP).astype(np.uint16))
-    removed, similar, filtered, width = None, None, None, 2
+    removed, similar, filtered, width = None, None, None, 4
     while True:
         sent = docs.mapInArrow(lambda b, first=filtered is None: _prefixes(b, counts.value, threshold, least, shares, first), "share int, n int, data binary")
         found = stage(
@@ -338,7 +386,7 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, least: int = 5) -> DataF
     parts = F.split(text, "\n", -1)
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     joined = docs.withColumn("_key", dk).join(gone, F.col("_key") == F.col("_dk"), "left")
-    lines = F.when(text.isNull() | (text == ""), 0).otherwise(F.length(text) - F.length(F.regexp_replace(text, "\n", "")) + 1)
+    lines = F.when(text.isNull() | (text == ""), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     return (
         joined.withColumn("_n_lines", lines.cast("long")).withColumn("_n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).drop("_key", "_dk", "_gone")

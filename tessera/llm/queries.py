@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import html_extract, line_dedup, mixing, ngram_join, pieces, quality, simhash, toxicity, url_filter
+from tessera.llm import ann, html_extract, line_dedup, mixing, ngram_join, pieces, quality, simhash, toxicity, url_filter
 from tessera.llm.shared import table
 
 
@@ -61,6 +61,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.html_extract(table(spark, sf_dir, "pages"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 #: Words as in text.py: lowered, ASCII letters, digits and underscores and everything outside ASCII.
 _SHINGLES = r"""
 words as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+') as w from documents),

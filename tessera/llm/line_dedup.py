@@ -35,6 +35,9 @@ BITS = 20
 HOT = 4096
 #: Sizes and positions from here on are only known to be at least so large, and pass the filters that need them.
 CLIP = (1 << 16) - 1
+#: A candidate whose signature shows less than this share of the difference allowed nearly always verifies. A line whose
+#: likest candidate shows more is sent with UNSURE times as many.
+SURE, UNSURE = 0.4, 64
 SHARE_BYTES = 24e6
 _LINES = 60_000
 _LIGHT = {"key": "<u8", "set": "<u8", "ord": "<i8", "line": "<i4", "n": "<u2", "pos": "<u2"}
@@ -100,7 +103,7 @@ def apart(sig: np.ndarray, begin: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
 class Blobs:
     """Columns gathered row by row and given out as one blob for each share."""
 
-    def __init__(self, layout: dict[str, str], offset: int, rows: int = 300_000):
+    def __init__(self, layout: dict[str, str], offset: int, rows: int = 150_000):
         self.layout, self.offset, self.rows, self.parts, self.n = layout, offset, rows, [], 0
 
     def add(self, share: np.ndarray, sig: np.ndarray | None = None, begin: np.ndarray | None = None, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -288,7 +291,7 @@ def _candidates(x: dict, threshold: float, width: int, open_: np.ndarray | None)
     late, early, far = [], [], []
     a = 0
     while a < len(key):
-        b = max(a + 1, int(np.searchsorted(total, total[a] + 2_000_000, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(total, total[a] + 700_000, "right")) - 1)
         i = np.repeat(i0[a:b], (end - i0 - 1)[a:b])
         j = pair_blocks(i0[a:b] + 1, end[a:b])
         differ = apart(sig, begin, i, j)
@@ -298,24 +301,32 @@ def _candidates(x: dict, threshold: float, width: int, open_: np.ndarray | None)
         ok = (sets[i] != sets[j]) & ((1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= needed) | (n[j] == CLIP) | (pos[i] == CLIP) | (pos[j] == CLIP))
         i, j, differ = i[ok], j[ok], differ[ok]
         before = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & ((line[i] < line[j]) | ((line[i] == line[j]) & (sets[i] < sets[j]))))
-        late.append(np.where(before, j, i))
-        early.append(np.where(before, i, j))
-        far.append(differ / (n[i] + n[j]))
+        x, y = np.where(before, j, i), np.where(before, i, j)
+        if open_ is not None:
+            still = maybe(open_, sets[x])
+            x, y, differ = x[still], y[still], differ[still]
+        kept, _ = _likest(x, y, differ / (n[x] + n[y]), sets, SURE * slack, width + 1, UNSURE * width + 1)
+        late.append(x[kept])
+        early.append(y[kept])
+        far.append((differ / (n[x] + n[y]))[kept])
         a = b
     late, early, far = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (late, early, far))
-    if open_ is not None:
-        still = maybe(open_, sets[late])
-        late, early, far = late[still], early[still], far[still]
+    kept, more = _likest(late, early, far, sets, SURE * slack, width, UNSURE * width)
+    return sets[late[kept]], sets[early[kept]], more
+
+
+def _likest(late: np.ndarray, early: np.ndarray, far: np.ndarray, sets: np.ndarray, sure: float, width: int, wider: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the ``width`` nearest of each late line, ``wider`` if the nearest is not surely near; whether it has more."""
     if not len(late):
-        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
-    order = np.lexsort((sets[early], far, sets[late], bucket[late]))
-    late, early = late[order], early[order]
-    new = np.append(True, (sets[late][1:] != sets[late][:-1]) | (bucket[late][1:] != bucket[late][:-1]))
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, len(late)))
-    place = np.arange(len(late)) - np.repeat(at, size)
-    kept = place < width
-    return sets[late[kept]], sets[early[kept]], np.repeat(size, size)[kept] > width
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    order = np.lexsort((sets[early], far, late))
+    ordered = late[order]
+    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    size = np.diff(np.append(at, len(order)))
+    most = np.where(far[order[at]] <= sure, width, wider)
+    place = np.arange(len(order)) - np.repeat(at, size)
+    kept = place < np.repeat(most, size)
+    return order[kept], np.repeat(size > most, size)[kept]
 
 
 def _token_sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:

@@ -242,9 +242,9 @@ def near_duplicates_removed(docs: DataFrame, **settings) -> DataFrame:
     """
     linked = ngram_jaccard_join(docs, **settings).where("n_links > 0 and group_id is not null")
     linked = stage(linked.groupBy("doc_id", "group_id").agg(F.count("*").alias("rows")), "ngram-linked")
-    gone = linked.where("not (doc_id <=> group_id)").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"))
-    again = linked.where("doc_id = group_id and rows > 1").select(F.col("doc_id").alias("_id"), F.lit(False).alias("_null"))
-    keyed = (F.coalesce(docs["doc_id"], F.lit(0)) == F.col("_id")) & (docs["doc_id"].isNull() == F.col("_null"))
+    gone = linked.where("not (doc_id <=> group_id)").select(F.coalesce("doc_id", F.lit(0)).alias("_tessera_id"), F.col("doc_id").isNull().alias("_tessera_null"))
+    again = linked.where("doc_id = group_id and rows > 1").select(F.col("doc_id").alias("_tessera_id"), F.lit(False).alias("_tessera_null"))
+    keyed = (F.coalesce(docs["doc_id"], F.lit(0)) == F.col("_tessera_id")) & (docs["doc_id"].isNull() == F.col("_tessera_null"))
     if again.isEmpty():
         return docs.join(gone, keyed, "left_anti")
     once = docs.join(again, keyed, "left_semi").dropDuplicates(["doc_id"])

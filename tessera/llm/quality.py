@@ -128,4 +128,4 @@ def quality(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier keeps (score at least THRESHOLD)."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **bounds))
-    return docs.select("*", F.col("text").cast("string").alias("_scored")).mapInArrow(lambda b: _kept(b, sent.value), docs.schema)
+    return docs.select("*", F.col("text").cast("string").alias("_tessera_text")).mapInArrow(lambda b: _kept(b, sent.value), docs.schema)

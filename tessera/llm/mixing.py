@@ -137,5 +137,6 @@ def mixed(docs: DataFrame, domains: DataFrame, weights: dict[str, float], labell
     """docs, with its columns, each row as often as its rate says: the whole part for certain, one more by a hash of the row."""
     rated = mixing_rates(docs, domains, weights, labelled)
     draw = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0
-    copies = (F.floor("_rate") + F.when(draw < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
-    return rated.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    # The rate stands in one place and under no filter, since a filter would be pushed below it with the whole classifier in it.
+    copies = F.floor(F.col("_rate") + draw).cast("int")
+    return rated.withColumn("_copy", F.explode_outer(F.array_repeat(F.lit(1), copies))).where("_copy is not null").select(*docs.columns)

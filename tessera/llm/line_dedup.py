@@ -37,7 +37,7 @@ HOT = 4096
 CLIP = (1 << 16) - 1
 #: A candidate whose signature shows less than this share of the difference allowed nearly always verifies. A line whose
 #: likest candidate shows more is sent with UNSURE times as many.
-SURE, UNSURE = 0.4, 64
+SURE, UNSURE = 0.4, 1024
 SHARE_BYTES = 24e6
 _LINES = 60_000
 _LIGHT = {"key": "<u8", "set": "<u8", "ord": "<i8", "line": "<i4", "n": "<u2", "pos": "<u2"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,25 +160,49 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when(common == 0, 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
-def collapse(hits: DataFrame, query: str, budget: int = 6, alike: float = 0.45) -> DataFrame:
-    """Deduplicated context of several sources, best first: hits with overlap, corroborating, score, position.
+def collapse(hits: DataFrame, query: str, budget: int = 6, alike: float = 0.45, group: str | None = None) -> DataFrame:
+    """Deduplicated context of several sources, best first: group, id, source, corroborating, overlap, score, place.
 
-    hits: source, id, root, text, salience, confidence, position. Rows of equal text or id count once, the first. The score
+    hits: source, id, root, text, salience, confidence, position. Rows of equal text and id count once, the first. The score
     is .50 salience + .25 confidence + .20 overlap with the query + .05 for each other source (two at most) that says much the
-    same (Jaccard ``alike`` or more) with another root. Pairs meet under a shared word, not in a cross join.
+    same (Jaccard ``alike`` or more) with a root not yet counted, in the order of position. That order matters, so a query's
+    hits, a bounded candidate list, are folded together; ``group`` names the column that tells queries apart.
     """
-    own = hits.withColumn("_key", F.sha2(F.concat_ws("|", "id", F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))), 256))
-    own = own.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy("position"))).where("_r = 1").drop("_r")
-    own = own.withColumn("_w", collapse_tokens(F.col("text")))
-    asked = F.array(*[F.lit(t) for t in dict.fromkeys(w for w in re.findall(r"[\w-]+", query.lower()) if len(w) >= 4)]).cast("array<string>")
-    word = own.select("_key", "source", "root", "_w", F.explode("_w").alias("_t"))
-    met = word.alias("a").join(word.alias("b"), F.expr("a._t = b._t and a.source <> b.source and a.root <> b.root"))
-    votes = met.select(F.col("a._key").alias("_key"), F.col("b._key").alias("_other"), F.col("b.source").alias("_by"), F.col("a._w").alias("x"), F.col("b._w").alias("y")).distinct()
-    agreed = votes.where(jaccard("x", "y") >= alike).groupBy("_key").agg(F.count_distinct("_by").alias("corroborating"))
-    scored = own.join(agreed, "_key", "left").withColumn("corroborating", F.least(F.coalesce("corroborating", F.lit(0)), F.lit(2)).cast("int")).withColumn("overlap", jaccard(asked, F.col("_w")))
-    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(0.5))))
-    score = 0.50 * unit("salience") + 0.25 * unit("confidence") + 0.20 * F.col("overlap") + 0.05 * F.col("corroborating")
-    return scored.withColumn("score", score).orderBy(F.desc(F.round("score", 9)), "position").limit(budget).drop("_key", "_w")
+    asked = set(w for w in re.findall(r"[\w-]+", query.casefold()) if len(w) >= 4)
+
+    def near(x: set, y: set) -> float:
+        common = len(x & y)
+        return common / (len(x) + len(y) - common) if common else 0.0
+
+    def unit(x) -> float:
+        return 0.5 if x is None or x != x else max(0.0, min(1.0, float(x)))
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        seen, items = set(), []
+        for r in frame.sort_values("position").itertuples(index=False):
+            key = (r.id, " ".join((r.text or "").casefold().split()))
+            if key not in seen:
+                seen.add(key)
+                items.append((r, {w for w in re.findall(r"[\w-]+", (r.text or "").casefold()) if len(w) >= 4}))
+        out = []
+        for r, words in items:
+            roots, votes = {r.root}, set()
+            for o, theirs in items:
+                if len(votes) < 2 and r.root and o.root and o.source != r.source and o.root not in roots and o.source not in votes and near(words, theirs) >= alike:
+                    votes.add(o.source)
+                    roots.add(o.root)
+            overlap = near(asked, words)
+            out.append((r.id, r.source, len(votes), overlap, 0.50 * unit(r.salience) + 0.25 * unit(r.confidence) + 0.20 * overlap + 0.05 * len(votes)))
+        out.sort(key=lambda x: -round(x[4], 9))
+        best = [(frame[name].iloc[0], *x, i) for i, x in enumerate(out[:budget], 1)]
+        return pd.DataFrame(best, columns=[name, "id", "source", "corroborating", "overlap", "score", "place"])
+
+    name = group or "_query"
+    own = hits if group else hits.withColumn(name, F.lit(1))
+    kinds = dict(own.dtypes)
+    own = own.select(name, "source", "id", "root", "text", "salience", "confidence", "position")
+    found = own.groupBy(name).applyInPandas(fold, f"{name} {kinds[name]}, id {kinds['id']}, source string, corroborating int, overlap double, score double, place int")
+    return found if group else found.drop(name)
 
 
 def coverage(wanted: DataFrame, manifest: DataFrame) -> DataFrame:

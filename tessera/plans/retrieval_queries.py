@@ -163,7 +163,7 @@ def episode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexical.bm25(claims(spark, sf_dir), "id", "claim", lexical.event_terms("para como del los"))
     hits = lexical.top(found, 200, F.col("id")).select(
-        F.concat(F.lit("s"), F.col("id") % 3).alias("source"), "id", F.concat(F.lit("r"), F.col("id") % 50).alias("root"), F.col("claim").alias("text"), "salience", "confidence", F.col("id").alias("position")
+        F.concat(F.lit("s"), F.col("id") % 3).alias("source"), "id", F.concat(F.lit("r"), F.col("id")).alias("root"), F.col("claim").alias("text"), "salience", "confidence", F.col("id").alias("position")
     )
     out = recall.collapse(hits, "para como ciónes esto", budget=40)
     return out.select("id", "corroborating", F.round("overlap", 6).alias("overlap"), F.round("score", 6).alias("score"))
@@ -275,7 +275,7 @@ ORACLES = {
             union all select c.conv_id, c.turn - 1, 'user', h.rank from h join conversations c using (conv_id, turn) where c.role = 'assistant')
         select c.conv_id, c.turn, c.role, min(rank) as rank from conversations c join b using (conv_id, turn, role) group by all""",
     "context_collapse": "with " + CLAIMS + ", " + _bm25_sql("b", "claims", "id", "claim", ["para", "como", "del", "los"]) + """, f as (select id from b where matched > 0 order by score desc, id limit 200),
-        h as (select 's' || (id % 3) as source, id, 'r' || (id % 50) as root, claim as text, salience, confidence from claims join f using (id)),
+        h as (select 's' || (id % 3) as source, id, 'r' || id as root, claim as text, salience, confidence from claims join f using (id)),
         u as (select *, """ + _TOKENS4 + """ as w from h), q as (select ['para', 'como', 'ciónes', 'esto'] as w),
         v as (select a.id, count(distinct b.source) as n from u a join u b on a.source <> b.source and a.root <> b.root and len(list_intersect(a.w, b.w)) > 0
             where len(list_intersect(a.w, b.w)) >= 0.45 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) group by a.id),

@@ -36,8 +36,8 @@ HOT = 4096
 #: Sizes and positions from here on are only known to be at least so large, and pass the filters that need them.
 CLIP = (1 << 16) - 1
 #: A candidate whose signature shows less than this share of the difference allowed nearly always verifies. A line whose
-#: likest candidate shows more is sent with UNSURE times as many.
-SURE, UNSURE = 0.4, 1024
+#: likest candidate shows more, or of few tokens, whose signatures tell little, is sent with UNSURE times as many.
+SURE, SURE_TOKENS, UNSURE = 0.4, 16, 2048
 SHARE_BYTES = 24e6
 _LINES = 60_000
 _LIGHT = {"key": "<u8", "set": "<u8", "ord": "<i8", "line": "<i4", "n": "<u2", "pos": "<u2"}
@@ -305,10 +305,11 @@ def _candidates(x: dict, threshold: float, width: int, open_: np.ndarray | None)
         if open_ is not None:
             still = maybe(open_, sets[x])
             x, y, differ = x[still], y[still], differ[still]
-        kept, _ = _likest(x, y, differ / (n[x] + n[y]), sets, SURE * slack, width + 1, UNSURE * width + 1)
+        far_off = np.where(n[x] < SURE_TOKENS, 1.0, 0.0) + differ / (n[x] + n[y])
+        kept, _ = _likest(x, y, far_off, sets, SURE * slack, width + 1, UNSURE * width + 1)
         late.append(x[kept])
         early.append(y[kept])
-        far.append((differ / (n[x] + n[y]))[kept])
+        far.append(far_off[kept])
         a = b
     late, early, far = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (late, early, far))
     kept, more = _likest(late, early, far, sets, SURE * slack, width, UNSURE * width)
@@ -355,7 +356,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, least: int = 5) -> Da
     total = word_counts(docs.select("text"))
     shares = 8 * max(1, int(np.ceil(total.sum() * (1 - threshold) * 48 / SHARE_BYTES / 8)))
     counts = spark.sparkContext.broadcast(np.minimum(total, CLIP).astype(np.uint16))
-    removed, similar, filtered, width = None, None, None, 4
+    removed, similar, filtered, width = None, None, None, 2
     while True:
         sent = docs.mapInArrow(lambda b, first=filtered is None: _prefixes(b, counts.value, threshold, least, shares, first), "share int, n int, data binary")
         found = stage(

@@ -155,7 +155,7 @@ def encode(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int) -> tupl
     if not n:
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     if len(v.power) < n + 1:
-        v.grow(2 * n + 1)
+        v.grow(n + n // 8 + 1)
     sums = _hashes(flat, v.power)
     known = v.known[flat]
     row_start = np.zeros(n + 1, bool)
@@ -245,7 +245,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: str, alpha: float, seed:
     v = vocabulary(model, alpha)
     for batch in batches:
         text, doc = batch.column("text"), batch.column("doc_id")
-        for i, j in slices(text, 1 << 20):
+        for i, j in slices(text, 1 << 18):
             texts = [t or "" for t in text[i:j].to_pylist()]
             ids, at = encode(texts, row_keys(doc[i:j]), v, seed)
             same = [decode(ids[a:b].tolist(), v) == t for t, a, b in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True)]

@@ -114,5 +114,11 @@ def pair_blocks(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.repeat(i - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
+#: Rows of an Arrow batch. Texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, for operators that read it in Arrow batches of BATCH_ROWS rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xBF58476D1CE4E5B9 | 1
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 WORD = np.zeros(256, bool)
 WORD[[c for c in range(128) if chr(c).isalnum() or chr(c) == "_"]] = True
@@ -31,7 +31,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, 2 * len(_pow))
+        size = n + n // 8
         for name, b in (("_pow", _BASE), ("_inv", pow(_BASE, -1, 1 << 64))):
             x = np.full(size, U64(b))
             x[0] = 1

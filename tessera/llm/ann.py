@@ -35,7 +35,7 @@ SAMPLE = 20_000
 LISTS = 2_048
 LIST_SIZE = 96
 REPLICAS, SPREAD = 3, 1.12
-REACH = 1.25
+REACH = 1.35
 LINKS = 12
 UNIT, ASKED = 4_096, 1_024
 

@@ -36,8 +36,9 @@ HOT = 4096
 #: Sizes and positions from here on are only known to be at least so large, and pass the filters that need them.
 CLIP = (1 << 16) - 1
 #: A candidate whose signature shows less than this share of the difference allowed nearly always verifies. A line whose
-#: likest candidate shows more, or of few tokens, whose signatures tell little, is sent with UNSURE times as many.
-SURE, SURE_TOKENS, UNSURE = 0.4, 16, 2048
+#: likest candidate shows more is sent with UNSURE times as many, and so is a line of so few or so many tokens that its
+#: signature tells little.
+SURE, SURE_TOKENS, UNSURE = 0.4, (8, 2048), 2048
 SHARE_BYTES = 24e6
 _LINES = 60_000
 _LIGHT = {"key": "<u8", "set": "<u8", "ord": "<i8", "line": "<i4", "n": "<u2", "pos": "<u2"}
@@ -305,7 +306,7 @@ def _candidates(x: dict, threshold: float, width: int, open_: np.ndarray | None)
         if open_ is not None:
             still = maybe(open_, sets[x])
             x, y, differ = x[still], y[still], differ[still]
-        far_off = np.where(n[x] < SURE_TOKENS, 1.0, 0.0) + differ / (n[x] + n[y])
+        far_off = np.where((n[x] < SURE_TOKENS[0]) | (n[x] > SURE_TOKENS[1]), 1.0, 0.0) + differ / (n[x] + n[y])
         kept, _ = _likest(x, y, far_off, sets, SURE * slack, width + 1, UNSURE * width + 1)
         late.append(x[kept])
         early.append(y[kept])

@@ -14,8 +14,8 @@ A token of more than ``HOT`` occurrences is refined: it is sent joined with each
 since a pair whose rarest common token is hot also shares its second-rarest common token there. Lines meet under their
 keys and pass the length, positional and signature filters (all are bounds: none loses a match). Rows travel in columnar
 blobs, one for each share of the keys; the number of shares grows with the words counted, so that a share stays near
-24 MB. For each later line the few likest candidates are verified on full token sets from a third pass; lines that
-none of them removes and that have more candidates go through further rounds with wider choices until none is left.
+24 MB. For each later line the few likest candidates are verified on full token sets from a third pass; the rare lines
+that none of them removes and that have more candidates are compared with all lines under their keys.
 """
 
 from __future__ import annotations
@@ -35,10 +35,11 @@ BITS = 20
 HOT = 4096
 #: Sizes and positions from here on are only known to be at least so large, and pass the filters that need them.
 CLIP = (1 << 16) - 1
-#: A candidate whose signature shows less than this share of the difference allowed nearly always verifies. A line whose
-#: likest candidate shows more is sent with UNSURE times as many, and so is a line of so few or so many tokens that its
-#: signature tells little.
-SURE, SURE_TOKENS, UNSURE = 0.4, (8, 2048), 2048
+#: How many candidates a line sends, by the share of the difference allowed that the likest one's signature shows: about
+#: three fifths of the tokens that differ show, so up to .6 the likest nearly always verify. Lines of fewer than 8 or more
+#: than 2048 tokens, whose signatures tell little, count as the last row.
+SENT = ((0.15, 2), (0.4, 6), (0.6, 24), (float("inf"), 4096))
+TELLING = (8, 2048)
 SHARE_BYTES = 24e6
 _LINES = 60_000
 _LIGHT = {"key": "<u8", "set": "<u8", "ord": "<i8", "line": "<i4", "n": "<u2", "pos": "<u2"}
@@ -176,9 +177,9 @@ def _sorted_sets(line: np.ndarray, h: np.ndarray, rank: np.ndarray, least: int):
 
 
 def _prefixes(
-    batches: Iterator[pa.RecordBatch], counts: np.ndarray, threshold: float, least: int, shares: int, places: bool
+    batches: Iterator[pa.RecordBatch], counts: np.ndarray, threshold: float, least: int, shares: int, wanted: np.ndarray | None = None, hot_from: int = HOT
 ) -> Iterator[pa.RecordBatch]:
-    """Blobs of prefix rows, and with ``places`` of each line's place. A task sends a set again only from an earlier line."""
+    """Blobs of prefix rows and of each line's place; or, for wanted keys, those rows one by one with all tokens. A task sends a set again only from an earlier line."""
     light, whole = Blobs(_LIGHT, 0), Blobs(_PLACES, shares)
     slot_set, slot_doc, slot_line = np.zeros(1 << 17, U64), np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
     for batch in batches:
@@ -208,7 +209,7 @@ def _prefixes(
                 fresh &= once
                 slot_set[slot[fresh]], slot_doc[slot[fresh]], slot_line[slot[fresh]] = sets[fresh], d[fresh], num[fresh]
                 sent &= fresh[owner]
-                hot = sent & (ranks >= HOT)
+                hot = sent & (ranks >= hot_from)
                 x = np.flatnonzero(sent & ~hot)
                 o, p, k = owner[x], pos[x], token[x]
                 if hot.any():
@@ -220,23 +221,30 @@ def _prefixes(
                     k = np.concatenate([k, mix((token[x] << U64(32)) | token[y])])
                     order = np.argsort(o, kind="stable")
                     o, p, k = o[order], p[order], k[order]
+                if wanted is not None:
+                    asked = maybe(wanted, k)
+                    o, k = o[asked], k[asked]
+                    x = pair_blocks(at[o], at[o] + size[o])
+                    starts = np.concatenate([[0], np.cumsum(size[o])]).astype(np.int32)
+                    tokens = pa.ListArray.from_arrays(starts, pa.array(token[x].astype(np.int64)))
+                    yield pa.record_batch({"key": k.view(np.int64), "set": sets[o].view(np.int64), "ord": d[o], "line": num[o].astype(np.int32), "tokens": tokens})
+                    continue
                 width = (begin[1:] - begin[:-1])[o]
                 yield from light.add(
                     (k % U64(shares)).astype(np.int64), sig[pair_blocks(begin[o], begin[o] + width)], np.concatenate([[0], np.cumsum(width)]),
                     key=k, set=sets[o], ord=d[o], line=num[o], n=np.minimum(size[o], CLIP), pos=np.minimum(p, CLIP),
                 )
-                if places:
-                    yield from whole.add((sets % U64(max(1, shares // 8))).astype(np.int64), set=sets, ord=d, dk=dk[row[a + lines]], line=num)
+                yield from whole.add((sets % U64(max(1, shares // 8))).astype(np.int64), set=sets, ord=d, dk=dk[row[a + lines]], line=num)
     yield from light.flush()
     yield from whole.flush()
 
 
-def _met(batches: Iterator[pa.RecordBatch], threshold: float, width: int, shares: int, open_: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """kind 0: a candidate (early) of set a, in b. kind 1: the first place of set a. kind 2: a place of a copy."""
+def _met(batches: Iterator[pa.RecordBatch], threshold: float, shares: int, tiers: tuple = SENT) -> Iterator[pa.RecordBatch]:
+    """kind 0: a candidate (early) of set a, in b, with their key in dk. kind 1: the first place of set a. kind 2: a place of a copy."""
     for group in sorted_groups(batches, ["share"]):
         if group["share"][0].as_py() < shares:
-            late, early, more = _candidates(unpacked(group, _LIGHT), threshold, width, open_)
-            yield _row(0, len(late), a=late.view(np.int64), b=early.view(np.int64), more=more)
+            late, early, more, key = _candidates(unpacked(group, _LIGHT), threshold, tiers)
+            yield _row(0, len(late), a=late.view(np.int64), b=early.view(np.int64), more=more, dk=key.view(np.int64))
         else:
             x = unpacked(group, _PLACES)
             order = np.lexsort((x["dk"], x["line"], x["ord"], x["set"]))
@@ -273,8 +281,8 @@ def _earliest(x: dict) -> dict:
     return {c: v[kept] for c, v in x.items() if c != "sig"} | {"sig": sig}
 
 
-def _candidates(x: dict, threshold: float, width: int, open_: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each line with earlier candidates under one key: the ``width`` likest by signature, and whether there are more."""
+def _candidates(x: dict, threshold: float, tiers: tuple = SENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each line with earlier candidates under one key: as many of the likest as SENT says, whether there are more, and the key."""
     slack = (1 - threshold) / (1 + threshold)
     x = _earliest(x)
     order = np.lexsort((x["n"], x["key"]))
@@ -303,29 +311,26 @@ def _candidates(x: dict, threshold: float, width: int, open_: np.ndarray | None)
         i, j, differ = i[ok], j[ok], differ[ok]
         before = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & ((line[i] < line[j]) | ((line[i] == line[j]) & (sets[i] < sets[j]))))
         x, y = np.where(before, j, i), np.where(before, i, j)
-        if open_ is not None:
-            still = maybe(open_, sets[x])
-            x, y, differ = x[still], y[still], differ[still]
-        far_off = np.where((n[x] < SURE_TOKENS[0]) | (n[x] > SURE_TOKENS[1]), 1.0, 0.0) + differ / (n[x] + n[y])
-        kept, _ = _likest(x, y, far_off, sets, SURE * slack, width + 1, UNSURE * width + 1)
+        far_off = np.where((n[x] < TELLING[0]) | (n[x] > TELLING[1]), 1.0, 0.0) + differ / ((n[x] + n[y]) * slack)
+        kept, _ = _likest(x, y, far_off, sets, 1, tiers)
         late.append(x[kept])
         early.append(y[kept])
         far.append(far_off[kept])
         a = b
     late, early, far = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (late, early, far))
-    kept, more = _likest(late, early, far, sets, SURE * slack, width, UNSURE * width)
-    return sets[late[kept]], sets[early[kept]], more
+    kept, more = _likest(late, early, far, sets, 0, tiers)
+    return sets[late[kept]], sets[early[kept]], more, key[late[kept]]
 
 
-def _likest(late: np.ndarray, early: np.ndarray, far: np.ndarray, sets: np.ndarray, sure: float, width: int, wider: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the ``width`` nearest of each late line, ``wider`` if the nearest is not surely near; whether it has more."""
+def _likest(late: np.ndarray, early: np.ndarray, far: np.ndarray, sets: np.ndarray, extra: int, tiers: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the likest of each late line, as many as SENT says and ``extra``; whether the line has more."""
     if not len(late):
         return np.zeros(0, np.int64), np.zeros(0, bool)
     order = np.lexsort((sets[early], far, late))
     ordered = late[order]
     at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     size = np.diff(np.append(at, len(order)))
-    most = np.where(far[order[at]] <= sure, width, wider)
+    most = np.select([far[order[at]] <= share for share, _ in tiers], [count for _, count in tiers]) + extra
     place = np.arange(len(order)) - np.repeat(at, size)
     kept = place < np.repeat(most, size)
     return order[kept], np.repeat(size > most, size)[kept]
@@ -350,51 +355,62 @@ def _token_sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, least: in
                     yield pa.record_batch({"set": sets[kept].view(np.int64), "tokens": pa.ListArray.from_arrays(starts, pa.array(token[x].astype(np.int64)))})
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8, least: int = 5) -> DataFrame:
+def _alike(x: str, y: str, threshold: float):
+    common = F.size(F.array_intersect(x, y))
+    return common >= threshold * (F.size(x) + F.size(y) - common) - 1e-9
+
+
+def _settled(docs: DataFrame, rest: DataFrame, found: DataFrame, counts, threshold: float, least: int, shares: int, hot: int) -> DataFrame:
+    """Of the sets in rest, those that any earlier set is similar to: all lines under their keys are compared in full."""
+    keys = found.where("kind = 0 and more").join(rest, "a").select(F.col("dk").alias("key"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(keys, "key"))
+    rows = docs.mapInArrow(lambda b: _prefixes(b, counts.value, threshold, least, shares, wanted.value, hot), "key long, set long, ord long, line int, tokens array<long>")
+    rows = stage(rows.groupBy("key", "set").agg(F.min(F.struct("ord", "line")).alias("at"), F.any_value("tokens").alias("x")), "dedup-open")
+    late = rows.join(rest.select(F.col("a").alias("set")), "set").select("key", F.col("set").alias("a"), F.col("at").alias("late"), F.col("x").alias("y"))
+    met = rows.join(late, "key").where("struct(at.ord, at.line, set) < struct(late.ord, late.line, a)")
+    near = met.where((F.size("x") >= threshold * F.size("y")) & (F.size("y") >= threshold * F.size("x")))
+    return near.where(_alike("x", "y", threshold)).select("a").distinct()
+
+
+def removed_lines(docs: DataFrame, threshold: float = 0.8, least: int = 5, hot: int = HOT, tiers: tuple = SENT) -> DataFrame:
     """(dk, lines): for each document with removed lines, their numbers from 0. docs: dk, ord and text."""
     spark = docs.sparkSession
     p = partitions(spark)
     total = word_counts(docs.select("text"))
     shares = 8 * max(1, int(np.ceil(total.sum() * (1 - threshold) * 48 / SHARE_BYTES / 8)))
     counts = spark.sparkContext.broadcast(np.minimum(total, CLIP).astype(np.uint16))
-    removed, similar, filtered, width = None, None, None, 2
-    while True:
-        sent = docs.mapInArrow(lambda b, first=filtered is None: _prefixes(b, counts.value, threshold, least, shares, first), "share int, n int, data binary")
-        found = stage(
-            sent.repartition(max(p, shares), "share").sortWithinPartitions("share").mapInArrow(
-                lambda b, w=width, o=filtered: _met(b, threshold, w, shares, o and o.value), "kind int, a long, b long, dk long, line int, more boolean"
-            ),
-            "dedup-found",
-        )
-        release(spark)
-        if removed is None:
-            removed, firsts = found.where("kind = 2").select("dk", "line"), found.where("kind = 1").select("a", "dk", "line")
-        pairs = found.where("kind = 0").groupBy("a", "b").agg(F.max("more").alias("more"))
-        wanted = spark.sparkContext.broadcast(bitmap(found.where("kind = 0").select(F.explode(F.array("a", "b")).alias("k")), "k"))
-        sets = docs.select("text").mapInArrow(lambda b, w=wanted: _token_sets(b, w.value, least), "s long, tokens array<long>")
-        sets = stage(sets.groupBy("s").agg(F.any_value("tokens").alias("tokens")), "dedup-sets")
-        both = pairs.join(sets.select(F.col("s").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("tokens").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        ok = common >= threshold * (F.size("x") + F.size("y") - common) - 1e-9
-        checked = stage(both.select("a", "more", ok.alias("ok")).groupBy("a").agg(F.max("ok").alias("ok"), F.max("more").alias("more")), "dedup-checked")
-        release(spark)
-        hits = checked.where("ok").select("a")
-        similar = hits if similar is None else similar.union(hits)
-        rest = checked.where("not ok and more").select("a")
-        if rest.isEmpty():
-            break
-        width *= 16
-        filtered = spark.sparkContext.broadcast(bitmap(rest, "a"))
+    sent = docs.mapInArrow(lambda b: _prefixes(b, counts.value, threshold, least, shares, None, hot), "share int, n int, data binary")
+    found = stage(
+        sent.repartition(max(p, shares), "share").sortWithinPartitions("share")
+        .mapInArrow(lambda b: _met(b, threshold, shares, tiers), "kind int, a long, b long, dk long, line int, more boolean"),
+        "dedup-found",
+    )
+    release(spark)
+    removed, firsts = found.where("kind = 2").select("dk", "line"), found.where("kind = 1").select("a", "dk", "line")
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.max("more").alias("more"))
+    wanted = spark.sparkContext.broadcast(bitmap(found.where("kind = 0").select(F.explode(F.array("a", "b")).alias("k")), "k"))
+    sets = docs.select("text").mapInArrow(lambda b: _token_sets(b, wanted.value, least), "s long, tokens array<long>")
+    sets = stage(sets.groupBy("s").agg(F.any_value("tokens").alias("tokens")), "dedup-sets")
+    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("tokens").alias("y")), "b")
+    checked = stage(both.select("a", "more", _alike("x", "y", threshold).alias("ok")).groupBy("a").agg(F.max("ok").alias("ok"), F.max("more").alias("more")), "dedup-checked")
+    release(spark)
+    similar = checked.where("ok").select("a")
+    rest = checked.where("not ok and more").select("a")
+    if not rest.isEmpty():
+        similar = similar.union(_settled(docs, rest, found, counts, threshold, least, shares, hot))
     gone = removed.union(firsts.join(similar.distinct(), "a").select("dk", "line"))
     return gone.groupBy("dk").agg(F.collect_set("line").alias("lines"))
 
 
-def line_dedup(docs: DataFrame, threshold: float = 0.8, least: int = 5) -> DataFrame:
-    """docs with later similar lines cut from text, and _n_lines and _n_removed; all other columns pass through."""
+def line_dedup(docs: DataFrame, threshold: float = 0.8, least: int = 5, **work) -> DataFrame:
+    """docs with later similar lines cut from text, and _n_lines and _n_removed; all other columns pass through.
+
+    ``hot`` and ``tiers`` (HOT, SENT) only change how the work is done, never the result.
+    """
     text, key = F.col("text").cast("string"), F.col("doc_id").cast("long")
     dk = F.xxhash64(text, F.coalesce(key, F.lit(-1)), key.isNull())
     own = docs.select(dk.alias("dk"), F.coalesce(key, F.lit(2**63 - 1)).alias("ord"), text.alias("text"))
-    gone = stage(removed_lines(own, threshold, least), "dedup-removed").withColumnsRenamed({"dk": "_dk", "lines": "_gone"})
+    gone = stage(removed_lines(own, threshold, least, **work), "dedup-removed").withColumnsRenamed({"dk": "_dk", "lines": "_gone"})
     release(docs.sparkSession)
     parts = F.split(text, "\n", -1)
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")

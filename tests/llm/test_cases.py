@@ -125,7 +125,7 @@ def brute_lines(rows, threshold=0.8, least=5):
     return {(d, t): "\n".join(x for i, x in enumerate(t.split("\n")) if (math.inf if d is None else d, i, t) not in gone) for d, t in rows if t}
 
 
-def test_line_dedup_against_brute_force(spark, monkeypatch):
+def test_line_dedup_against_brute_force(spark):
     r = random.Random(9)
     pool = [sentence(500 + i, r.randrange(5, 40)).split() for i in range(30)]
     made = []
@@ -140,9 +140,8 @@ def test_line_dedup_against_brute_force(spark, monkeypatch):
     df = messy(spark, made).where("doc_id <> 10 or doc_id is null")
     rows = [(x.doc_id, x.text) for x in df.collect()]
     want = brute_lines(rows)
-    for hot in (line_dedup.HOT, 2):
-        monkeypatch.setattr(line_dedup, "HOT", hot)
-        for x in line_dedup.line_dedup(df.withColumn("old", F.col("text"))).collect():
+    for work in ({}, {"hot": 2}, {"tiers": ((math.inf, 1),)}):
+        for x in line_dedup.line_dedup(df.withColumn("old", F.col("text")), **work).collect():
             assert x.text == (want[(x.doc_id, x.old)] if x.old else x.old)
     left = line_dedup.lines_removed(df)
     assert left.columns == df.columns and 2 not in [x.doc_id for x in left.collect()]

@@ -49,24 +49,59 @@ def _idf(n: int, df: int) -> float:
     return max(1e-6, math.log((n - df + 0.5) / (df + 0.5)))
 
 
-def bm25(rows: DataFrame, key: str, text: str, terms: list[str], every: bool = False) -> DataFrame:
-    """rows with score (larger is better) and matched (terms found), for rows with any of the terms, or with every one.
-
-    Statistics are those of all rows given; apply visibility afterwards to keep them whole-table.
-    """
-    terms = list(dict.fromkeys(terms))
-    own = rows.withColumn("_t", tokens(text))
+def _counted(rows: DataFrame, text: str, terms: list[str]) -> tuple[DataFrame, int, float, list[int]]:
+    """rows with _n (words) and _f (occurrences of each term), and the table's row count, mean length and document frequencies."""
     tf = [F.size(F.filter("_t", _is(t))) for t in terms]
-    counted = own.withColumn("_n", F.size("_t")).withColumn("_f", F.array(*tf) if tf else F.array().cast("array<int>")).drop("_t")
+    counted = rows.withColumn("_t", tokens(text)).withColumn("_n", F.size("_t"))
+    counted = counted.withColumn("_t", F.filter("_t", lambda x: x.isin(*terms))).withColumn("_f", F.array(*tf) if tf else F.array().cast("array<int>")).drop("_t")
     aggs = [F.sum((F.get("_f", F.lit(i)) > 0).cast("long")) for i in range(len(terms))]
     n, length, *df = counted.agg(F.count("*"), F.avg("_n"), *aggs).first()
+    return counted, n, float(length or 1), [x or 0 for x in df]
+
+
+def _scored(terms: list[str], among: list[str], n: int, length: float, df: list[int]) -> tuple[Column, Column]:
     score, matched = F.lit(0.0), F.lit(0)
-    for i in range(len(terms)):
+    for t in terms:
+        i = among.index(t)
         f = F.get("_f", F.lit(i))
-        score = score + F.lit(_idf(n, df[i] or 0)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.lit(float(length or 1))))
+        score = score + F.lit(_idf(n, df[i])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.lit(length)))
         matched = matched + (f > 0).cast("int")
+    return score, matched
+
+
+def _exploded(counted: DataFrame, hits: Column, columns: list[str]) -> DataFrame:
+    """A row for each hit. A plain filter would be pushed below the tokens and split every text twice."""
+    return counted.withColumn("_s", F.explode_outer(hits)).where("_s is not null").select(*columns, "_s.*")
+
+
+def bm25(rows: DataFrame, key: str, text: str, terms: list[str], every: bool = False) -> DataFrame:
+    """rows with score (larger is better) and matched (terms found), for rows with any of the terms, or with every one.
+
+    Statistics are those of all rows given; apply visibility afterwards to keep them whole-table.
+    """
+    terms = list(dict.fromkeys(terms))
+    counted, n, length, df = _counted(rows, text, terms)
+    score, matched = _scored(terms, terms, n, length, df)
     least = len(terms) if every else 1
-    return counted.withColumn("score", score).withColumn("matched", matched).where(F.col("matched") >= max(1, least)).drop("_n", "_f")
+    hit = F.struct(score.alias("score"), matched.alias("matched"))
+    return _exploded(counted, F.filter(F.array(hit), lambda x: x["matched"] >= max(1, least)), rows.columns)
+
+
+def bm25_many(rows: DataFrame, key: str, text: str, queries: list[list[str]], n: int) -> DataFrame:
+    """The n best rows of each of several queries: rows with query (its number), score, matched, rank; ties by key.
+
+    All queries share the two scans, and only n rows of each query and task reach the shuffle.
+    """
+    queries = [list(dict.fromkeys(q)) for q in queries]
+    terms = list(dict.fromkeys(t for q in queries for t in q))
+    counted, total, length, df = _counted(rows, text, terms)
+    each = []
+    for i, q in enumerate(queries):
+        score, matched = _scored(q, terms, total, length, df)
+        each.append(F.struct(F.lit(i).alias("query"), score.alias("score"), matched.alias("matched")))
+    hits = _exploded(counted, F.filter(F.array(*each), lambda x: x["matched"] > 0), rows.columns)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), key)
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def _is(term: str):

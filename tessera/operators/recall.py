@@ -104,16 +104,13 @@ def unified(sources: dict[str, tuple[DataFrame, str, str]], query: str, mode: st
     priority, best rank, id. The texts share ``chars`` characters (128 to 24,000); ``limit`` is 20 at most.
     """
     limit, chars = max(1, min(limit, 20)), max(128, min(chars, 24_000))
+    variants = [lexical.event_terms(v) for v in expanded(query, mode)]
     lists = None
-    for variant in expanded(query, mode):
-        terms = lexical.event_terms(variant)
-        for kind, (rows, key, text) in sources.items():
-            own = rows.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
-            best = lexical.top(lexical.bm25(own, "id", "text", terms), per_list, F.col("id"))
-            best = fusion.ranked(best, [F.desc("score"), F.col("id")]).select(
-                F.lit(kind).alias("kind"), "id", "text", "rank", F.lit(fusion.RECALL_WEIGHTS[kind]).alias("weight")
-            )  # per_list rows
-            lists = best if lists is None else lists.unionByName(best)
+    for kind, (rows, key, text) in sources.items():
+        own = rows.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
+        best = lexical.bm25_many(own, "id", "text", variants, per_list)
+        best = best.select(F.lit(kind).alias("kind"), "id", "text", "rank", F.lit(fusion.RECALL_WEIGHTS[kind]).alias("weight"))
+        lists = best if lists is None else lists.unionByName(best)
     fused = lists.groupBy("kind", "id").agg(F.sum(F.col("weight") / (fusion.K + F.col("rank"))).alias("rrf"), F.min("rank").alias("first_rank"), F.first("text").alias("text"))
     priority = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in PRIORITY.items()])
     order = [F.desc(F.round("rrf", 12)), priority, F.col("first_rank"), F.col("id")]

@@ -119,7 +119,11 @@ def two_pass(rows: DataFrame, key: str, text: str, terms: list[str], n: int, *ti
     Both passes are always taken in full before they are cut, so hits of the first that a later guard rejects don't starve
     the result.
     """
-    scored = bm25(rows, key, text, terms)
+    return two_pass_scored(bm25(rows, key, text, terms), key, terms, n, *ties)
+
+
+def two_pass_scored(scored: DataFrame, key: str, terms: list[str], n: int, *ties: Column) -> DataFrame:
+    """The same over scored rows, which a reader's predicate may have narrowed since: statistics stay those of the whole table."""
     first = scored.where(F.col("matched") == len(set(terms))).withColumn("pass_no", F.lit(1))
     both = top(first, n, *ties).unionByName(top(scored.withColumn("pass_no", F.lit(2)), n, *ties))
     once = both.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("pass_no"))).where("_r = 1").drop("_r")

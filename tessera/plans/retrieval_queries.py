@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import fusion, lexical, recall, vector
-from tessera.plans.tables import CLAIMS, claims, table
+from tessera import access
+from tessera.operators import fusion, lexical, recall, search, vector
+from tessera.plans.tables import CLAIMS, LEDGER, NOW, claims, ledger, table
 
 QUERY = "when the and for that; from this with"
 TERMS = lexical.event_terms("erst thion of ingre")
@@ -218,10 +219,34 @@ def federated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.reciprocal_rank_fusion(ranked, ["key"]).select("key", F.round("rrf", 9).alias("rrf"), "first_rank").orderBy(F.desc("rrf"), "key").limit(200)
 
 
+def event_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = ledger(spark, sf_dir).withColumn("content", F.concat_ws(" ", "event_type", "props"))
+    own = own.withColumn("content_hash", F.when(F.col("event_id") % 10 == 0, "0").otherwise(F.sha2("content", 256)))
+    return search.event_query(own, access.Principal("bot1", "chat4", "s4", "p2"), "error 7 k", NOW, ["error", "click"], 50).select("event_id", "content", "pass_no")
+
+
+def episode_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.episode_query(table(spark, sf_dir, "conversations"), "the of; and from").select("conv_id", "turn", "role", "rank")
+
+
+def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("id"), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn", "role").alias("id"), "text")
+    return search.document_query(docs, turns, "the shape of things from here", None, 20).select("id", F.round("rrf", 9).alias("rrf"))
+
+
+def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    key = lambda p: F.concat(F.lit(p), F.col("p_partkey").cast("string")).alias("id")
+    edges = part.select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), (F.col("p_partkey") + 1).cast("string")).alias("b"), (F.col("p_partkey") % 10 / 10.0).alias("confidence"))
+    out = search.code_query(part.select(key("s"), F.col("p_name").alias("text")), part.select(key("c"), F.col("p_type").alias("text")), part.select(key("l"), F.col("p_brand").alias("text")), edges, "part 7 promo brand#13", None, 50)
+    return out.select("id", F.round("rrf", 9).alias("rrf"))
+
+
 QUERIES = {f.__name__: f for f in (
     bm25_top, bm25_two_pass, postings_index, literal_search, newest_events, cosine_top, label_agreement, hybrid_rrf, code_boosts, rerank_positions, topic_diversity, source_share,
     char_budgets, greedy_budgets, mmr_lists, event_variety, search_comparison, recall_unified, episode_pairs, context_collapse, conflicts, manifest_coverage, planner_intents,
-    hashed_embeddings, simhash_pairs, word_set_pairs, pending_embeddings, federated_search,
+    hashed_embeddings, simhash_pairs, word_set_pairs, pending_embeddings, federated_search, event_search, episode_search, document_search, code_search,
 )}
 
 _RANKS = CLAIMS + ", base as (select *, round(salience * 0.6 + confidence * 0.4, 6) as score from claims), best as (select *, row_number() over (order by score desc, id) as rank from base qualify rank <= 200)"
@@ -289,6 +314,12 @@ ORACLES = {
     "simhash_pairs": """with c as (select c_custkey as id, (c_custkey // 3) * 1048573 + c_custkey % 3 as h from customer)
         select a.id as a, b.id as b, cast(bit_count(xor(a.h, b.h)) as integer) as distance from c a join c b on a.id < b.id where bit_count(xor(a.h, b.h)) <= 3""",
     "pending_embeddings": "select doc_id, md5(text) as digest from documents where doc_id % 3 = 0 or doc_id % 5 = 0",
+    "event_search": "with " + LEDGER + ", t as (select event_id, event_type || ' ' || props as content from events), " + _bm25_sql("s", "t", "event_id", "content", lexical.event_terms("error 7 k")) + f""",
+        v as (select s.*, l.occurred_at from s join ledger l on s.id = l.event_id where matched > 0 and owner_bot_id = 'bot1' and (expires_at = 0 or expires_at > {NOW}) and event_type in ('click', 'error')
+            and (visibility_scope = 'bot' or visibility_scope = 'project' and project_id = 'p2' or visibility_scope = 'chat' and owner_chat_hash = 'chat4' and owner_session_hash = 's4')),
+        b as (select * from (select *, 1 as pass_no from v where matched = 3 order by score desc, occurred_at desc, id limit 400) union all select * from (select *, 2 as pass_no from v order by score desc, occurred_at desc, id limit 400)),
+        o as (select * from b qualify row_number() over (partition by id order by pass_no) = 1), p as (select *, row_number() over (order by pass_no, score desc, occurred_at desc, id) as position from o)
+        select id as event_id, text as content, pass_no from p where position <= 400 and id % 10 <> 0 order by position limit 50""",
     "federated_search": "with " + _bm25_sql("s", "documents", "doc_id", "text", TERMS) + """, r as (select lang || ':' || id as key, row_number() over (partition by lang order by score desc, id) as rank from s join documents on id = doc_id where matched > 0 qualify rank <= 20)
         select key, round(1.0::double / (60 + rank), 9) as rrf, rank as first_rank from r order by rrf desc, key limit 200""",
 }

@@ -84,21 +84,20 @@ def signatures(token: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.
     return out, begin
 
 
-def apart(sig: np.ndarray, begin: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For pairs of sets, i's not larger: a number of tokens by which they differ at least.
+def apart(sig: np.ndarray, begin: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray | None = None) -> np.ndarray:
+    """For pairs of sets, i's not larger: a number of tokens by which they differ at least; counted on to the bound only.
 
     A signature twice as long is folded: a token's bit is its hash modulo the length.
     """
     out = np.zeros(len(i), np.int64)
     wide_i, wide_j = begin[i + 1] - begin[i], begin[j + 1] - begin[j]
     for w in np.unique(wide_i).tolist():
-        at = np.flatnonzero(wide_i == w)
-        a, b, twice = begin[i[at]], begin[j[at]], wide_j[at] > w
-        fold = np.where(twice, b + w, b)
-        total = np.zeros(len(at), np.int64)
+        live = np.flatnonzero(wide_i == w)
         for k in range(w):
-            total += np.bitwise_count(sig[a + k] ^ (sig[b + k] | sig[fold + k]))
-        out[at] = total
+            a, b = begin[i[live]] + k, begin[j[live]] + k
+            out[live] += np.bitwise_count(sig[a] ^ (sig[b] | sig[np.where(wide_j[live] > w, b + w, b)]))
+            if bound is not None:
+                live = live[out[live] <= bound[live]]
     return out
 
 
@@ -297,14 +296,23 @@ def _candidates(x: dict, threshold: float, tiers: tuple = SENT) -> tuple[np.ndar
     end = np.searchsorted(scaled, bucket * (1 << 21) + np.floor(n / threshold + 1e-9).astype(np.int64), "right")
     i0 = np.arange(len(key))
     total = np.concatenate([[0], np.cumsum(end - i0 - 1)])
+    # Most pairs differ too much in the first word of their signatures already.
+    most = np.where(n == CLIP, np.inf, n * slack + 1e-6)
+    wide = (begin[1:] - begin[:-1]).astype(np.uint8)
+    lead = sig[begin[:-1]] if len(n) else sig
+    folded = lead | sig[begin[:-1] + wide // 2] if len(n) else sig
     late, early, far = [], [], []
     a = 0
     while a < len(key):
         b = max(a + 1, int(np.searchsorted(total, total[a] + 700_000, "right")) - 1)
         i = np.repeat(i0[a:b], (end - i0 - 1)[a:b])
         j = pair_blocks(i0[a:b] + 1, end[a:b])
-        differ = apart(sig, begin, i, j)
-        ok = (differ <= (n[i] + n[j]) * slack + 1e-9) | (n[j] == CLIP)
+        bound = most[i] + most[j]
+        word = np.where(wide[i] == wide[j], lead[j], folded[j])
+        ok = np.bitwise_count(lead[i] ^ word) <= bound
+        i, j, bound = i[ok], j[ok], bound[ok]
+        differ = apart(sig, begin, i, j, bound)
+        ok = differ <= bound
         i, j, differ = i[ok], j[ok], differ[ok]
         needed = np.ceil((n[i] + n[j]) * threshold / (1 + threshold) - 1e-9)
         ok = (sets[i] != sets[j]) & ((1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= needed) | (n[j] == CLIP) | (pos[i] == CLIP) | (pos[j] == CLIP))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions import statements
 from tessera.functions import text as T
 from tessera.operators import graph as G
-from tessera.operators import recall
 from tessera.plans.tables import NOW, ledger, table
 from tessera.sources import documents as D
 from tessera.streaming import ledger as S

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import access
+from tessera.operators import fusion
 from tessera.operators import ledger as L
 from tessera.operators import lifecycle as C
 from tessera.operators import observe
@@ -248,11 +249,34 @@ def registry_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.registry_search(entries, "brand#13 1", 20)
 
 
+def shared_block_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 8 blocks of each principal that fit 2,400 characters; one that doesn't fit is skipped."""
+    own = table(spark, sf_dir, "documents").select(F.col("source").alias("principal"), (-F.col("doc_id")).alias("newest"), F.col("n_chars").alias("chars"))
+    best = fusion.capped_per_group(own, "principal", [F.col("newest")], 8)
+    return fusion.greedy_budget(best, "principal", "chars", ["newest"], 2400, 8)
+
+
+def embedding_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents").withColumn("embedded", F.col("doc_id") % 3 == 0)
+    return own.groupBy("lang").agg(F.count_if("embedded").alias("embedded"), F.count_if(~F.col("embedded")).alias("pending"), F.max("doc_id").alias("newest"))
+
+
+def fresh_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user since the last error: a running state as a window."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    own = table(spark, sf_dir, "events").withColumn("errors", F.sum((F.col("event_type") == "error").cast("int")).over(w))
+    last = own.withColumn("_m", F.max("errors").over(Window.partitionBy("user_id"))).where("errors = _m and event_type <> 'error'")
+    return last.groupBy("user_id").agg(F.count("*").alias("since_error"))
+
+
 QUERIES = {f.__name__: f for f in (
     owner_usage, partition_usage, visible_events, valid_claims, live_relations, unlinked_sources, intact_documents, shareable_claims, rejected_claims, unerased, episode_retention, event_retention,
     version_retention, evidence_samples, outbox, idempotent_events, coalesced, job_health, job_backoff, undecided_events, latency_histogram, latency_snapshot, observations, changed_observations,
     order_history, decay_scan, decay_archive, decay_stats, garbage, superseded_claims, claim_contradictions, recall_feedback, journal_replay, recent_changes, merged_stores, topic_summaries,
-    health_scores, retrieval_evaluation, quality_metrics, ingestion_confusion, session_worth, shared_blocks, registry_search,
+    health_scores, retrieval_evaluation, quality_metrics, ingestion_confusion, session_worth, shared_blocks, registry_search, shared_block_render,
+    embedding_status, fresh_prefixes,
 )}
 
 _DECAY = f"""greatest(0.0, 1.0 - 0.015 / greatest(0.3, confidence * salience) * greatest(0.0, ({NOW} - case when freshness_at > 0 then freshness_at else updated_at end) / 86400.0) + 0.05 * ln(1 + access_count))"""
@@ -334,6 +358,14 @@ ORACLES = {
         s as (select * from m qualify row_number() over (partition by block_id, principal, family order by d desc) = 1)
         select a.block_id, a.principal from s a join s g on a.block_id = g.block_id and a.principal = g.principal and g.family = 'grant' and g.live
         join s b on b.block_id = a.block_id and b.family = 'block' and b.live where a.family = 'attachment' and a.live""",
+    "shared_block_render": """with recursive t as (select source as principal, -doc_id as newest, n_chars as chars, row_number() over (partition by source order by doc_id desc) as i from documents),
+        w as (select principal, i, newest, chars, chars <= 2400 as taken, case when chars <= 2400 then chars else 0 end as used from t where i = 1
+        union all select t.principal, t.i, t.newest, t.chars, w.used + t.chars <= 2400, case when w.used + t.chars <= 2400 then w.used + t.chars else w.used end
+            from w join t on t.principal = w.principal and t.i = w.i + 1 where t.i <= 8)
+        select principal, newest, cast(chars as integer) as chars from w where taken""",
+    "embedding_status": "select lang, count(*) filter (doc_id % 3 = 0) as embedded, count(*) filter (doc_id % 3 <> 0) as pending, max(doc_id) as newest from documents group by lang",
+    "fresh_prefixes": """with e as (select *, sum((event_type = 'error')::int) over (partition by user_id order by event_id) as k from events), m as (select *, max(k) over (partition by user_id) as m from e)
+        select user_id, count(*) as since_error from m where k = m and event_type <> 'error' group by 1""",
     "registry_search": """with e as (select lower(p_brand) || '/' || p_partkey as key, p_name || ' ' || p_type as text from part),
         s as (select *, case when key = 'brand#13' then 5 when contains(key, 'brand#13') then 3 when contains(lower(text), 'brand#13') then 1 else 0 end
         + case when key = '1' then 5 when contains(key, '1') then 3 when contains(lower(text), '1') then 1 else 0 end as score from e)

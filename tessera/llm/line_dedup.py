@@ -422,7 +422,8 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, least: int = 5, **work)
     release(docs.sparkSession)
     parts = F.split(text, "\n", -1)
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    joined = docs.withColumn("_key", dk).join(gone, F.col("_key") == F.col("_dk"), "left")
+    # The removed lines grow with the documents, so they are never broadcast: the plan is the same at every size.
+    joined = docs.withColumn("_key", dk).join(gone.hint("merge"), F.col("_key") == F.col("_dk"), "left")
     lines = F.when(text.isNull() | (text == ""), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     return (
         joined.withColumn("_n_lines", lines.cast("long")).withColumn("_n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))

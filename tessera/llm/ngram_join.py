@@ -74,8 +74,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) ->
             size = np.array([len(s) for s in sets], np.int32)
             sig = iter(signatures(sets, bands, rows).view(np.int64).tolist())
             yield pa.record_batch(
-                {
-                    "doc_id": part.column("doc_id"), "k": class_keys(sets).view(np.int64), "n": size,
+                {c: part.column(c) for c in part.schema.names if c != "text"}
+                | {
+                    "k": class_keys(sets).view(np.int64), "n": size,
                     "bands": pa.array([next(sig) if x else [] for x in size], pa.list_(pa.int64())),
                 }
             )
@@ -175,20 +176,13 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.record_batch({"k": k[has], "root": k[root[has]], "links": links[has].astype(np.int64)})
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 1024) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, class_id, group_id, n_grams, n_links.
-
-    class_id: the smallest doc_id with the same n-gram set. group_id: the smallest doc_id that links reach. n_links: how
-    many other documents are at least ``threshold`` similar, copies included. Without n-grams class_id and group_id are
-    the row's own doc_id and n_links is 0. A null doc_id counts as larger than others. The banding finds a pair that is
-    exactly at the threshold with probability ``recall`` (0.999) and nearer ones more surely; all that it finds is
-    verified, and no bucket is capped.
-    """
-    spark = docs.sparkSession
+def _linked(texts: DataFrame, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of texts(doc_id, text, other longs) with k and n in place of text, and (k, rep, cnt, links, root) of each class."""
+    spark = texts.sparkSession
     bands, rows = choose_bands(threshold, recall)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    others = "".join(f"{c} long, " for c in texts.columns if c != "text")
     sketch = stage(
-        texts.mapInArrow(lambda b: _sketch(b, n, bands, rows), "doc_id long, k long, n int, bands array<long>"), "ngram-sketch"
+        texts.mapInArrow(lambda b: _sketch(b, n, bands, rows), f"{others}k long, n int, bands array<long>"), "ngram-sketch"
     )
     classes = stage(
         sketch.where("n > 0").groupBy("k").agg(
@@ -205,7 +199,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
     release(spark)
     needed = placed.join(classes.select("k", "rep", "cnt"), "k")
     wanted = spark.sparkContext.broadcast(bitmap(needed.select(F.coalesce("rep", F.lit(0)).alias("key")), "key"))
-    sets = texts.mapInArrow(lambda b: _sets(b, n, wanted.value), "k long, grams binary").dropDuplicates(["k"])
+    sets = texts.select("doc_id", "text").mapInArrow(lambda b: _sets(b, n, wanted.value), "k long, grams binary").dropDuplicates(["k"])
     units = (
         needed.join(sets, "k")
         .select("k", "cnt", "grams", F.col("at.bucket").alias("buckets"), F.explode("at").alias("x"))
@@ -223,7 +217,20 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
     linked = found.groupBy("k").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("k").alias("a"), F.col("root").alias("b")), "ngram-groups")
     known = classes.select("k", "rep", "cnt").join(linked, "k", "left").join(groups.withColumnRenamed("node", "k"), "k", "left")
-    known = stage(known.select("k", "rep", "cnt", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "k").alias("root")), "ngram-known")
+    return sketch, stage(known.select("k", "rep", "cnt", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "k").alias("root")), "ngram-known")
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 1024) -> DataFrame:
+    """One row for each row of docs(doc_id, text): doc_id, class_id, group_id, n_grams, n_links.
+
+    class_id: the smallest doc_id with the same n-gram set. group_id: the smallest doc_id that links reach. n_links: how
+    many other documents are at least ``threshold`` similar, copies included. Without n-grams class_id and group_id are
+    the row's own doc_id and n_links is 0. A null doc_id counts as larger than others. The banding finds a pair that is
+    exactly at the threshold with probability ``recall`` (0.999) and nearer ones more surely; all that it finds is
+    verified, and no bucket is capped.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketch, known = _linked(texts, n, threshold, recall, block)
     least = known.groupBy("root").agg(F.min("rep").alias("least"))
     known = known.join(least, "root").select("k", "rep", "cnt", "links", "least")
     return (
@@ -235,17 +242,21 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
     )
 
 
-def near_duplicates_removed(docs: DataFrame, **settings) -> DataFrame:
-    """docs less all but one document of each group: the one with the smallest doc_id stays.
+def near_duplicates_removed(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 1024) -> DataFrame:
+    """docs less all but one row of each group: the one with the smallest doc_id stays, a null one only if all are null.
 
-    Rows without words link to nothing and stay. If rows of a group repeat its smallest doc_id, one of them stays.
+    Every row counts for itself, whatever doc_id it shares with others; of rows with equal doc_ids that with the smallest
+    hash of id and text stays. Rows that repeat both are copies. Rows without words link to nothing and stay.
     """
-    linked = ngram_jaccard_join(docs, **settings).where("n_links > 0 and group_id is not null")
-    linked = stage(linked.groupBy("doc_id", "group_id").agg(F.count("*").alias("rows")), "ngram-linked")
-    gone = linked.where("not (doc_id <=> group_id)").select(F.coalesce("doc_id", F.lit(0)).alias("_tessera_id"), F.col("doc_id").isNull().alias("_tessera_null"))
-    again = linked.where("doc_id = group_id and rows > 1").select(F.col("doc_id").alias("_tessera_id"), F.lit(False).alias("_tessera_null"))
-    keyed = (F.coalesce(docs["doc_id"], F.lit(0)) == F.col("_tessera_id")) & (docs["doc_id"].isNull() == F.col("_tessera_null"))
+    text, key = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    keyed = docs.withColumn("_tessera_row", F.xxhash64(text, F.coalesce(key, F.lit(-1)), key.isNull()))
+    sketch, known = _linked(keyed.select(key.alias("doc_id"), text.alias("text"), F.col("_tessera_row").alias("row")), n, threshold, recall, block)
+    own = sketch.select("doc_id", "row", "k").join(known.where("cnt + links > 1").select("k", "root"), "k")
+    rows = stage(own.groupBy("row", "root").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "ngram-linked")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row")).select("row")
+    gone = rows.join(first, "row", "left_anti").select(F.col("row").alias("_tessera_row"))
+    again = rows.where("rows > 1").join(first, "row", "left_semi").select(F.col("row").alias("_tessera_row"))
     if again.isEmpty():
-        return docs.join(gone, keyed, "left_anti")
-    once = docs.join(again, keyed, "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(gone.union(again), keyed, "left_anti").unionByName(once)
+        return keyed.join(gone, "_tessera_row", "left_anti").select(*docs.columns)
+    once = keyed.join(again, "_tessera_row", "left_semi").dropDuplicates(["_tessera_row"])
+    return keyed.join(gone.union(again), "_tessera_row", "left_anti").unionByName(once).select(*docs.columns)

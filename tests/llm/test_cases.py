@@ -380,3 +380,18 @@ def test_empty_tables(spark, empty):
     only = empty.unionByName(spark.createDataFrame([(None, None, None, None, None, None, None, *[None] * 13)], SCHEMA))
     assert [tuple(x) for x in ngram_join.ngram_jaccard_join(only).collect()] == [(None, None, None, 0, 0)]
     assert line_dedup.line_dedup(only).count() == 1 and simhash.document_fingerprints(only).count() == 1
+
+
+def test_near_duplicates_are_decided_by_row(spark):
+    a, b = sentence(900, 60), sentence(901, 60)
+    docs = [
+        (None, a), (None, a + " tail"), (None, "clean and unique " + sentence(902, 40)),  # a group of null ids; an unlinked row
+        (50, b), (51, b + " tail"), (51, "unlinked under a repeated id " + sentence(903, 40)),  # (b)
+        (60, sentence(904, 60)), (60, sentence(904, 60)), (60, "unlinked under the id that stays " + sentence(905, 40)),  # (c)
+        (70, sentence(906, 60)), (None, sentence(906, 60) + " tail"), (71, None), (71, None),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = [(x.doc_id, x.text) for x in ngram_join.near_duplicates_removed(df).collect()]
+    want = [docs[i] for i in (2, 3, 5, 6, 8, 9, 11, 12)]
+    assert sum(x in left for x in docs[:2]) == 1
+    assert sorted((x for x in left if x not in docs[:2]), key=repr) == sorted(want, key=repr)

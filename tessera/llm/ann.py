@@ -169,8 +169,13 @@ def _compared(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         asks = group.column("asks").to_numpy(zero_copy_only=False)
         ids, x = group.column("vec_id").to_numpy(), _vectors(group, "v").astype(np.float64)
         v, vid = x[~asks], ids[~asks]
+        order = np.argsort(vid, kind="stable")
+        v, vid = v[order], vid[order]
+        own = np.flatnonzero(np.append(True, vid[1:] != vid[:-1])) if len(vid) else np.zeros(0, np.int64)
+        vid = vid[own]
         for q, query in zip(x[asks], ids[asks].tolist(), strict=True):
             d = np.sqrt(((v - q) ** 2).sum(1))
+            d = np.minimum.reduceat(d, own) if len(own) else d  # the nearest row of each vec_id
             d[vid == query] = np.inf
             near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]) if len(d) else np.zeros(0, np.int64)
             near = near[np.isfinite(d[near])]
@@ -207,8 +212,11 @@ def nearest_neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, rea
     sent = spark.sparkContext.broadcast(index)
     posted = stage(indexed.mapInArrow(lambda b: _assigned(b, sent.value), "list int, first boolean, vec_id long, v array<float>"), "ann-lists")
     sizes, rows = np.zeros(len(index.centre), np.int64), np.zeros(len(index.centre), np.int64)
-    for r in posted.groupBy("list").agg(F.count("*").alias("n"), F.count_if("first").alias("f")).collect():  # at most LISTS rows
-        sizes[r["list"]], rows[r["list"]] = r["f"], r["n"]
+    for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect():  # at most LISTS rows
+        rows[r["list"]] = r["n"]
+    once = posted.where("first").groupBy("vec_id").agg(F.min("list").alias("list"))  # a vec_id with many vectors counts in one list
+    for r in once.groupBy("list").agg(F.count("*").alias("n")).collect():  # at most LISTS rows
+        sizes[r["list"]] = r["n"]
     chunks = np.maximum(1, -(-rows // UNIT))
     queries = valid.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = stage(

@@ -395,3 +395,10 @@ def test_near_duplicates_are_decided_by_row(spark):
     want = [docs[i] for i in (2, 3, 5, 6, 8, 9, 11, 12)]
     assert sum(x in left for x in docs[:2]) == 1
     assert sorted((x for x in left if x not in docs[:2]), key=repr) == sorted(want, key=repr)
+
+
+def test_vectors_of_one_id_leave_room_for_others(spark):
+    made = [(0, [1.0, 0.0])] + [(1, [1.0 + i / 1000, 0.0]) for i in range(1, 200)] + [(i, [2.0 + i, 0.0]) for i in range(2, 30)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>")
+    got = [(a.query_id, a.rank, a.vec_id) for a in ann.nearest_neighbours(df).collect()]
+    assert sorted(got) == [(0, i, i) for i in range(1, 11)]

@@ -198,7 +198,8 @@ def _prefixes(
                 owner = np.repeat(np.arange(len(lines)), size)
                 pos = np.arange(len(token)) - at[owner]
                 length = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-                sent = (pos < length[owner]) & (ranks > 1)
+                # A set so small that one token more or less falls below the threshold has no like but its copies, which its place finds.
+                sent = (pos < length[owner]) & (ranks > 1) & (size >= threshold * (size + 1) - 1e-9)[owner]
                 d, num = doc[row[a + lines]], number[a + lines].astype(np.int64)
                 slot = (sets & U64((1 << 17) - 1)).astype(np.int64)
                 fresh = (slot_set[slot] != sets) | (d < slot_doc[slot]) | ((d == slot_doc[slot]) & (num < slot_line[slot]))

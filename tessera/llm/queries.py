@@ -36,7 +36,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    cut = line_dedup.line_dedup(table(spark, sf_dir, "documents"), least=1)
     return cut.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 

@@ -402,3 +402,12 @@ def test_vectors_of_one_id_leave_room_for_others(spark):
     df = spark.createDataFrame(made, "vec_id long, embedding array<float>")
     got = [(a.query_id, a.rank, a.vec_id) for a in ann.nearest_neighbours(df).collect()]
     assert sorted(got) == [(0, i, i) for i in range(1, 11)]
+
+
+def test_short_lines_are_compared(spark):
+    import corpus_pipeline
+
+    four = "alpha beta gamma delta"
+    df = spark.createDataFrame([(1, f"{four}\nRead more\n}}", 0), (2, f"read  MORE!\nonly here\n{four} epsilon\n}}", 0), (3, "more\nread on", 0), (4, "More", 0)], "doc_id long, text string, n_chars long")
+    got = {x.doc_id: x.text for x in corpus_pipeline.cut_lines(spark, df, "").collect()}
+    assert got == {1: f"{four}\nRead more\n}}", 2: "only here\n}", 3: "more\nread on"}

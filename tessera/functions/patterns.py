@@ -60,6 +60,31 @@ INJECTIONS = (
     r"\bassistant\s*[,:]?\s+(?:(?:must|should|shall|will)\s+)?(?:in\s+your\s+next\s+(?:answer|response)\s+)?(?:do\s+not\s+)?(?:answer|respond|say|state|claim|output|write|replace)\b",
     r"(?:in\s+your\s+next\s+(?:answer|response)|when\s+answering\s+the\s+user)[,:]?\s+(?:do\s+not\s+)?(?:say|state|claim|output|write|answer|respond)\b",
 )
+#: The one that a descriptive sentence may hold; these are only sought in folded texts: the first before look-alikes are folded.
+TERMS = next(p for p in INJECTIONS if "jailbreak|" in p)
+RUSSIAN_ANSWER = (
+    r"\b(?:ассистент\s*[,,:]?\s+(?:(?:должен|должна|обязан|обязана)\s+)?(?:(?:в\s+(?:следующем|сво[её]м)\s+(?:ответе|сообщении))\s+)?"
+    r"(?:не\s+)?(?:ответь|ответить|отвечай(?:те)?|отвечать|утверждай(?:те)?|напиши(?:те)?|написать|скажи(?:те)?|сказать|замени(?:те)?|заменить|выдай(?:те)?)\b"
+    r"|(?:в\s+(?:следующем|сво[её]м)\s+(?:ответе|сообщении)|при\s+ответе\s+пользователю)\s+(?:не\s+)?"
+    r"(?:напиши(?:те)?|утверждай(?:те)?|скажи(?:те)?|выдай(?:те)?|ответь|отвечай(?:те)?|придерживай(?:те)?ся)\b"
+    r"|отвечай(?:те)?\s+пользователю\b"
+    r"|(?:скрой(?:те)?|скрывай(?:те)?|не\s+(?:упоминай(?:те)?|раскрывай(?:те)?|сообщай(?:те)?|сообщать|ссылай(?:те)?ся|ссылайтесь))\b[^.!?\n]{0,180}"
+    r"(?:происхождени\w*|источник\w*|памят\w*|указани\w*|эт(?:ой|у)\s+запис\w*))"
+)
+CONCEAL = (
+    r"(?:^|[.!?;:\n\"'])\s*(?:please\s+|you\s+(?:must|should)\s+)?(?:hide|conceal|do\s+not\s+(?:mention|disclose|reveal|cite))\b"
+    r"[^.!?\n]{0,180}\b(?:origin|source|memory|instruction|record)\b"
+)
+TERM = r"(?:jailbreak|prompt (?:injection|hack|leak))"
+_SUBJECT = r"(?:the )?(?:documentation|report|article|audit|glossary|lesson)"
+DESCRIPTIVE = (
+    rf"(?:{_SUBJECT} (?:discusses|describes|lists|reviews) {TERM} (?:risks?|prevention|defenses|terminology)"
+    rf"|{_SUBJECT} (?:defines|describes) {TERM} as a (?:security threat|threat to (?:data|trust) boundaries)"
+    rf"|(?:we|researchers|the authors|dan and jordan) (?:discussed|studied|reviewed) (?:defenses against {TERM}|{TERM} (?:risks?|prevention|defenses))"
+    rf'|the (?:report|article|glossary|lesson) quoted the term "{TERM}" without issuing an instruction'
+    rf"|the words '{TERM}' name a security threat|atlas notes describe {TERM} defenses)\."
+)
+LOOKALIKES, LATIN, INVISIBLE = "асеіјорѕух", "aceijopsyx", "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 FILTERED = "[filtered: injection pattern detected]"
 
 # Small talk that closes a turn.

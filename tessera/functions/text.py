@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import patterns as P
+from tessera.operators.observe import folded
 
 
 def redacted(text: Column, limit: int = 200_000) -> Column:
@@ -53,9 +54,18 @@ def sanitized_cells(cells: Column, headers: Column) -> Column:
 
 def sanitized(text: Column, most: int = 600) -> Column:
     """A text to show, or a notice in its place if it holds instructions; empty for blank texts."""
-    hit = F.lit(False)
-    for p in P.INJECTIONS:
-        hit = hit | text.rlike("(?iU)" + p)
+    # Only texts beyond ASCII are sent to Python; of others lower() is the same.
+    fold = F.coalesce(folded(F.when(text.rlike(r"[^\x00-\x7f]"), text)), F.lower(text))
+    seen = F.translate(fold, P.LOOKALIKES + P.INVISIBLE, P.LATIN)
+    described = seen.rlike("(?i)^" + P.DESCRIPTIVE + r"\z")
+    hit = fold.rlike("(?iU)" + P.RUSSIAN_ANSWER)
+    for p in (*P.INJECTIONS, P.CONCEAL):
+        for view in (text, fold, seen):
+            found = view.rlike("(?iU)" + p)
+            if p == P.TERMS:
+                mentions = F.regexp_extract_all(view, F.lit("(?iU)" + p), F.lit(0))
+                found = F.when(described, F.exists(mentions, lambda m: ~m.rlike("(?i)^" + P.TERM + r"\z"))).otherwise(found)
+            hit = hit | found
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "").when(hit, P.FILTERED).otherwise(F.substring(text, 1, most))
 
 

@@ -1,17 +1,20 @@
 """Tables written to the shared folder, so that lineage ends there and every executor can read them again.
 
-The folder is the one that the session names in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a
-temporary folder stands in for it.
+The folder is the one that the session names in ``spark.checkpoint.dir``. Only where that is unset and the master is
+local, as in tests, a temporary folder stands in for it: on a cluster each executor would write to a disk of its own.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+#: Where the staged tables that are still in use lie.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -30,7 +35,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _PATHS[staged] = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; frames that ``stage`` didn't return are left alone."""
+    for df in staged:
+        if path := _PATHS.pop(df, None):
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -93,7 +93,7 @@ from sets d left join classes c on d.s = c.s left join least l on c.rep = l.x le
 ORACLES["op4_line_dedup"] = r"""
 with pieces as (select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents),
 tokens as (select doc_id, i, line, list_sort(list_distinct(regexp_extract_all(lower(line), '[0-9a-z_\x{80}-\x{10FFFF}]+'))) as s from pieces),
-big as (select * from tokens where len(s) >= 5),
+big as (select * from tokens where len(s) >= 1),
 sets as (select s, min((doc_id, i)) as f, row_number() over (order by min((doc_id, i))) as k, len(s) as n from big group by s),
 grams as (select k, n, unnest(s) as g from sets),
 df as (select g, count(*) as c from grams group by g),

@@ -1,4 +1,4 @@
-"""Parts that several operators use: streaming over sorted groups, fixed-size bitmaps and connected components."""
+"""Parts that several operators use: streaming over sorted groups, bitmaps of bounded size and connected components."""
 
 from __future__ import annotations
 
@@ -56,11 +56,17 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int
         yield pa.Table.from_batches(held)
 
 
-def bitmap(keys: DataFrame, column: str, bits: int = 23) -> np.ndarray:
-    """2**bits bits, of which bit ``key mod 2**bits`` is set for every key: a filter of fixed size (1 MiB by default).
+#: A bitmap has this many bits a key, and never more than 2**MOST_BITS (16 MiB), whatever the number of keys.
+BITS_A_KEY, MOST_BITS = 8, 27
 
-    What it lets through beyond the keys is dropped by the join that follows; it only saves shuffling.
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Bits of which one is set for every key: a filter whose size follows the number of keys, up to a fixed bound.
+
+    What it lets through beyond the keys is dropped by the join that follows; it only saves shuffling. With many more
+    than 2**MOST_BITS keys it lets all through, and the join gets every row: more is shuffled, in proportion to the input.
     """
+    bits = min(MOST_BITS, max(20, (BITS_A_KEY * keys.count()).bit_length()))
     at = f"(({column} ^ shiftrightunsigned({column}, 23) ^ shiftrightunsigned({column}, 46)) & {(1 << bits) - 1})"
     words = (
         keys.select(F.expr(f"shiftright({at}, 6)").alias("w"), F.expr(f"shiftleft(1L, cast({at} & 63 as int))").alias("b"))

@@ -140,7 +140,7 @@ def test_line_dedup_against_brute_force(spark):
     df = messy(spark, made).where("doc_id <> 10 or doc_id is null")
     rows = [(x.doc_id, x.text) for x in df.collect()]
     want = brute_lines(rows)
-    for work in ({}, {"hot": 2}, {"tiers": ((math.inf, 1),)}):
+    for work in ({}, {"hot": 2}, {"tiers": ((math.inf, 1),)}, {"hot": 2, "crowd": 3, "side": 2, "tiers": ((math.inf, 1),)}):
         for x in line_dedup.line_dedup(df.withColumn("old", F.col("text")), **work).collect():
             assert x.text == (want[(x.doc_id, x.old)] if x.old else x.old)
     left = line_dedup.lines_removed(df)

@@ -318,6 +318,64 @@ def test_html_cases(spark):
     assert html_extract.html_extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="has-sidebar"><article><p>keep</p></article></div>', "keep"), ('<main class="content with-sidebar"><p>keep</p></main>', "keep"),
+        ('<article class="post has-comments"><p>keep</p></article>', "keep"), ("<article><p title=Don't>lost text</p><p>kept 'x' y</p></article>", "lost text kept 'x' y"),
+        ('<article><section id="social"><p>keep</p></section></article>', "keep"), ("<![CDATA[abcdef", "abcdef"), ("<![CDATA[ab]]>c", "abc"), ('<a href="x>y">in</a> <b a=\'>\'>t</b>', "in t"),
+        ('<div class="sidebar-left layout"><article><p>keep</p></article></div>', "keep"), ("<nav><article>x</article></nav><p>y</p>", "y"),
+        ('<article><p>a</p></article><div id=comments><article class=comment><p>bad</p></article></div>', "a"),
+        ('<main><p>Main</p><div class="reader-comments"><article><p>bad</p></article></div></main>', "Main"),
+        ('<p>body</p><p>more of it</p><div class="related"><article>teaser</article></div>', "body more of it"), ('<article><div class="ad">x</div><aside>y</aside>t</article>', "t"),
+    ],
+)
+def test_html_parser(page, want):
+    assert " ".join(html_extract.chosen(html_extract.blocks(page))[0]) == want
+
+
+def test_html_parser_is_linear():
+    import time
+
+    for page in ("<i>" * 150_000 + "</b>" * 150_000, "<i><article>" + "<b>" * 100_000 + "</i>" * 100_000, "<p " + 'a="b" ' * 150_000, "<p x='" + "= " * 300_000):
+        began = time.process_time()
+        html_extract.blocks(page)
+        assert time.process_time() - began < 5
+
+
+def test_boilerplate_inside_marked_articles(spark):
+    """A call at the end of a host's articles goes; quotes, near copies, copies and what few pages share stay."""
+    call = "Like this story? Subscribe to our weekly letter and never miss another one of them again."
+    quote = "The committee has found no evidence that any of the named parties acted against the rules in force."
+    intro = "From our own correspondents in the capital"
+
+    def page(host, n, *paragraphs):
+        return n, f"http://{host}/{n}", "<article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article><footer>x</footer>"
+
+    own = lambda n: [sentence(7000 + 10 * n + i, 30) for i in range(4)]
+    pages, want = [], {}
+    for n in range(20):
+        body = own(n)
+        kept = [*body[:2], quote, *body[2:]] if n % 2 else body  # a quote in the middle of ten articles
+        pages.append(page("a.com", n, intro, *kept, call) if n < 12 else page("a.com", n, *kept))
+        want[n] = " ".join(kept)
+    base = own(50)
+    for n in range(100, 140):  # near copies of one article fill a host
+        changed = [*base[:1], base[1] + f" z{n}", *base[2:]]
+        pages.append(page("b.com", n, *changed))
+        want[n] = " ".join(changed)
+    for n in range(200, 230):  # copies
+        pages.append(page("c.com", n, *own(60)))
+        want[n] = " ".join(own(60))
+    for n in range(300, 303):  # too few pages
+        pages.append(page("d.com", n, *own(n), call))
+        want[n] = " ".join([*own(n), call])
+    pages.append((400, None, "<article><p>one</p><p>two</p><p>three</p></article>"))
+    want[400] = "one two three"
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    assert {x.page_id: x.text for x in html_extract.html_extract(df).collect()} == want
+
+
 def test_repeats_of_a_host_against_brute_force(spark):
     """Windows that two pages share cover exactly the common substrings of that many tokens."""
     r = random.Random(8)

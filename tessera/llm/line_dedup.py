@@ -55,6 +55,7 @@ TELLING = (8, 2048)
 SHARE_BYTES = (24e6, 128e6)
 #: Bytes of text worked on at once: the arrays made from them stay in a core's cache.
 SLICE = 1 << 16
+GATHERED, WORDS = 16, 200_000
 _LINES = 60_000
 _SLOTS = 1 << 17
 _LIGHT = {"key": "<u8", "set": "<u8", "ord": "<i8", "line": "<i4", "n": "<u2", "pos": "<u2"}
@@ -97,11 +98,8 @@ def signatures(token: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.
     width = sig_words(size)
     begin = np.concatenate([[0], np.cumsum(width)])
     word = np.repeat(begin[:-1], size) + ((token >> U64(6)) & (np.repeat(width, size) - 1).astype(U64)).astype(np.int64)
-    order = np.argsort(word, kind="stable")
-    word, bit = word[order], (U64(1) << (token & U64(63)))[order]
     out = np.zeros(begin[-1], U64)
-    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
-    out[word[first]] = np.bitwise_or.reduceat(bit, first) if len(first) else out[:0]
+    np.bitwise_or.at(out, word, U64(1) << (token & U64(63)))
     return out, begin
 
 
@@ -130,7 +128,7 @@ class Blobs:
 
     def add(self, share: np.ndarray, sig: np.ndarray | None = None, begin: np.ndarray | None = None, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         """sig and begin: the rows' signatures, of ``sig_words`` of column n."""
-        order = np.argsort(share, kind="stable")
+        order = np.argsort(share.astype(np.uint16) if len(share) and share.max() < 1 << 16 else share, kind="stable")
         if sig is not None:
             sig = sig[pair_blocks(begin[:-1][order], begin[1:][order])]
         self.parts.append((share[order], [columns[c][order].astype(t) for c, t in self.layout.items()], sig))
@@ -197,18 +195,37 @@ def _sorted_sets(line: np.ndarray, h: np.ndarray, rank: np.ndarray, least: int):
 
 
 def _lines(batches: Iterator[pa.RecordBatch], least: int, rank: np.ndarray | None = None) -> Iterator[tuple]:
-    """(sizes, starts, ranks, tokens, set hashes, rows' batch, rows, line numbers) of some lines at a time."""
+    """(sizes, starts, ranks, tokens, set hashes, rows' dk, rows' ord, line numbers) of some lines at a time.
+
+    Words are found in slices that stay in a core's cache; lines of some slices are put together for the rest of the work.
+    """
+    held: list[tuple] = []
+    n = 0
+
+    def sets() -> Iterator[tuple]:
+        line, h, dk, doc, number = (np.concatenate(c) for c in zip(*held, strict=True))
+        for a in range(0, len(dk), _LINES):
+            s, e = np.searchsorted(line, [a, a + _LINES])
+            order = rank[(h[s:e] >> U64(32)).astype(np.int64) & ((1 << BITS) - 1)] if rank is not None else np.zeros(e - s, np.int64)
+            lines, size, at, place, token = _sorted_sets(line[s:e] - a, h[s:e], order, least)
+            if len(lines):
+                x = a + lines
+                yield size, at, place, token, _set_hash(token, at), dk[x], doc[x], number[x]
+
     for batch in batches:
         text = batch.column("text")
+        keys = [batch.column(c).to_numpy() if c in batch.schema.names else np.zeros(batch.num_rows, np.int64) for c in ("dk", "ord")]
         for i, j in slices(text, SLICE):
             buf, off = utf8(text[i:j], lower=True)
             line, h, row, number = _line_tokens(buf, off)
-            for a in range(0, len(row), _LINES):
-                s, e = np.searchsorted(line, [a, a + _LINES])
-                order = rank[(h[s:e] >> U64(32)).astype(np.int64) & ((1 << BITS) - 1)] if rank is not None else np.zeros(e - s, np.int64)
-                lines, size, at, place, token = _sorted_sets(line[s:e] - a, h[s:e], order, least)
-                if len(lines):
-                    yield size, at, place, token, _set_hash(token, at), batch, i + row[a + lines], number[a + lines].astype(np.int64)
+            if len(row):
+                held.append((line + n, h, keys[0][i + row], keys[1][i + row], number.astype(np.int64)))
+                n += len(row)
+            if sum(len(x[1]) for x in held) >= WORDS or len(held) >= GATHERED:
+                yield from sets()
+                held, n = [], 0
+    if held:
+        yield from sets()
 
 
 class Seen:
@@ -278,8 +295,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], rank: np.ndarray, threshold: fl
     a, b = shares
     light, firsts, copies = Blobs(_LIGHT, 0), Blobs(_PLACES, a), Blobs(_COPIES, a + b)
     seen = Seen()
-    for size, at, order, token, sets, batch, row, num in _lines(batches, least, rank):
-        dk, doc = (batch.column(c).to_numpy()[row] for c in ("dk", "ord"))
+    for size, at, order, token, sets, dk, doc, num in _lines(batches, least, rank):
         fresh, copy = seen.split(sets, doc, num, dk)
         if copy.any():
             yield from copies.add((dk[copy].view(U64) % U64(b)).astype(np.int64), ord=doc[copy], dk=dk[copy], line=num[copy])
@@ -318,15 +334,14 @@ class Lists:
             size, tokens = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
             columns = {c: np.concatenate([p[2][c] for p in self.parts]) for c in self.parts[0][2]}
             starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            yield pa.record_batch(columns | {"tokens": pa.ListArray.from_arrays(starts, pa.array(tokens.astype(np.int64)))})
+            yield pa.record_batch(columns | {"tokens": pa.ListArray.from_arrays(starts, pa.array(tokens.astype(np.uint32).view(np.int32)))})
         self.parts, self.n = [], 0
 
 
 def _open_rows(batches: Iterator[pa.RecordBatch], rank: np.ndarray, threshold: float, least: int, hot: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(key, set, ord, line, tokens) of all lines under the wanted keys."""
     seen, out = Seen(), Lists()
-    for size, at, order, token, sets, batch, row, num in _lines(batches, least, rank):
-        dk, doc = (batch.column(c).to_numpy()[row] for c in ("dk", "ord"))
+    for size, at, order, token, sets, dk, doc, num in _lines(batches, least, rank):
         fresh, _ = seen.split(sets, doc, num, dk)
         o, _, k = prefix_keys(size, at, order, token, fresh, threshold, hot)
         asked = maybe(wanted, k)
@@ -493,7 +508,7 @@ def _settled(docs: DataFrame, rest: DataFrame, found: DataFrame, rank, threshold
     """
     asked = stage(found.where("kind = 0 and more").join(rest, "a").select(F.col("a").alias("set"), F.col("dk").alias("key")).distinct(), "dedup-asked")
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(asked.select("key").distinct(), "key"))
-    rows = docs.mapInArrow(lambda b: _open_rows(b, rank.value, threshold, least, hot, wanted.value), "key long, set long, ord long, line int, tokens array<long>")
+    rows = docs.mapInArrow(lambda b: _open_rows(b, rank.value, threshold, least, hot, wanted.value), "key long, set long, ord long, line int, tokens array<int>")
     rows = stage(rows.groupBy("key", "set").agg(F.min(F.struct("ord", "line")).alias("at"), F.any_value("tokens").alias("x")), "dedup-open")
     late = rows.join(asked, ["key", "set"])
     chunks = lambda n: F.ceil(F.col(n) / side).cast("int")
@@ -530,7 +545,7 @@ def removed_lines(
     candidates = found.where("kind = 0")
     pairs = candidates.where("b is not null").groupBy("a", "b").agg(F.max("more").alias("more"))
     wanted = spark.sparkContext.broadcast(bitmap(candidates.where("b is not null").select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k"))
-    sets = docs.select("text").mapInArrow(lambda b: _token_sets(b, wanted.value, least), "set long, tokens array<long>")
+    sets = docs.select("text").mapInArrow(lambda b: _token_sets(b, wanted.value, least), "set long, tokens array<int>")
     sets = stage(sets.groupBy("set").agg(F.any_value("tokens").alias("tokens")), "dedup-sets")
     both = pairs.join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("y")), "b")
     verified = both.select("a", "more", _alike("x", "y", threshold).alias("ok"))

@@ -368,8 +368,11 @@ def test_boilerplate_inside_marked_articles(spark):
         pages.append(page("c.com", n, *own(60)))
         want[n] = " ".join(own(60))
     for n in range(300, 303):  # too few pages
-        pages.append(page("d.com", n, *own(n), call))
-        want[n] = " ".join([*own(n), call])
+        pages.append(page("d.com", n, *own(n), call[::-1]))
+        want[n] = " ".join([*own(n), call[::-1]])
+    for n in range(500, 530):  # a sentence in general use opens articles of two hosts
+        pages.append(page(f"{'ef'[n % 2]}.com", n, quote, *own(n)))
+        want[n] = " ".join([quote, *own(n)])
     pages.append((400, None, "<article><p>one</p><p>two</p><p>three</p></article>"))
     want[400] = "one two three"
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)

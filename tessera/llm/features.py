@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import held_out
+from tessera.llm.shared import drawn, held_out
 from tessera.llm.text import U64, Words, grams, mix, prefix, utf8, words
 
 BITS = 20
@@ -131,8 +131,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, most: int, ma
     """Up to about ``most`` labelled rows outside the held-out fold, drawn by a hash of doc_id, with their texts.
 
     The labels are read by doc_id alone; a doc_id with several labels takes the largest, one with a null label none.
-    Texts of over ``max_chars`` aren't trained on. The draw is a threshold on the hash, set from the number of rows, so
-    the sample stays at this bound however many rows are labelled.
+    Texts of over ``max_chars`` aren't trained on, and a doc_id with several texts is trained on with the smallest. The
+    draw is a threshold on the hash, set from the number of rows, so the sample stays at this bound however many rows are
+    labelled and however often a doc_id repeats.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
@@ -142,25 +143,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, most: int, ma
     if only is not None:
         known = known.where(F.col("label") == only)
     total = known.count()
-    drawn = _drawn(known, total, most).withColumnRenamed("doc_id", "_id")
-    ids = docs.sparkSession.createDataFrame(drawn.toPandas(), drawn.schema)
+    chosen = drawn(known, total, most, "doc_id").withColumnRenamed("doc_id", "_id")
+    ids = docs.sparkSession.createDataFrame(chosen.toPandas(), chosen.schema)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = text.where(F.length("text") <= max_chars).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_id", "text", "label").toArrow()
-    return _ordered(got)
+    got = text.where(F.length("text") <= max_chars).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return _ordered(got.groupBy("_id", "label").agg(F.min("text").alias("text")).toArrow())
 
 
 def unlabelled_rows(docs: DataFrame, most: int, max_chars: int) -> Sample:
-    """Up to about ``most`` texts outside the held-out fold, drawn by a hash of doc_id without regard to labels."""
+    """Up to about ``most`` texts outside the held-out fold, drawn by a hash of the row without regard to labels; rows that repeat count once."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     text = text.where(F.length("text") <= max_chars).where(~held_out())
-    got = _drawn(text, text.count(), most).select(F.col("doc_id").alias("_id"), "text", F.lit(0).alias("label")).toArrow()
-    return _ordered(got)
-
-
-def _drawn(rows: DataFrame, total: int, most: int) -> DataFrame:
-    if total <= most:
-        return rows
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * most / total))
+    got = drawn(text, text.count(), most, "doc_id", "text").groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h")).agg(F.any_value("text").alias("text"))
+    return _ordered(got.select("_id", "text", F.lit(0).alias("label")).toArrow())
 
 
 def _ordered(got: pa.Table) -> Sample:

@@ -20,6 +20,16 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
+def draw_limit(total: int, most: int) -> int:
+    """The largest 63-bit hash that a draw of about most of total rows lets through; above 0 for any total."""
+    return min((1 << 63) - 1, -(-(most << 63) // max(total, 1)))
+
+
+def drawn(rows: DataFrame, total: int, most: int, *columns: str) -> DataFrame:
+    """Rows, about ``most`` of ``total``, whose hash of the columns is small: the same rows whenever and wherever it runs."""
+    return rows.where(F.shiftrightunsigned(F.xxhash64(*columns), 1) <= F.lit(draw_limit(total, most)))
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 0) -> Iterator[pa.Table]:
     """Runs of equal keys in batches that come sorted by them, as tables; with rows, as many whole runs at a time.
 
@@ -120,11 +130,11 @@ def pair_blocks(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.repeat(i - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
-#: Rows of an Arrow batch. Texts are long, and a batch is held by the JVM and by Python at once.
+#: Rows of an Arrow batch; Spark's own bound on its bytes (64 MiB) ends it sooner where texts are long.
 BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder, for operators that read it in Arrow batches of BATCH_ROWS rows."""
+    """A table of the folder, for operators that read it in Arrow batches of BATCH_ROWS rows at most."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

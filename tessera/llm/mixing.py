@@ -22,6 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import drawn
 from tessera.plans.staging import stage
 
 BUCKETS = 4096
@@ -47,8 +48,7 @@ def classifier(docs: DataFrame, domains: DataFrame, labelled: int = 4_000) -> tu
     """(domains, log priors, for each domain the log chance of each word bucket), from domains(doc_id, domain)."""
     known = domains.select(F.col("doc_id").alias("_id"), F.col("domain").cast("string").alias("domain")).dropna().groupBy("_id").agg(F.min("domain").alias("domain"))
     total = known.count()
-    share = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_003)) < math.ceil(1_000_003 * min(1.0, labelled / max(total, 1)))
-    sample = docs.select("doc_id", "text").where(share("doc_id")).join(known.where(share("_id")), F.col("doc_id") == F.col("_id"))
+    sample = drawn(docs.select("doc_id", "text"), total, labelled, "doc_id").join(drawn(known, total, labelled, "_id"), F.col("doc_id") == F.col("_id"))
     counted = sample.select("domain", F.explode(_buckets(F.col("text"))).alias("b")).groupBy("domain", "b").count().collect()  # BUCKETS rows a domain at most
     sizes = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
     names = sorted(sizes)
@@ -121,15 +121,16 @@ def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float]) -
     return best[1], targets, best[2]
 
 
-def mixing_rates(docs: DataFrame, domains: DataFrame, weights: dict[str, float], labelled: int = 4_000) -> DataFrame:
-    """docs with _tokens, _domains, _posteriors and _rate."""
+def mixing_rates(docs: DataFrame, domains: DataFrame, weights: dict[str, float], labelled: int = 4_000, columns: list[str] | None = None) -> DataFrame:
+    """docs (or the named columns of it) with _tokens, _domains, _posteriors and _rate. Each text is scored once, and staged."""
     model = classifier(docs, domains, labelled)
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in ("_tokens", "_domains", "_posteriors", "_rate")]
     if not model[0]:
         empty = F.array().cast("array<double>")
-        return docs.withColumns({"_tokens": F.size(_words(F.col("text"))).cast("long"), "_posteriors": empty, "_domains": empty.cast("array<string>"), "_rate": F.lit(1.0)})
-    scored = with_posteriors(docs, model)
-    members = stage(scored.select("_tokens", "_posteriors"), "mixing-members")
-    steps, _, _ = fit_rates(members, model[0], weights)
+        docs = docs.withColumns({"_tokens": F.size(_words(F.col("text"))).cast("long"), "_posteriors": empty, "_domains": empty.cast("array<string>"), "_rate": F.lit(1.0)})
+        return docs.select(*columns, "_tokens", "_domains", "_posteriors", "_rate")
+    scored = stage(with_posteriors(docs, model).select(*columns, "_tokens", "_posteriors"), "mixing-scored")
+    steps, _, _ = fit_rates(scored.select("_tokens", "_posteriors"), model[0], weights)
     return scored.withColumn("_domains", F.array(*map(F.lit, model[0]))).withColumn("_rate", _rate(steps))
 
 

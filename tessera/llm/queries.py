@@ -23,7 +23,7 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rated = mixing.mixing_rates(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGETS)
+    rated = mixing.mixing_rates(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGETS, columns=["doc_id"])
     return rated.select("doc_id", F.col("_tokens").alias("tokens"), F.col("_domains").alias("domains"), F.col("_posteriors").alias("posteriors"), F.col("_rate").alias("rate"))
 
 

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import U64, mix, slices
+from tessera.llm.shared import pair_blocks
+from tessera.llm.text import U64, mix, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110001
@@ -60,6 +61,9 @@ class Vocabulary:
                 piece = sp.id_to_piece(i)
                 self.bytes_of[i] = piece.replace("▁", " ").encode()
                 found.append((piece, i))
+        self.size = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.most = max(len(p) for p, _ in found)
         self.byte_weight = -alpha * np.log(n - first + 10.0)
         self.known = np.zeros(0x110002, bool)
@@ -197,9 +201,11 @@ def encode(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int) -> tupl
     out = np.zeros(at[-1], np.int32)
     whole = np.flatnonzero(chosen >= 0)
     out[at[whole]] = chosen[whole]
-    for x, c in zip(spelt.tolist(), point.tolist(), strict=True):
-        raw = chr(c).encode()
-        out[at[x] : at[x] + len(raw)] = v.byte_id[list(raw)]
+    for k in range(4):  # byte k of the characters that have one
+        x = length > k
+        c, n = point[x].astype(np.int64), length[x]
+        lead = np.where(n == 1, c, (0xF00 >> n) & 0xFF | c >> 6 * (n - 1))
+        out[at[spelt[x]] + k] = v.byte_id[lead if k == 0 else 0x80 | c >> 6 * (n - 1 - k) & 0x3F]
     return out, at[off]
 
 
@@ -235,6 +241,20 @@ def decode(ids: list[int], v: Vocabulary) -> str:
     return b"".join(map(v.bytes_of.__getitem__, ids)).decode()
 
 
+def spelt_as(ids: np.ndarray, at: np.ndarray, column: pa.Array, v: Vocabulary) -> np.ndarray:
+    """Whether each row's pieces, at[i] to at[i + 1] of ids, spell its text, byte by byte."""
+    text, off = utf8(column)
+    size = v.size[ids]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    same = begin[at] == off
+    if same.all():
+        wrong = np.flatnonzero(v.flat[pair_blocks(v.first[ids], v.first[ids] + size)] != text)
+        same = np.ones(len(at) - 1, bool)
+        same[np.searchsorted(off, wrong, "right") - 1] = False
+        return same
+    return np.array([decode(ids[a:b].tolist(), v).encode() == text[c:d].tobytes() for a, b, c, d in zip(at[:-1], at[1:], off[:-1], off[1:], strict=True)])
+
+
 def row_keys(column: pa.Array) -> np.ndarray:
     """64-bit keys of ids; null has one of its own."""
     ids = column.fill_null(0).to_numpy().view(U64)
@@ -248,11 +268,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: str, alpha: float, seed:
         for i, j in slices(text, 1 << 18):
             texts = [t or "" for t in text[i:j].to_pylist()]
             ids, at = encode(texts, row_keys(doc[i:j]), v, seed)
-            same = [decode(ids[a:b].tolist(), v) == t for t, a, b in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.record_batch(
                 {
                     "doc_id": doc[i:j], "n_chars": np.array([len(t) for t in texts], np.int64), "n_pieces": np.diff(at),
-                    "pieces": pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids)), "lossless": pa.array(same, pa.bool_()),
+                    "pieces": pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids)), "lossless": spelt_as(ids, at, text[i:j], v),
                 }
             )
 
@@ -265,13 +284,21 @@ def encode_documents(docs: DataFrame, model: str = MODEL, alpha: float = 1.0, se
     )
 
 
+def _known(ids: list[int | None], v: Vocabulary) -> str | None:
+    """The text of ids from outside; None if an id is null or unknown or the bytes are no text."""
+    try:
+        return decode(ids, v) if all(i is not None and 0 <= i < len(v.bytes_of) for i in ids) else None
+    except UnicodeDecodeError:
+        return None
+
+
 def _decoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     v = vocabulary(model, 1.0)
     for batch in batches:
-        texts = [None if p is None else decode(p, v) for p in batch.column("pieces").to_pylist()]
+        texts = [None if p is None else _known(p, v) for p in batch.column("pieces").to_pylist()]
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, text) from rows of (doc_id, pieces)."""
+    """(doc_id, text) from rows of (doc_id, pieces). Null pieces, null or unknown ids and bytes that are no UTF-8 give a null text."""
     return encoded.select("doc_id", "pieces").mapInArrow(lambda b: _decoded(b, model), "doc_id long, text string")

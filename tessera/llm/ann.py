@@ -1,14 +1,16 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-A bounded sample of the vectors (``SAMPLE``) is clustered by k-means with a penalty on large clusters, so that posting
-lists come out balanced. Every vector goes to the list of its nearest centroid, and a boundary vector to further lists
-too: up to ``REPLICAS``, while the next centroid is within ``SPREAD`` of the nearest one's distance. A query searches the
-centroids by best-first search in a graph held in memory (each centroid's nearest neighbours, and a chain that keeps the
-graph connected) and reads the lists whose centroids' distance is within ``REACH`` of the nearest one's, and further ones
+A bounded sample of the vectors (``sample_size``) is clustered by k-means with a penalty on large clusters, so that posting
+lists come out balanced: first into about as many cells as each cell then has clusters. The number of lists grows with the
+vectors, one for ``LIST_SIZE`` of them up to ``LISTS``. Every vector goes to the list of its nearest centroid, looked for in the
+``PROBED`` nearest cells, and a boundary vector to further lists too: up to ``REPLICAS``, while the next centroid is within
+``SPREAD`` of the nearest one's distance. A query searches the centroids by best-first search in a graph held in memory
+(each centroid's nearest neighbours, and a chain that keeps the graph connected) and reads the lists whose centroids' distance is within ``REACH`` of the nearest one's, and further ones
 while those hold too few vectors. Distances to the vectors of the lists read are exact.
 
 Contract. Vectors that are null, zero or hold null, NaN or infinite components take no part, nor do vectors of another
-length than the commonest (of equally common lengths the largest). A query is a vec_id divisible by ``every``; if rows repeat
+length than the commonest (of equally common lengths the largest). Components are compared as given, in single or double
+precision. A query is a vec_id divisible by ``every``; if rows repeat
 its vec_id, its smallest vector asks. Its own vec_id is never an answer; a vec_id that repeats counts by its nearest row.
 Up to ``k`` answers for each query, nearest first, ties to the smaller vec_id; score is the Euclidean distance in double
 precision. A null vec_id neither asks nor answers. Other columns are ignored.
@@ -28,37 +30,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import sorted_groups
+from tessera.llm.shared import drawn, sorted_groups
 from tessera.plans.staging import partitions, stage
 
-SAMPLE = 20_000
-LISTS = 2_048
+#: The sample: so many vectors, or so many a list if that is more, but no more bytes than the last figure.
+SAMPLE, SAMPLE_A_LIST, SAMPLE_BYTES = 20_000, 4, 64e6
+LISTS = 32_768
 LIST_SIZE = 96
+PROBED = 8
 REPLICAS, SPREAD = 3, 1.12
 REACH = 1.35
 LINKS = 12
 UNIT, ASKED = 4_096, 1_024
 
 
+def distances(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((centre**2).sum(1)[None, :] - 2 * x @ centre.T + (x**2).sum(1)[:, None], 0))
+
+
 class Centroids:
-    """Centroids with their search graph."""
+    """Centroids in cells, with their search graph."""
 
-    def __init__(self, centre: np.ndarray):
-        self.centre = centre
+    def __init__(self, cells: np.ndarray, centre: np.ndarray, cell: np.ndarray):
+        """cells: a centre for each cell; cell: of each centroid its cell."""
+        self.cells, self.centre = cells, centre
+        self.members = [np.flatnonzero(cell == c) for c in range(len(cells))]
         n = len(centre)
-        d = ((centre**2).sum(1)[:, None] + (centre**2).sum(1)[None, :] - 2 * centre @ centre.T) if n else np.zeros((0, 0))
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, 1, kind="stable")[:, : min(LINKS, n - 1)] if n > 1 else np.zeros((n, 0), np.int64)
-        self.links = [set(x.tolist()) for x in near]
-        for a, x in enumerate(near.tolist()):
-            for b in x:
-                self.links[b].add(a)
+        self.links: list = [set() for _ in range(n)]
+        if n > 1:
+            near = self.nearest(centre, LINKS + 1)[0]
+            for a, x in enumerate(near.tolist()):
+                for b in x:
+                    if a != b >= 0:
+                        self.links[a].add(b)
+                        self.links[b].add(a)
         chain = np.argsort((centre**2).sum(1), kind="stable")
         for a, b in zip(chain[:-1].tolist(), chain[1:].tolist(), strict=True):
             self.links[a].add(b)
             self.links[b].add(a)
         self.links = [np.array(sorted(x), np.int64) for x in self.links]
 
+    def nearest(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row the nearest centroids of the nearest cells, nearest first (-1 if there are fewer), and their distances."""
+        ids, far = np.full((len(x), most), -1, np.int64), np.full((len(x), most), np.inf)
+        probed = np.argsort(distances(x, self.cells), 1, kind="stable")[:, :PROBED]
+        for c, members in enumerate(self.members):
+            row = np.flatnonzero((probed == c).any(1))
+            if len(row) and len(members):
+                d = np.concatenate([far[row], distances(x[row], self.centre[members])], 1)
+                all_ids = np.concatenate([ids[row], np.broadcast_to(members, (len(row), len(members)))], 1)
+                order = np.argsort(d, 1, kind="stable")[:, :most]
+                far[row], ids[row] = np.take_along_axis(d, order, 1), np.take_along_axis(all_ids, order, 1)
+        return ids, far
+
     def search(self, q: np.ndarray, reach: float, enough: int, sizes: np.ndarray) -> list[int]:
         """Lists near q, nearest first: best-first through the graph until all that is left lies beyond reach."""
         start = [0, len(self.centre) // 2]
@@ -108,6 +132,26 @@ def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centre
 
 
+def clustered(x: np.ndarray, k: int) -> Centroids:
+    """About k centroids in about sqrt(k) cells, each cell with a share of them that follows its vectors."""
+    if not len(x):
+        return Centroids(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0, np.int64))
+    cells = balanced_kmeans(x, int(np.ceil(np.sqrt(k))))
+    which = np.concatenate([distances(x[a : a + 2048].astype(np.float64), cells).argmin(1) for a in range(0, len(x), 2048)])
+    centre, cell = [], []
+    for c in range(len(cells)):
+        own = x[which == c]
+        if len(own):
+            centre.append(balanced_kmeans(own, int(np.clip(round(k * len(own) / len(x)), 1, len(own)))))
+            cell.append(np.full(len(centre[-1]), c))
+    return Centroids(cells, np.concatenate(centre), np.concatenate(cell))
+
+
+def sample_size(lists: int, width: int) -> int:
+    """Vectors of the sample: a bound whatever the number of vectors."""
+    return int(max(1, min(max(SAMPLE, SAMPLE_A_LIST * lists), SAMPLE_BYTES // (8 * max(width, 1)))))
+
+
 def _vectors(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return batch.column(column).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), np.float32)
 
@@ -117,10 +161,8 @@ def _assigned(batches: Iterator[pa.RecordBatch], index: Centroids) -> Iterator[p
         for a in range(0, batch.num_rows, 1024):
             part = batch.slice(a, 1024)
             x = _vectors(part, "v").astype(np.float64)
-            d = np.sqrt(np.maximum((index.centre**2).sum(1)[None, :] - 2 * x @ index.centre.T + (x**2).sum(1)[:, None], 0))
-            near = np.argsort(d, 1, kind="stable")[:, :REPLICAS]
-            far = np.take_along_axis(d, near, 1)
-            kept = far <= SPREAD * far[:, :1] + 1e-12
+            near, far = index.nearest(x, REPLICAS)
+            kept = (far <= SPREAD * far[:, :1] + 1e-12) & (near >= 0)
             row, place = np.nonzero(kept)
             yield pa.record_batch({"list": near[row, place].astype(np.int32), "first": place == 0, "vec_id": part.column("vec_id").take(pa.array(row)), "v": part.column("v").take(pa.array(row))})
 
@@ -188,8 +230,9 @@ def _compared(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v) of the vectors that take part."""
-    v = F.col("embedding").cast("array<float>")
+    """(vec_id, v) of the vectors that take part, in the precision that they have."""
+    kind = embeddings.schema["embedding"].dataType.elementType.simpleString()
+    v = F.col("embedding").cast("array<float>" if kind == "float" else "array<double>")
     own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     own = own.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).where(F.exists("v", lambda x: x != 0))
     common = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -204,13 +247,14 @@ def nearest_neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, rea
     copies = Window.partitionBy("v").orderBy("vec_id")
     indexed = stage(valid.distinct().withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy"), "ann-vectors")
     total = indexed.count()
-    draw = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1_000_003))
-    sample = indexed.where(draw < int(1_000_003 * SAMPLE / total)) if total > SAMPLE else indexed
-    got = sample.toArrow().sort_by([("vec_id", "ascending")]).combine_chunks()
+    t = indexed.schema["v"].dataType.simpleString()
+    lists = int(np.clip(total // LIST_SIZE, 1, LISTS))
+    width = (indexed.select(F.size("v").alias("n")).first() or {"n": 1})["n"]
+    got = drawn(indexed, total, sample_size(lists, width), "vec_id", "v").toArrow().sort_by([("vec_id", "ascending")]).combine_chunks()
     x = got["v"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, 1), np.float32)
-    index = Centroids(balanced_kmeans(x, int(np.clip(total // LIST_SIZE, 1, min(LISTS, len(x)))))) if len(x) else Centroids(np.zeros((0, 1)))
+    index = clustered(x, min(lists, len(x)))
     sent = spark.sparkContext.broadcast(index)
-    posted = stage(indexed.mapInArrow(lambda b: _assigned(b, sent.value), "list int, first boolean, vec_id long, v array<float>"), "ann-lists")
+    posted = stage(indexed.mapInArrow(lambda b: _assigned(b, sent.value), f"list int, first boolean, vec_id long, v {t}"), "ann-lists")
     sizes, rows = np.zeros(len(index.centre), np.int64), np.zeros(len(index.centre), np.int64)
     for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect():  # at most LISTS rows
         rows[r["list"]] = r["n"]
@@ -220,7 +264,7 @@ def nearest_neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, rea
     chunks = np.maximum(1, -(-rows // UNIT))
     queries = valid.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = stage(
-        queries.mapInArrow(lambda b: _asked(b, sent.value, reach, 12 * k, sizes, chunks), "list int, chunk int, vec_id long, v array<float>"), "ann-asked"
+        queries.mapInArrow(lambda b: _asked(b, sent.value, reach, 12 * k, sizes, chunks), f"list int, chunk int, vec_id long, v {t}"), "ann-asked"
     )
     numbers = {r["list"]: -(-r["n"] // ASKED) for r in asked.where("chunk = 0").groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
     blocks = F.from_json(F.lit("[" + ",".join(str(numbers.get(i, 0)) for i in range(len(rows))) + "]"), "array<int>")

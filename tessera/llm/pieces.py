@@ -30,7 +30,9 @@ from tessera.llm.text import U64, mix, slices, utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110001
 LONG = 32
-SLOT_BITS = 21
+#: Bytes of text encoded together: distinct units are fewer the more texts share them.
+SLICE = 1 << 19
+SLOT_BITS, TRIPLE_BITS = 19, 17
 _BASE = 0xD6E8FEB86659FD93 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -41,6 +43,13 @@ def _hashes(points: np.ndarray, power: np.ndarray) -> np.ndarray:
     return sums
 
 
+def triples(points: np.ndarray) -> np.ndarray:
+    """A small hash of every run of three characters."""
+    p = points.astype(np.uint32)
+    h = p[:-2] * np.uint32(0x9E3779B1) + p[1:-1] * np.uint32(0x85EBCA77) + p[2:] * np.uint32(0xC2B2AE3D)
+    return (h >> np.uint32(32 - TRIPLE_BITS)).astype(np.int64)
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model with their weights, found by the hash of a run of characters."""
 
@@ -69,6 +78,7 @@ class Vocabulary:
         self.known = np.zeros(0x110002, bool)
         self.ids = np.array([i for _, i in found], np.int32)
         self.weight = -alpha * np.log(self.ids - first + 10.0)
+        self.plain, self.lift = np.exp(self.weight), 300.0**alpha
         self.grow(64)
         self.hash = np.zeros(len(found), U64)
         for x, (piece, _) in enumerate(found):
@@ -76,6 +86,13 @@ class Vocabulary:
             self.hash[x] = self.key(_hashes(points, self.power)[-1:], np.array([len(points)]))[0]
             if len(points) == 1:
                 self.known[points[0]] = True
+        # Of runs of three characters, the lengths of the pieces that begin and end with them, as bits: what to look up at all.
+        self.begins, self.ends = np.full(1 << TRIPLE_BITS, 6, np.uint32), np.full(1 << TRIPLE_BITS, 6, np.uint32)
+        for piece, _ in found:
+            if len(piece) >= 3:
+                h = triples(np.frombuffer(piece.encode("utf-32-le"), np.uint32))
+                self.begins[h[0]] |= np.uint32(1 << len(piece))
+                self.ends[h[-1]] |= np.uint32(1 << len(piece))
         slots = (self.hash & U64((1 << SLOT_BITS) - 1)).astype(np.int64)
         self.slot, self.after = np.full(1 << SLOT_BITS, -1, np.int32), np.full(len(found), -1, np.int32)
         for x, at in enumerate(slots.tolist()):
@@ -117,34 +134,32 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def _lattice(v: Vocabulary, sums: np.ndarray, start: np.ndarray, size: np.ndarray):
-    """For units of known characters: the row of each unit's first position, and by row (position after the first of
-    its unit) the cumulative chances of the last piece's length and the pieces' ids."""
-    base = np.concatenate([[0], np.cumsum(size + 1)])
-    rows, width = int(base[-1]), min(v.most, int(size.max()))
-    chance = np.ones((rows, width), np.float64)
-    ids = np.zeros((rows, width), np.int32)
-    alpha = np.full(rows, -np.inf)
-    alpha[base[:-1]] = 0
-    order = np.argsort(-size, kind="stable")
-    by_size = size[order]
-    for end in range(1, int(size.max()) + 1):
-        u = order[: np.searchsorted(-by_size, -end, "right")]
-        row = base[u] + end
-        widest = min(end, width)
-        score = np.full((len(u), widest), -np.inf)
-        for k in range(1, widest + 1):
-            a = start[u] + end - k
-            x = v.find(v.key((sums[a + k] - sums[a]) * v.inverse[a], np.full(len(a), k)))
-            hit = x >= 0
-            score[hit, k - 1] = alpha[row[hit] - k] + v.weight[x[hit]]
-            ids[row[hit], k - 1] = v.ids[x[hit]]
-        top = score.max(1)
-        p = np.exp(score - top[:, None])
-        total = p.sum(1)
-        alpha[row] = top + np.log(total)
-        chance[row, :widest] = np.cumsum(p, 1) / total[:, None]
-    return base[:-1], chance, ids
+def _lattice(v: Vocabulary, masks: tuple[np.ndarray, np.ndarray], sums: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """For units of one size, all of known characters: by unit, position and piece length the running sums of the weights of
+    all segmentations that end there with a piece of that length or less, and the pieces' ids; and the sums by position.
+
+    Pieces are looked up for all units and positions at once, one length after another, where some piece of that length
+    begins and ends as the text does. Every character's weight is raised alike (``lift``), so that sums stay in range.
+    """
+    n, width = len(start), min(v.most, size)
+    at = start[:, None] + np.arange(size + 1)
+    first, last = masks[0][at], masks[1][at]
+    ways, ids = np.zeros((n, size + 1, width)), np.zeros((n, size + 1, width), np.int32)
+    for k in range(1, width + 1):
+        unit, a = np.nonzero(first[:, : size - k + 1] & last[:, k:] & np.uint32(1 << k))
+        c = start[unit] + a
+        x = v.find(v.key((sums[c + k] - sums[c]) * v.inverse[c], np.full(1, k)))
+        hit = np.flatnonzero(x >= 0)
+        unit, a, x = unit[hit], a[hit], x[hit]
+        ways[unit, a + k, k - 1] = v.plain[x] * v.lift**k
+        ids[unit, a + k, k - 1] = v.ids[x]
+    total = np.zeros((n, size + 1))
+    total[:, 0] = 1
+    for e in range(1, size + 1):
+        w = min(e, width)
+        np.cumsum(total[:, e - w : e][:, ::-1] * ways[:, e, :w], axis=1, out=ways[:, e, :w])
+        total[:, e] = ways[:, e, w - 1]
+    return ways, ids, total
 
 
 def _uniform(seed: int, key: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -174,21 +189,24 @@ def encode(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int) -> tupl
     chosen = np.full(n, -1, np.int32)
     h = v.key((sums[unit + size] - sums[unit]) * v.inverse[unit], size)
     short = plain & (size <= LONG)
-    if short.any():
-        s = np.flatnonzero(short)
+    t = triples(flat) if n > 2 else np.zeros(0, np.int64)
+    edge = np.full(3, 6, np.uint32)
+    masks = np.concatenate([v.begins[t], edge]), np.concatenate([edge, v.ends[t], edge])
+    for length in np.unique(size[short]).tolist():
+        s = np.flatnonzero(short & (size == length))
         _, first, which = np.unique(h[s], return_index=True, return_inverse=True)
-        base, chance, ids = _lattice(v, sums, unit[s[first]], size[s[first]])
-        base = base[which]
+        ways, ids, total = _lattice(v, masks, sums, unit[s[first]], length)
         begin, pos, key = unit[s], size[s].copy(), keys[row[s]]
         origin = off[row[s]]
         while len(pos):
-            r = base + pos
-            draw = _uniform(seed, key, begin + pos - origin)
-            k = np.minimum((chance[r] <= draw[:, None]).sum(1), chance.shape[1] - 1)
+            draw = _uniform(seed, key, begin + pos - origin) * total[which, pos]
+            width = ways.shape[2]
+            # Sums never exceed the draw where no piece is longer than the position: these are 0 and counted off.
+            k = (ways[which, pos] <= draw[:, None]).sum(1) - (width - np.minimum(pos, width))
+            chosen[begin + pos - k - 1] = ids[which, pos, k]
             pos = pos - k - 1
-            chosen[begin + pos] = ids[r, k]
             more = pos > 0
-            base, begin, pos, key, origin = (x[more] for x in (base, begin, pos, key, origin))
+            which, begin, pos, key, origin = (x[more] for x in (which, begin, pos, key, origin))
     for u in np.flatnonzero(plain & (size > LONG)).tolist():
         _long(v, sums, int(unit[u]), int(size[u]), int(off[row[u]]), keys[row[u]], seed, chosen)
     spelt = np.flatnonzero(~known)
@@ -265,7 +283,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: str, alpha: float, seed:
     v = vocabulary(model, alpha)
     for batch in batches:
         text, doc = batch.column("text"), batch.column("doc_id")
-        for i, j in slices(text, 1 << 18):
+        for i, j in slices(text, SLICE):
             texts = [t or "" for t in text[i:j].to_pylist()]
             ids, at = encode(texts, row_keys(doc[i:j]), v, seed)
             yield pa.record_batch(

@@ -19,7 +19,7 @@ QUESTION_PREFIX = (
     r"(?:пожалуйста[, ]+)?(?:напомни|расскажи|покажи)\s+(?:мне\s+)?|(?:ты\s+)?помнишь\s+|что\s+(?:я\s+)?(?:говорил|рассказывал)\s+(?:тебе\s+)?(?:о|про)\s+)"
 )
 QUOTED = r"[\"“”«»]([^\"“”«»]{3,160})[\"“”«»]"
-MONTHS_RU = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
+MONTHS_RU = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
 
 # Words that don't tell statements apart, and those that turn them round.
 SOFT_WORDS = ("a", "an", "the")
@@ -94,15 +94,15 @@ SOCIAL = (
 )
 
 # Edge predicates.
-CODE_PREDICATES = "contains defines imports calls references inherits implements tests configures reads writes exports instantiates overrides depends_on".split()
-DOCUMENT_PREDICATES = "contains next references formula_ref links_to derived_from supersedes".split()
+CODE_PREDICATES = ("contains", "defines", "imports", "calls", "references", "inherits", "implements", "tests", "configures", "reads", "writes", "exports", "instantiates", "overrides", "depends_on")
+DOCUMENT_PREDICATES = ("contains", "next", "references", "formula_ref", "links_to", "derived_from", "supersedes")
 
 # Upper bounds of latency buckets in milliseconds.
 LATENCY_BUCKETS = (5, 10, 25, 50, 100, 250, 500, 1000, 2000, 5000, 10000, 30000, 60000, 300000)
 
 # Words of observations, those that turn a statement round, and the mark of an omission.
 OBSERVED_WORD = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
-POLARITY = "no not never without false disabled off нет не никогда без ложь выключен отключен".split()
+POLARITY = ("no", "not", "never", "without", "false", "disabled", "off", "нет", "не", "никогда", "без", "ложь", "выключен", "отключен")
 OMITTED = "\n[... {omitted} chars omitted; source_length={source_length} ...]\n"
 
 # What a user asks to keep, by kind in order of precedence.

@@ -12,7 +12,7 @@ import re
 FUNCTIONS = ("ABS", "SUM", "AVERAGE", "MIN", "MAX", "COUNT", "COUNTA", "PRODUCT")
 TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?:(?:'([^']+)'|([A-Za-z0-9_]+))!)?\$?([A-Z]{1,3})\$?(\d+)(?![\w(])|([A-Za-z]+)(?=\s*\()|(.))")
 REFERENCE = re.compile(r"(?<![A-Za-z0-9_])(?:(?:'([^']+)'|([A-Za-z0-9_]+))!)?\$?([A-Z]{1,3})\$?(\d+)(?::\$?([A-Z]{1,3})\$?(\d+))?(?![\w(])")
-MOST_CELLS, MOST_DEPTH = 10_000, 200
+MOST_CELLS, MOST_DEPTH = 100_000, 200
 
 
 class FormulaError(ValueError):
@@ -205,3 +205,33 @@ class Parser:
                 raise FormulaError("division by zero")
             return math.fsum(numbers) / len(numbers)
         return (min if name == "MIN" else max)(numbers, default=0.0)
+
+
+def evaluated_rows(rows, keys: list[str], cells: str = "cells", sheet: str = "Sheet1"):
+    """keys, cell, value and refers for every formula of rows(keys, cells as a map of cell names to texts): the value as text, null on an error, and the cells that it names."""
+    import pandas as pd
+
+    def read(x: str) -> object:
+        try:
+            return x if x is None or x.startswith("=") else float(x)
+        except ValueError:
+            return x
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                own = dict(getattr(row, cells) or {})
+                book = Workbook({(sheet, c): read(v) for c, v in own.items()})
+                for cell, raw in own.items():
+                    if raw and raw.startswith("="):
+                        try:
+                            value = book.value(sheet, cell)
+                        except (FormulaError, ZeroDivisionError, OverflowError):
+                            value = None
+                        refers = [c for _, c in references(raw, sheet)]
+                        out.append([*(getattr(row, k) for k in keys), cell, None if value is None else repr(round(value, 9)) if isinstance(value, float) else str(value), refers])
+            yield pd.DataFrame(out, columns=[*keys, "cell", "value", "refers"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keys, cells).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", cell string, value string, refers array<string>")

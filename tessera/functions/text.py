@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,15 +11,69 @@ from tessera.functions import patterns as P
 from tessera.operators.observe import folded
 
 
-def redacted(text: Column, limit: int = 200_000) -> Column:
-    """Secrets replaced, in this order: private keys, credentials in URLs, labelled values, provider tokens. Then line ends trimmed."""
-    t = F.regexp_replace(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\x00", ""), "\r\n?", "\n"), P.PRIVATE_KEY, "<REDACTED_PRIVATE_KEY>")
+#: Literals of which every secret holds one, and the label words, of which every labelled value holds one; cheap to look for.
+_KEYS = ("-----BEGIN", "sk-", "gh", "AKIA", "ASIA", "AIza", "xox", "eyJ")
+_LABELS = r"(?iU)" + P.SECRET_LABEL
+
+
+def _hinted(text: Column) -> Column:
+    """Whether a text may hold a secret: one quick pass for literals, one for labels."""
+    hit = (F.contains(text, F.lit("://")) & F.contains(text, F.lit("@"))) | text.rlike(r"(?i)-----BEGIN")
+    for key in _KEYS[1:]:
+        hit = hit | F.contains(text, F.lit(key))
+    return hit | text.rlike(_LABELS)
+
+
+def redacted(text: Column, limit: int | None = None) -> Column:
+    """Secrets replaced, in this order: private keys, credentials in URLs, labelled values, provider tokens. Then line ends trimmed.
+
+    Texts without a literal that secrets begin with are spared the patterns. limit cuts the result, if one is given.
+    """
+    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\x00", ""), "\r\n?", "\n")
+    t = F.regexp_replace(plain, P.PRIVATE_KEY, "<REDACTED_PRIVATE_KEY>")
     t = F.regexp_replace(t, P.URL_CREDENTIALS, "$1<REDACTED>@")
     t = F.regexp_replace(t, P.SECRET_ASSIGNED, "$1<REDACTED>")
     for pattern in P.PROVIDER_SECRETS.values():
         t = F.regexp_replace(t, pattern, "<REDACTED>")
+    t = F.when(_hinted(plain), t).otherwise(plain)
     t = F.regexp_replace(F.regexp_replace(t, r"(?m)[ \t\f\x0b]+$", ""), r"\n{4,}", "\n\n\n")
-    return F.substring(t, 1, limit)
+    return t if limit is None else F.substring(t, 1, limit)
+
+
+def json_sanitized(value: Column, depth: int = 8, items: int = 10_000, chars: int = 20_000) -> Column:
+    """JSON texts bounded and free of secrets: strings redacted and cut, deep values and long collections marked. Null if it is no JSON."""
+    import json
+
+    import pandas as pd
+
+    patterns = [(re.compile(P.PRIVATE_KEY), "<REDACTED_PRIVATE_KEY>"), (re.compile(P.URL_CREDENTIALS), r"\1<REDACTED>@"), (re.compile(P.SECRET_ASSIGNED.replace("(?iU)", "(?i)")), r"\1<REDACTED>")]
+    patterns += [(re.compile(p), "<REDACTED>") for p in P.PROVIDER_SECRETS.values()]
+
+    def clean(s: str, most: int) -> str:
+        s = re.sub("\r\n?", "\n", s.replace("\0", ""))
+        for p, r in patterns:
+            s = p.sub(r, s)
+        return re.sub(r"\n{4,}", "\n\n\n", re.sub(r"(?m)[ \t\f\v]+$", "", s))[:most]
+
+    def safe(x, level: int):
+        if level >= depth:
+            return "<MAX_DEPTH>"
+        if isinstance(x, str):
+            return clean(x, chars)
+        if isinstance(x, dict):
+            out = {clean(k, 500): safe(v, level + 1) for k, v in list(x.items())[:items]}
+            return out | ({"<TRUNCATED>": len(x) - items} if len(x) > items else {})
+        if isinstance(x, list):
+            return [safe(v, level + 1) for v in x[:items]] + ([f"<TRUNCATED:{len(x) - items}>"] if len(x) > items else [])
+        return x
+
+    def one(s: str | None) -> str | None:
+        try:
+            return None if s is None else json.dumps(safe(json.loads(s), 0), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    return F.pandas_udf(lambda column: pd.Series([one(s) for s in column], dtype=object), "string")(value)
 
 
 def secret_findings(text: Column) -> Column:
@@ -31,10 +87,10 @@ def secret_findings(text: Column) -> Column:
 def has_secret(text: Column) -> Column:
     """A secret of any category, or an opaque run of 48 characters or more."""
     t = F.coalesce(text, F.lit(""))
-    hit = t.rlike(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,}={0,2}")
+    known = F.lit(False)
     for p in (P.PRIVATE_KEY, P.URL_CREDENTIALS, P.SECRET_ASSIGNED, *P.PROVIDER_SECRETS.values()):
-        hit = hit | t.rlike(p)
-    return hit
+        known = known | t.rlike(p)
+    return t.rlike(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48}") | (_hinted(t) & known)
 
 
 def is_secret_label(text: Column) -> Column:

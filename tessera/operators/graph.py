@@ -43,13 +43,13 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int =
 
 def reachable(edges: DataFrame, start: str, depth: int) -> DataFrame:
     """(node, depth): every node within ``depth`` directed hops of one node, at its least depth, by a recursive query."""
-    edges.createOrReplaceTempView("_tessera_edges")
     return edges.sparkSession.sql(
-        f"""with recursive walk(node, depth) as (
-            select cast('{start}' as string), 0 union all
-            select e.b, w.depth + 1 from walk w join _tessera_edges e on e.a = w.node where w.depth < {int(depth)})
-        select node, min(depth) as depth from walk group by node"""
-    )
+        """with recursive walk(node, depth) as (
+            select cast(:start as string), 0 union all
+            select e.b, w.depth + 1 from walk w join {edges} e on e.a = w.node where w.depth < :depth)
+        select node, min(depth) as depth from walk group by node""",
+        args={"start": start, "depth": int(depth)}, edges=edges.select("a", "b"),
+    )
 
 
 def line_context(lines: DataFrame, wanted: DataFrame, radius: int = 20) -> DataFrame:
@@ -122,3 +122,29 @@ def provenance_roots(items: DataFrame, parents: DataFrame, depth: int = 3) -> Da
         done = ended if done is None else done.union(ended)
         now = now.join(step, "at").select("id", F.col("up").alias("at"))
     return done.union(now.join(step, "at", "left_anti").select("id", F.col("at").alias("root"))).distinct()
+
+
+def added_entities(entities: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """entities(id, name, aliases, updated_at) with new(name, aliases): names that are there, case aside, gain the aliases; others are appended with an id of their own."""
+    key = lambda c: F.lower(F.trim(c))
+    fresh = new.groupBy(key("name").alias("_k")).agg(F.min(F.trim("name")).alias("_name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>")))))).alias("_a"))
+    both = entities.withColumn("_k", key("name")).join(fresh, "_k", "full")
+    ident = F.concat(F.lit("ent_"), F.substring(F.sha2("_k", 256), 1, 24))
+    known = F.coalesce("aliases", F.array().cast("array<string>"))
+    return both.select(
+        F.coalesce("id", ident).alias("id"), F.coalesce("name", "_name").alias("name"), F.array_sort(F.array_union(known, F.coalesce("_a", F.array().cast("array<string>")))).alias("aliases"),
+        F.when(F.col("_k").isNotNull() & F.col("_a").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+
+
+def added_relations(relations: DataFrame, new: DataFrame, claims: DataFrame, now: int) -> DataFrame:
+    """relations with new(subject, predicate, object, source_claim_id) appended, once each.
+
+    A relation takes owner and visibility from the claim that it comes from, is valid from now on, and is left out if that claim
+    isn't active. relations: subject, predicate, object, source_claim_id, owner, visibility, valid_from, valid_to.
+    """
+    live = claims.where("status = 'active'").select(F.col("id").alias("source_claim_id"), "owner", "visibility")
+    made = new.withColumn("predicate", known_predicate(F.col("predicate"))).join(live, "source_claim_id").dropDuplicates(["subject", "predicate", "object", "source_claim_id"])
+    made = made.join(relations.where("valid_to is null"), ["subject", "predicate", "object", "source_claim_id"], "left_anti")
+    made = made.withColumns({"valid_from": F.lit(now).cast("long"), "valid_to": F.lit(None).cast("long")})
+    return relations.unionByName(made.select(*relations.columns))

@@ -51,11 +51,13 @@ def superseded(claims: DataFrame, slot: list[str], by: list[str]) -> DataFrame:
 
 
 def contradictions(claims: DataFrame, slot: list[str], value: str) -> DataFrame:
-    """Pairs (claim_a, claim_b) of active claims that give one slot different values: each with the first that does."""
-    own = claims.where("status = 'active'")
-    w = Window.partitionBy(*slot).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = own.withColumn("claim_a", F.first("id").over(w)).withColumn("_v", F.first(value).over(w))
-    return marked.where(F.col("_v") != F.col(value)).select("claim_a", F.col("id").alias("claim_b"))
+    """Pairs (claim_a, claim_b), a before b, of active claims that give one slot different values.
+
+    The first claim of each value of a slot stands for it, so every two values meet once, however many claims hold them.
+    """
+    first = claims.where("status = 'active'").groupBy(*slot, value).agg(F.min("id").alias("id"))
+    a, b = first.select(*slot, F.col("id").alias("claim_a")), first.select(*slot, F.col("id").alias("claim_b"))
+    return a.join(b, slot).where("claim_a < claim_b").select("claim_a", "claim_b")
 
 
 def resolved(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -104,6 +106,49 @@ def topics(claims: DataFrame, aliases: dict[str, str], most: int = 8) -> DataFra
     return best.groupBy(F.col("_topic").alias("topic")).agg(F.count("*").alias("claims"), ids.alias("best"))
 
 
+def health_window(claims: DataFrame, rows: int = 20_000) -> DataFrame:
+    """The newest claims that a health check reads: by updated_at, ties by id."""
+    return claims.orderBy(F.desc("updated_at"), "id").limit(rows)
+
+
+def health_findings(claims: DataFrame, contradictions: DataFrame, rows: int = 20_000, best: int = 80) -> DataFrame:
+    """The counts that ``health`` scores, one row, over the newest ``rows`` claims (id, topic, claim, status, confidence, salience, updated_at).
+
+    anomalies: unknown states and blank topics. secrets: claims that hold one. low_quality: of the ``best`` most salient, those of
+    confidence below .3. bad_topics: topics that aren't lower-case names. raw_blobs: claims of over 8,000 characters. artifacts:
+    of under 10. open_contradictions: rows of contradictions(status) that are open.
+    """
+    from tessera.functions.text import has_secret
+
+    own = health_window(claims, rows)
+    top = own.orderBy(F.desc("salience"), F.desc("confidence"), "id").limit(best).agg(F.count_if(F.col("confidence") < 0.3).alias("low_quality"))
+    size, topic = F.length("claim"), F.coalesce(F.trim("topic"), F.lit(""))
+    found = own.agg(
+        F.count_if(~F.col("status").isin("active", "archived", "superseded") | (topic == "")).alias("anomalies"), F.count_if(has_secret(F.col("claim"))).alias("secrets"),
+        F.count_distinct(F.when(~topic.rlike("^[a-z0-9_-]*$"), topic)).alias("bad_topics"), F.count_if(size > 8000).alias("raw_blobs"), F.count_if(size < 10).alias("artifacts"),
+    )
+    disputed = contradictions.agg(F.count_if(F.col("status") == "open").alias("open_contradictions"))
+    return found.crossJoin(top).crossJoin(disputed)  # one row each
+
+
+def dashboard(claims: DataFrame) -> DataFrame:
+    """Claims by topic and state: how many, mean confidence and salience, the newest."""
+    return claims.groupBy("topic", "status").agg(F.count("*").alias("claims"), F.avg("confidence").alias("confidence"), F.avg("salience").alias("salience"), F.max("updated_at").alias("newest"))
+
+
+def recall_recorded(items: DataFrame, claims: DataFrame, moment: int, source: str = "unified_recall") -> DataFrame:
+    """Telemetry rows of a recall: one for each final item that is a claim still on record; other kinds leave none.
+
+    items(kind, id, rrf, position), claims(id). recall_event_id follows from the claim, the place and the moment.
+    """
+    own = items.where("kind = 'claim'").join(claims.select(F.col("id").cast("string").alias("id")), "id", "left_semi")
+    key = F.concat_ws("\0", F.lit(source), "id", F.col("position").cast("string"), F.lit(str(moment)))
+    return own.select(
+        F.concat(F.lit("recall_"), F.substring(F.sha2(key, 256), 1, 24)).alias("recall_event_id"), F.col("id").alias("claim_id"), F.col("rrf").alias("score"), "position",
+        F.lit(True).alias("injected"), F.lit(source).alias("source"), F.lit(moment).alias("recalled_at"),
+    )
+
+
 def health(findings: DataFrame) -> DataFrame:
     """Scores from counts: anomalies, secrets, low_quality, bad_topics, raw_blobs, artifacts, open_contradictions. An overall score isn't given."""
     less = lambda x: F.greatest(F.lit(0.0), 1.0 - x)

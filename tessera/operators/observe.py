@@ -51,14 +51,25 @@ def consolidated(events: DataFrame, by: list[str], now: int = 0, ascii_only: boo
     events; independent support counts distinct turns, and events without a turn once together. The content is that of the
     latest event. Expiry is the earliest of the events', and ``keep_days`` from now at most.
     """
+    return merged(partials(events, by, ascii_only), by, now, keep_days)
+
+
+def partials(events: DataFrame, by: list[str], ascii_only: bool = False) -> DataFrame:
+    """What some of the events say of their clusters, one row a turn: partials of any parts of the events add up in ``merged``."""
     own = events.withColumn("_k", normalized(F.col("content"), ascii_only)).withColumn("cluster_key", cluster_key(F.col("_k"), F.col("topic"))).where("cluster_key <> ''")
-    turn = F.when(F.coalesce("turn_id", F.lit("")) != "", F.col("turn_id"))
-    latest = F.max(F.struct("occurred_at", "observed_at", "created_at", "event_id", "content"))["content"]
-    first = F.min(F.struct("created_at", "observed_at", "event_id"))["event_id"]
-    out = own.groupBy(*by, "topic", "cluster_key").agg(
-        F.count("*").alias("support"), (F.count_distinct(turn) + F.max(turn.isNull().cast("int"))).alias("independent"), latest.alias("content"), first.alias("first_event"),
+    own = own.withColumn("turn", F.when(F.coalesce("turn_id", F.lit("")) != "", F.col("turn_id")))
+    return own.groupBy(*by, "topic", "cluster_key", "turn").agg(
+        F.count("*").alias("support"), F.max(F.struct("occurred_at", "observed_at", "created_at", "event_id", "content")).alias("latest"), F.min(F.struct("created_at", "observed_at", "event_id")).alias("first"),
         F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"), F.min(F.when(F.coalesce("expires_at", F.lit(0)) > 0, F.col("expires_at"))).alias("_e"),
     )
+
+
+def merged(parts: DataFrame, by: list[str], now: int = 0, keep_days: int = 365) -> DataFrame:
+    """The observations that partials add up to."""
+    out = parts.groupBy(*by, "topic", "cluster_key").agg(
+        F.sum("support").alias("support"), (F.count_distinct("turn") + F.max(F.col("turn").isNull().cast("int"))).alias("independent"), F.max("latest")["content"].alias("content"),
+        F.min("first")["event_id"].alias("first_event"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("_e").alias("_e"),
+    )
     ident = F.concat(F.lit("obs_"), F.substring(F.sha2(F.concat_ws("\0", *by, "topic", F.col("first_event").cast("string")), 256), 1, 24))
     return out.withColumn("observation_id", ident).withColumn("confidence", confidence(F.col("independent"), F.col("topic"))).withColumn(
         "expires_at", F.least(F.coalesce("_e", F.lit(2**62)), F.lit(now + keep_days * 86_400))

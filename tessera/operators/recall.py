@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import patterns as P
 from tessera.operators import fusion, lexical
+from tessera.operators.index import Index
 
 PRIORITY = {"claim": 0, "observation": 1, "event": 2, "episode": 3, "graph": 4}
 
@@ -96,27 +97,38 @@ def query_mode(text: Column) -> Column:
     return F.when(code, "technical").when(F.size(F.split(F.trim(text), r"\s+")) >= 5, "semantic").otherwise("mixed")
 
 
-def unified(sources: dict[str, tuple[DataFrame, str, str]], query: str, mode: str = "auto", limit: int = 8, chars: int = 2400, per_list: int = 40) -> DataFrame:
+def unified(
+    sources: dict[str, tuple[DataFrame, str, str]], query: str, mode: str = "auto", limit: int = 8, chars: int = 2400, per_list: int = 40, indexes: dict[str, Index] | None = None
+) -> DataFrame:
     """Ranked evidence of several kinds for one query: kind, id, rrf, first_rank, position, text.
 
-    sources: kind to (rows, id column, text column), each already restricted to what the reader may see. Every variant of the
-    query ranks every source by BM25; weights over 60 + rank add up across variants and sources. Order: rrf, the kind's
+    sources: kind to (rows, id column, text column), each already restricted to what the reader may see; indexes: kind to the
+    index of those rows, which spares the scan of their texts. Every variant of the query ranks every source by BM25; weights over 60 + rank add up across variants and sources. Order: rrf, the kind's
     priority, best rank, id. The texts share ``chars`` characters (128 to 24,000); ``limit`` is 20 at most.
     """
     limit, chars = max(1, min(limit, 20)), max(128, min(chars, 24_000))
     variants = [lexical.event_terms(v) for v in expanded(query, mode)]
     lists = None
     for kind, (rows, key, text) in sources.items():
-        own = rows.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
-        best = lexical.bm25_many(own, "id", "text", variants, per_list)
-        best = best.select(F.lit(kind).alias("kind"), "id", "text", "rank", F.lit(fusion.RECALL_WEIGHTS[kind]).alias("weight"))
+        if index := (indexes or {}).get(kind):
+            best = index.best(variants, per_list)
+        else:
+            best = lexical.bm25_many(rows.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")), "id", "text", variants, per_list)
+        best = best.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "rank", F.lit(fusion.RECALL_WEIGHTS[kind]).alias("weight"))
         lists = best if lists is None else lists.unionByName(best)
-    fused = lists.groupBy("kind", "id").agg(F.sum(F.col("weight") / (fusion.K + F.col("rank"))).alias("rrf"), F.min("rank").alias("first_rank"), F.first("text").alias("text"))
+    fused = lists.groupBy("kind", "id").agg(F.sum(F.col("weight") / (fusion.K + F.col("rank"))).alias("rrf"), F.min("rank").alias("first_rank"))
     priority = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in PRIORITY.items()])
     order = [F.desc(F.round("rrf", 12)), priority, F.col("first_rank"), F.col("id")]
     best = fused.orderBy(*order).limit(limit)
-    placed = best.withColumn("position", F.row_number().over(Window.orderBy(*order)))  # limit rows
-    return fusion.char_budget(placed, "text", [F.col("position")], chars)
+    rows = best.withColumn("position", F.row_number().over(Window.orderBy(*order))).collect()  # limit rows
+    spark = fused.sparkSession
+    placed = spark.createDataFrame(rows, "kind string, id string, rrf double, first_rank int, position int")
+    texts = spark.createDataFrame([], "kind string, id string, text string")
+    for kind, (own, key, text) in sources.items():
+        if ids := [r["id"] for r in rows if r["kind"] == kind]:
+            typed = F.col(key).isin([F.lit(i).cast(own.schema[key].dataType) for i in ids])
+            texts = texts.unionByName(own.where(typed).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.col(text).alias("text")))
+    return fusion.char_budget(placed.join(texts, ["kind", "id"]), "text", [F.col("position")], chars)
 
 
 def citations(items: DataFrame) -> DataFrame:

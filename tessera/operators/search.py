@@ -109,3 +109,29 @@ def code_query(symbols: DataFrame, chunks: DataFrame, lines: DataFrame, edges: D
     boosted = fusion.exact_boost(own.join(_matches(own, terms), "id"), "matches", 0.007, 0.035)
     return fusion.neighbour_boost(boosted, edges, "id").orderBy(F.desc(F.round("rrf", 12)), "id").limit(limit)
 
+
+def common_term_window(events: DataFrame, query: str, order: str, limit: int, frequent: int = 10_000, window: int = 100_000, most: int = 4_000) -> DataFrame | None:
+    """The newest rows with a single very common word, by order; None where ranking is called for instead.
+
+    It holds for one word of three letters or more that over ``frequent`` rows contain: of the last ``window`` numbers of ``order``,
+    the newest ``most`` rows are read, and those with the word as a whole word count, if there are ``limit`` of them.
+    """
+    terms = lexical.event_terms(query)
+    if len(terms) != 1 or len(query) > 96 or len(terms[0]) < 3:
+        return None
+    has = F.array_contains(lexical.tokens("content"), terms[0])
+    n, last = events.agg(F.count_if(has), F.max(order)).first()  # two numbers
+    if n <= frequent:
+        return None
+    found = events.where(F.col(order) >= max(1, last - window)).orderBy(F.desc(order)).limit(most).where(has).orderBy(F.desc(order)).limit(limit)
+    return found if found.count() >= limit else None
+
+
+def prefetched(hits: DataFrame, heading: str, most_items: int = 6, chars: int = 8_000) -> DataFrame:
+    """One row with a context block of the best hits(id, kind, text, score), or an empty text without hits: a heading, then a line and an excerpt for each."""
+    best = hits.orderBy(F.desc("score"), "id").limit(most_items)
+    excerpt = F.substring(F.trim(F.regexp_replace(T.sanitized(T.redacted(F.col("text")), 200_000), r"\s+", " ")), 1, 900)
+    line = F.concat(F.lit("- ["), "kind", F.lit("] "), "id", F.lit(" score="), F.format_number("score", 5), F.when(excerpt != "", F.concat(F.lit("\n  "), excerpt)).otherwise(""))
+    rows = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", line.alias("line")))).alias("all"))  # most_items rows
+    whole = F.concat(F.lit(heading + "\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n"))
+    return rows.select(F.when(F.size("all") > 0, F.substring(whole, 1, max(1_000, min(chars, 24_000)))).otherwise("").alias("context"))

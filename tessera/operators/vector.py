@@ -80,11 +80,28 @@ def simhash_neighbours(rows: DataFrame, key: str, simhash: str, most: int = 3) -
 
 
 def word_pairs(rows: DataFrame, key: str, words: str, least: float) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, of word sets with Jaccard similarity ``least`` or more, met under a shared word."""
-    each = rows.select(key, words, F.explode(words).alias("w"))
-    met = each.alias("a").join(each.alias("b"), F.expr(f"a.w = b.w and a.{key} < b.{key}"))
-    common = met.groupBy(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).agg(F.count("*").alias("c"), F.first(F.size(f"a.{words}")).alias("x"), F.first(F.size(f"b.{words}")).alias("y"))
-    return common.withColumn("similarity", F.col("c") / (F.col("x") + F.col("y") - F.col("c"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    """Pairs (a, b, similarity), a < b, of word sets with Jaccard similarity ``least`` or more. Rows of equal sets are paired by set.
+
+    Sets meet under words of their prefixes: of n words, rarest first, two similar sets share one of the first n - ceil(least n) + 1.
+    Only those are joined, sizes are compared before the sets, and equal sets are paired once and expanded to their rows last.
+    """
+    own = rows.select(key, F.array_sort(F.array_distinct(words)).alias("_w")).where(F.size("_w") > 0)
+    sets = own.groupBy("_w").agg(F.min(key).alias("_s"))
+    counts = sets.select(F.explode("_w").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    ordered = sets.select("_s", F.explode("_w").alias("w")).join(counts, "w").groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("_o"))
+    prefix = F.slice(F.col("_o.w"), F.lit(1), (F.size("_o") - F.ceil(F.lit(least) * F.size("_o") - 1e-9) + 1).cast("int"))
+    each = ordered.select("_s", F.size("_o").alias("_n"), F.explode(prefix).alias("w"))
+    met = each.alias("a").join(each.alias("b"), F.expr(f"a.w = b.w and a._s < b._s and a._n >= {least} * b._n - 1e-9 and b._n >= {least} * a._n - 1e-9"))
+    pairs = met.select(F.col("a._s").alias("x"), F.col("b._s").alias("y")).distinct()
+    whole = sets.select("_s", "_w")
+    full = pairs.join(whole.select(F.col("_s").alias("x"), F.col("_w").alias("p")), "x").join(whole.select(F.col("_s").alias("y"), F.col("_w").alias("q")), "y")
+    common = F.size(F.array_intersect("p", "q"))
+    near = full.withColumn("similarity", common / (F.size("p") + F.size("q") - common)).where(F.col("similarity") >= least).select("x", "y", "similarity")
+    near = near.unionByName(sets.select(F.col("_s").alias("x"), F.col("_s").alias("y"), F.lit(1.0).alias("similarity")))
+    member = own.join(sets, "_w").select("_s", key)
+    both = near.join(member.select(F.col("_s").alias("x"), F.col(key).alias("a")), "x").join(member.select(F.col("_s").alias("y"), F.col(key).alias("b")), "y")
+    both = both.where("x <> y or a < b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def pending(chunks: DataFrame, embedded: DataFrame, key: str, digest: str) -> DataFrame:
@@ -92,10 +109,49 @@ def pending(chunks: DataFrame, embedded: DataFrame, key: str, digest: str) -> Da
     return chunks.join(embedded.select(key, digest), [key, digest], "left_anti")
 
 
-def label_agreement(vectors: DataFrame, key: str, vector: str, label: str, queries: list, k: int = 10) -> DataFrame:
-    """For each query row, the share of its k nearest that have its label: how well vectors keep classes apart."""
-    asked = F.broadcast(vectors.where(F.col(key).isin(queries)).select(F.col(key).alias("query_id"), F.col(vector).alias("_q"), F.col(label).alias("_l")))
-    own = vectors.join(asked, F.col(key) != F.col("query_id"))  # a stated, bounded query set against all rows
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    near = own.withColumn("score", cosine(F.col(vector), F.col("_q"))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return near.groupBy("query_id").agg(F.avg((F.col(label) == F.col("_l")).cast("double")).alias("agreement"))
+#: Rows of a block of queries, and of a chunk of vectors.
+ASKED, CHUNK = 512, 8_192
+
+
+def nearest_by_cosine(vectors: DataFrame, key: str, vector: str, every: int, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k rows nearest by cosine to each row whose key is divisible by ``every``, ties by id, itself aside.
+
+    The stated query set is dealt into blocks and all rows into chunks by hash; a block and a chunk are a task's unit of
+    fixed size, and each unit returns k rows a query. Zero vectors and those of other lengths than the query's take no part.
+    """
+    own = vectors.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("v is not null")
+    n, asked_n = own.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()  # two numbers
+    chunks, blocks = max(1, -(-n // CHUNK)), max(1, -(-asked_n // ASKED))
+    dealt = lambda m: F.pmod(F.xxhash64("id", F.lit(m)), F.lit(m)).cast("int")
+    every_one = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = own.select(dealt(chunks).alias("chunk"), every_one(blocks).alias("block"), F.lit(False).alias("asks"), "id", "v")
+    right = own.where(F.col("id") % every == 0).select(every_one(chunks).alias("chunk"), dealt(blocks).alias("block"), F.lit(True).alias("asks"), "id", "v")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for size, part in frame.groupby(frame["v"].map(len)):
+            x, ids, asks = np.stack(part["v"].to_numpy()), part["id"].to_numpy(), part["asks"].to_numpy()
+            norm = np.sqrt((x * x).sum(1))
+            kept = (norm > 0) & ~asks
+            y, known, length = x[kept], ids[kept], norm[kept]
+            for q, query, z in zip(x[asks], ids[asks].tolist(), norm[asks], strict=True):
+                if z > 0 and len(y):
+                    score = (y * q).sum(1) / (length * z)
+                    score[known == query] = -np.inf
+                    near = np.flatnonzero(score >= np.partition(score, -min(k, len(score)))[-min(k, len(score))])
+                    near = near[np.isfinite(score[near])]
+                    near = near[np.lexsort((known[near], -score[near]))][:k]
+                    out.append(pd.DataFrame({"query_id": query, "id": known[near], "score": score[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    near = left.unionByName(right).groupBy("chunk", "block").applyInPandas(compare, "query_id long, id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def label_agreement(vectors: DataFrame, key: str, vector: str, label: str, every: int, k: int = 10) -> DataFrame:
+    """For each row whose key is divisible by ``every``, the share of its k nearest that have its label: how well vectors keep classes apart."""
+    near = nearest_by_cosine(vectors, key, vector, every, k)
+    labels = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("_l"))
+    both = near.join(labels, "id").join(labels.select(F.col("id").alias("query_id"), F.col("_l").alias("_q")), "query_id")
+    return both.groupBy("query_id").agg(F.avg((F.col("_l") == F.col("_q")).cast("double")).alias("agreement"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import access
+from tessera.functions.patterns import KEPT
 from tessera.operators import fusion
 from tessera.operators import ledger as L
 from tessera.operators import lifecycle as C
@@ -205,12 +206,13 @@ def topic_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = claims(spark, sf_dir)
-    found = own.agg(
-        F.lit(2).alias("anomalies"), F.count_if(F.col("claim").rlike("AKIA[A-Z0-9]{16}") & (F.col("id") < 50)).alias("secrets"), F.lit(1).alias("low_quality"), F.lit(1).alias("bad_topics"), F.lit(2).alias("raw_blobs"),
-        F.count_if((F.col("n_chars") > 20_000) & (F.col("id") < 300)).alias("artifacts"), F.count_if(F.col("id") % 101 == 0).alias("open_contradictions"),
-    )
-    return C.health(found).select(*[F.round(c, 6).alias(c) for c in ("database", "secrecy", "semantic", "pollution", "contradiction")])
+    """Findings over the newest 20,000 claims, and the scores that follow; pairs of claims 300 ids apart stand for contradictions."""
+    own = claims(spark, sf_dir).withColumn("status", F.when(F.col("id") % 1009 == 0, "lost").otherwise(F.col("status")))
+    own = own.withColumn("topic", F.when(F.col("id") % 997 == 0, F.upper("topic")).otherwise(F.col("topic")))
+    found = C.health_findings(own, own.select(F.when(F.col("id") % 300 == 0, "open").otherwise("resolved").alias("status")))
+    counts = ["anomalies", "low_quality", "bad_topics", "raw_blobs", "artifacts", "open_contradictions"]
+    scores = C.health(found).select(*[F.round(c, 6).alias(c) for c in ("database", "semantic", "pollution", "contradiction")])
+    return found.select(*counts).crossJoin(scores)  # one row each
 
 
 def retrieval_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +240,7 @@ def session_worth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("event_id")
-    family = F.when(d % 5 < 1, "block").when(d % 5 < 3, "grant").otherwise("attachment")
+    family = F.when(d % 11 < 2, "block").when(d % 11 < 6, "grant").otherwise("attachment")
     op = F.when(family == "block", F.when(d % 2 == 0, "create").otherwise("retire")).when(family == "grant", F.when(d % 4 == 0, "revoke").otherwise("grant")).otherwise(F.when(d % 7 == 0, "detach").otherwise("attach"))
     log = table(spark, sf_dir, "events").select((d % 30).alias("block_id"), F.when(family == "block", "").otherwise(F.concat(F.lit("u"), F.col("user_id") % 10)).alias("principal"), family.alias("family"), op.alias("op"), d.alias("at"))
     return C.block_events(log)[1].select("block_id", "principal")
@@ -291,6 +293,9 @@ _OBS = LEDGER + f""", e as (select *, case when event_id % 2 = 0 then 'the ' els
     least(coalesce(min(case when expires_at > 0 then expires_at end), 9e17::bigint), {NOW} + 365 * 86400) as expires_at from e group by all),
     obs as (select *, round_even(least(0.85, 0.35 + 0.15 * log2(independent)), 4) as confidence from o)"""
 
+#: The patterns of statements worth keeping as DuckDB takes them, which has no look-behind: an end of sentence is read instead of looked back at.
+_KEPT = [p.replace(r"(?:(?<=[.!?])\s|$)", r"(?:[.!?]\s|$)").replace("'", "''") for p in KEPT.values()]
+
 ORACLES = {
     "owner_usage": "with " + LEDGER + " select owner_bot_id, count(*) as row_count, cast(sum(octet_length(encode(props))) as bigint) as byte_count from ledger group by 1",
     "partition_usage": "with " + LEDGER + """ select owner_bot_id, visibility_scope, case when visibility_scope = 'chat' then owner_chat_hash else '' end as chat_key,
@@ -334,8 +339,8 @@ ORACLES = {
     "decay_stats": "with " + CLAIMS + " select count(*) as active, round(avg(confidence), 6) as avg_confidence, round(avg(salience), 6) as avg_salience, round(avg(access_count), 6) as avg_accesses, max(updated_at) as newest, min(updated_at) as oldest from claims where status = 'active'",
     "garbage": "with " + CLAIMS + f" select id from claims where not pinned and salience < 0.3 and {NOW} - updated_at > 30 * 86400",
     "superseded_claims": "with " + CLAIMS + " select id, case when status = 'active' and row_number() over (partition by project, id % 60 order by updated_at desc, id desc) > 1 then 'superseded' else status end as status from claims",
-    "claim_contradictions": "with " + CLAIMS + """, m as (select id, project, first_value(id) over w as a, first_value(project) over w as p from claims where status = 'active' window w as (partition by id % 100 order by id))
-        select a as claim_a, id as claim_b, case when id % 3 = 0 then 'resolved' else 'open' end as status from m where p <> project""",
+    "claim_contradictions": "with " + CLAIMS + """, r as (select id % 100 as slot, project, min(id) as id from claims where status = 'active' group by all)
+        select a.id as claim_a, b.id as claim_b, case when b.id % 3 = 0 then 'resolved' else 'open' end as status from r a join r b on a.slot = b.slot and a.id < b.id""",
     "recall_feedback": """with m as (select distinct event_id % 800 as a, event_id % 40 as c, event_id % 5 as o from events where event_id % 5 < 4)
         select c as claim_id, count(*) filter (o = 0) as used, count(*) filter (o = 1) as helpful, count(*) filter (o = 2) as irrelevant, cast(0 as bigint) as contradicted, count(*) filter (o = 3) as harmful from m group by c""",
     "journal_replay": """with l as (select * from events where event_id < (select max(event_id) from events) qualify row_number() over (partition by user_id order by event_id desc) = 1)
@@ -345,15 +350,20 @@ ORACLES = {
         union all select min(doc_id), 'other' from documents where doc_id % 2 = 1 and md5(text) not in (select md5(text) from documents where doc_id % 2 = 0) group by md5(text)""",
     "topic_summaries": "with " + CLAIMS + """, t as (select id, case when topic in ('src0', 'src1') then 'main' else topic end as topic, salience from claims), r as (select *, row_number() over (partition by topic order by salience desc, id) as n from t)
         select topic, count(*) as claims, string_agg(id::varchar, ',' order by n) filter (n <= 5) as best from r group by topic""",
-    "health_scores": """select 0.8::double as database, round(greatest(0.0, 1 - 0.1::double * count(*) filter (regexp_matches(text, 'AKIA[A-Z0-9]{16}') and doc_id < 50)), 6) as secrecy, 0.87::double as semantic,
-        round(greatest(0.0, 1 - 0.06::double * count(*) filter (n_chars > 20000 and doc_id < 300)), 6) as pollution, round(greatest(0.0, 1 - 0.015::double * count(*) filter (doc_id % 101 = 0)), 6) as contradiction from documents""",
+    "health_scores": "with " + CLAIMS + """, m as (select id, claim, confidence, salience, updated_at, case when id % 1009 = 0 then 'lost' else status end as status, case when id % 997 = 0 then upper(topic) else topic end as topic from claims),
+        w as (select * from m order by updated_at desc, id limit 20000), t as (select * from w order by salience desc, confidence desc, id limit 80),
+        f as (select (select count(*) from w where status not in ('active', 'archived', 'superseded') or trim(coalesce(topic, '')) = '') as anomalies, (select count(*) from t where confidence < 0.3) as low_quality,
+            (select count(distinct trim(topic)) from w where not regexp_full_match(trim(coalesce(topic, '')), '[a-z0-9_-]*')) as bad_topics, (select count(*) from w where length(claim) > 8000) as raw_blobs,
+            (select count(*) from w where length(claim) < 10) as artifacts, (select count(*) from m where id % 300 = 0) as open_contradictions)
+        select *, round(greatest(0, 1 - 0.1::double * anomalies), 6) as database, round(greatest(0, 1 - (0.03::double * low_quality + 0.02::double * bad_topics + 0.04::double * raw_blobs)), 6) as semantic,
+            round(greatest(0, 1 - 0.06::double * artifacts), 6) as pollution, round(greatest(0, 1 - 0.015::double * open_contradictions), 6) as contradiction from f""",
     "retrieval_evaluation": "select count(*) as cases, count(*) filter (not (doc_id % 9 = 0 and lang = 'en')) as passed, round(count(*) filter (not (doc_id % 9 = 0 and lang = 'en')) / count(*), 6) as score from documents",
     "quality_metrics": """with r as (select l_orderkey as q, l_partkey as i, min(l_linenumber) as rank from lineitem group by all), g as (select distinct l_orderkey as q, l_partkey as i from lineitem where l_linenumber % 3 = 0 or l_quantity > 30),
         p as (select g.q, count(*) as gold, count(r.rank) as found, min(r.rank) as f from g left join (select * from r where rank <= 5) r using (q, i) group by g.q),
         m as (select unnest(['any_at_k', 'all_at_k', 'recall_at_k', 'reciprocal_rank']) as metric, unnest([(found > 0)::int::double, (found = gold)::int::double, found / gold, coalesce(1 / f, 0)]) as v from p)
         select metric, round(avg(v), 6) as mean, round(median(v), 6) as median, round(quantile_disc(v, 0.95), 6) as p95 from m group by metric""",
     "ingestion_confusion": "select case when conv_id % 3 = 0 then 'keep' else 'drop' end as gold, role, case when length(text) > 300 then 'keep' else 'drop' end as action, count(*) as n from conversations group by all",
-    "shared_blocks": """with l as (select event_id % 30 as block_id, case when event_id % 5 < 1 then 'block' when event_id % 5 < 3 then 'grant' else 'attachment' end as family, 'u' || (user_id % 10) as u, event_id as d from events),
+    "shared_blocks": """with l as (select event_id % 30 as block_id, case when event_id % 11 < 2 then 'block' when event_id % 11 < 6 then 'grant' else 'attachment' end as family, 'u' || (user_id % 10) as u, event_id as d from events),
         m as (select *, case family when 'block' then '' else u end as principal, case family when 'block' then d % 2 = 0 when 'grant' then d % 4 <> 0 else d % 7 <> 0 end as live from l),
         s as (select * from m qualify row_number() over (partition by block_id, principal, family order by d desc) = 1)
         select a.block_id, a.principal from s a join s g on a.block_id = g.block_id and a.principal = g.principal and g.family = 'grant' and g.live
@@ -364,6 +374,8 @@ ORACLES = {
             from w join t on t.principal = w.principal and t.i = w.i + 1 where t.i <= 8)
         select principal, newest, cast(chars as integer) as chars from w where taken""",
     "embedding_status": "select lang, count(*) filter (doc_id % 3 = 0) as embedded, count(*) filter (doc_id % 3 <> 0) as pending, max(doc_id) as newest from documents group by lang",
+    "session_worth": "with k as (select conv_id, sum(length(text)) as chars, " + ", ".join(f"max(regexp_matches(coalesce(text, ''), '(?i){p}')::int) as k{i}" for i, p in enumerate(_KEPT)) + """ from conversations group by 1)
+        select conv_id, round(least(1.0, 0.25 * (k0 + k1 + k2 + k3) + least(0.3, chars / 20000)), 6) as score from k""",
     "fresh_prefixes": """with e as (select *, sum((event_type = 'error')::int) over (partition by user_id order by event_id) as k from events), m as (select *, max(k) over (partition by user_id) as m from e)
         select user_id, count(*) as since_error from m where k = m and event_type <> 'error' group by 1""",
     "registry_search": """with e as (select lower(p_brand) || '/' || p_partkey as key, p_name || ' ' || p_type as text from part),

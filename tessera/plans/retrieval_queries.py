@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import access
 from tessera.operators import fusion, lexical, recall, search, vector
-from tessera.plans.tables import CLAIMS, LEDGER, NOW, claims, ledger, table
+from tessera.plans.tables import CLAIMS, LEDGER, NOW, claims, ledger, table, text_index, texts
 
 QUERY = "when the and for that; from this with"
 TERMS = lexical.event_terms("erst thion of ingre")
@@ -26,11 +26,15 @@ def _bm25_sql(name: str, source: str, key: str, text: str, terms: list[str]) ->
 
 
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lexical.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS)
-    return lexical.top(scored, 10, F.col("doc_id")).select("doc_id", F.round("score", 6).alias("score"), "matched")
+    return text_index(spark, sf_dir, "documents").best([TERMS], 10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "matched")
 
 
 def bm25_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_index(spark, sf_dir, "documents").two_pass(PAIR, 12).select(F.col("id").alias("doc_id"), "pass_no", "position", F.round("score", 6).alias("score"))
+
+
+def scanned_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same two passes without an index, for tables that are asked once."""
     return lexical.two_pass(table(spark, sf_dir, "documents"), "doc_id", "text", PAIR, 12, F.col("doc_id")).select("doc_id", "pass_no", "position", F.round("score", 6).alias("score"))
 
 
@@ -58,13 +62,12 @@ def cosine_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = vector.label_agreement(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", list(range(0, 20)))
+    out = vector.label_agreement(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 20)
     return out.select("query_id", F.round("agreement", 6).alias("agreement"))
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    words = fusion.ranked(lexical.top(lexical.bm25(docs, "doc_id", "text", TERMS), 40, F.col("doc_id")), [F.desc("score"), F.col("doc_id")])
+    words = text_index(spark, sf_dir, "documents").best([TERMS], 40).withColumnRenamed("id", "doc_id")
     query = table(spark, sf_dir, "embeddings").where("vec_id = 7").select("embedding").first()[0]
     near = fusion.ranked(vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", query, 40), [F.desc("score"), F.col("vec_id")])
     both = words.select(F.col("doc_id").alias("id"), "rank", F.lit(fusion.DOCUMENT_WEIGHTS["unit"]).alias("weight")).union(near.select("vec_id", "rank", F.lit(fusion.DOCUMENT_WEIGHTS["semantic"])))
@@ -122,19 +125,19 @@ def event_variety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = [fusion.ranked(lexical.top(lexical.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", t), 20, F.col("doc_id")), [F.desc("score"), F.col("doc_id")]).select("doc_id", "rank") for t in (TERMS, PAIR)]
+    best = text_index(spark, sf_dir, "documents").best([TERMS, PAIR], 20)
+    lists = [best.where(F.col("query") == i).select(F.col("id").alias("doc_id"), "rank") for i in (0, 1)]
     return fusion.compare_lists(*lists, "doc_id")
 
 
 def _recall_sources(spark: SparkSession, sf_dir: str) -> dict:
-    episodes = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").withColumn("id", F.format_string("%06d-%02d-%s", "conv_id", "turn", "role"))
-    events = table(spark, sf_dir, "events").withColumn("text", F.concat_ws(" ", "event_type", "props"))
-    return {"claim": (table(spark, sf_dir, "documents"), "doc_id", "text"), "episode": (episodes, "id", "text"), "event": (events, "event_id", "text")}
+    return {kind: texts(spark, sf_dir, name) for kind, name in (("claim", "documents"), ("episode", "episodes"), ("event", "events"))}
 
 
 def recall_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: one question over claims, episodes and events, fused, ordered and cut to a budget."""
-    out = recall.citations(recall.unified(_recall_sources(spark, sf_dir), QUERY, "deep", limit=20, chars=24_000))
+    indexes = {kind: text_index(spark, sf_dir, name) for kind, name in (("claim", "documents"), ("episode", "episodes"), ("event", "events"))}
+    out = recall.citations(recall.unified(_recall_sources(spark, sf_dir), QUERY, "deep", limit=20, chars=24_000, indexes=indexes))
     return out.select("kind", "id", F.round("rrf", 9).alias("rrf"), "first_rank", "position", F.length("text").alias("chars"), "citation")
 
 
@@ -212,8 +215,8 @@ def pending_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def federated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("profile", F.col("lang"))
-    found = lexical.bm25(docs, "doc_id", "text", TERMS)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("profile"))
+    found = docs.join(text_index(spark, sf_dir, "documents").bm25(TERMS).withColumnRenamed("id", "doc_id"), "doc_id")
     best = fusion.capped_per_group(found, "profile", [F.desc("score"), F.col("doc_id")], 20)
     ranked = fusion.ranked(best, [F.desc("score"), F.col("doc_id")], ["profile"]).withColumn("key", F.concat_ws(":", "profile", "doc_id")).withColumn("weight", F.lit(1.0))
     return fusion.reciprocal_rank_fusion(ranked, ["key"]).select("key", F.round("rrf", 9).alias("rrf"), "first_rank").orderBy(F.desc("rrf"), "key").limit(200)
@@ -244,7 +247,7 @@ def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_top, bm25_two_pass, postings_index, literal_search, newest_events, cosine_top, label_agreement, hybrid_rrf, code_boosts, rerank_positions, topic_diversity, source_share,
+    bm25_top, bm25_two_pass, scanned_two_pass, postings_index, literal_search, newest_events, cosine_top, label_agreement, hybrid_rrf, code_boosts, rerank_positions, topic_diversity, source_share,
     char_budgets, greedy_budgets, mmr_lists, event_variety, search_comparison, recall_unified, episode_pairs, context_collapse, conflicts, manifest_coverage, planner_intents,
     hashed_embeddings, simhash_pairs, word_set_pairs, pending_embeddings, federated_search, event_search, episode_search, document_search, code_search,
 )}
@@ -255,19 +258,28 @@ _NORM = "sqrt(list_sum(list_transform({}.embedding, lambda x: x::double * x::dou
 _COS = f"{_DOT} / ({_NORM.format('e')} * {_NORM.format('q')})"
 _TOKENS4 = "list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}_-]+'), lambda w: length(w) >= 4))"
 
-ORACLES = {
+ORACLES: dict[str, str] = {
     "bm25_top": "with " + _bm25_sql("s", "documents", "doc_id", "text", TERMS) + " select id as doc_id, round(score, 6) as score, matched from s where matched > 0 order by s.score desc, id limit 10",
     "bm25_two_pass": "with " + _bm25_sql("s", "documents", "doc_id", "text", PAIR) + """, both_ as (select * from (select *, 1 as pass_no from s where matched = 2 order by score desc, id limit 12)
         union all select * from (select *, 2 as pass_no from s where matched > 0 order by score desc, id limit 12)),
         once as (select * from both_ qualify row_number() over (partition by id order by pass_no) = 1)
         select id as doc_id, pass_no, row_number() over (order by pass_no, score desc, id) as position, round(score, 6) as score from once qualify position <= 12""",
+    "word_set_pairs": """with p as (select p_partkey as k, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[\\p{L}\\p{M}\\p{Nd}_]+')) as w from part),
+        s as (select len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) as similarity from p a join p b on a.k < b.k where len(a.w) + len(b.w) > 0)
+        select similarity, count(*) as pairs from s where similarity >= 0.99 group by similarity""",
+    "hashed_embeddings": """with c as (select conv_id || '-' || turn || '-' || role as key, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}_]+') as w from conversations),
+        g as (select key, unnest(flatten(list_transform(w, lambda x: flatten(list_transform([2, 3, 4], lambda n: case when length(x) < n then [x] else list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i::int, n)) end))))) as g from c),
+        n as (select key, g, count(*) as n from g group by all), m as (select key, max(n) as m from n group by key),
+        v as (select key, cast('0x' || substr(md5(g), 1, 8) as bigint) % 32 as at, sum(n / m) as x from n join m using (key) group by all), z as (select key, sqrt(sum(x * x)) as z from v group by key),
+        f as (select c.key, i.i, coalesce(v.x / z.z, 0) as x from (select distinct key from c) c cross join (select unnest(range(32)) as i) i left join v on v.key = c.key and v.at = i.i left join z on z.key = c.key)
+        select key, list(round(x, 9) order by i) as embedding from f group by key""",
     "postings_index": """with w as (select conv_id || '-' || turn as id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{Nd}_]+') as w from conversations),
         t as (select id, len(w) as n, unnest(w) as term from w), p as (select term, id, n, count(*) as tf from t group by all)
         select term, count(*) as df, cast(sum(tf) as bigint) as cf, max(n) as longest from p group by term""",
     "literal_search": "select doc_id, source from documents where contains(lower(text), 'stupid')",
     "newest_events": "select event_id, case when row_number() over (order by ts desc, event_id) <= 20 then 1 else 2 end as page, event_type from events qualify row_number() over (order by ts desc, event_id) <= 40",
     "cosine_top": f"select e.vec_id, e.label, round({_COS}, 6) as score from embeddings e, (select embedding from embeddings where vec_id = 7) q where e.vec_id <> 7 order by {_COS} desc, e.vec_id limit 10",
-    "label_agreement": f"""with n as (select q.vec_id as query_id, (e.label = q.label)::int as same from embeddings e, (select * from embeddings where vec_id < 20) q where e.vec_id <> q.vec_id
+    "label_agreement": f"""with n as (select q.vec_id as query_id, (e.label = q.label)::int as same from embeddings e, (select * from embeddings where vec_id % 20 = 0) q where e.vec_id <> q.vec_id
         qualify row_number() over (partition by q.vec_id order by {_COS} desc, e.vec_id) <= 10) select query_id, round(avg(same), 6) as agreement from n group by 1""",
     "hybrid_rrf": "with " + _bm25_sql("s", "documents", "doc_id", "text", TERMS) + f""", lists as (
         select id, row_number() over (order by score desc, id) as rank, 0.95 as weight from s where matched > 0 qualify rank <= 40
@@ -323,3 +335,5 @@ ORACLES = {
     "federated_search": "with " + _bm25_sql("s", "documents", "doc_id", "text", TERMS) + """, r as (select lang || ':' || id as key, row_number() over (partition by lang order by score desc, id) as rank from s join documents on id = doc_id where matched > 0 qualify rank <= 20)
         select key, round(1.0::double / (60 + rank), 9) as rrf, rank as first_rank from r order by rrf desc, key limit 200""",
 }
+
+ORACLES["scanned_two_pass"] = ORACLES["bm25_two_pass"]

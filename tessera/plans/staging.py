@@ -30,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it from there."""
+def stage(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it from there. options: those of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     _PATHS[staged] = path
     return staged

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import index
+from tessera.operators.index import Index
+
 #: The moment that all queries take as now: epoch seconds of 2024-02-01.
 NOW = 1_706_745_600
 
@@ -13,6 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_index(spark: SparkSession, sf_dir: str, name: str) -> Index:
+    """The index over a table's texts: documents, episodes (dialogue turns of both sides) or events, built once a session."""
+    rows, key, text = texts(spark, sf_dir, name)
+    return index.of(rows.select(key, text), key, text, f"{name}-{sf_dir.rstrip('/').rpartition('/')[2]}")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, str, str]:
+    """(rows, id column, text column) of documents, episodes or events."""
+    if name == "documents":
+        return table(spark, sf_dir, "documents"), "doc_id", "text"
+    if name == "episodes":
+        return table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").withColumn("id", F.format_string("%06d-%02d-%s", "conv_id", "turn", "role")), "id", "text"
+    return table(spark, sf_dir, "events").withColumn("text", F.concat_ws(" ", "event_type", "props")), "event_id", "text"
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that documents lack follow from doc_id by rule."""
     d = F.col("doc_id")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to function of session and table folder) and ORACLES (name to SQL).
-MODULES: tuple[str, ...] = ("plans.retrieval_queries", "plans.ledger_queries", "plans.graph_queries")
+MODULES: tuple[str, ...] = ("plans.retrieval_queries", "plans.ledger_queries", "plans.graph_queries", "plans.further_queries")
 
 
 def _gathered(what: str) -> dict:

@@ -198,7 +198,7 @@ def docx(raw: bytes, units: Units) -> None:
             if root is None:
                 continue
             part = name.rpartition("/")[2].removesuffix(".xml")
-            for e in (root.find("{*}body") if part == "document" else root) or []:
+            for e in root.find("{*}body") if part == "document" and root.find("{*}body") is not None else root:
                 if _local(e) == "p":
                     style = next((x.get(k) or "" for x in e.iter() if _local(x) == "pStyle" for k in x.keys() if k.endswith("val")), "")
                     units.put("heading" if re.match(r"(?i)heading|title", style) and part == "document" else part if part != "document" else "paragraph", _text(e), part=part)

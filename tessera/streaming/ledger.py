@@ -53,13 +53,14 @@ def running_usage(events: DataFrame, by: str, size: str) -> DataFrame:
     return events.groupBy(by).agg(F.count("*").alias("row_count"), F.sum(F.octet_length(size)).alias("byte_count"))
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_end(stream: DataFrame, name: str, mode: str = "append", root: str | None = None) -> DataFrame:
     """What a stream gives when it has read all that is there, as a table in the shared folder.
 
     Complete and update results keep the last row of each batch's write by batch number, so a repeated batch overwrites.
+    root: the folder of checkpoint and results; with the same root a later run goes on where this one ended.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    root = root or f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
@@ -79,24 +80,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def consolidate_stream(events: DataFrame, by: list[str], name: str, now: int) -> DataFrame:
-    """Observations of a stream of events: each batch regroups only the clusters that it touches, from all their events.
+def consolidate_stream(events: DataFrame, by: list[str], name: str, now: int, root: str | None = None) -> DataFrame:
+    """Observations of a stream of events.
 
-    Events land in a ledger table; observations of touched clusters are written anew with the batch's number, and the
-    last number of a cluster is its present row.
+    A batch writes what its own events say of their clusters, under its number, so its work follows its size and a repeated
+    batch overwrites; partials add up to the observations when these are read. root: as in ``run_to_end``.
     """
     spark = events.sparkSession
-    root = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    root = root or f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/ledger/batch={number}")
-        every = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(f"{root}/ledger")
-        touched = batch.withColumn("cluster_key", observe.cluster_key(observe.normalized(F.col("content"), True), F.col("topic"))).select(*by, "topic", "cluster_key").distinct()
-        own = every.withColumn("cluster_key", observe.cluster_key(observe.normalized(F.col("content"), True), F.col("topic"))).join(touched, [*by, "topic", "cluster_key"], "left_semi").drop("cluster_key")
-        observe.consolidated(own.select(*batch.columns), by, now, True).withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/observations/batch={number}")
+        observe.partials(batch, by, True).write.mode("overwrite").parquet(f"{root}/partials/batch={number}")
 
     query = events.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    out = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/observations")
-    last = out.groupBy(*by, "topic", "cluster_key").agg(F.max("_batch").alias("_batch"))
-    return out.join(last, [*by, "topic", "cluster_key", "_batch"]).drop("_batch")
+    schema = observe.partials(spark.createDataFrame([], events.schema), by, True).schema
+    parts = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/partials") if _exists(spark, f"{root}/partials") else spark.createDataFrame([], schema)
+    return observe.merged(parts, by, now)

@@ -11,6 +11,10 @@ copies that agrees in all bands is verified once. The sets of classes that share
 joined to their buckets. A bucket of more than ``block`` classes or 2 million n-grams is dealt out in chunks, and each
 pair of chunks is a task's unit of bounded size. A pair is verified in the smallest bucket that both classes share, so
 links are counted once without listing pairs: a unit returns a count and one edge for each class.
+
+Groups alone need no such count. There each chunk of a large bucket is compared within itself and with ``PIVOTS`` classes of the
+bucket, which joins a cluster of near copies; only classes outside a bucket's largest group are then compared with
+all of its chunks. Two classes of the largest group are linked already, so no link that would join two groups is lost.
 """
 
 from __future__ import annotations
@@ -20,15 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import bitmap, components, maybe, pair_blocks, sorted_groups
 from tessera.llm.text import U64, mix, shingle_sets
-from tessera.plans.staging import partitions, release, stage
+from tessera.plans.staging import discard, partitions, release, stage
 
 #: What a unit of verification may hold, in n-grams.
 UNIT_GRAMS = 2_000_000
+PIVOTS = 64
 
 
 def choose_bands(threshold: float, recall: float, most_rows: int = 8) -> tuple[int, int]:
@@ -163,21 +168,85 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         if not len(i):
             continue
         links = np.bincount(i, cnt[j], len(k)) + np.bincount(j, cnt[i], len(k))
-        root = np.arange(len(k))
-        while True:
-            low = root.copy()
-            np.minimum.at(low, i, root[j])
-            np.minimum.at(low, j, root[i])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
+        root = _roots(len(k), i, j)
         has = np.flatnonzero(links)
         yield pa.record_batch({"k": k[has], "root": k[root[has]], "links": links[has].astype(np.int64)})
 
 
-def _linked(texts: DataFrame, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of texts(doc_id, text, other longs) with k and n in place of text, and (k, rep, cnt, links, root) of each class."""
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row that links i - j reach from each of n rows."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _joined(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(k, root): an edge for each class of a unit that similarity joins to another. Sides: 0 and 1 are compared; where inner, 0 within itself too."""
+    for group in sorted_groups(batches, ["bucket", "ci", "cj"]):
+        k, side = group["k"].to_numpy(), group["side"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in group["grams"].combine_chunks()]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        i, j = links_in(sets, left, right, threshold) if len(left) and len(right) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if group["inner"][0].as_py():
+            a, b = links_in(sets, left, left, threshold)
+            i, j = np.concatenate([i, a]), np.concatenate([j, b])
+        apart = k[i] != k[j]
+        i, j = i[apart], j[apart]
+        if len(i):
+            root = _roots(len(k), i, j)
+            has = np.unique(np.concatenate([i, j]))
+            yield pa.record_batch({"k": k[has], "root": k[root[has]]})
+
+
+def _groups(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, root) of the groups that similarity makes of rows(k, grams, bucket, chunks)."""
+    p = partitions(rows.sparkSession)
+    own = F.expr("cast(pmod(xxhash64(k, 7), chunks) as int)")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    unit = ["bucket", "ci", "cj"]
+    flags = lambda side, inner: [F.lit(side).alias("side"), F.lit(inner).alias("inner")]
+
+    def found(units: DataFrame) -> DataFrame:
+        return units.repartition(p, *unit).sortWithinPartitions(*unit, "side", "k").mapInArrow(lambda b: _joined(b, threshold), "k long, root long")
+
+    crowded = rows.where("chunks > 1")
+    first = Window.partitionBy("bucket").orderBy(F.xxhash64("k", F.lit(11)), "k")
+    pivots = crowded.select("bucket", "chunks", "k").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= PIVOTS).select("bucket", "k")
+    inner = rows.select("k", "grams", "bucket", own.alias("ci"), own.alias("cj"), *flags(0, True))
+    asked = crowded.join(pivots, ["bucket", "k"], "left_semi").select("k", "grams", "bucket", each("chunks").alias("ci")).select("k", "grams", "bucket", "ci", F.col("ci").alias("cj"), *flags(1, True))
+    edges = stage(found(inner.unionByName(asked)), "ngram-near")
+    groups = components(edges.select(F.col("k").alias("a"), F.col("root").alias("b")), "ngram-groups")
+    if crowded.isEmpty():
+        return groups
+    placed = stage(
+        crowded.select("k", "bucket", "chunks").join(groups.withColumnRenamed("node", "k"), "k", "left").select("k", "bucket", "chunks", F.coalesce("root", "k").alias("root")), "ngram-crowded"
+    )
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("m", "root"))["root"].alias("largest"), F.sum("m").alias("m"), F.max("m").alias("most"))
+    rest_chunks = largest.where("m > most").select("bucket", "largest", F.ceil((F.col("m") - F.col("most")) / block).cast("int").alias("parts"))
+    rest = placed.join(rest_chunks, "bucket").where("root <> largest").select("bucket", "k", "chunks", "parts")
+    if rest.isEmpty():
+        return groups
+    grams = crowded.select("bucket", "k", "grams")
+    part = F.expr("cast(pmod(xxhash64(k, 13), parts) as int)")
+    outside = rest.join(grams, ["bucket", "k"]).select("k", "grams", "bucket", part.alias("ci"), each("chunks").alias("cj"), *flags(1, False))
+    every = crowded.join(rest_chunks, "bucket").select("k", "grams", "bucket", each("parts").alias("ci"), own.alias("cj"), *flags(0, False))
+    more = stage(found(outside.unionByName(every)), "ngram-rest")
+    both = edges.unionByName(more)
+    return components(both.select(F.col("k").alias("a"), F.col("root").alias("b")), "ngram-groups")
+
+
+def _linked(texts: DataFrame, n: int, threshold: float, recall: float, block: int, counted: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows of texts(doc_id, text, other longs) with k and n in place of text, and (k, rep, cnt, links, root) of each class.
+
+    Without ``counted`` links is 1 for classes that link at all.
+    """
     spark = texts.sparkSession
     bands, rows = choose_bands(threshold, recall)
     others = "".join(f"{c} long, " for c in texts.columns if c != "text")
@@ -200,6 +269,14 @@ def _linked(texts: DataFrame, n: int, threshold: float, recall: float, block: in
     needed = placed.join(classes.select("k", "rep", "cnt"), "k")
     wanted = spark.sparkContext.broadcast(bitmap(needed.select(F.coalesce("rep", F.lit(0)).alias("key")), "key"))
     sets = texts.select("doc_id", "text").mapInArrow(lambda b: _sets(b, n, wanted.value), "k long, grams binary").dropDuplicates(["k"])
+    if not counted:
+        rows = stage(needed.join(sets, "k").select("k", "grams", F.explode("at").alias("x")).select("k", "grams", "x.bucket", "x.chunks"), "ngram-sets")
+        release(spark)
+        groups = _groups(rows, threshold, block)
+        known = classes.select("k", "rep", "cnt").join(groups.withColumnRenamed("node", "k"), "k", "left")
+        known = stage(known.select("k", "rep", "cnt", F.col("root").isNotNull().cast("long").alias("links"), F.coalesce("root", "k").alias("root")), "ngram-known")
+        discard(rows, placed, classes)
+        return sketch, known
     units = (
         needed.join(sets, "k")
         .select("k", "cnt", "grams", F.col("at.bucket").alias("buckets"), F.explode("at").alias("x"))
@@ -250,7 +327,7 @@ def near_duplicates_removed(docs: DataFrame, n: int = 5, threshold: float = 0.8,
     """
     text, key = F.col("text").cast("string"), F.col("doc_id").cast("long")
     keyed = docs.withColumn("_tessera_row", F.xxhash64(text, F.coalesce(key, F.lit(-1)), key.isNull()))
-    sketch, known = _linked(keyed.select(key.alias("doc_id"), text.alias("text"), F.col("_tessera_row").alias("row")), n, threshold, recall, block)
+    sketch, known = _linked(keyed.select(key.alias("doc_id"), text.alias("text"), F.col("_tessera_row").alias("row")), n, threshold, recall, block, counted=False)
     own = sketch.select("doc_id", "row", "k").join(known.where("cnt + links > 1").select("k", "root"), "k")
     rows = stage(own.groupBy("row", "root").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "ngram-linked")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row")).select("row")

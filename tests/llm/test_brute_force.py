@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, features, line_dedup, mixing, pieces, quality, shared, simhash, toxicity, url_filter
+from tessera.llm import ann, features, line_dedup, mixing, ngram_join, pieces, quality, shared, simhash, toxicity, url_filter
 from tessera.llm.text import brute_words, grams, mix, utf8, words
 
 SMALL = "/root/testdata/sf0.01"
@@ -242,3 +242,32 @@ def test_double_vectors_keep_their_precision(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0 + 1e-12, 0.0]), (2, [1.0 + 2e-12, 0.0])]
     got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert [(x.vec_id, x.score) for x in sorted(got, key=lambda x: x.rank)] == [(1, 1.0 + 1e-12 - 1.0), (2, 1.0 + 2e-12 - 1.0)]
+
+
+def test_groups_of_large_buckets_against_brute_force(spark, monkeypatch):
+    """Chunks, pivots and what is left outside a bucket's largest group find the groups that comparing all pairs finds."""
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    r = random.Random(12)
+    rows = []
+    for g in range(5):
+        base = [f"g{g}w{i}" for i in range(70)]
+        for c in range(40):  # a chain: each is near the last, the ends are not near each other
+            if c % 8 == 0:
+                base = list(base)
+            base[(c * 3) % 70] = f"x{g}-{c}" if g < 3 else base[(c * 3) % 70]
+            own = list(base)
+            if g >= 3:
+                for _ in range(r.randrange(3)):
+                    own[r.randrange(70)] = f"y{r.randrange(10**6)}"
+            rows.append((g * 100 + c, " ".join(own)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if x in (a, b) else x for x in group]
+    want = sorted({rows[min(i for i in range(len(rows)) if group[i] == x)][0] for x in set(group)})
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (4, 16, 1024):
+        assert sorted(x.doc_id for x in ngram_join.near_duplicates_removed(df, block=block).collect()) == want

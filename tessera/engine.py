@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from tessera import access
-from tessera.functions import statements, text
-from tessera.operators import fusion, graph, ledger, lexical, lifecycle, observe, recall, vector
+from tessera.functions import spreadsheet, statements, text
+from tessera.operators import fusion, graph, index, ledger, lexical, lifecycle, observe, recall, search, vector
 from tessera.sources import bundles, connectors, documents
 
 #: Name to function. Mutating operations are appends to a log whose present rows are ``lifecycle.latest_state``.
@@ -26,6 +26,10 @@ OPERATIONS: dict[str, Callable] = {
     "health": lifecycle.health, "evaluate_retrieval": lifecycle.evaluated, "retrieval_metrics": lifecycle.retrieval_metrics, "shared_block_list": lifecycle.block_events,
     "secrecy_report": text.secret_findings, "immune_scan": text.has_secret, "context_sanitize": text.sanitized, "write_firewall": text.redacted, "is_social_close": text.is_social_close, "lint_claim": access.accepted,
     "backup": bundles.backup, "restore": bundles.restore, "scoped_backup": bundles.backup, "restore_scoped_backup": bundles.restore, "export_bundle": bundles.export_bundle, "import_bundle": bundles.import_bundle,
+    "query_events": search.event_query, "query_observations": search.observation_query, "query_episodes_hybrid": search.episode_query, "query_code": search.code_query, "query_documents": search.document_query,
+    "recent_common_term": search.common_term_window, "prefetch_context": search.prefetched, "build_index": index.build, "dashboard": lifecycle.dashboard, "health_findings": lifecycle.health_findings, "record_recall": lifecycle.recall_recorded,
+    "add_entity": graph.added_entities, "add_relation": graph.added_relations, "label_agreement": vector.label_agreement, "nearest": vector.nearest_by_cosine, "evaluate_formulas": spreadsheet.evaluated_rows,
+    "sanitize_json": text.json_sanitized, "registry_lookup": lifecycle.registry_lookup, "erasure_replay": connectors.erased, "publish_index": connectors.publish, "published_index": connectors.published,
     "job_health": ledger.job_health, "online_metrics": ledger.latency_snapshot, "consolidate": observe.consolidated,
 }
 

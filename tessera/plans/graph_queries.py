@@ -269,3 +269,39 @@ ORACLES = {
     "stream_observations": """select user_id % 3 as bot, event_type as topic, event_type || ' of ' || json_extract_string(props, '$.k') as cluster_key, count(*) as support, cast(1 as bigint) as independent,
         cast(max(floor(epoch(ts))) as bigint) as last_seen from events group by all""",
 }
+
+
+def _re2(pattern: str, behind: str = "(?:", ahead: str = "(?:") -> str:
+    """A pattern as DuckDB takes it: look-arounds for single characters become those characters or the text's ends."""
+    import re
+
+    out = pattern.replace("(?iU)", "(?i)").replace(r"(?:([\"'])[^\"']{4,}\2|", r"(?:\"[^\"']{4,}\"|'[^\"']{4,}'|")
+    out = re.sub(r"\(\?<!(\[[^\]]*\])\)", lambda m: behind + "^|[^" + m[1][1:-1] + "])", out)
+    out = re.sub(r"\(\?!(\[[^\]]*\])\)", lambda m: ahead + "$|[^" + m[1][1:-1] + "])", out)
+    return out.replace("'", "''")
+
+
+_KINDS = {"private_key": P.PRIVATE_KEY, "url_credentials": P.URL_CREDENTIALS, "labelled_secret": P.SECRET_ASSIGNED, **P.PROVIDER_SECRETS}
+_COUNTS = ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{_re2(p)}'))" for p in _KINDS.values())
+ORACLES["secrecy_report"] = f"""with c as (select source, unnest({list(_KINDS)!r}) as category, unnest([{_COUNTS}]) as n from documents)
+    select source, category, cast(sum(n) as bigint) as findings, count(*) as documents from c where n > 0 group by all"""
+
+
+def _redaction_sql() -> str:
+    steps = [("regexp_replace({}, '\\r\\n?', chr(10), 'g')"), "regexp_replace({}, '" + _re2(P.PRIVATE_KEY) + "', '<REDACTED_PRIVATE_KEY>', 'g')", "regexp_replace({}, '" + _re2(P.URL_CREDENTIALS) + "', '\\1<REDACTED>@', 'g')",
+             "regexp_replace({}, '" + _re2(P.SECRET_ASSIGNED) + "', '\\1<REDACTED>', 'g')"]
+    for p in P.PROVIDER_SECRETS.values():
+        ends = "\\2" if "(?!" in p else ""
+        steps.append("regexp_replace({}, '" + _re2(p, "(", "(") + "', '\\1<REDACTED>" + ends + "', 'g')")
+    steps += ["regexp_replace({}, '(?m)[ \\t\\f\\v]+$', '', 'g')", "regexp_replace({}, '\\n{{4,}}', repeat(chr(10), 3), 'g')"]
+    out = "coalesce(text, '')"
+    for x in steps:
+        at = x.index("{}")
+        out = x[:at] + out + x[at + 2 :].replace("{{4,}}", "{4,}")
+    flags = " or ".join(f"regexp_matches(coalesce(text, ''), '{_re2(p)}')" for p in (*_KINDS.values(), r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48}"))
+    return f"""with c as (select doc_id, {out} as t, {flags} as secret from documents)
+        select doc_id, cast(length(t) as integer) as chars, cast(len(string_split(t, '<REDACTED')) - 1 as integer) as redacted, secret from c"""
+
+
+ORACLES["redaction"] = _redaction_sql()
+ORACLES["kept_statements"] = "select kind, count(*) as statements from conversations, (values ('preference'), ('remember')) v(kind) where role = 'user' group by kind"

@@ -337,3 +337,77 @@ ORACLES: dict[str, str] = {
 }
 
 ORACLES["scanned_two_pass"] = ORACLES["bm25_two_pass"]
+
+
+def _lists_sql(lists: dict[str, tuple[str, str, str]], weights: dict[str, float], terms: list[str], most: int) -> str:
+    """CTEs that end in fused(id, rrf): BM25 lists of (source, id, text), weighted reciprocal ranks added up."""
+    ctes = [_bm25_sql(f"l_{kind}", source, key, text, terms) for kind, (source, key, text) in lists.items()]
+    ranks = [f"select id, {weights[kind]} as weight, row_number() over (order by score desc, id) as rank from l_{kind} where matched > 0 qualify rank <= {most}" for kind in lists]
+    return ", ".join(ctes) + ", ranks as (" + " union all ".join(ranks) + "), fused as (select id, sum(weight / (60 + rank)) as rrf from ranks group by id)"
+
+
+def _matches_sql(terms: list[str]) -> str:
+    return " + ".join(f"contains(lower(text), '{t}')::int" for t in terms)
+
+
+_DOCUMENT_TERMS, _CODE_TERMS = lexical.graph_terms("the shape of things from here", 20), lexical.graph_terms("part 7 promo brand#13", 16)
+ORACLES["document_search"] = (
+    "with u as (select 'u' || doc_id as id, text from documents), c as (select 'c-' || conv_id || '-' || turn || '-' || role as id, text from conversations), "
+    + _lists_sql({"unit": ("u", "id", "text"), "chunk": ("c", "id", "text")}, fusion.DOCUMENT_WEIGHTS, _DOCUMENT_TERMS, 160)
+    + f""", t as (select * from u union all select * from c), b as (select id, rrf + least(0.04, 0.008 * ({_matches_sql(_DOCUMENT_TERMS)})) as rrf from fused join t using (id))
+    select id, round(rrf, 9) as rrf from b order by round(b.rrf, 12) desc, id limit 20"""
+)
+ORACLES["code_search"] = (
+    "with s as (select 's' || p_partkey as id, p_name as text from part), c as (select 'c' || p_partkey as id, p_type as text from part), l as (select 'l' || p_partkey as id, p_brand as text from part), "
+    + _lists_sql({"symbol": ("s", "id", "text"), "chunk": ("c", "id", "text"), "line": ("l", "id", "text")}, fusion.CODE_WEIGHTS, _CODE_TERMS, 400)
+    + f""", t as (select * from s union all select * from c union all select * from l), b as (select id, rrf + least(0.035, 0.007 * ({_matches_sql(_CODE_TERMS)})) as rrf from fused join t using (id)),
+    seed as (select id, rrf from b order by rrf desc, id limit 20), g as (select 's' || p_partkey as a, 's' || (p_partkey + 1) as b, p_partkey % 10 / 10.0 as k from part), e as (select a as x, b as y, k from g union all select b, a, k from g),
+    h as (select y, max(greatest(0.003, least(0.012, 0.12 * rrf))) as gain from (select * from e join seed on x = id qualify row_number() over (partition by x order by k desc, y) <= 80) group by y)
+    select b.id, round(b.rrf + coalesce(gain, 0), 9) as rrf from b left join h on b.id = y order by round(b.rrf + coalesce(gain, 0), 12) desc, b.id limit 50"""
+)
+
+
+def _episodes_sql() -> str:
+    variants = [lexical.event_terms(v) for v in recall.expanded("the of; and from", "auto")]
+    ctes = ["c as (select conv_id, turn, role, text, conv_id || '-' || turn || '-' || role as id from conversations where role in ('user', 'assistant'))"]
+    ctes += [_bm25_sql(f"v{i}", "c", "id", "text", list(dict.fromkeys(v))) for i, v in enumerate(variants)]
+    hits = [f"select * from (select {i} as q, id, score, (matched = {len(set(v))})::int as whole from v{i} where matched > 0 order by score desc, id limit 80)" for i, v in enumerate(variants)]
+    return "with recursive " + ", ".join(ctes) + ", h as (" + " union all ".join(hits) + """),
+    p as (select id, min(p) as p from (select id, row_number() over (order by q, whole desc, score desc, id) as p from h) group by id), r as (select id, 1.0::double / (60 + row_number() over (order by p)) as rrf from p),
+    best as (select id, rrf from r order by rrf desc, id desc limit 8), k as (select conv_id, turn, row_number() over (order by rrf desc, id desc) as rank from best join c using (id)),
+    f as (select c.conv_id, c.turn, k.rank, c.role, case c.role when 'user' then c.turn + 1 else c.turn - 1 end as mate from c join k using (conv_id, turn)),
+    m as (select conv_id, turn, role, min(rank) as rank from (select conv_id, turn, role, rank from f union all select conv_id, mate, case role when 'user' then 'assistant' else 'user' end, rank from f) group by all),
+    o as (select c.conv_id, c.turn, c.role, m.rank, length(text) as n, row_number() over (order by m.rank, c.conv_id, c.turn, c.role, length(text)) as i from c join m using (conv_id, turn, role)),
+    w as (select i, n <= 2400 as taken, case when n <= 2400 then n else 0 end as used, (n <= 2400)::int as many from o where i = 1
+        union all select o.i, w.used + o.n <= 2400 and w.many < 16, case when w.used + o.n <= 2400 and w.many < 16 then w.used + o.n else w.used end, w.many + (w.used + o.n <= 2400 and w.many < 16)::int from w join o on o.i = w.i + 1)
+    select conv_id, turn, role, rank from o join w using (i) where taken"""
+
+
+ORACLES["episode_search"] = _episodes_sql()
+ORACLES["mmr_lists"] = "with recursive " + CLAIMS + """, r as (select topic, id, salience::double as score, """ + _TOKENS4.replace("text", "coalesce(claim, '')") + """ as w, row_number() over (partition by topic order by salience desc, id) as n from claims qualify n <= 40),
+    o as (select a.topic, a.n, list(case when len(a.w) + len(b.w) = 0 then 0.0 else len(list_intersect(a.w, b.w)) / greatest(1, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::double end order by b.n) as near from r a join r b on a.topic = b.topic group by all),
+    i as (select r.topic, r.id, r.score, r.n, near from r join o on r.topic = o.topic and r.n = o.n),
+    w as (select topic, 1 as position, n, [n] as picked from i where n = 1
+        union all (select topic, position + 1, m, list_append(picked, m) from (select w.topic, w.position, w.picked, i.n as m, i.score - 0.18 * list_max(list_transform(w.picked, lambda p: i.near[p])) as worth from w join i on i.topic = w.topic and not list_contains(w.picked, i.n))
+            qualify row_number() over (partition by topic order by worth desc, m) = 1))
+    select w.topic, i.id, i.score, w.position from w join i on w.topic = i.topic and w.n = i.n"""
+ORACLES["event_variety"] = """with recursive i as (select dayofmonth(ts) as day, event_id, value as score, event_type as event, row_number() over (partition by dayofmonth(ts) order by value desc, event_id) as n from events qualify n <= 20),
+    w as (select day, max(n) as position, max(n) as n, list(n order by n) as picked, list(event order by n) as seen from i where n <= 2 group by day
+        union all (select day, position + 1, m, list_append(picked, m), list_append(seen, event) from (select w.day, w.position, w.picked, w.seen, i.n as m, i.event, i.score, first_value(i.event) over (partition by w.day order by i.n) as he, first_value(i.score) over (partition by w.day order by i.n) as hs
+            from w join i on i.day = w.day and not list_contains(w.picked, i.n)) qualify row_number() over (partition by day order by case when list_contains(seen, he) and not list_contains(seen, event) and score >= 0.95 * hs then 0 else 1 end, m) = 1))
+    select i.day, i.event_id, w.position from w join i on w.day = i.day and w.n = i.n union all select day, event_id, 1 from i where n = 1 and (select count(*) from i j where j.day = i.day) > 1"""
+
+
+def _intents_sql() -> str:
+    from tessera.functions import patterns as P
+
+    flag = lambda p: f"regexp_matches(text, '(?i){p.replace(chr(39), chr(39) * 2)}')"
+    clause = P.CLAUSE.replace("'", "''")
+    return f"""with u as (select text, {flag(P.PREFERENCE)} as pref, {flag(P.PROCEDURE)} as pro, {flag(P.CURRENT)} as cur, {flag(P.TEMPORAL)} as tem, {flag(P.NEGATIVE)} as neg,
+        len(list_filter(regexp_split_to_array(text, '(?i){clause}'), lambda c: length(trim(c)) >= 3)) > 1 as hop from conversations where role = 'user'),
+    m as (select case when pref then 'preference' when pro then 'procedural' when cur then 'current_state' when tem then 'temporal' when hop then 'multi_hop' else 'factual' end as "primary",
+        case when regexp_matches(text, '[A-Za-z0-9_]+[./\\\\:]{{1,2}}[A-Za-z0-9_]+|[a-z]+_[a-z]+|[a-z][A-Z]|\\(\\)|`') then 'technical' when len(regexp_split_to_array(trim(text), '\\s+')) >= 5 then 'semantic' else 'mixed' end as mode, neg from u)
+    select "primary", mode, count(*) as n, count(*) filter (neg) as negative from m group by all"""
+
+
+ORACLES["planner_intents"] = _intents_sql()

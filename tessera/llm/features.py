@@ -14,6 +14,8 @@ from tessera.llm.text import U64, Words, grams, mix, prefix, utf8, words
 
 BITS = 20
 GRAM = 5
+#: Bytes of text that are scored at once: the arrays made from them stay in a core's cache.
+SLICE = 1 << 17
 
 #: Bytes whose share of a text is a statistic of its own.
 SHARES = [b"\n", b"!", b"?", b"#$%&*", b"|", b".,;:", b"<>{}[]\\", b"@", b"/", b"=_-~^+", b"\"'()`"]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.features import STATISTICS, Sample, placed, presence, select, statistics, training_rows
+from tessera.llm.features import SLICE, STATISTICS, Sample, placed, presence, select, statistics, training_rows
 from tessera.llm.shared import held_out
 from tessera.llm.text import slices
 from tessera.llm.toxicity import sigmoid
@@ -39,8 +39,9 @@ class Machine:
     def score(self, texts: pa.Array, place: np.ndarray) -> np.ndarray:
         n, k = len(texts), STATISTICS
         x = self.dense(statistics(texts)).astype(np.float64)
-        z = self.b + x @ self.w[:k]
-        s, q = x @ self.v[:k], (x**2) @ (self.v[:k] ** 2)
+        # Sums by row, not matrix products, whose rounding depends on how many rows go in: equal texts get equal scores.
+        z = self.b + (x * self.w[:k]).sum(1)
+        s, q = (np.stack([(a * c).sum(1) for c in b.T], 1) for a, b in ((x, self.v[:k]), (x**2, self.v[:k] ** 2)))
         if len(self.chosen):
             row, feature = presence(texts, place, with_grams=False)
             value = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
@@ -95,7 +96,7 @@ def _score(batches: Iterator[pa.RecordBatch], m: Machine) -> Iterator[pa.RecordB
     place = placed(m.chosen)
     for batch in batches:
         text = batch.column("text")
-        for i, j in slices(text):
+        for i, j in slices(text, SLICE):
             score = m.score(text[i:j], place)
             part = batch.slice(i, j - i)
             yield pa.record_batch(
@@ -107,7 +108,7 @@ def _kept(batches: Iterator[pa.RecordBatch], m: Machine) -> Iterator[pa.RecordBa
     place = placed(m.chosen)
     for batch in batches:
         text = batch.column(batch.num_columns - 1)
-        for i, j in slices(text):
+        for i, j in slices(text, SLICE):
             kept = m.score(text[i:j], place) >= THRESHOLD
             yield pa.RecordBatch.from_arrays(batch.slice(i, j - i).filter(pa.array(kept)).columns[:-1], names=batch.schema.names[:-1])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.features import Sample, placed, presence, select, training_rows, unlabelled_rows
+from tessera.llm.features import SLICE, Sample, placed, presence, select, training_rows, unlabelled_rows
 from tessera.llm.shared import FOLDS, held_out
 from tessera.llm.text import slices
 
@@ -73,7 +73,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Record
     place, w = placed(model["codes"]), model["w"]
     for batch in batches:
         text = batch.column("text")
-        for i, j in slices(text):
+        for i, j in slices(text, SLICE):
             row, feature = presence(text[i:j], place)
             score = sigmoid(np.bincount(row, w[feature], j - i) + model["b"])
             part = batch.slice(i, j - i)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 import random
@@ -271,3 +272,37 @@ def test_groups_of_large_buckets_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for block in (4, 16, 1024):
         assert sorted(x.doc_id for x in ngram_join.near_duplicates_removed(df, block=block).collect()) == want
+
+
+def test_long_units_are_drawn_in_blocks(monkeypatch):
+    """A unit of many characters gives the same pieces whatever the size of a block, and all of its text."""
+    v = pieces.vocabulary(pieces.MODEL, 1.0)
+    text = "theremarkablehistoryofinformation" * 40
+    whole, _ = pieces.encode([text], np.ones(1, np.uint64), v, 3)
+    for step in (7, 64, 1000):
+        monkeypatch.setattr(pieces, "STEP", step)
+        got, _ = pieces.encode([text], np.ones(1, np.uint64), v, 3)
+        assert got.tolist() == whole.tolist() and pieces.decode(got.tolist(), v) == text
+
+
+def test_fingerprints_of_rows_that_share_an_id(spark):
+    rows = [(1 if i % 3 else None, t) for i, t in enumerate(texts_of(60))]
+    got = simhash.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = sorted(hashlib.sha256(simhash.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest() for i, (_, t) in enumerate(order))
+    assert sorted(x.edited_sha256 for x in got) == want
+
+
+def test_too_many_domains_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_DOMAINS", 2)
+    docs = spark.createDataFrame([(i, "a b", f"d{i}") for i in range(3)], "doc_id long, text string, domain string")
+    with pytest.raises(ValueError, match="3 domains"):
+        mixing.classifier(docs, docs.select("doc_id", "domain"))
+
+
+def test_scores_do_not_depend_on_what_is_scored_beside():
+    texts = [*texts_of(80), "a b c", "a b c"]
+    m = quality.fit(features.Sample(pa.array([f"w{i % 2} " + (t or "") for i, t in enumerate(texts)]), np.array([i % 2 for i in range(len(texts))], float)), epochs=3)
+    place = features.placed(m.chosen)
+    whole = m.score(pa.array(texts), place)
+    assert whole.tolist() == [m.score(pa.array([t]), place)[0] for t in texts]

@@ -130,7 +130,8 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     p = 2 * partitions(spark)
     order = F.col("doc_id").desc_nulls_last()
-    ranged = own.repartitionByRange(p, order).sortWithinPartitions(order, "text")
+    # The texts' beginnings part rows that share an id, in the order in which they are sorted.
+    ranged = own.repartitionByRange(p, order, F.substring("text", 1, 64)).sortWithinPartitions(order, "text")
     out = stage(ranged.mapInArrow(_pairs_in_order, f"{_RESULT}, part int, kind int, text string"), "simhash-ranges")
     release(spark)
     results = out.where("kind is null").drop("part", "kind", "text")

@@ -30,6 +30,8 @@ from tessera.llm.text import U64, mix, slices, utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110001
 LONG = 32
+#: Positions of a longer unit that are worked on at once.
+STEP = 1 << 16
 #: Bytes of text encoded together: distinct units are fewer the more texts share them.
 SLICE = 1 << 19
 SLOT_BITS, TRIPLE_BITS = 19, 17
@@ -228,30 +230,37 @@ def encode(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int) -> tupl
 
 
 def _long(v: Vocabulary, sums: np.ndarray, start: int, size: int, origin: int, key: np.uint64, seed: int, chosen: np.ndarray) -> None:
-    """The same for one unit of any length, in memory linear in its length."""
-    found = np.full((size + 1, v.most), -1, np.int32)
-    for k in range(1, min(v.most, size) + 1):
-        a = start + np.arange(size - k + 1)
-        found[k:, k - 1] = v.find(v.key((sums[a + k] - sums[a]) * v.inverse[a], np.full(len(a), k)))
-    weight = np.where(found >= 0, v.weight[found], -np.inf)
+    """The same for one unit of any length: beside one number a character only a block of ``STEP`` positions is held."""
+
+    def found(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the positions after a up to b: the weights of the pieces of each length that end there, and their places in the vocabulary."""
+        at = np.full((b - a, v.most), -1, np.int32)
+        for k in range(1, min(v.most, b) + 1):
+            end = np.arange(max(a + 1, k), b + 1)
+            c = start + end - k
+            at[end - a - 1, k - 1] = v.find(v.key((sums[c + k] - sums[c]) * v.inverse[c], np.full(1, k)))
+        return np.where(at >= 0, v.weight[at], -np.inf), at
+
     alpha = np.full(size + 1, -np.inf)
     alpha[0] = 0
-    chance = np.zeros((size + 1, v.most))
-    for end in range(1, size + 1):
-        k = min(end, v.most)
-        score = alpha[end - k : end][::-1] + weight[end, :k]
-        top = score.max()
-        p = np.exp(score - top)
-        total = p.sum()
-        alpha[end] = top + np.log(total)
-        chance[end, :k] = np.cumsum(p) / total
-        chance[end, k:] = 1
-    draws = _uniform(seed, np.full(size + 1, key), start - origin + np.arange(size + 1))
+    for a in range(0, size, STEP):
+        weight, _ = found(a, min(a + STEP, size))
+        for end in range(a + 1, min(a + STEP, size) + 1):
+            k = min(end, v.most)
+            score = alpha[end - k : end][::-1] + weight[end - a - 1, :k]
+            top = score.max()
+            alpha[end] = top + np.log(np.exp(score - top).sum())
     pos = size
-    while pos:
-        k = min(int((chance[pos] <= draws[pos]).sum()), v.most - 1)
-        chosen[start + pos - k - 1] = v.ids[found[pos, k]]
-        pos -= k + 1
+    for a in range((size - 1) // STEP * STEP, -1, -STEP):
+        b = min(a + STEP, size)
+        weight, at = found(a, b)
+        draws = _uniform(seed, np.full(b - a, key), start - origin + np.arange(a + 1, b + 1))
+        while pos > a:
+            k = min(pos, v.most)
+            p = np.cumsum(np.exp(alpha[pos - k : pos][::-1] + weight[pos - a - 1, :k] - alpha[pos]))
+            k = min(int((p / p[-1] <= draws[pos - a - 1]).sum()), k - 1)
+            chosen[start + pos - k - 1] = v.ids[at[pos - a - 1, k]]
+            pos -= k + 1
 
 
 def decode(ids: list[int], v: Vocabulary) -> str:

@@ -9,7 +9,7 @@ aggregation of K + K * K sums and keeps nothing for a document but its posterior
 
 Contract. A word is a run of letters and digits in lower case. Null and empty texts have no tokens and the prior as
 posteriors. The classifier is trained on up to about ``labelled`` labelled rows, drawn by a hash of doc_id; a labelled
-doc_id with several domains takes the smallest. Domains without labelled rows can't be targeted: their weight is left
+doc_id with several domains takes the smallest. More than ``MOST_DOMAINS`` domains are an error. Domains without labelled rows can't be targeted: their weight is left
 out and the others are scaled up. Without labelled rows all rates are 1. Rows that repeat get equal rates. Where no rates
 reach the targets the nearest totals that the steps found are kept.
 """
@@ -26,6 +26,8 @@ from tessera.llm.shared import drawn
 from tessera.plans.staging import stage
 
 BUCKETS = 4096
+#: Domains that a mixture may have: the classifier has BUCKETS numbers for each, and the Gram matrix one for each pair.
+MOST_DOMAINS = 256
 #: A document's evidence counts as that of so many tokens at most, which keeps memberships soft.
 EVIDENCE = 10
 STEPS = 12
@@ -47,7 +49,9 @@ def _array(values: list[float]):
 def classifier(docs: DataFrame, domains: DataFrame, labelled: int = 4_000) -> tuple[list[str], list[float], list[list[float]]]:
     """(domains, log priors, for each domain the log chance of each word bucket), from domains(doc_id, domain)."""
     known = domains.select(F.col("doc_id").alias("_id"), F.col("domain").cast("string").alias("domain")).dropna().groupBy("_id").agg(F.min("domain").alias("domain"))
-    total = known.count()
+    total, kinds = known.agg(F.count("*"), F.count_distinct("domain")).first()
+    if kinds > MOST_DOMAINS:
+        raise ValueError(f"{kinds} domains; group them into {MOST_DOMAINS} at most")
     sample = drawn(docs.select("doc_id", "text"), total, labelled, "doc_id").join(drawn(known, total, labelled, "_id"), F.col("doc_id") == F.col("_id"))
     counted = sample.select("domain", F.explode(_buckets(F.col("text"))).alias("b")).groupBy("domain", "b").count().collect()  # BUCKETS rows a domain at most
     sizes = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}

@@ -99,19 +99,20 @@ def greedy_budget(rows: DataFrame, group: str, length: str, order: list[str], bu
     ``order`` columns ascend. The greedy choice is a fold over each group's ordered lengths, so it stays in the JVM; a
     group is a query's candidate list and so is bounded.
     """
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("rows"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    item = "struct<" + ",".join([f"{o}:{kinds[o]}" for o in order] + ["_len:int"]) + ">"
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.array().cast(f"array<{item}>").alias("rows"))
 
     def step(acc, x):
         fits = (acc["used"] + x["_len"] <= budget) & (acc["n"] < most)
         return F.struct(
             F.when(fits, acc["used"] + x["_len"]).otherwise(acc["used"]).alias("used"), F.when(fits, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-            F.when(fits, F.array_append(acc["rows"], x["_row"])).otherwise(acc["rows"]).alias("rows"),
+            F.when(fits, F.array_append(acc["rows"], x)).otherwise(acc["rows"]).alias("rows"),
         )
 
     picked = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*[F.col(o) for o in order], F.col(length).cast("int").alias("_len")))).alias("_all"))
-    indexed = picked.withColumn("_all", F.transform("_all", lambda x, i: F.struct(*[x[o].alias(o) for o in order], x["_len"].alias("_len"), i.cast("bigint").alias("_row"))))
-    kept = indexed.withColumn("_kept", F.aggregate("_all", start, step)["rows"])
-    return kept.select(group, F.explode(F.filter("_all", lambda x: F.array_contains(F.col("_kept"), x["_row"]))).alias("x")).select(group, *[F.col(f"x.{o}").alias(o) for o in order], F.col("x._len").alias(length))
+    kept = picked.select(group, F.aggregate("_all", start, step)["rows"].alias("_kept"))
+    return kept.select(group, F.explode("_kept").alias("x")).select(group, *[F.col(f"x.{o}").alias(o) for o in order], F.col("x._len").alias(length))
 
 
 def mmr(rows: DataFrame, group: str, key: str, score: str, words: str, weight: float = 0.18, most: int = 40) -> DataFrame:

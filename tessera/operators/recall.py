@@ -77,13 +77,15 @@ def expanded(query: str, mode: str = "auto", most: int | None = None) -> list[st
 
 
 def classified(queries: DataFrame, text: str = "query") -> DataFrame:
-    """queries with their intent and flags, as columns: for tables of queries."""
-    q = F.col(text)
+    """queries with their intent and flags, as columns, by the same rules as ``intent``: for tables of queries."""
+    edge = " \t\r\n,.;:!?-"
+    q = F.substring(F.btrim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " "), F.lit(edge)), 1, 500)
     flag = lambda pattern: F.coalesce(q.rlike("(?iU)" + pattern), F.lit(False))
-    clauses = F.size(F.filter(F.split(F.coalesce(q, F.lit("")), "(?iU)" + P.CLAUSE), lambda c: F.length(F.trim(c)) >= 3))
+    clauses = F.size(F.filter(F.split(q, "(?iU)" + P.CLAUSE), lambda c: F.length(F.btrim(c, F.lit(edge))) >= 3))
+    russian = F.pandas_udf(lambda column: column.map(lambda t: t is not None and _russian_endpoint(t)), "boolean")(F.when(q.rlike("[а-яА-ЯёЁ]"), q))
     out = queries.withColumns({
-        "preference": flag(P.PREFERENCE), "procedural": flag(P.PROCEDURE), "current_state": flag(P.CURRENT), "temporal": flag(P.TEMPORAL),
-        "multi_hop": clauses > 1, "negative_premise": flag(P.NEGATIVE),
+        "preference": flag(P.PREFERENCE), "procedural": flag(P.PROCEDURE), "current_state": flag(P.CURRENT), "temporal": flag(P.TEMPORAL) | russian,
+        "multi_hop": (clauses > 1) | (F.regexp_count(q, F.lit("(?U)" + P.QUOTED)) > 1), "negative_premise": flag(P.NEGATIVE),
     })
     primary = F.lit("factual")
     for name in ("multi_hop", "temporal", "current_state", "procedural", "preference"):

@@ -110,7 +110,7 @@ def pending(chunks: DataFrame, embedded: DataFrame, key: str, digest: str) -> Da
 
 
 #: Rows of a block of queries, and of a chunk of vectors.
-ASKED, CHUNK = 512, 8_192
+ASKED, CHUNK = 2_048, 16_384
 
 
 def nearest_by_cosine(vectors: DataFrame, key: str, vector: str, every: int, k: int) -> DataFrame:

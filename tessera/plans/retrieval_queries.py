@@ -403,10 +403,11 @@ def _intents_sql() -> str:
 
     flag = lambda p: f"regexp_matches(text, '(?i){p.replace(chr(39), chr(39) * 2)}')"
     clause = P.CLAUSE.replace("'", "''")
-    return f"""with u as (select text, {flag(P.PREFERENCE)} as pref, {flag(P.PROCEDURE)} as pro, {flag(P.CURRENT)} as cur, {flag(P.TEMPORAL)} as tem, {flag(P.NEGATIVE)} as neg,
-        len(list_filter(regexp_split_to_array(text, '(?i){clause}'), lambda c: length(trim(c)) >= 3)) > 1 as hop from conversations where role = 'user'),
+    return f"""with t as (select text as whole, substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), chr(32) || chr(9) || chr(13) || chr(10) || ',.;:!?-'), 1, 500) as text from conversations where role = 'user'),
+    u as (select whole, {flag(P.PREFERENCE)} as pref, {flag(P.PROCEDURE)} as pro, {flag(P.CURRENT)} as cur, {flag(P.TEMPORAL)} as tem, {flag(P.NEGATIVE)} as neg,
+        len(list_filter(regexp_split_to_array(text, '(?i){clause}'), lambda c: length(trim(c, chr(32) || ',.;:!?-')) >= 3)) > 1 or len(regexp_extract_all(text, '{P.QUOTED.replace(chr(39), chr(39) * 2)}')) > 1 as hop from t),
     m as (select case when pref then 'preference' when pro then 'procedural' when cur then 'current_state' when tem then 'temporal' when hop then 'multi_hop' else 'factual' end as "primary",
-        case when regexp_matches(text, '[A-Za-z0-9_]+[./\\\\:]{{1,2}}[A-Za-z0-9_]+|[a-z]+_[a-z]+|[a-z][A-Z]|\\(\\)|`') then 'technical' when len(regexp_split_to_array(trim(text), '\\s+')) >= 5 then 'semantic' else 'mixed' end as mode, neg from u)
+        case when regexp_matches(whole, '[A-Za-z0-9_]+[./\\\\:]{{1,2}}[A-Za-z0-9_]+|[a-z]+_[a-z]+|[a-z][A-Z]|\\(\\)|`') then 'technical' when len(regexp_split_to_array(trim(whole), '\\s+')) >= 5 then 'semantic' else 'mixed' end as mode, neg from u)
     select "primary", mode, count(*) as n, count(*) filter (neg) as negative from m group by all"""
 
 

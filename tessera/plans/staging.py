@@ -62,6 +62,8 @@ def release(spark: SparkSession) -> None:
     import gc
     import time
 
+    if not hasattr(spark.sparkContext, "_jvm"):  # a client without the driver's JVM
+        return
     for _ in range(2):
         gc.collect()
         time.sleep(0.2)

@@ -150,3 +150,24 @@ def test_formulas_by_row(spark):
     rows = spark.createDataFrame([(1, {"A1": "2", "A2": "x", "A3": "=SUM(A1:A2)+1", "A4": "=A1/0", "A5": "=A5"})], "id long, cells map<string,string>")
     got = {r.cell: (r.value, r.refers) for r in spreadsheet.evaluated_rows(rows, ["id"]).collect()}
     assert float(got["A3"][0]) == 3 and got["A3"][1] == ["A1:A2"] and got["A4"][0] is None and got["A5"][0] is None
+
+
+def test_intents_agree_in_both_forms(spark):
+    from tessera.operators import recall
+
+    asked = [
+        "what do I prefer?", "where did we go and who came along", 'the "first one" or the "second one"', "что было с 5 мая", "что было с 31.02.2024", "до 2023-13-01", "до 12.11.2023 работало", "never mind the rest", "",
+        "  how do I   deploy this?  ", None, "when was it, before 2020 or after", "a" * 600 + " and then something else", "ok", "current state of the port",
+    ]
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "i long, query string")
+    flags = ("primary", "preference", "procedural", "current_state", "temporal", "multi_hop", "negative_premise")
+    for r in recall.classified(rows).collect():
+        want = recall.intent(asked[r.i] or "")
+        assert {k: r[k] for k in flags} == {k: want[k] for k in flags}, asked[r.i]
+
+
+def test_greedy_budgets_skip_what_does_not_fit(spark):
+    from tessera.operators import fusion
+
+    rows = spark.createDataFrame([("g", i, n) for i, n in enumerate([5, 9, 3, 2, 1, 1])] + [("h", 0, 50)], "g string, i long, n int")
+    assert sorted((r.g, r.i, r.n) for r in fusion.greedy_budget(rows, "g", "n", ["i"], 10, 3).collect()) == [("g", 0, 5), ("g", 2, 3), ("g", 3, 2)]

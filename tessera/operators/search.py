@@ -30,8 +30,8 @@ def event_query(events: DataFrame, reader: access.Principal, query: str, now: in
 
 
 def _shown(found: DataFrame, limit: int, chars: int) -> DataFrame:
-    clean = T.sanitized(T.redacted(F.col("content")), 200_000)
-    fit = found.withColumn("content", clean).where((F.col("content") != P.FILTERED) & (F.col("content") != ""))
+    clean = found.withColumn("content", T.redacted(F.col("content")))
+    fit = clean.withColumn("content", T.sanitized(F.col("content"), 200_000)).where((F.col("content") != P.FILTERED) & (F.col("content") != ""))
     return fit.orderBy("position").limit(limit).withColumn("content", T.excerpt(F.col("content"), chars))
 
 
@@ -129,8 +129,8 @@ def common_term_window(events: DataFrame, query: str, order: str, limit: int, fr
 
 def prefetched(hits: DataFrame, heading: str, most_items: int = 6, chars: int = 8_000) -> DataFrame:
     """One row with a context block of the best hits(id, kind, text, score), or an empty text without hits: a heading, then a line and an excerpt for each."""
-    best = hits.orderBy(F.desc("score"), "id").limit(most_items)
-    excerpt = F.substring(F.trim(F.regexp_replace(T.sanitized(T.redacted(F.col("text")), 200_000), r"\s+", " ")), 1, 900)
+    best = hits.orderBy(F.desc("score"), "id").limit(most_items).withColumn("text", T.redacted(F.col("text"))).withColumn("text", T.sanitized(F.col("text"), 200_000))
+    excerpt = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 900)
     line = F.concat(F.lit("- ["), "kind", F.lit("] "), "id", F.lit(" score="), F.format_number("score", 5), F.when(excerpt != "", F.concat(F.lit("\n  "), excerpt)).otherwise(""))
     rows = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", line.alias("line")))).alias("all"))  # most_items rows
     whole = F.concat(F.lit(heading + "\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n"))

@@ -22,9 +22,10 @@ def event_stream(spark: SparkSession, folder: str, schema, files_per_batch: int
 
 def captured(events: DataFrame, content: str = "content", most: int = 4000) -> DataFrame:
     """Events fit to keep: none that is all secret; secrets redacted, instructions filtered, long texts cut to head and tail. Batch or stream."""
-    clean = T.redacted(F.col(content))
-    kept = events.where(F.length(F.regexp_replace(clean, r"<REDACTED[A-Z_]*>|\s", "")) > 0)
-    whole = kept.withColumn("source_length", F.length(content)).withColumn(content, T.excerpt(T.sanitized(clean, 200_000), most))
+    # Each step is a column of its own: the guard names its text many times over.
+    clean = events.withColumn("_clean", T.redacted(F.col(content))).withColumn("source_length", F.length(content))
+    kept = clean.where(F.length(F.regexp_replace("_clean", r"<REDACTED[A-Z_]*>|\s", "")) > 0)
+    whole = kept.withColumn("_shown", T.sanitized(F.col("_clean"), 200_000)).withColumn(content, T.excerpt(F.col("_shown"), most)).drop("_clean", "_shown")
     return whole.withColumn("truncated", F.col("source_length") > most).withColumn("content_hash", F.sha2(content, 256))
 
 

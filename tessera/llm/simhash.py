@@ -30,6 +30,9 @@ from tessera.llm.text import U64, grams, mix, slices, utf8, words
 from tessera.plans.staging import partitions, release, stage
 
 WORDS = 128
+#: Bits. Of texts of 600 to 2,500 characters with a Jaccard similarity of .95, .9, .85 and .8 or more on five-word shingles (up to
+#: the next step) 94, 75, 49 and 29 % lie within it; within 5 bits it was 68, 36, 16 and 6 %, within 12 it would be 100, 96, 87 and 71 %.
+RADIUS = 8
 BLOCK = 2048
 
 
@@ -194,7 +197,7 @@ def _near(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
             yield pa.record_batch({"f0": fp[has, 0].view(np.int64), "f1": fp[has, 1].view(np.int64), "links": links[has]})
 
 
-def within_radius(prints: DataFrame, radius: int = 5) -> DataFrame:
+def within_radius(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(f0, f1, n_near) for each distinct fingerprint of prints(f0, f1): how many other rows lie within the radius."""
     spark = prints.sparkSession
     p = partitions(spark)
@@ -211,7 +214,7 @@ def within_radius(prints: DataFrame, radius: int = 5) -> DataFrame:
     return distinct.join(links, ["f0", "f1"], "left").select("f0", "f1", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_near"))
 
 
-def document_fingerprints(docs: DataFrame, radius: int = 5) -> DataFrame:
+def document_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """For each row of docs(doc_id, text): with_neighbours' columns, the fingerprint as text, and n_near."""
     compared = stage(with_neighbours(docs), "simhash-compared")
     near = stage(within_radius(compared.select("f0", "f1"), radius), "simhash-near")

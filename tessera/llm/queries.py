@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, html_extract, line_dedup, mixing, ngram_join, pieces, quality, simhash, toxicity, url_filter
+from tessera.llm import ann, bpe, html_extract, line_dedup, mixing, ngram_join, pieces, quality, repair, simhash, toxicity, url_filter, whitening
 from tessera.llm.shared import table
 
 
@@ -65,6 +65,20 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"))
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return encoded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.repaired(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
 #: Words as in text.py: lowered, ASCII letters, digits and underscores and everything outside ASCII.
 _SHINGLES = r"""
 words as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+') as w from documents),
@@ -135,6 +149,47 @@ select o.page_id, o.url, o.fetched, b.hit is not null as blocked, b.hit[2] as ru
 from own o left join best b on o.url = b.url and o.fetched = b.fetched
 """
 
+#: A step of the recursion takes a row, after up to two inserts; costs and audits are compared as they are, whole.
+ORACLES["op13_conversation_repair"] = r"""
+with recursive own as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+coded as (select k, xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(k, ''), lambda x: ascii(x)::ubigint)),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)::ubigint[]), lambda d, y: xor(d >> 1, 3988292384::ubigint * (d & 1))))) % 20 as z from (select distinct k from own)),
+ids as (select conv_id, row_number() over () as c from (select distinct conv_id from conversations)),
+damaged as (select c, turn, case when z = 4 then 'user' else role end as role, case when z = 1 then '' when z = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when z = 3 then [0, 1] else [0] end) from own join coded using (k) join ids on own.conv_id is not distinct from ids.conv_id where z <> 0),
+seen as (select *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as e, left(role, 1) as f,
+    row_number() over (partition by c, role, text order by turn nulls first) > 1 as again from damaged),
+numbered as (select *, row_number() over (partition by c order by turn nulls first, role, text, again) as i from seen),
+marked as (select *, case when e = '' then 'b' when again then 'd' when right(e, 1) in ('.', '!', '?') then 'f' else 't' end as fault,
+    lag(f) over (partition by c order by i) || f not in ('su', 'ua', 'au') as illegal from numbered),
+inserted(state, letters, now) as (values (0, '', 0), (0, 'I', 2), (0, 'II', 3), (1, '', 1), (1, 'I', 2), (1, 'II', 3), (2, '', 2), (2, 'I', 3), (2, 'II', 2), (3, '', 3), (3, 'I', 2), (3, 'II', 3)),
+moves(now, f, after) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edits as (
+    select now, 'D' as edit, null as f, 3 as cost, now as after from (values (0), (1), (2), (3)) v(now)
+    union all select now, 'K', f, 0, after from moves union all select now, 'R', null, 2, after from moves where f <> 's'),
+dp as (
+    select c, 0::bigint as i, 0 as state, 0::bigint as cost, '' as audit from ids
+    union all
+    select c, i, state, best.cost, best.audit from (
+        select d.c, m.i, x.after as state, min({'cost': d.cost + 2 * length(n.letters) + x.cost + (case when m.fault = 't' and x.edit <> 'D' then 1 else 0 end), 'audit': d.audit || n.letters || x.edit}) as best
+        from dp d join marked m on m.c = d.c and m.i = d.i + 1 join inserted n on n.state = d.state
+        join edits x on x.now = n.now and (x.edit <> 'K' or x.f = m.f) and (x.edit = 'D' or m.fault not in ('b', 'd')) group by all)),
+closed(state, letters) as (values (0, ''), (1, 'II'), (2, 'I'), (3, '')),
+size as (select c, max(i) as n from dp group by c),
+answer as (select c, min({'cost': cost + 2 * length(letters), 'audit': audit || letters}) as best from dp join size using (c) join closed using (state) where i = n group by c),
+letters as (select c, unnest(string_split(best.audit, '')) as x, unnest(range(1, length(best.audit) + 1)) as p from answer where best.audit <> ''),
+placed as (select *, count(*) filter (x <> 'I') over w as i, count(*) filter (x <> 'D') over w as o, count(*) filter (x <> 'D') over (partition by c) as m
+    from letters window w as (partition by c order by p)),
+repaired as (select p.c, string_agg((case when x = 'K' then r.role when (o - m % 2) % 2 = 1 then 'user' else 'assistant' end) || ':' || (case when x = 'I' then '' else r.text end), chr(10) order by p) as whole
+    from placed p left join marked r on r.c = p.c and r.i = p.i where x <> 'D' group by p.c),
+told as (select c, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+    count(*) filter (illegal) as illegal from marked group by c)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    best.cost as cost, best.audit as audit, sha256(coalesce(whole, '')) as repaired_sha256
+from ids join answer using (c) left join told using (c) left join repaired using (c)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}

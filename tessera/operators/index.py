@@ -1,35 +1,79 @@
-"""An inverted index: staged postings sorted by term, so that a query reads those of its terms and no text.
+"""An inverted index in segments: postings sorted by term, so that a question reads those of its terms and no text.
 
-Building splits every text once and shuffles its words, by term and a part of the row's id: a word that stands in a third
-of all rows is dealt over ``PARTS`` places. Files are sorted by term with small pages, so the reader skips all pages
-but those of the terms asked for. A query counts its terms' postings, adds up the scores of each row, and keeps
-the best rows; texts are read for those alone.
+Building splits every text once, counts words within the row, and shuffles one row for each different word of a text, by term
+and a part of the row's id: a word that stands in a third of all rows is dealt over as many places as its task count asks.
+Files are sorted by term with small pages, so the reader skips all pages but those of the terms asked for.
+
+An index is a value. New rows make a segment of their own (``added``), rows that go are kept in a deletion set (``without``), and
+small segments are merged now and then; what is old isn't read again. Rows, words and document frequencies always count live
+rows only, so answers are those of an index built anew. ``of`` follows a folder: only files that are new are read.
+
+Questions come as lists of terms (``best``) or as a table (``answers``): then terms meet postings in a join, whose plan doesn't
+depend on how many questions there are. Common terms would make that join as large as questions times rows, so it is pruned
+without loss: the k-th best score by a question's rarest terms bounds its final k-th score from below, and a row that only has
+terms which together can't reach that bound can't be among the k best. Only such rows are left out.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import OrderedDict
+from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import lexical
-from tessera.plans.staging import partitions, stage
+from tessera.operators.lexical import K1, WORDS, Analyzer, B
+from tessera.plans.staging import discard, partitions, stage
 
-PARTS = 32
+#: Places that a term is dealt over, for each shuffle partition; segments that may stay unmerged; indexes that a session keeps.
+SPREAD, SEGMENTS, KEPT = 4, 8, 24
+LAYOUT = {"parquet.block.size": str(8 << 20), "parquet.page.size": str(64 << 10)}
 
 
 @dataclass(frozen=True)
-class Index:
-    """postings(term, id, length, tf), the number of rows, and their mean length."""
+class Segment:
+    """postings(term, id, length, tf), with one of the empty term for each row, the number of live rows and words, and the ids that were deleted."""
 
     postings: DataFrame
     rows: int
-    length: float
+    words: int
+    deleted: DataFrame | None = None
+
+    @property
+    def documents(self) -> DataFrame:
+        """(id, length) of all rows, deleted ones too."""
+        return self.postings.where("term = ''").select("id", "length")
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        return rows if self.deleted is None else rows.join(self.deleted, "id", "left_anti")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Segments and the analyzer that cut their texts."""
+
+    segments: tuple[Segment, ...]
+    analyzer: Analyzer = WORDS
+
+    @property
+    def rows(self) -> int:
+        return sum(s.rows for s in self.segments)
+
+    @property
+    def length(self) -> float:
+        """Mean words of a row."""
+        return sum(s.words for s in self.segments) / self.rows if self.rows else 1.0
+
+    def postings(self, wanted: Column | None = None) -> DataFrame:
+        """Live postings; wanted: a predicate on term, which reaches the files."""
+        asked = F.col("term") != "" if wanted is None else wanted
+        return reduce(DataFrame.unionByName, [s.live(s.postings.where(asked)) for s in self.segments])
 
     def counted(self, terms: list[str]) -> tuple[DataFrame, list[int]]:
         """(rows with any of the terms: id, _n, _f) and the terms' document frequencies; at most a number a term reaches the driver."""
-        own = self.postings.where(F.col("term").isin(terms) if terms else F.lit(False))
+        own = self.postings(F.col("term").isin(terms) if terms else F.lit(False))
         df = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.count("*").alias("n")).collect()}
         found = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)) for t in terms]
         # Counts are gathered before scores are added up, always in the order of the terms, so equal rows score the same.
@@ -59,25 +103,148 @@ class Index:
         """id, pass_no, position, score, matched, as ``lexical.two_pass`` gives them with ties by id."""
         return lexical.two_pass_scored(self.bm25(terms), "id", terms, n, F.col("id"))
 
-
-def build(rows: DataFrame, key: str, text: str, name: str = "index") -> Index:
+    def answers(self, questions: DataFrame, k: int, key: str = "query_id", text: str = "query", most_terms: int = 12) -> DataFrame:
+        """(key, id, score, rank): the k best rows of every question (key, text), by score rounded to nine digits, ties by id.
+
+        A question's first ``most_terms`` different terms count; keys must be unique. Questions without a term that occurs have no rows.
+        """
+        cut = questions.select(F.col(key).alias("_q"), F.slice(F.array_distinct(self.analyzer.tokens(text)), 1, most_terms).alias("_t"))
+        asked = cut.select("_q", F.posexplode("_t").alias("_p", "term"))
+        own = self.postings().join(asked.select("term").distinct(), "term", "left_semi")
+        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(self.length)))
+        own = own.withColumn("impact", impact)
+        n = F.lit(self.rows)
+        per = own.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("_top"))
+        per = per.withColumn("idf", F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))))
+        known = asked.join(per, "term").withColumn("_most", F.col("idf") * F.col("_top") * (1 + 1e-9))
+        # The rarest terms, until k rows have them: the k-th best score by these alone is a bound for the final one.
+        rare = Window.partitionBy("_q").orderBy("df", "_p").rowsBetween(Window.unboundedPreceding, -1)
+        known = stage(known.withColumn("_rare", F.coalesce(F.sum("df").over(rare), F.lit(0)) < k), "questions-terms")
+        part = known.where("_rare").join(own, "term").groupBy("_q", "id").agg(F.sum(F.col("idf") * F.col("impact")).alias("s"))
+        place = Window.partitionBy("_q").orderBy(F.desc("s"))
+        bound = part.withColumn("_r", F.row_number().over(place)).where(F.col("_r") == k).select("_q", (F.col("s") * (1 - 1e-9) - 2e-9).alias("_bound"))
+        # Terms by what they can add at most, the least first: those that together stay below the bound bring in no row.
+        rising = Window.partitionBy("_q").orderBy("_most", "_p").rowsBetween(Window.unboundedPreceding, 0)
+        judged = known.withColumn("_sum", F.sum("_most").over(rising)).join(bound, "_q", "left")
+        judged = judged.withColumn("_needed", F.col("_bound").isNull() | (F.col("_sum") >= F.col("_bound")))
+        needed = judged.where("_needed").join(own.select("term", "id", "impact"), "term").select("_q", "id", "_p", (F.col("idf") * F.col("impact")).alias("c"))
+        # The other terms only add to rows that are in already, so they meet postings on term and id.
+        rest = needed.select("_q", "id").distinct().join(judged.where("not _needed").select("_q", "_p", "term", "idf"), "_q")
+        rest = rest.join(own.select("term", "id", "impact"), ["term", "id"]).select("_q", "id", "_p", (F.col("idf") * F.col("impact")).alias("c"))
+        parts = needed.unionByName(rest).groupBy("_q", "id").agg(F.array_sort(F.collect_list(F.struct("_p", "c"))).alias("_c"))  # most_terms at most
+        scored = parts.select("_q", "id", F.round(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x["c"]), 9).alias("score"))
+        w = Window.partitionBy("_q").orderBy(F.desc("score"), "id")
+        out = stage(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("_q", key), "answers")
+        discard(known)
+        return out
+
+    def added(self, rows: DataFrame, key: str, text: str, name: str = "index") -> Index:
+        """With new rows, whose ids no live row has; only they are read."""
+        return replace(self, segments=(*self.segments, segment(rows, key, text, name, self.analyzer))).merged(name)
+
+    def without(self, ids: DataFrame, name: str = "index") -> Index:
+        """Without the rows of ids(id); ids that aren't there change nothing. Postings aren't read."""
+        out = []
+        gone = stage(ids.select("id").where("id is not null").distinct(), f"{name}-deleted")
+        for s in self.segments:
+            lost = s.live(s.documents).join(gone, "id", "left_semi").select("id", "length")
+            n, words = lost.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+            if n:
+                mine = lost.select("id") if s.deleted is None else lost.select("id").unionByName(s.deleted)
+                s = replace(s, rows=s.rows - n, words=s.words - words, deleted=stage(mine, f"{name}-deleted"))
+            out.append(s)
+        discard(gone)
+        return replace(self, segments=tuple(out))
+
+    def replaced(self, rows: DataFrame, key: str, text: str, name: str = "index") -> Index:
+        """With rows in the place of those of the same ids, and those that are new."""
+        return self.without(rows.select(F.col(key).alias("id")), name).added(rows, key, text, name)
+
+    def merged(self, name: str = "index", most: int = SEGMENTS) -> Index:
+        """With the smaller half of the segments made one, and their deleted rows gone for good, if there are more than ``most``.
+
+        A row is so written again once for each doubling of what it is merged with.
+        """
+        if len(self.segments) <= most:
+            return self
+        order = sorted(self.segments, key=lambda s: s.rows)
+        small = Index(tuple(order[: len(order) // 2 + 1]), self.analyzer)
+        whole = Segment(_written(small.postings(F.lit(True)), name), small.rows, sum(s.words for s in small.segments))
+        return replace(self, segments=(*[s for s in self.segments if all(s is not x for x in small.segments)], whole))
+
+    def discard(self) -> None:
+        """Delete the staged tables; nothing may read the index afterwards."""
+        for s in self.segments:
+            discard(s.postings, *([s.deleted] if s.deleted is not None else []))
+
+
+def _written(postings: DataFrame, name: str) -> DataFrame:
+    """Postings by term, each term dealt over several places by the row's id, in sorted files."""
+    n = partitions(postings.sparkSession)
+    dealt = postings.repartition(n, "term", F.pmod(F.xxhash64("id"), F.lit(SPREAD * n)))
+    return stage(dealt.select("term", "id", "length", "tf").sortWithinPartitions("term", "id"), name, LAYOUT)
+
+
+def segment(rows: DataFrame, key: str, text: str, name: str, analyzer: Analyzer) -> Segment:
+    """The rows' segment. Equal words of a row are next to each other once sorted, so their ends give the counts without a shuffle."""
+    words = rows.select(F.col(key).alias("id"), F.array_sort(analyzer.tokens(text)).alias("_t")).withColumn("length", F.size("_t"))
+    ends = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == F.col("length") - 1) | (F.get("_t", i) != F.get("_t", i + 1)))
+    words = words.withColumn("_e", F.when(F.col("length") > 0, ends).otherwise(F.array().cast("array<int>")))
+
+    def counted(end: Column, i: Column) -> Column:
+        return F.struct(F.get("_t", end).alias("term"), (end - F.when(i == 0, F.lit(-1)).otherwise(F.get("_e", i - 1))).cast("long").alias("tf"))
+
+    row = F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")))
+    each = words.select("id", "length", F.explode(F.concat(row, F.transform("_e", counted))).alias("_w"))
+    postings = _written(each.select("_w.term", "id", "length", "_w.tf"), name)
+    n, total = postings.where("term = ''").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return Segment(postings, n, total)
+
+
+def build(rows: DataFrame, key: str, text: str, name: str = "index", analyzer: Analyzer = WORDS) -> Index:
     """The index of rows(key, text). Statistics are those of all rows, empty ones too."""
-    spark = rows.sparkSession
-    words = rows.select(F.col(key).alias("id"), lexical.tokens(text).alias("_t"))
-    each = words.select("id", F.size("_t").alias("length"), F.explode("_t").alias("term")).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
-    dealt = each.repartition(partitions(spark), "term", "_part").groupBy("term", "_part", "id", "length").agg(F.count("*").alias("tf"))
-    postings = stage(dealt.select("term", "id", "length", "tf").sortWithinPartitions("term", "id"), name, {"parquet.block.size": str(8 << 20), "parquet.page.size": str(64 << 10)})
-    total, n = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0], rows.count()
-    return Index(postings, n, total / n if n else 1.0)
-
-
-_BUILT: dict[tuple, Index] = {}
-
-
-def of(rows: DataFrame, key: str, text: str, name: str) -> Index:
-    """The index of rows, built when it is first asked for in a session and again when the files below rows have changed."""
-    files = tuple(sorted(rows.inputFiles()))
-    at = (rows.sparkSession.sparkContext.applicationId, name, key, text, files, rows.semanticHash())
-    if at not in _BUILT:
-        _BUILT[at] = build(rows, key, text, f"index-{name}")
-    return _BUILT[at]
+    return Index((segment(rows, key, text, name, analyzer),), analyzer)
+
+
+@dataclass
+class _Followed:
+    """An index of a folder's files, and the files of each of its segments."""
+
+    index: Index
+    files: list[frozenset[str]]
+
+
+_BUILT: OrderedDict[tuple, _Followed] = OrderedDict()
+
+
+def of(spark: SparkSession, path: str, rows, key: str, text: str, name: str, analyzer: Analyzer = WORDS) -> Index:
+    """The index of the table at a path, kept for the session and brought up to date by the files that have come and gone.
+
+    rows: from the table, or a part of it, to the rows to index; a row must follow from one row. A segment stays as long as all its files
+    are there; the files of the others, and new ones, are read into a new segment. Files aren't rewritten under their names,
+    as with Spark's writers. Of the indexes that a session asks for, the ``KEPT`` latest stay; the tables of others are deleted.
+    """
+    table = spark.read.parquet(path)
+    now = frozenset(table.inputFiles())
+    at = (spark.sparkContext.applicationId, name, path, key, text, analyzer)
+    held = _BUILT.pop(at, None)
+    if held is None:
+        held = _Followed(build(rows(table), key, text, f"index-{name}", analyzer), [now])
+    elif frozenset().union(*held.files) != now:
+        own = [(s, f) for s, f in zip(held.index.segments, held.files, strict=True) if f <= now]
+        fresh = now.difference(*[f for _, f in own])
+        kept = replace(held.index, segments=tuple(s for s, _ in own))
+        if fresh or not own:
+            new = rows(spark.read.schema(table.schema).parquet(*sorted(fresh)) if fresh else table.limit(0))
+            kept = replace(kept, segments=(*kept.segments, segment(new, key, text, f"index-{name}", analyzer)))
+            own.append((kept.segments[-1], fresh))
+        whole = kept.merged(f"index-{name}")
+        gone = [(s, f) for s, f in own if all(s is not x for x in whole.segments)]
+        files = [next((f for s, f in own if s is x), frozenset().union(*[f for _, f in gone])) for x in whole.segments]
+        for s in [*[s for s, _ in gone], *[s for s in held.index.segments if all(s is not x for x, _ in own)]]:
+            Index((s,)).discard()
+        held = _Followed(whole, files)
+    _BUILT[at] = held
+    while len(_BUILT) > KEPT:
+        _BUILT.popitem(last=False)[1].index.discard()
+    return held.index

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{M}\p{Nd}_]+"
-CODE_WORD = r"[\p{L}\p{M}\p{Nd}_./:@#$-]+"
 K1, B = 1.2, 0.75
 
 
@@ -23,6 +25,59 @@ def tokens(text: Column | str, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
+#: Combining marks that are dropped where diacritics are.
+MARKS = "\u0300-\u036f"
+
+
+@lru_cache(maxsize=1)
+def bare_letters() -> dict[str, str]:
+    """Letters below U+2000 with diacritics, to the letter that is left when Unicode's decomposition loses its marks."""
+    found = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        rest = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(rest) == 1 and rest != c:
+            found[c] = rest
+    return found
+
+
+@dataclass(frozen=True)
+class Analyzer:
+    """How a table's texts are cut into terms: lower-case runs of letters, marks, digits, _ and ``signs``; ``folds`` drops diacritics.
+
+    ``tokens`` does it for a column by the JVM's functions, ``cut`` for a question on the driver.
+    """
+
+    name: str
+    signs: str = ""
+    folds: bool = False
+
+    @property
+    def pattern(self) -> str:
+        return WORD[:-2] + re.escape(self.signs) + "]+"
+
+    def tokens(self, text: Column | str) -> Column:
+        text = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+        if self.folds:
+            bare = bare_letters()
+            text = F.regexp_replace(F.translate(text, "".join(bare), "".join(bare.values())), f"[{MARKS}]", "")
+        return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
+
+    def cut(self, text: str) -> list[str]:
+        text = text.lower()
+        if self.folds:
+            text = re.sub(f"[{MARKS}]", "", text.translate(str.maketrans(bare_letters())))
+        inside = lambda c: c == "_" or c in self.signs or unicodedata.category(c)[0] in "LM" or unicodedata.category(c) == "Nd"
+        return "".join(c if inside(c) else " " for c in text).split(" ") if not text.isspace() else []
+
+    def terms(self, words: list[str]) -> list[str]:
+        """The terms that words of a question are cut into, each once."""
+        return list(dict.fromkeys(t for w in words for t in self.cut(w) if t))
+
+
+#: Events, claims and dialogue; code and paths; documents.
+WORDS, CODE, FOLDED = Analyzer("words"), Analyzer("code", "./:@#$-"), Analyzer("folded", folds=True)
+
+
 def event_terms(query: str) -> list[str]:
     """Up to 12 words of a query, in order, each once."""
     return list(dict.fromkeys(re.findall(r"\w+", query.lower())))[:12]
@@ -49,10 +104,10 @@ def _idf(n: int, df: int) -> float:
     return max(1e-6, math.log((n - df + 0.5) / (df + 0.5)))
 
 
-def _counted(rows: DataFrame, text: str, terms: list[str]) -> tuple[DataFrame, int, float, list[int]]:
+def _counted(rows: DataFrame, text: str, terms: list[str], analyzer: Analyzer = WORDS) -> tuple[DataFrame, int, float, list[int]]:
     """rows with _n (words) and _f (occurrences of each term), and the table's row count, mean length and document frequencies."""
     tf = [F.size(F.filter("_t", _is(t))) for t in terms]
-    counted = rows.withColumn("_t", tokens(text)).withColumn("_n", F.size("_t"))
+    counted = rows.withColumn("_t", analyzer.tokens(text)).withColumn("_n", F.size("_t"))
     counted = counted.withColumn("_t", F.filter("_t", lambda x: x.isin(*terms))).withColumn("_f", F.array(*tf) if tf else F.array().cast("array<int>")).drop("_t")
     aggs = [F.sum((F.get("_f", F.lit(i)) > 0).cast("long")) for i in range(len(terms))]
     n, length, *df = counted.agg(F.count("*"), F.avg("_n"), *aggs).first()
@@ -87,14 +142,14 @@ def bm25(rows: DataFrame, key: str, text: str, terms: list[str], every: bool = F
     return _exploded(counted, F.filter(F.array(hit), lambda x: x["matched"] >= max(1, least)), rows.columns)
 
 
-def bm25_many(rows: DataFrame, key: str, text: str, queries: list[list[str]], n: int) -> DataFrame:
+def bm25_many(rows: DataFrame, key: str, text: str, queries: list[list[str]], n: int, analyzer: Analyzer = WORDS) -> DataFrame:
     """The n best rows of each of several queries: rows with query (its number), score, matched, rank; ties by key.
 
     All queries share the two scans, and only n rows of each query and task reach the shuffle.
     """
     queries = [list(dict.fromkeys(q)) for q in queries]
     terms = list(dict.fromkeys(t for q in queries for t in q))
-    counted, total, length, df = _counted(rows, text, terms)
+    counted, total, length, df = _counted(rows, text, terms, analyzer)
     each = []
     for i, q in enumerate(queries):
         score, matched = _scored(q, terms, total, length, df)

@@ -177,6 +177,19 @@ def retrieval_metrics(results: DataFrame, gold: DataFrame, k: int = 5) -> DataFr
     )
 
 
+def benchmark_report(questions: DataFrame, per_query: DataFrame, by: list[str]) -> DataFrame:
+    """Means of ``retrieval_metrics`` for each group of questions(query_id, by): questions, scored (those with gold), recall, any_found, all_found, mrr, to four digits.
+
+    A question without gold counts as a question only; a group without any scored one has null means.
+    """
+    both = questions.join(per_query, "query_id", "left")
+    mean = lambda c: F.round(F.avg(c), 4)
+    return both.groupBy(*by).agg(
+        F.count("*").alias("questions"), F.count("recall_at_k").alias("scored"), mean("recall_at_k").alias("recall"), mean("any_at_k").alias("any_found"),
+        mean("all_at_k").alias("all_found"), mean("reciprocal_rank").alias("mrr"),
+    )
+
+
 def summary(per_query: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, median and the discrete 95th percentile of each column."""
     rows = []

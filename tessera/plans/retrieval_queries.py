@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import access
-from tessera.operators import fusion, lexical, recall, search, vector
+from tessera.operators import fusion, index, lexical, lifecycle, recall, search, vector
+from tessera.operators.index import Index
+from tessera.plans.staging import stage
 from tessera.plans.tables import CLAIMS, LEDGER, NOW, claims, ledger, table, text_index, texts
 
 QUERY = "when the and for that; from this with"
@@ -14,13 +16,13 @@ TERMS = lexical.event_terms("erst thion of ingre")
 PAIR = lexical.event_terms("of from")
 
 
-def _bm25_sql(name: str, source: str, key: str, text: str, terms: list[str]) -> str:
-    """CTEs that end in ``name`` (id, text, score, matched)."""
+def _bm25_sql(name: str, source: str, key: str, text: str, terms: list[str], signs: str = "", low: str = "lower(coalesce({}, ''))") -> str:
+    """CTEs that end in ``name`` (id, text, score, matched). signs: characters of words beside letters and digits; low: what is done to a text first."""
     tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as f{i}" for i, t in enumerate(terms))
     df = ", ".join(f"sum((f{i} > 0)::int) as d{i}" for i in range(len(terms)))
     score = " + ".join(f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms)))
     matched = " + ".join(f"(f{i} > 0)::int" for i in range(len(terms)))
-    return f"""{name}_w as (select {key} as id, {text} as text, regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]+') as w from {source}),
+    return f"""{name}_w as (select {key} as id, {text} as text, regexp_extract_all({low.format(text)}, '[\\p{{L}}\\p{{M}}\\p{{Nd}}_{signs}]+') as w from {source}),
 {name}_f as (select id, text, len(w) as dl, {tf} from {name}_w), {name}_s as (select count(*) as n, avg(dl) as avgdl, {df} from {name}_f),
 {name} as (select id, text, {score} as score, {matched} as matched from {name}_f, {name}_s)"""
 
@@ -39,8 +41,8 @@ def scanned_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = lexical.postings(table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn")), "id", "text")
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("length").alias("longest"))
+    words = lexical.postings(table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn")), "id", "text")
+    return words.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("length").alias("longest"))
 
 
 def literal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,31 +227,80 @@ def federated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = ledger(spark, sf_dir).withColumn("content", F.concat_ws(" ", "event_type", "props"))
     own = own.withColumn("content_hash", F.when(F.col("event_id") % 10 == 0, "0").otherwise(F.sha2("content", 256)))
-    return search.event_query(own, access.Principal("bot1", "chat4", "s4", "p2"), "error 7 k", NOW, ["error", "click"], 50).select("event_id", "content", "pass_no")
+    return search.event_query(own, access.Principal("bot1", "chat4", "s4", "p2"), "error 7 k", NOW, ["error", "click"], 50, index=text_index(spark, sf_dir, "events")).select("event_id", "content", "pass_no")
 
 
 def episode_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.episode_query(table(spark, sf_dir, "conversations"), "the of; and from").select("conv_id", "turn", "role", "rank")
+    return search.episode_query(table(spark, sf_dir, "conversations"), "the of; and from", index=text_index(spark, sf_dir, "turns")).select("conv_id", "turn", "role", "rank")
+
+
+def _listed(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, Index]:
+    rows, key, text = texts(spark, sf_dir, name)
+    return rows.select(F.col(key).alias("id"), F.col(text).alias("text")), text_index(spark, sf_dir, name)
+
+
+#: Words with and without diacritics; part numbers and brands that are single terms of code.
+DOCUMENT_QUERY, CODE_QUERY = "etre équeélan ion of the NINO", "promo brand#13 part-7 steel"
 
 
 def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("id"), "text")
-    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn", "role").alias("id"), "text")
-    return search.document_query(docs, turns, "the shape of things from here", None, 20).select("id", F.round("rrf", 9).alias("rrf"))
+    return search.document_query(_listed(spark, sf_dir, "units"), _listed(spark, sf_dir, "chunks"), DOCUMENT_QUERY, None, 20).select("id", F.round("rrf", 9).alias("rrf"))
 
 
 def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    key = lambda p: F.concat(F.lit(p), F.col("p_partkey").cast("string")).alias("id")
     edges = part.select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), (F.col("p_partkey") + 1).cast("string")).alias("b"), (F.col("p_partkey") % 10 / 10.0).alias("confidence"))
-    out = search.code_query(part.select(key("s"), F.col("p_name").alias("text")), part.select(key("c"), F.col("p_type").alias("text")), part.select(key("l"), F.col("p_brand").alias("text")), edges, "part 7 promo brand#13", None, 50)
+    out = search.code_query(*[_listed(spark, sf_dir, n) for n in ("symbols", "code chunks", "lines")], edges, CODE_QUERY, None, 50)
     return out.select("id", F.round("rrf", 9).alias("rrf"))
 
 
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a question: query_id, query, topic, and the reply that answers it, if there is one."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    at = F.format_string("%06d-%04d", "conv_id", "turn")
+    return turns.select(at.alias("query_id"), F.col("text").alias("query"), (F.col("conv_id") % 5).alias("category"), F.format_string("%06d-%04d", "conv_id", F.col("turn") + 1).alias("reply"), F.format_string("%06d", "conv_id").alias("session"))
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replies, _, _ = texts(spark, sf_dir, "replies")
+    return _questions(spark, sf_dir).join(replies.select(F.col("id").alias("reply")), "reply").select("query_id", F.col("reply").alias("id"), "session", "category")
+
+
+def asked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best replies to every user turn, all asked at once."""
+    out = text_index(spark, sf_dir, "replies").answers(_questions(spark, sf_dir).select("query_id", "query"), 5)
+    return out.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def benchmark_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, any and all at five and MRR of every user turn by category: whether the reply that follows is found, and its conversation."""
+    results = text_index(spark, sf_dir, "replies").answers(_questions(spark, sf_dir).select("query_id", "query"), 5)
+    gold = _gold(spark, sf_dir)
+    asked = _questions(spark, sf_dir).select("query_id", "category")
+    turns = lifecycle.benchmark_report(asked, lifecycle.retrieval_metrics(results, gold, 5), ["category"])
+    own = results.select("query_id", F.substring_index("id", "-", 1).alias("id"), "rank")
+    sessions = lifecycle.benchmark_report(asked, lifecycle.retrieval_metrics(own.groupBy("query_id", "id").agg(F.min("rank").alias("rank")), gold.select("query_id", F.col("session").alias("id")), 5), ["category"])
+    return turns.withColumn("level", F.lit("turn")).unionByName(sessions.withColumn("level", F.lit("session")))
+
+
+def _renewed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", F.concat(F.lit("renewed "), F.reverse("event_type"), F.lit(" "), "text"))
+
+
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of three quarters of the events that gets the others, replaces every tenth and deletes every seventh, asked as any other."""
+    rows, key, text = texts(spark, sf_dir, "events")
+    own = index.build(rows.where("event_id % 4 <> 3"), key, text, "upkeep").added(rows.where("event_id % 4 = 3"), key, text, "upkeep")
+    own = own.replaced(_renewed(rows.where("event_id % 10 = 5")), key, text, "upkeep").without(rows.where("event_id % 7 = 2").select(F.col(key).alias("id")), "upkeep").merged("upkeep", 2)
+    best = stage(own.best([["renewed", "rorre", "17"], ["error", "k", "3"]], 30).select("query", "id", F.round("score", 6).alias("score"), "matched", "rank"), "upkeep-best")
+    own.discard()
+    return best
+
+
 QUERIES = {f.__name__: f for f in (
     bm25_top, bm25_two_pass, scanned_two_pass, postings_index, literal_search, newest_events, cosine_top, label_agreement, hybrid_rrf, code_boosts, rerank_positions, topic_diversity, source_share,
     char_budgets, greedy_budgets, mmr_lists, event_variety, search_comparison, recall_unified, episode_pairs, context_collapse, conflicts, manifest_coverage, planner_intents,
-    hashed_embeddings, simhash_pairs, word_set_pairs, pending_embeddings, federated_search, event_search, episode_search, document_search, code_search,
+    hashed_embeddings, simhash_pairs, word_set_pairs, pending_embeddings, federated_search, event_search, episode_search, document_search, code_search, asked_turns, benchmark_turns, index_upkeep,
 )}
 
 _RANKS = CLAIMS + ", base as (select *, round(salience * 0.6 + confidence * 0.4, 6) as score from claims), best as (select *, row_number() over (order by score desc, id) as rank from base qualify rank <= 200)"
@@ -339,9 +390,9 @@ ORACLES: dict[str, str] = {
 ORACLES["scanned_two_pass"] = ORACLES["bm25_two_pass"]
 
 
-def _lists_sql(lists: dict[str, tuple[str, str, str]], weights: dict[str, float], terms: list[str], most: int) -> str:
+def _lists_sql(lists: dict[str, tuple[str, str, str]], weights: dict[str, float], terms: list[str], most: int, *rules: str) -> str:
     """CTEs that end in fused(id, rrf): BM25 lists of (source, id, text), weighted reciprocal ranks added up."""
-    ctes = [_bm25_sql(f"l_{kind}", source, key, text, terms) for kind, (source, key, text) in lists.items()]
+    ctes = [_bm25_sql(f"l_{kind}", source, key, text, terms, *rules) for kind, (source, key, text) in lists.items()]
     ranks = [f"select id, {weights[kind]} as weight, row_number() over (order by score desc, id) as rank from l_{kind} where matched > 0 qualify rank <= {most}" for kind in lists]
     return ", ".join(ctes) + ", ranks as (" + " union all ".join(ranks) + "), fused as (select id, sum(weight / (60 + rank)) as rrf from ranks group by id)"
 
@@ -350,16 +401,17 @@ def _matches_sql(terms: list[str]) -> str:
     return " + ".join(f"contains(lower(text), '{t}')::int" for t in terms)
 
 
-_DOCUMENT_TERMS, _CODE_TERMS = lexical.graph_terms("the shape of things from here", 20), lexical.graph_terms("part 7 promo brand#13", 16)
+_DOCUMENT_TERMS, _CODE_TERMS = lexical.graph_terms(DOCUMENT_QUERY, 20), lexical.graph_terms(CODE_QUERY, 16)
+_BARE_TERMS = ["etre", "equeelan", "ion", "of", "the", "nino"]
 ORACLES["document_search"] = (
     "with u as (select 'u' || doc_id as id, text from documents), c as (select 'c-' || conv_id || '-' || turn || '-' || role as id, text from conversations), "
-    + _lists_sql({"unit": ("u", "id", "text"), "chunk": ("c", "id", "text")}, fusion.DOCUMENT_WEIGHTS, _DOCUMENT_TERMS, 160)
+    + _lists_sql({"unit": ("u", "id", "text"), "chunk": ("c", "id", "text")}, fusion.DOCUMENT_WEIGHTS, _BARE_TERMS, 160, "", "strip_accents(lower(coalesce({}, '')))")
     + f""", t as (select * from u union all select * from c), b as (select id, rrf + least(0.04, 0.008 * ({_matches_sql(_DOCUMENT_TERMS)})) as rrf from fused join t using (id))
     select id, round(rrf, 9) as rrf from b order by round(b.rrf, 12) desc, id limit 20"""
 )
 ORACLES["code_search"] = (
     "with s as (select 's' || p_partkey as id, p_name as text from part), c as (select 'c' || p_partkey as id, p_type as text from part), l as (select 'l' || p_partkey as id, p_brand as text from part), "
-    + _lists_sql({"symbol": ("s", "id", "text"), "chunk": ("c", "id", "text"), "line": ("l", "id", "text")}, fusion.CODE_WEIGHTS, _CODE_TERMS, 400)
+    + _lists_sql({"symbol": ("s", "id", "text"), "chunk": ("c", "id", "text"), "line": ("l", "id", "text")}, fusion.CODE_WEIGHTS, _CODE_TERMS, 400, "./:@#$-")
     + f""", t as (select * from s union all select * from c union all select * from l), b as (select id, rrf + least(0.035, 0.007 * ({_matches_sql(_CODE_TERMS)})) as rrf from fused join t using (id)),
     seed as (select id, rrf from b order by rrf desc, id limit 20), g as (select 's' || p_partkey as a, 's' || (p_partkey + 1) as b, p_partkey % 10 / 10.0 as k from part), e as (select a as x, b as y, k from g union all select b, a, k from g),
     h as (select y, max(greatest(0.003, least(0.012, 0.12 * rrf))) as gain from (select * from e join seed on x = id qualify row_number() over (partition by x order by k desc, y) <= 80) group by y)
@@ -412,3 +464,23 @@ def _intents_sql() -> str:
 
 
 ORACLES["planner_intents"] = _intents_sql()
+
+_ASKED = """q as (select printf('%06d-%04d', conv_id, turn) as query_id, text, conv_id, turn from conversations where role = 'user'),
+    d as (select printf('%06d-%04d', conv_id, turn) as id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{Nd}_]+') as w from conversations where role = 'assistant'),
+    s as (select count(*) as n, avg(len(w)) as l from d), e as (select id, len(w) as len, unnest(w) as term from d), p as (select term, id, len, count(*) as f from e group by all), t as (select term, count(*) as df from p group by term),
+    x as (select query_id, unnest(w) as term, unnest(range(len(w))) as i from (select query_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{Nd}_]+') as w from q)),
+    m as (select query_id, term, min(i) as pos from x group by all), y as (select query_id, term, row_number() over (partition by query_id order by pos) as i from m qualify i <= 12),
+    c as (select query_id, id, i, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / l))) as c from y join t using (term) join p using (term), s),
+    z as (select query_id, id, round(sum(c), 9) as score from c group by all),
+    r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from z qualify rank <= 5)"""
+ORACLES["asked_turns"] = "with " + _ASKED + " select query_id, id, rank, round(score, 6) as score from r"
+ORACLES["benchmark_turns"] = "with " + _ASKED + """, g as (select query_id, d.id, split_part(d.id, '-', 1) as session from q join d on d.id = printf('%06d-%04d', conv_id, turn + 1)),
+    h as (select 'turn' as level, g.query_id, min(r.rank) as rank from g left join r on r.query_id = g.query_id and r.id = g.id group by all
+        union all select 'session', g.query_id, min(r.rank) from g left join r on r.query_id = g.query_id and split_part(r.id, '-', 1) = g.session group by all),
+    v as (select level, q.query_id, conv_id % 5 as category, h.query_id is not null as scored, rank from q cross join (values ('turn'), ('session')) l(level) left join h using (level, query_id))
+    select level, category, count(*) as questions, count(*) filter (scored) as scored, round(avg((rank is not null)::int) filter (scored), 4) as recall, round(avg((rank is not null)::int) filter (scored), 4) as any_found,
+        round(avg((rank is not null)::int) filter (scored), 4) as all_found, round(avg(coalesce(1 / rank, 0)) filter (scored), 4) as mrr from v group by all"""
+_UPKEEP = "k as (select event_id, case when event_id % 10 = 5 then 'renewed ' || reverse(event_type) || ' ' else '' end || event_type || ' ' || props as text from events where event_id % 7 <> 2)"
+ORACLES["index_upkeep"] = "with " + _UPKEEP + ", " + _bm25_sql("a", "k", "event_id", "text", ["renewed", "rorre", "17"]) + ", " + _bm25_sql("b", "k", "event_id", "text", ["error", "k", "3"]) + """,
+    u as (select 0 as query, id, score, matched from a where matched > 0 union all select 1, id, score, matched from b where matched > 0)
+    select query, id, round(score, 6) as score, matched, row_number() over (partition by query order by u.score desc, id) as rank from u qualify rank <= 30"""

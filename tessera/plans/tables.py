@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import index
 from tessera.operators.index import Index
+from tessera.operators.lexical import CODE, FOLDED, WORDS
 
 #: The moment that all queries take as now: epoch seconds of 2024-02-01.
 NOW = 1_706_745_600
@@ -17,18 +18,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_index(spark: SparkSession, sf_dir: str, name: str) -> Index:
-    """The index over a table's texts: documents, episodes (dialogue turns of both sides) or events, built once a session."""
-    rows, key, text = texts(spark, sf_dir, name)
-    return index.of(rows.select(key, text), key, text, f"{name}-{sf_dir.rstrip('/').rpartition('/')[2]}")
+    """The index over a table's texts, one of SHAPES, built once a session."""
+    source, shape, key, text, analyzer = SHAPES[name]
+    return index.of(spark, f"{sf_dir}/{source}.parquet", lambda t: shape(t).select(key, text), key, text, f"{name}-{sf_dir.rstrip('/').rpartition('/')[2]}", analyzer)
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, str, str]:
-    """(rows, id column, text column) of documents, episodes or events."""
-    if name == "documents":
-        return table(spark, sf_dir, "documents"), "doc_id", "text"
-    if name == "episodes":
-        return table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").withColumn("id", F.format_string("%06d-%02d-%s", "conv_id", "turn", "role")), "id", "text"
-    return table(spark, sf_dir, "events").withColumn("text", F.concat_ws(" ", "event_type", "props")), "event_id", "text"
+    """(rows, id column, text column) of one of SHAPES."""
+    source, shape, key, text, _ = SHAPES[name]
+    return shape(table(spark, sf_dir, source)), key, text
+
+
+def _spoken(t: DataFrame) -> DataFrame:
+    return t.where("role in ('user', 'assistant')")
+
+
+def _prefixed(prefix: str, *columns: str):
+    return F.concat_ws("-", *columns) if not prefix else F.concat(F.lit(prefix), F.concat_ws("-", *columns))
+
+
+#: Name to table, its rows with ids and texts, id column, text column and analyzer. Episodes, turns and replies are dialogue turns.
+SHAPES = {
+    "documents": ("documents", lambda t: t, "doc_id", "text", WORDS),
+    "episodes": ("conversations", lambda t: _spoken(t).withColumn("id", F.format_string("%06d-%02d-%s", "conv_id", "turn", "role")), "id", "text", WORDS),
+    "events": ("events", lambda t: t.withColumn("text", F.concat_ws(" ", "event_type", "props")), "event_id", "text", WORDS),
+    "turns": ("conversations", lambda t: _spoken(t).withColumn("id", _prefixed("", "conv_id", "turn", "role")), "id", "text", WORDS),
+    "replies": ("conversations", lambda t: t.where("role = 'assistant'").withColumn("id", F.format_string("%06d-%04d", "conv_id", "turn")), "id", "text", WORDS),
+    "units": ("documents", lambda t: t.withColumn("id", _prefixed("u", "doc_id")), "id", "text", FOLDED),
+    "chunks": ("conversations", lambda t: t.withColumn("id", _prefixed("c-", "conv_id", "turn", "role")), "id", "text", FOLDED),
+    "symbols": ("part", lambda t: t.withColumn("id", _prefixed("s", "p_partkey")), "id", "p_name", CODE),
+    "code chunks": ("part", lambda t: t.withColumn("id", _prefixed("c", "p_partkey")), "id", "p_type", CODE),
+    "lines": ("part", lambda t: t.withColumn("id", _prefixed("l", "p_partkey")), "id", "p_brand", CODE),
+}
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,3 +171,109 @@ def test_greedy_budgets_skip_what_does_not_fit(spark):
 
     rows = spark.createDataFrame([("g", i, n) for i, n in enumerate([5, 9, 3, 2, 1, 1])] + [("h", 0, 50)], "g string, i long, n int")
     assert sorted((r.g, r.i, r.n) for r in fusion.greedy_budget(rows, "g", "n", ["i"], 10, 3).collect()) == [("g", 0, 5), ("g", 2, 3), ("g", 3, 2)]
+
+
+def _answers(own, questions, k):
+    return sorted((x.query_id, x.id, x.rank, round(x.score, 6)) for x in own.answers(questions, k).collect())
+
+
+def test_answers_to_a_table_are_those_to_each_question(spark):
+    """Pruning loses nothing: rare and common words, ties, few rows, questions without a known word."""
+    import random
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    rows = [(i, " ".join(r.choices(words, weights, k=r.randrange(0, 30)))) for i in range(400)] + [(900, None), (901, "w0 w1"), (902, "w0 w1")]
+    own = index.build(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    asked = [(f"q{i}", " ".join(r.choices(words, k=r.randrange(1, 15)))) for i in range(40)] + [("all", "w0 w1 w2 w3"), ("one", "w0"), ("none", "zebra"), ("null", None), ("mixed", "w0 zebra w59")]
+    for k in (1, 5, 500):
+        got = _answers(own, spark.createDataFrame(asked, "query_id string, query string"), k)
+        plain = own.best([list(dict.fromkeys((t or "").split()))[:12] for _, t in asked], 1000).collect()
+        want = []
+        for i, (q, _) in enumerate(asked):
+            mine = sorted(((-round(x.score, 9), x.id) for x in plain if x["query"] == i))[:k]
+            want += [(q, d, n, round(-s, 6)) for n, (s, d) in enumerate(mine, 1)]
+        assert got == sorted(want)
+
+
+def test_segments_answer_as_an_index_built_anew(spark):
+    rows = [(i, f"red fox {i % 7}" if i % 3 else f"blue fox fox {i % 5}") for i in range(60)]
+    frame = lambda own: spark.createDataFrame(own, "id long, text string")
+    own = index.build(frame(rows[:30]), "id", "text")
+    state = dict(rows[:30])
+    for step in range(12):
+        new = [(100 + step, f"red hen {step}"), (step, f"green fox {step % 3}")]
+        own = own.replaced(frame(new), "id", "text").without(frame([(step + 20, "")]))
+        state |= dict(new)
+        state.pop(step + 20, None)
+        assert len(own.segments) <= index.SEGMENTS
+    anew = index.build(frame(sorted(state.items())), "id", "text")
+    assert (own.rows, own.length) == (anew.rows, anew.length)
+    for terms in (["red", "fox"], ["green"], ["hen", "3"], ["absent"]):
+        assert own.best([terms], 50).orderBy("rank").collect() == anew.best([terms], 50).orderBy("rank").collect()
+    whole = own.merged(most=0)
+    assert whole.rows == anew.rows and whole.best([["fox"]], 50).orderBy("rank").collect() == anew.best([["fox"]], 50).orderBy("rank").collect()
+    assert whole.without(frame([(5, "")])).without(frame([(5, "")])).rows == anew.rows - 1
+
+
+def test_a_folder_is_followed_by_its_new_files(spark, tmp_path, monkeypatch):
+    read = []
+    plain = index.segment
+    monkeypatch.setattr(index, "segment", lambda rows, *a: read.append(rows.count()) or plain(rows, *a))
+    path = str(tmp_path / "t.parquet")
+    ask = lambda: {(x.id, x.rank) for x in index.of(spark, path, lambda t: t.where("id >= 0"), "id", "text", "followed").best([["fox"]], 99).collect()}
+    write = lambda a, b: spark.range(a, b).select("id", F.concat(F.lit("a fox "), "id").alias("text")).coalesce(1).write.mode("append").parquet(path)
+    write(0, 10)
+    assert len(ask()) == 10 and len(ask()) == 10 and read == [10]
+    first = [f for f in (tmp_path / "t.parquet").iterdir() if f.name.startswith("part-")]
+    write(10, 15)
+    assert len(ask()) == 15 and read == [10, 5]
+    first[0].unlink()
+    spark.catalog.refreshByPath(path)
+    assert {i for i, _ in ask()} == set(range(10, 15)) and read == [10, 5]
+
+
+def test_the_latest_indexes_are_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "KEPT", len(index._BUILT) + 1)
+    for i in range(3):
+        path = str(tmp_path / f"{i}.parquet")
+        spark.range(3).select("id", F.lit("x").alias("text")).write.parquet(path)
+        index.of(spark, path, lambda t: t, "id", "text", "kept")
+    assert len(index._BUILT) == index.KEPT
+
+
+def test_analyzers(spark):
+    rows = spark.createDataFrame([(1, "Un CAFÉ, à l'été", "src/app.py:12 foo_bar brand#13 $x"), (2, None, ""), (3, "café naïve Ærø", "a.b-c @me")], "id long, text string, code string")
+    for analyzer, column in ((lexical.FOLDED, "text"), (lexical.WORDS, "text"), (lexical.CODE, "code")):
+        for x in rows.select("id", column, analyzer.tokens(column).alias("t")).collect():
+            assert x.t == [t for t in analyzer.cut(x[column] or "") if t]
+    folded = index.build(rows, "id", "text", analyzer=lexical.FOLDED)
+    assert {x.id for x in folded.best([lexical.FOLDED.terms(["Café"])], 9).collect()} == {1, 3}
+    code = index.build(rows, "id", "code", analyzer=lexical.CODE)
+    assert [x.id for x in code.best([["brand#13"]], 9).collect()] == [1] and code.best([["brand"]], 9).count() == 0
+    assert {x.id for x in code.answers(spark.createDataFrame([("q", "where is src/app.py:12")], "query_id string, query string"), 3).collect()} == {1}
+
+
+def test_searches_agree_with_and_without_an_index(spark):
+    from tessera import access
+
+    r = __import__("random").Random(5)
+    words = ["red", "fox", "naïve", "src/a.py", "hen", "é"]
+    text = lambda: " ".join(r.choices(words, k=r.randrange(1, 12)))
+    rows = [(i, f"k{i % 2}", text(), i % 9, 0, "b", "c", "s", "p", "bot") for i in range(120)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, content string, occurred_at long, expires_at long, owner_bot_id string, owner_chat_hash string, owner_session_hash string, project_id string, visibility_scope string")
+    events = events.withColumn("content_hash", F.sha2("content", 256))
+    own = index.build(events, "event_id", "content")
+    ask = lambda i: [x.event_id for x in search.event_query(events, access.Principal("b"), "red fox hen", 5, limit=50, index=i).orderBy("position").collect()]
+    assert ask(own) == ask(None) and len(ask(None)) == 50
+    docs = events.select(F.format_string("d%03d", "event_id").alias("id"), F.col("content").alias("text"))
+    found = lambda a: [tuple(x) for x in search.document_query(a, a, "naive red", limit=30).select("id", F.round("rrf", 9)).collect()]
+    assert found(docs) == found((docs, index.build(docs, "id", "text", analyzer=lexical.FOLDED)))
+    edges = spark.createDataFrame([("d001", "d002", 0.5)], "a string, b string, confidence double")
+    coded = lambda a: [tuple(x) for x in search.code_query(a, a, a, edges, "src/a.py fox", limit=30).select("id", F.round("rrf", 9)).collect()]
+    assert coded(docs) == coded((docs, index.build(docs, "id", "text", analyzer=lexical.CODE)))
+    turns = spark.createDataFrame([(i // 4, i % 4, "user" if i % 2 == 0 else "assistant", text()) for i in range(160)], "conv_id long, turn long, role string, text string")
+    keyed = turns.withColumn("id", F.concat_ws("-", "conv_id", "turn", "role"))
+    said = lambda i: sorted(tuple(x) for x in search.episode_query(turns, "red fox; hen", index=i).collect())
+    assert said(index.build(keyed, "id", "text")) == said(None)

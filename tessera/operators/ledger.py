@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.patterns import LATENCY_BUCKETS
+from tessera.plans.staging import discard, stage
 
 MOST_MS = LATENCY_BUCKETS[-1]
 
@@ -31,14 +32,60 @@ def partition_keys(scope: str = "visibility_scope") -> dict[str, Column]:
     }
 
 
-def retained(rows: DataFrame, by: list[str], newest_first: list[Column], size: list[str], most_rows: int, most_bytes: int) -> DataFrame:
+#: Rows that one sort takes; a partition with more is summed by ranges of its order first.
+RANGE = 200_000
+
+
+def _together(left: DataFrame, right: DataFrame, by: list[str], how: str) -> DataFrame:
+    """A join on columns where nulls are equal; right's keep no names of their own."""
+    named = right.select(*[F.col(c).alias(f"_k{i}") if c in by else F.col(c) for i, c in enumerate(right.columns)])
+    keys = [f"_k{i}" for i, c in enumerate(right.columns) if c in by]
+    on = [F.col(c).eqNullSafe(F.col(f"_k{right.columns.index(c)}")) for c in by]
+    return left.join(named, on, how).drop(*keys)
+
+
+def retained(rows: DataFrame, by: list[str], newest: list[str], size: list[str], most_rows: int, most_bytes: int) -> DataFrame:
     """The longest newest-first prefix of each partition within both limits; a newest row above the byte limit goes too.
 
-    The order must be total. Sizes of a partition add up in a running window, which spills rather than collects.
+    newest: columns by which larger is newer, nulls oldest; together they must tell the rows of a partition apart. Where no
+    partition has more than RANGE rows, sizes add up in a running window. Otherwise the order's columns alone are dealt
+    into ranges, of about RANGE rows, whichever partition they belong to; rows and bytes add up by range, which gives the range that a
+    limit cuts and what lies before it; only that range is sorted, for its first row that goes. Rows newer than that stay.
     """
-    w = Window.partitionBy(*by).orderBy(*newest_first)
-    marked = rows.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.sum(_bytes(size)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.where((F.col("_n") <= most_rows) & (F.col("_b") <= most_bytes)).drop("_n", "_b")
+    order = [F.desc_nulls_last(c) for c in newest]
+    sized = rows.withColumn("_b", _bytes(size))
+    totals = sized.groupBy(*by).agg(F.count("*").alias("_n"), F.sum("_b").alias("_t"))
+    largest = totals.agg(F.max("_n")).first()[0] or 0
+    if largest <= RANGE:
+        w = Window.partitionBy(*by).orderBy(*order)
+        marked = sized.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return marked.where((F.col("_n") <= most_rows) & (F.col("_b") <= most_bytes)).drop("_n", "_b")
+    over = totals.where((F.col("_n") > most_rows) | (F.col("_t") > most_bytes))
+    ranges = _ranges(_together(sized.select(*by, *[c for c in newest if c not in by], "_b"), over.select(*by), by, "left_semi"), by, order)
+    first = stage(_first_gone(ranges, by, newest, order, most_rows, most_bytes), "retained-cuts")
+    discard(ranges)
+    newer = F.col("_first").isNull() | (F.struct(*newest) > F.col("_first"))
+    return _together(rows, first, by, "left").where(newer).select(*rows.columns)
+
+
+def _ranges(keys: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Keys with the number of their range, staged, so that a number stays what it is."""
+    n = max(1, -(-keys.count() // RANGE))
+    return stage(keys.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()), "retained-ranges")
+
+
+def _first_gone(ranges: DataFrame, by: list[str], newest: list[str], order: list[Column], most_rows: int, most_bytes: int) -> DataFrame:
+    """(by, _first): the newest row of each partition that goes, as a struct of the order's columns."""
+    sums = ranges.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.sum("_b").alias("_t"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    placed = sums.withColumns({"_n0": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_t0": F.coalesce(F.sum("_t").over(before), F.lit(0))})
+    crossed = placed.where((F.col("_n0") + F.col("_n") > most_rows) | (F.col("_t0") + F.col("_t") > most_bytes))
+    cut = crossed.groupBy(*by).agg(F.min(F.struct("_range", "_n0", "_t0")).alias("_c")).select(*by, "_c.*")
+    w = Window.partitionBy(*by, "_range").orderBy(*order)
+    inside = _together(ranges, cut, [*by, "_range"], "inner")
+    inside = inside.withColumn("_n", F.col("_n0") + F.row_number().over(w)).withColumn("_t", F.col("_t0") + F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    gone = inside.where((F.col("_n") > most_rows) | (F.col("_t") > most_bytes))
+    return gone.groupBy(*by).agg(F.min_by(F.struct(*newest), "_n").alias("_first"))
 
 
 def newest_versions(versions: DataFrame, key: str, most: int) -> DataFrame:

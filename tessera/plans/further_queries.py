@@ -81,7 +81,7 @@ def store_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observation_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("owner"), F.col("o_orderkey").alias("id"), F.unix_timestamp("o_orderdate").alias("last_seen"), F.col("o_custkey").alias("updated_at"), F.col("o_orderpriority").alias("content"))
-    return L.retained(own, ["owner"], [F.desc("last_seen"), F.desc("updated_at"), F.desc("id")], ["content"], 150, 1_200).select("owner", "id")
+    return L.retained(own, ["owner"], ["last_seen", "updated_at", "id"], ["content"], 150, 1_200).select("owner", "id")
 
 
 def formula_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from tessera.functions import text as T
 from tessera.operators import graph as G
 from tessera.plans.tables import NOW, ledger, table
 from tessera.sources import documents as D
+from tessera.streaming import identity
 from tessera.streaming import ledger as S
 
 
@@ -200,10 +201,17 @@ def stream_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.consolidate_stream(own, ["bot"], "observe", NOW).select("bot", "topic", "cluster_key", "support", "independent", "last_seen")
 
 
+def stream_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that come again with the same payload or another, as a stream."""
+    own = _stream(spark, sf_dir).select((F.col("event_id") % 3000).alias("key"), F.when(F.col("event_id") % 2 == 0, "a").otherwise(F.col("event_type")).alias("payload"), "event_id", "ts")
+    kept, clash = identity.run_identified(own, "key", "payload", "event_id", "ts", "identities", lateness="3650 days", forget_seconds=10**9)
+    return kept.select("event_id", F.lit("kept").alias("outcome")).unionByName(clash.select("event_id", F.lit("conflict").alias("outcome")))
+
+
 QUERIES = {f.__name__: f for f in (
     graph_neighbours, graph_reachable, edge_predicates, line_contexts, unit_contexts, entity_search, next_turns, snapshot_apply, snapshot_deletions, invalidated_claims, graph_totals, provenance_roots,
     redaction, secrecy_report, injection_guard, excerpts, text_scalars, url_scalars, path_scalars, page_units, text_units, json_units, document_chunks, source_scan, record_upserts, kept_statements,
-    memory_diff, stream_daily, stream_usage, stream_capture, stream_sessions, stream_observations,
+    memory_diff, stream_daily, stream_usage, stream_capture, stream_sessions, stream_observations, stream_identities,
 )}
 
 _EDGES = """edges as (select 'r' || n_regionkey as a, 'n' || n_nationkey as b, 'contains' as predicate, 0.9 as confidence from nation
@@ -263,6 +271,9 @@ ORACLES = {
         from (select cast(floor(epoch(ts) / 86400) as bigint) as day_utc, event_type as operation, case when event_type = 'error' then 'error' else 'ok' end as outcome,
         greatest(0, least(300000, cast(round_even(value * 300, 0) as bigint))) as ms from events) group by all""",
     "stream_usage": "select user_id, count(*) as row_count, cast(sum(octet_length(encode(props))) as bigint) as byte_count from events group by 1",
+    "stream_identities": """with e as (select event_id % 3000 as key, case when event_id % 2 = 0 then 'a' else event_type end as p, event_id from events),
+        m as (select *, row_number() over w as n, first_value(p) over w as f from e window w as (partition by key order by event_id))
+        select event_id, case when n = 1 then 'kept' else 'conflict' end as outcome from m where n = 1 or p <> f""",
     "stream_capture": "select event_id, event_type || ' ' || props || case when event_id % 50 = 0 then ' password: <REDACTED>' else '' end as content, false as truncated from events",
     "stream_sessions": """with m as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events),
         s as (select *, sum(new) over (partition by user_id order by ts, event_id) as n from m) select user_id, cast(floor(epoch(min(ts))) as bigint) as "begin", count(*) as events, round(sum(value), 4) as value from s group by user_id, n""",

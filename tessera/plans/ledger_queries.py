@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import access
 from tessera.functions.patterns import KEPT
-from tessera.operators import fusion
+from tessera.operators import erasure, fusion
 from tessera.operators import ledger as L
 from tessera.operators import lifecycle as C
 from tessera.operators import observe
@@ -66,13 +66,28 @@ def unerased(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.without_erased(own, own.where("doc_id % 8 = 0")).select("doc_id")
 
 
+#: The secret of the digests that stand for erased phrases; a store has its own.
+ERASURE_KEY = b"a key for examples"
+
+
+def contained_erasures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five words of every fiftieth document, and one long word of others, are erased: the texts that hold them, and how many they hold."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.split(erasure.normal(F.col("text")), " ")
+    five = docs.where("doc_id % 50 = 0").select(F.concat_ws(" ", F.slice(words, 3, 5)).alias("phrase"))
+    one = docs.where("doc_id % 50 = 25").select(F.get(words, F.lit(1)).alias("phrase")).where(F.char_length("phrase") >= 6)
+    known = erasure.markers(five.where("phrase <> ''").unionByName(one), ERASURE_KEY)
+    found = erasure.hits(docs, known, ERASURE_KEY, ["doc_id"], "text")
+    return found.groupBy("doc_id").agg(F.count("*").alias("phrases"))
+
+
 def episode_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").where(access.episode_rules()["role"]).withColumn("bot", F.col("conv_id") % 5)
-    return L.retained(own, ["bot"], [F.desc("conv_id"), F.desc("turn"), F.desc("role")], ["text"], 60, 40_000).select("bot", "conv_id", "turn", "role")
+    return L.retained(own, ["bot"], ["conv_id", "turn", "role"], ["text"], 60, 40_000).select("bot", "conv_id", "turn", "role")
 
 
 def event_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.retained(ledger(spark, sf_dir), ["owner_bot_id"], [F.desc("created_at"), F.desc("occurred_at"), F.desc("event_id")], ["event_type", "props"], 2000, 20_000).select("event_id")
+    return L.retained(ledger(spark, sf_dir), ["owner_bot_id"], ["created_at", "occurred_at", "event_id"], ["event_type", "props"], 2000, 20_000).select("event_id")
 
 
 def version_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +289,7 @@ def fresh_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    owner_usage, partition_usage, visible_events, valid_claims, live_relations, unlinked_sources, intact_documents, shareable_claims, rejected_claims, unerased, episode_retention, event_retention,
+    owner_usage, partition_usage, visible_events, valid_claims, live_relations, unlinked_sources, intact_documents, shareable_claims, rejected_claims, unerased, contained_erasures, episode_retention, event_retention,
     version_retention, evidence_samples, outbox, idempotent_events, coalesced, job_health, job_backoff, undecided_events, latency_histogram, latency_snapshot, observations, changed_observations,
     order_history, decay_scan, decay_archive, decay_stats, garbage, superseded_claims, claim_contradictions, recall_feedback, journal_replay, recent_changes, merged_stores, topic_summaries,
     health_scores, retrieval_evaluation, quality_metrics, ingestion_confusion, session_worth, shared_blocks, registry_search, shared_block_render,
@@ -310,6 +325,10 @@ ORACLES = {
     "shareable_claims": "with " + CLAIMS + """ select id, status = 'active' and id % 6 <> 0 and id % 4 <> 0 and id % 10 <> 0 as shareable, id % 2 = 0 and status = 'active' and id % 6 <> 0 and id % 14 <> 0 as foreign_eligible from claims""",
     "rejected_claims": "select case when length(text) between 10 and 8000 then 'none' else 'claim length' end as reason, count(*) as rows from documents group by 1",
     "unerased": "select doc_id from documents d where not exists (select 1 from documents e where e.doc_id % 8 = 0 and lower(trim(e.text)) = lower(trim(d.text)))",
+    "contained_erasures": """with n as (select doc_id, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) as t from documents),
+        p as (select distinct phrase from (select array_to_string(string_split(t, ' ')[3:7], ' ') as phrase from n where doc_id % 50 = 0
+            union all select string_split(t, ' ')[2] from n where doc_id % 50 = 25 and length(string_split(t, ' ')[2]) >= 6) where phrase <> '')
+        select doc_id, count(*) as phrases from n join p on contains(t, phrase) and regexp_matches(t, '(^|[^\\p{L}\\p{N}_])' || regexp_escape(phrase) || '($|[^\\p{L}\\p{N}_])') group by doc_id""",
     "episode_retention": """select bot, conv_id, turn, role from (select conv_id % 5 as bot, *, row_number() over w as n, sum(octet_length(encode(text))) over w as b from conversations where role in ('user', 'assistant')
         window w as (partition by conv_id % 5 order by conv_id desc, turn desc, role desc rows between unbounded preceding and current row)) where n <= 60 and b <= 40000""",
     "event_retention": "with " + LEDGER + """ select event_id from (select *, row_number() over w as n, sum(octet_length(encode(event_type)) + octet_length(encode(props))) over w as b from ledger

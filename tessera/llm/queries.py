@@ -126,7 +126,7 @@ from documents d left join kept k using (doc_id)
 
 ORACLES["op7_url_filters"] = r"""
 with own as (select page_id, url, date '2024-01-01' + cast(coalesce(page_id, 0) % 366 as integer) as fetched,
-    regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.$', '') as host,
+    regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)', 1)), '\.$', '') as host,
     list_filter(string_split(regexp_extract(coalesce(url, ''), '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') as parts from pages),
 hosts as (select distinct host, parts[1] as part, cast('0x' || substr(md5(host), 1, 4) as integer) as m from own where host <> ''),
 made as (

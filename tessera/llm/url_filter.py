@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.plans.staging import stage
 
 HOT = 20_000
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)"  # an address in brackets holds colons
 PATH = r"^[^:/?#]+://[^/?#]*([^?#]*)"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from tessera import access
 from tessera.functions import patterns as P
 from tessera.functions import spreadsheet, statements
 from tessera.functions import text as T
-from tessera.operators import fusion, graph, lifecycle, observe, recall, search, vector
+from tessera.operators import fusion, graph, lifecycle, migration, observe, recall, search, vector
 from tessera.operators import ledger as L
 from tessera.plans.retrieval_queries import PAIR, TERMS, _bm25_sql
+from tessera.plans.staging import shared_dir
 from tessera.plans.tables import CLAIMS, NOW, claims, table, text_index
 from tessera.sources import connectors
 from tessera.sources import documents as D
@@ -212,6 +215,19 @@ def reindex_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return todo.select("doc_id", F.lit("index").alias("what")).unionByName(drop.select("doc_id", F.lit("drop").alias("what")))
 
 
+def reconciled_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that lacks documents, has old ones and some too many is reconciled by buckets and switched to: its buckets before and after."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "lang")
+    root = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
+    old = docs.where("doc_id % 97 <> 5").withColumn("digest", F.when(F.col("doc_id") % 89 == 3, "old").otherwise(F.col("digest")))
+    extra = docs.where("doc_id % 101 = 7").withColumn("doc_id", -F.col("doc_id") - 1)
+    migration.reconcile(old.unionByName(extra), root, "next", "doc_id", "digest")
+    changed = migration.reconcile(docs, root, "next", "doc_id", "digest")
+    migration.switch(spark, root, "next")
+    rows = migration.stored(spark, root, migration.current(spark, root), docs.schema)
+    return rows.groupBy("bucket", "lang").agg(F.count("*").alias("rows")).withColumn("copied", F.col("bucket").isin(changed))
+
+
 def row_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", T.fingerprint("n_regionkey", "n_name").alias("mark"))
 
@@ -269,7 +285,7 @@ def observation_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     observation_search, common_term_window, reranked_claims, recall_telemetry, prefetched_context, added_entities, added_relations, store_dashboard, observation_retention, formula_values, formula_edges,
     sanitized_rows, sanitized_json, comparable_vectors, filtered_vectors, erasure_replay, registry_entries, still_disclosed, foreign_claims, repository_files, grounded_statements, grounded_relations,
-    distinct_statements, line_records, table_records, source_registry, file_states, reindex_plan, row_fingerprints, attributed_statements, phrase_hits, event_moments, chosen_texts, social_closes,
+    distinct_statements, line_records, table_records, source_registry, file_states, reindex_plan, reconciled_buckets, row_fingerprints, attributed_statements, phrase_hits, event_moments, chosen_texts, social_closes,
     answer_policies, secret_flags, observation_expiry,
 )}
 
@@ -338,6 +354,8 @@ ORACLES: dict[str, str] = {
     "file_states": """with d as (select doc_id from documents where doc_id % 4 <> 0), k as (select doc_id from documents where doc_id % 5 <> 0)
         select case when k.doc_id is null then 'new' when d.doc_id is null then 'missing' when k.doc_id % 3 = 0 then 'changed' else 'current' end as status, count(*) as files from d full join k on d.doc_id = k.doc_id group by 1""",
     "reindex_plan": "select doc_id, 'index' as what from documents where doc_id % 4 = 0 or doc_id % 3 = 0 union all select doc_id, 'drop' from documents where doc_id % 4 <> 0 and doc_id % 3 = 0",
+    "reconciled_buckets": """with c as (select distinct substr(md5(cast(id as varchar)), 1, 2) as b from (select doc_id as id from documents where doc_id % 97 = 5 or doc_id % 89 = 3 union all select -doc_id - 1 from documents where doc_id % 101 = 7))
+        select substr(md5(cast(doc_id as varchar)), 1, 2) as bucket, lang, count(*) as rows, substr(md5(cast(doc_id as varchar)), 1, 2) in (select b from c) as copied from documents group by all""",
     "row_fingerprints": """select n_nationkey, sha256('{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') as mark from nation""",
     "attributed_statements": """with a as (select c_custkey, c_custkey % 4 as k, case when c_custkey % 5 = 0 then '' when c_custkey % 5 = 1 then c_name else c_mktsegment end as e, c_name, c_custkey % 2 = 0 as ru from customer),
         s as (select *, case when ru then ['Пользователь предпочитает: ', 'Пользователь решил: ', 'Пользователь сообщает: ', 'Пользователь просил запомнить: '][k + 1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from tessera.functions import patterns as P
 from tessera.functions import statements
 from tessera.functions import text as T
 from tessera.operators import graph as G
+from tessera.plans.staging import shared_dir
 from tessera.plans.tables import NOW, ledger, table
 from tessera.sources import documents as D
-from tessera.streaming import identity
+from tessera.streaming import identity, inbox
 from tessera.streaming import ledger as S
 
 
@@ -201,6 +204,25 @@ def stream_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.consolidate_stream(own, ["bot"], "observe", NOW).select("bot", "topic", "cluster_key", "support", "independent", "last_seen")
 
 
+def inbox_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files by source in an inbox: then some sources' files are written anew, one's go, and the state follows."""
+    root = f"{shared_dir(spark)}/streams/inbox-{uuid.uuid4().hex}"
+    line = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("value"), "source", "doc_id")
+
+    def put(rows: DataFrame) -> None:
+        rows.select("value", "source").repartition("source").write.partitionBy("source").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(f"{root}/in")
+
+    put(line.where("doc_id % 2 = 0"))
+    inbox.take_in(spark, root, folder=f"{root}/in")
+    put(line.where("source like '%1' or source like '%2'"))
+    inbox.take_in(spark, root, folder=f"{root}/in")
+    inbox.compact(spark, root)
+    put(line.where("source like '%2' and doc_id % 3 = 0"))
+    rows = inbox.take_in(spark, root, folder=f"{root}/in")
+    each = rows.select(F.regexp_extract("uri", "source=([^/]*)/", 1).alias("source"), F.explode(F.split(F.rtrim("text", F.lit("\n")), "\n")).alias("line"))
+    return each.groupBy("source").agg(F.count("*").alias("lines"), F.sum(F.col("line").cast("long")).alias("ids"))
+
+
 def stream_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that come again with the same payload or another, as a stream."""
     own = _stream(spark, sf_dir).select((F.col("event_id") % 3000).alias("key"), F.when(F.col("event_id") % 2 == 0, "a").otherwise(F.col("event_type")).alias("payload"), "event_id", "ts")
@@ -211,7 +233,7 @@ def stream_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     graph_neighbours, graph_reachable, edge_predicates, line_contexts, unit_contexts, entity_search, next_turns, snapshot_apply, snapshot_deletions, invalidated_claims, graph_totals, provenance_roots,
     redaction, secrecy_report, injection_guard, excerpts, text_scalars, url_scalars, path_scalars, page_units, text_units, json_units, document_chunks, source_scan, record_upserts, kept_statements,
-    memory_diff, stream_daily, stream_usage, stream_capture, stream_sessions, stream_observations, stream_identities,
+    memory_diff, stream_daily, stream_usage, stream_capture, stream_sessions, stream_observations, stream_identities, inbox_sources,
 )}
 
 _EDGES = """edges as (select 'r' || n_regionkey as a, 'n' || n_nationkey as b, 'contains' as predicate, 0.9 as confidence from nation
@@ -271,6 +293,8 @@ ORACLES = {
         from (select cast(floor(epoch(ts) / 86400) as bigint) as day_utc, event_type as operation, case when event_type = 'error' then 'error' else 'ok' end as outcome,
         greatest(0, least(300000, cast(round_even(value * 300, 0) as bigint))) as ms from events) group by all""",
     "stream_usage": "select user_id, count(*) as row_count, cast(sum(octet_length(encode(props))) as bigint) as byte_count from events group by 1",
+    "inbox_sources": """select source, count(*) as lines, cast(sum(doc_id) as bigint) as ids from documents where case when source like '%2' then exists (select 1 from documents d where d.source = documents.source and d.doc_id % 3 = 0) and doc_id % 3 = 0 or
+        not exists (select 1 from documents d where d.source = documents.source and d.doc_id % 3 = 0) when source like '%1' then true else doc_id % 2 = 0 end group by 1""",
     "stream_identities": """with e as (select event_id % 3000 as key, case when event_id % 2 = 0 then 'a' else event_type end as p, event_id from events),
         m as (select *, row_number() over w as n, first_value(p) over w as f from e window w as (partition by key order by event_id))
         select event_id, case when n = 1 then 'kept' else 'conflict' end as outcome from m where n = 1 or p <> f""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import access
 from tessera.functions.patterns import KEPT
-from tessera.operators import erasure, fusion
+from tessera.operators import erasure, fusion, journal
 from tessera.operators import ledger as L
 from tessera.operators import lifecycle as C
 from tessera.operators import observe
@@ -206,6 +206,24 @@ def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.latest_state(C.undone(log)).select("id", "revision", "value")
 
 
+def _mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of ten stores: transactions of two users' events of 300 ids, some begun anew, aborted or left open, with undo and redo."""
+    e, u = F.col("event_id"), F.col("user_id")
+    op = F.when(e % 19 == 0, "begin").when(e % 13 == 0, "commit").when(e % 17 == 0, "undo").when(e % 23 == 0, "redo").when(e % 29 == 0, "abort").when(F.col("event_type") == "error", "delete").otherwise("upsert")
+    tx = F.when(e % 5 != 0, F.concat_ws("-", u % 20, F.floor(e / 300)))
+    return table(spark, sf_dir, "events").select((u % 10).alias("scope"), e.alias("revision"), tx.alias("tx"), op.alias("op"), (u * 3 + e % 3).alias("key"), "value")
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every key holds after committed transactions, undo and redo."""
+    return journal.state(_mutations(spark, sf_dir), "key").select("scope", "key", "revision", "value")
+
+
+def transaction_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Since when and until when each mutation in effect held, and by which transaction."""
+    return journal.lineage(_mutations(spark, sf_dir), "key").select("scope", "key", "revision", F.coalesce("tx", F.lit("")).alias("tx"), "since", "until", "place")
+
+
 def recent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recent(table(spark, sf_dir, "orders"), "o_orderkey", 25).select("o_orderkey", "o_orderstatus")
 
@@ -291,7 +309,7 @@ def fresh_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     owner_usage, partition_usage, visible_events, valid_claims, live_relations, unlinked_sources, intact_documents, shareable_claims, rejected_claims, unerased, contained_erasures, episode_retention, event_retention,
     version_retention, evidence_samples, outbox, idempotent_events, coalesced, job_health, job_backoff, undecided_events, latency_histogram, latency_snapshot, observations, changed_observations,
-    order_history, decay_scan, decay_archive, decay_stats, garbage, superseded_claims, claim_contradictions, recall_feedback, journal_replay, recent_changes, merged_stores, topic_summaries,
+    order_history, decay_scan, decay_archive, decay_stats, garbage, superseded_claims, claim_contradictions, recall_feedback, journal_replay, transactions, transaction_lineage, recent_changes, merged_stores, topic_summaries,
     health_scores, retrieval_evaluation, quality_metrics, ingestion_confusion, session_worth, shared_blocks, registry_search, shared_block_render,
     embedding_status, fresh_prefixes,
 )}
@@ -402,3 +420,22 @@ ORACLES = {
         + case when key = '1' then 5 when contains(key, '1') then 3 when contains(lower(text), '1') then 1 else 0 end as score from e)
         select key, text, score from s where score > 0 order by score desc, key limit 20""",
 }
+
+#: Control records are folded one after another; a level's last commit counts up to the last level.
+_LOG = """l as (select user_id % 10 as scope, event_id as revision, case when event_id % 5 <> 0 then (user_id % 20) || '-' || (event_id // 300) end as tx, user_id * 3 + event_id % 3 as key, value,
+        case when event_id % 19 = 0 then 'begin' when event_id % 13 = 0 then 'commit' when event_id % 17 = 0 then 'undo' when event_id % 23 = 0 then 'redo' when event_id % 29 = 0 then 'abort'
+            when event_type = 'error' then 'delete' else 'upsert' end as op from events),
+    g as (select *, count(*) filter (op = 'begin') over w + coalesce(count(*) filter (op in ('commit', 'abort')) over (partition by scope, tx order by revision rows between unbounded preceding and 1 preceding), 0) as grp
+        from l where tx is not null and op not in ('undo', 'redo') window w as (partition by scope, tx order by revision rows between unbounded preceding and current row)),
+    c as (select scope, tx, grp, revision as eff from g where op = 'commit' union all select scope, null, null, revision from l where tx is null and op in ('upsert', 'delete')),
+    k as (select *, row_number() over (partition by scope order by eff) as i from (select scope, eff, 'commit' as kind from c union all select scope, revision, op from l where op in ('undo', 'redo'))),
+    f as (select scope, 0::bigint as i, 0 as level, 0 as undone, null::bigint as eff from (select distinct scope from k)
+        union all select f.scope, k.i, case when kind = 'commit' then level + 1 when kind = 'undo' and level > 0 then level - 1 when kind = 'redo' and undone > 0 then level + 1 else level end,
+            case when kind = 'commit' then 0 when kind = 'undo' and level > 0 then undone + 1 when kind = 'redo' and undone > 0 then undone - 1 else undone end, case when kind = 'commit' then k.eff end
+        from f join k on k.scope = f.scope and k.i = f.i + 1),
+    t as (select scope, max_by(level, i) as top from f group by scope), s as (select scope, level, max(eff) as eff from f where eff is not null group by all),
+    x as (select s.scope, s.eff, c.tx, c.grp from s join t using (scope) join c on c.scope = s.scope and c.eff = s.eff where level <= top),
+    m as (select g.scope, g.revision, g.tx, g.op, g.key, g.value, x.eff from g join x on g.scope = x.scope and g.tx = x.tx and g.grp = x.grp where g.op in ('upsert', 'delete')
+        union all select l.scope, l.revision, l.tx, l.op, l.key, l.value, x.eff from l join x on l.scope = x.scope and l.revision = x.eff where l.tx is null and l.op in ('upsert', 'delete'))"""
+ORACLES["transactions"] = "with recursive " + _LOG + " select scope, key, revision, value from (select *, row_number() over (partition by scope, key order by eff desc, revision desc) as n from m) where n = 1 and op = 'upsert'"
+ORACLES["transaction_lineage"] = "with recursive " + _LOG + """ select scope, key, revision, coalesce(tx, '') as tx, eff as since, lead(eff) over w as until, row_number() over w as place from m window w as (partition by scope, key order by eff, revision)"""

@@ -78,6 +78,19 @@ def relations_at(relations: DataFrame, claims: DataFrame, moment: int) -> DataFr
     return held.where(~named).unionByName(held.where(named).join(live, "source_claim_id", "left_semi").select(*held.columns))
 
 
+def bound_to(repositories: list[str] | None, paths: str | None = None, first: int | None = None, last: int | None = None) -> Column:
+    """Rows of the repositories that a reader is bound to (None: of any; an empty list: none), below a path, within a range of lines.
+
+    Columns: repository_id, path, line. A path is a whole segment or more: "src" holds "src/a.py" and not "srcs".
+    """
+    own = F.lit(True) if repositories is None else F.col("repository_id").isin(sorted(set(repositories))) if repositories else F.lit(False)
+    if paths:
+        own &= (F.col("path") == paths.rstrip("/")) | F.col("path").startswith(paths.rstrip("/") + "/")
+    if first is not None:
+        own &= F.col("line") >= first
+    return own if last is None else own & (F.col("line") <= last)
+
+
 def accepted(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(rows that keep all rules, rows that break one, with the first broken rule's name)."""
     reason = F.coalesce(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]) if rules else F.lit(None)

@@ -139,9 +139,13 @@ def citations(items: DataFrame) -> DataFrame:
     return items.withColumn("citation", F.concat(F.lit("[M:"), letter, F.lit(":"), F.col("id"), F.lit("]")))
 
 
-def answer_policy(items: DataFrame) -> DataFrame:
-    """One row: whether to answer from the items or to abstain."""
-    return items.agg(F.count("*").alias("items")).withColumn("policy", F.when(F.col("items") > 0, "answer_with_citations").otherwise("abstain"))
+def answer_policy(items: DataFrame, questions: DataFrame | None = None, by: str = "query_id") -> DataFrame:
+    """Whether to answer from the items or to abstain: one row, or with questions(by) one for each, those without items too."""
+    policy = F.when(F.col("items") > 0, "answer_with_citations").otherwise("abstain")
+    if questions is None:
+        return items.agg(F.count("*").alias("items")).withColumn("policy", policy)
+    found = items.groupBy(by).agg(F.count("*").alias("items"))
+    return questions.select(by).join(found, by, "left").withColumn("items", F.coalesce("items", F.lit(0))).withColumn("policy", policy)
 
 
 def conflict_status(selected: DataFrame, contradictions: DataFrame) -> DataFrame:

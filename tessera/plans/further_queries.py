@@ -13,9 +13,9 @@ from tessera.functions import spreadsheet, statements
 from tessera.functions import text as T
 from tessera.operators import fusion, graph, lifecycle, migration, observe, recall, search, vector
 from tessera.operators import ledger as L
-from tessera.plans.retrieval_queries import PAIR, TERMS, _bm25_sql
+from tessera.plans.retrieval_queries import _ASKED, _RANKS, TERMS, _bm25_sql, _claim_ranks, questions
 from tessera.plans.staging import shared_dir
-from tessera.plans.tables import CLAIMS, NOW, claims, table, text_index
+from tessera.plans.tables import CLAIMS, NOW, claims, table, text_index, texts
 from tessera.sources import connectors
 from tessera.sources import documents as D
 
@@ -38,9 +38,9 @@ def common_term_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reranked_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty claims and events; a reranker turns the order of most of the claims."""
-    best = claims(spark, sf_dir).orderBy("id").limit(40)
-    fused = best.select((F.col("id") + 1).cast("int").alias("position"), F.when(F.col("id") % 3 == 0, "event").otherwise("claim").alias("kind"), "id")
+    """The forty best claims and events; a reranker turns the order of most of the claims."""
+    best = fusion.ranked(_claim_ranks(spark, sf_dir), [F.desc("score"), F.col("id")]).where("rank <= 40")
+    fused = best.select(F.col("rank").alias("position"), F.when(F.col("id") % 3 == 0, "event").otherwise("claim").alias("kind"), "id")
     return fusion.keep_rerank_order(fused, fused.where("id % 4 <> 1").select("id", (-F.col("id")).alias("rank"))).select("position", "kind", "id")
 
 
@@ -51,11 +51,12 @@ def recall_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefetched_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = text_index(spark, sf_dir, "documents").best([PAIR], 6)
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    own = hits.join(texts, "id").select(F.concat(F.lit("u"), "id").alias("id"), F.lit("unit").alias("kind"), "text", F.round("score", 5).alias("score"))
-    out = search.prefetched(own, "## Context", 6, 24_000)
-    return out.select((F.length("context") > 100).alias("filled"), (F.size(F.split("context", "\n- \\[unit\\] ")) - 1).alias("hits"))
+    """The context that the best events give, as it would be handed on."""
+    hits = text_index(spark, sf_dir, "events").best([["error", "k", "17"]], 20)
+    rows, key, text = texts(spark, sf_dir, "events")
+    own = search.fetched(rows, key, hits.withColumnRenamed("id", key), ["score"])
+    own = own.select(F.concat(F.lit("v"), key).alias("id"), F.lit("event").alias("kind"), F.col(text).alias("text"), F.round("score", 5).alias("score"))
+    return search.prefetched(own, "## Context", 6, 24_000)
 
 
 def added_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,9 +153,12 @@ def foreign_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of one repository within a range."""
-    own = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("repository_id"), F.col("o_orderkey").alias("line"), (F.col("o_custkey") % 11).alias("path"))
-    return own.where((F.col("repository_id") == 3) & F.col("line").between(100, 900)).select("path", "line")
+    """Lines below a path of the two repositories that a reader is bound to, within a range."""
+    own = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("r"), F.col("o_custkey") % 5).alias("repository_id"), F.col("o_orderkey").alias("line"),
+        F.concat(F.when(F.col("o_custkey") % 3 == 0, "srcs").otherwise("src"), F.lit("/f"), F.col("o_custkey") % 11).alias("path"),
+    )
+    return own.where(access.bound_to(["r3", "r4"], "src", 100, 900)).select("repository_id", "path", "line")
 
 
 def grounded_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,9 +267,10 @@ def social_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = text_index(spark, sf_dir, "documents").best([TERMS], 5)
-    some, none = recall.answer_policy(own), recall.answer_policy(own.where("rank > 99"))
-    return some.unionByName(none)
+    """For every user turn: whether the replies that are found are near enough to answer from."""
+    asked = questions(spark, sf_dir)
+    found = text_index(spark, sf_dir, "replies").answers(asked.select("query_id", "query"), 5)
+    return recall.answer_policy(found.where("score >= 14"), asked)
 
 
 def secret_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,12 +318,14 @@ ORACLES: dict[str, str] = {
         select id as observation_id, pass_no, position from p where position <= 160 and seen % 5 <> 0 order by position limit 20""",
     "common_term_window": """with w as (select * from events where event_id >= greatest(1, (select max(event_id) from events) - 2000) order by event_id desc limit 300)
         select event_id from w where event_type = 'click' order by event_id desc limit 15""",
-    "reranked_claims": """with f as (select doc_id + 1 as position, case when doc_id % 3 = 0 then 'event' else 'claim' end as kind, doc_id as id from documents order by doc_id limit 40),
+    "reranked_claims": "with " + _RANKS + """, f as (select rank as position, case when id % 3 = 0 then 'event' else 'claim' end as kind, id from best where rank <= 40),
         c as (select position, id, row_number() over (order by case when id % 4 <> 1 then -id end nulls last, position) as slot from f where kind = 'claim'), s as (select position, row_number() over (order by position) as slot from f where kind = 'claim')
         select cast(position as integer) as position, kind, id from f where kind <> 'claim' union all select cast(s.position as integer), 'claim', c.id from c join s using (slot)""",
     "recall_telemetry": "with " + _bm25_sql("s", "documents", "doc_id", "text", TERMS) + f""", h as (select id, row_number() over (order by score desc, id) as position from s where matched > 0 qualify position <= 20)
         select 'recall_' || substr(sha256('unified_recall' || chr(0) || id || chr(0) || position || chr(0) || '{NOW}'), 1, 24) as recall_event_id, id::varchar as claim_id, position, true as injected from h where id % 2 = 0 and id % 10 <> 4""",
-    "prefetched_context": "select true as filled, 6 as hits",
+    "prefetched_context": "with t as (select event_id, event_type || ' ' || props as text from events), " + _bm25_sql("s", "t", "event_id", "text", ["error", "k", "17"]) + """,
+        h as (select id, text, round(score, 5) as score from s where matched > 0 order by s.score desc, id limit 20), b as (select * from h order by score desc, 'v' || id limit 6)
+        select '## Context' || chr(10) || string_agg('- [event] v' || id || ' score=' || printf('%.5f', score) || chr(10) || '  ' || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 900), chr(10) order by score desc, 'v' || id) as context from b""",
     "added_entities": """with k as (select c_custkey as c from customer where c_custkey % 3 <> 0), n as (select c_custkey as c, c_mktsegment as a from customer where c_custkey % 2 = 0)
         select k.c is null as appended, array_to_string(list_sort(list_distinct(case when k.c is null then [a] when a is null then ['client'] else ['client', a] end)), ',') as aliases, n.c is not null as touched, count(*) as entities from k full join n on k.c = n.c group by all""",
     "added_relations": """with m as (select 'c' || o_custkey as s, case when o_orderkey % 2 = 0 then 'contains' else 'references' end as predicate, 'o' || (o_orderkey % 50) as o, o_orderkey % 300 as c from orders), k as (select distinct * from m where c % 5 = 0),
@@ -342,7 +349,7 @@ ORACLES: dict[str, str] = {
     "registry_entries": "select p_brand || '/' || p_partkey as key from part where lower(p_brand) = 'brand#13' or lower(p_type) = 'brand#13'",
     "still_disclosed": "select doc_id from documents where doc_id % 6 <> 0 and doc_id % 4 <> 0",
     "foreign_claims": "select doc_id as id, lang as project from documents where doc_id % 2 = 0 and doc_id % 11 <> 0 and doc_id % 6 <> 0 and doc_id % 14 <> 0",
-    "repository_files": "select o_custkey % 11 as path, o_orderkey as line from orders where o_custkey % 5 = 3 and o_orderkey between 100 and 900",
+    "repository_files": "select 'r' || (o_custkey % 5) as repository_id, 'src/f' || (o_custkey % 11) as path, o_orderkey as line from orders where o_custkey % 5 in (3, 4) and o_custkey % 3 <> 0 and o_orderkey between 100 and 900",
     "grounded_statements": "select event_id, event_id % 3 = 0 as supported from events",
     "grounded_relations": "select c_custkey, c_custkey % 3 = 0 as grounded from customer",
     "distinct_statements": """with s as (select distinct user_id, case when event_id % 4 in (0, 2) then 'a' when event_id % 4 = 1 then 'b' else 'n' || event_id end as s from events)
@@ -365,7 +372,8 @@ ORACLES: dict[str, str] = {
     "event_moments": "select event_id, cast(floor(epoch(case when event_id % 4 = 3 then date_trunc('minute', ts) else ts end)) as bigint) as moment from events",
     "chosen_texts": "select p_partkey, case when p_partkey % 3 = 0 then p_name || ' and some more of it' else p_name end as text from part",
     "social_closes": """select ['thanks!', 'ok', 'what now?', 'Sounds good...', 'see you', 'good night, friend'][event_id % 6 + 1] as said, event_id % 6 in (0, 1, 3, 4) as closes, count(*) as turns from events group by all""",
-    "answer_policies": "select cast(5 as bigint) as items, 'answer_with_citations' as policy union all select 0, 'abstain'",
+    "answer_policies": "with " + _ASKED + """ select q.query_id, count(r.id) as items, case when count(r.id) > 0 then 'answer_with_citations' else 'abstain' end as policy
+        from q left join r on r.query_id = q.query_id and r.score >= 14 group by q.query_id""",
     "secret_flags": f"select doc_id, {_SECRET} as secret from documents",
     "observation_expiry": f"""select user_id % 50 as owner, event_type as topic, least(coalesce(min(case when event_id % 3 = 0 then {NOW} + event_id % 1000 * 86400 end), 4611686018427387904), {NOW} + 365 * 86400) as expires_at, count(*) as support from events group by all""",
 }

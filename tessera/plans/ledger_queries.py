@@ -11,6 +11,7 @@ from tessera.operators import erasure, fusion, journal
 from tessera.operators import ledger as L
 from tessera.operators import lifecycle as C
 from tessera.operators import observe
+from tessera.plans.further_queries import _SECRET
 from tessera.plans.tables import CLAIMS, LEDGER, NOW, claims, ledger, table
 
 
@@ -239,12 +240,13 @@ def topic_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings over the newest 20,000 claims, and the scores that follow; pairs of claims 300 ids apart stand for contradictions."""
+    """Findings over the newest 20,000 claims, and the scores that follow; a topic's claims in two languages contradict each other, and some of these pairs are open."""
     own = claims(spark, sf_dir).withColumn("status", F.when(F.col("id") % 1009 == 0, "lost").otherwise(F.col("status")))
     own = own.withColumn("topic", F.when(F.col("id") % 997 == 0, F.upper("topic")).otherwise(F.col("topic")))
-    found = C.health_findings(own, own.select(F.when(F.col("id") % 300 == 0, "open").otherwise("resolved").alias("status")))
-    counts = ["anomalies", "low_quality", "bad_topics", "raw_blobs", "artifacts", "open_contradictions"]
-    scores = C.health(found).select(*[F.round(c, 6).alias(c) for c in ("database", "semantic", "pollution", "contradiction")])
+    pairs = C.contradictions(claims(spark, sf_dir), ["topic"], "project")
+    found = C.health_findings(own, pairs.select(F.when((F.col("claim_a") + F.col("claim_b")) % 7 == 0, "open").otherwise("resolved").alias("status")))
+    counts = ["anomalies", "secrets", "low_quality", "bad_topics", "raw_blobs", "artifacts", "open_contradictions"]
+    scores = C.health(found).select(*[F.round(c, 6).alias(c) for c in ("database", "secrecy", "semantic", "pollution", "contradiction")])
     return found.select(*counts).crossJoin(scores)  # one row each
 
 
@@ -388,11 +390,12 @@ ORACLES = {
     "topic_summaries": "with " + CLAIMS + """, t as (select id, case when topic in ('src0', 'src1') then 'main' else topic end as topic, salience from claims), r as (select *, row_number() over (partition by topic order by salience desc, id) as n from t)
         select topic, count(*) as claims, string_agg(id::varchar, ',' order by n) filter (n <= 5) as best from r group by topic""",
     "health_scores": "with " + CLAIMS + """, m as (select id, claim, confidence, salience, updated_at, case when id % 1009 = 0 then 'lost' else status end as status, case when id % 997 = 0 then upper(topic) else topic end as topic from claims),
-        w as (select * from m order by updated_at desc, id limit 20000), t as (select * from w order by salience desc, confidence desc, id limit 80),
+        w as (select * from m order by updated_at desc, id limit 20000), t as (select * from w order by salience desc, confidence desc, id limit 80), p as (select topic, project, min(id) as id from claims where status = 'active' group by all),
         f as (select (select count(*) from w where status not in ('active', 'archived', 'superseded') or trim(coalesce(topic, '')) = '') as anomalies, (select count(*) from t where confidence < 0.3) as low_quality,
             (select count(distinct trim(topic)) from w where not regexp_full_match(trim(coalesce(topic, '')), '[a-z0-9_-]*')) as bad_topics, (select count(*) from w where length(claim) > 8000) as raw_blobs,
-            (select count(*) from w where length(claim) < 10) as artifacts, (select count(*) from m where id % 300 = 0) as open_contradictions)
-        select *, round(greatest(0, 1 - 0.1::double * anomalies), 6) as database, round(greatest(0, 1 - (0.03::double * low_quality + 0.02::double * bad_topics + 0.04::double * raw_blobs)), 6) as semantic,
+            (select count(*) from w where length(claim) < 10) as artifacts, (select count(*) from (select claim as text from w) where """ + _SECRET + """) as secrets,
+            (select count(*) from p a join p b on a.topic = b.topic and a.id < b.id where (a.id + b.id) % 7 = 0) as open_contradictions)
+        select *, round(greatest(0, 1 - 0.1::double * anomalies), 6) as database, round(greatest(0, 1 - 0.1::double * secrets), 6) as secrecy, round(greatest(0, 1 - (0.03::double * low_quality + 0.02::double * bad_topics + 0.04::double * raw_blobs)), 6) as semantic,
             round(greatest(0, 1 - 0.06::double * artifacts), 6) as pollution, round(greatest(0, 1 - 0.015::double * open_contradictions), 6) as contradiction from f""",
     "retrieval_evaluation": "select count(*) as cases, count(*) filter (not (doc_id % 9 = 0 and lang = 'en')) as passed, round(count(*) filter (not (doc_id % 9 = 0 and lang = 'en')) / count(*), 6) as score from documents",
     "quality_metrics": """with r as (select l_orderkey as q, l_partkey as i, min(l_linenumber) as rank from lineitem group by all), g as (select distinct l_orderkey as q, l_partkey as i from lineitem where l_linenumber % 3 = 0 or l_quantity > 30),

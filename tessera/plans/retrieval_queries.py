@@ -254,7 +254,7 @@ def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.round("rrf", 9).alias("rrf"))
 
 
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn as a question: query_id, query, topic, and the reply that answers it, if there is one."""
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
     at = F.format_string("%06d-%04d", "conv_id", "turn")
@@ -263,20 +263,20 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies, _, _ = texts(spark, sf_dir, "replies")
-    return _questions(spark, sf_dir).join(replies.select(F.col("id").alias("reply")), "reply").select("query_id", F.col("reply").alias("id"), "session", "category")
+    return questions(spark, sf_dir).join(replies.select(F.col("id").alias("reply")), "reply").select("query_id", F.col("reply").alias("id"), "session", "category")
 
 
 def asked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best replies to every user turn, all asked at once."""
-    out = text_index(spark, sf_dir, "replies").answers(_questions(spark, sf_dir).select("query_id", "query"), 5)
+    out = text_index(spark, sf_dir, "replies").answers(questions(spark, sf_dir).select("query_id", "query"), 5)
     return out.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def benchmark_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall, any and all at five and MRR of every user turn by category: whether the reply that follows is found, and its conversation."""
-    results = text_index(spark, sf_dir, "replies").answers(_questions(spark, sf_dir).select("query_id", "query"), 5)
+    results = text_index(spark, sf_dir, "replies").answers(questions(spark, sf_dir).select("query_id", "query"), 5)
     gold = _gold(spark, sf_dir)
-    asked = _questions(spark, sf_dir).select("query_id", "category")
+    asked = questions(spark, sf_dir).select("query_id", "category")
     turns = lifecycle.benchmark_report(asked, lifecycle.retrieval_metrics(results, gold, 5), ["category"])
     own = results.select("query_id", F.substring_index("id", "-", 1).alias("id"), "rank")
     sessions = lifecycle.benchmark_report(asked, lifecycle.retrieval_metrics(own.groupBy("query_id", "id").agg(F.min("rank").alias("rank")), gold.select("query_id", F.col("session").alias("id")), 5), ["category"])

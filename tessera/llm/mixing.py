@@ -26,8 +26,8 @@ from tessera.llm.shared import drawn
 from tessera.plans.staging import stage
 
 BUCKETS = 4096
-#: Domains that a mixture may have: the classifier has BUCKETS numbers for each, and the Gram matrix one for each pair.
-MOST_DOMAINS = 256
+#: Domains that a mixture may have: the plan has BUCKETS numbers for each and a sum for each pair, and its making takes minutes beyond.
+MOST_DOMAINS = 16
 #: A document's evidence counts as that of so many tokens at most, which keeps memberships soft.
 EVIDENCE = 10
 STEPS = 12

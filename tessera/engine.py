@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from tessera import access
 from tessera.functions import spreadsheet, statements, text
-from tessera.operators import fusion, graph, index, ledger, lexical, lifecycle, observe, recall, search, vector
+from tessera.operators import erasure, fusion, graph, index, journal, ledger, lexical, lifecycle, migration, observe, recall, search, vector
 from tessera.sources import bundles, connectors, documents
+from tessera.streaming import identity, inbox
 
 #: Name to function. Mutating operations are appends to a log whose present rows are ``lifecycle.latest_state``.
 OPERATIONS: dict[str, Callable] = {
@@ -22,7 +23,7 @@ OPERATIONS: dict[str, Callable] = {
     "embed_pending": vector.pending, "semantic_search": vector.top_k, "embed": vector.hashed_ngrams, "near_duplicates": vector.simhash_neighbours,
     "decay_scan": lifecycle.decay_scan, "decay_stats": lifecycle.decay_stats, "decay_archive": lifecycle.decay_archive, "gc": lifecycle.collectable, "supersede": lifecycle.superseded,
     "contradict": lifecycle.contradictions, "resolve_contradiction": lifecycle.resolved, "mark_used": lifecycle.feedback, "normalize_topics": lifecycle.topics, "summarize_topic": lifecycle.topics,
-    "recent_changes": lifecycle.recent, "audit_log": lifecycle.recent, "mutation_log": lifecycle.recent, "undo_last": lifecycle.undone, "rebuild_from_journal": lifecycle.latest_state, "federate_merge": lifecycle.merged,
+    "recent_changes": lifecycle.recent, "audit_log": lifecycle.recent, "mutation_log": lifecycle.recent, "undo_last": lifecycle.undone, "transaction": journal.state, "why_believe": journal.lineage, "rebuild_from_journal": lifecycle.latest_state, "federate_merge": lifecycle.merged,
     "health": lifecycle.health, "evaluate_retrieval": lifecycle.evaluated, "retrieval_metrics": lifecycle.retrieval_metrics, "shared_block_list": lifecycle.block_events,
     "secrecy_report": text.secret_findings, "immune_scan": text.has_secret, "context_sanitize": text.sanitized, "write_firewall": text.redacted, "is_social_close": text.is_social_close, "lint_claim": access.accepted,
     "backup": bundles.backup, "restore": bundles.restore, "scoped_backup": bundles.backup, "restore_scoped_backup": bundles.restore, "export_bundle": bundles.export_bundle, "import_bundle": bundles.import_bundle,
@@ -31,6 +32,8 @@ OPERATIONS: dict[str, Callable] = {
     "add_entity": graph.added_entities, "add_relation": graph.added_relations, "label_agreement": vector.label_agreement, "nearest": vector.nearest_by_cosine, "evaluate_formulas": spreadsheet.evaluated_rows,
     "sanitize_json": text.json_sanitized, "registry_lookup": lifecycle.registry_lookup, "erasure_replay": connectors.erased, "publish_index": connectors.publish, "published_index": connectors.published,
     "job_health": ledger.job_health, "online_metrics": ledger.latency_snapshot, "consolidate": observe.consolidated,
+    "erase": erasure.markers, "erased_hits": erasure.hits, "unerased": erasure.without_contained, "event_ids": identity.run_identified, "ingest_inbox": inbox.take_in, "compact_inbox": inbox.compact,
+    "reconcile": migration.reconcile, "switch_version": migration.switch, "current_version": migration.current, "benchmark_report": lifecycle.benchmark_report, "repository_binding": access.bound_to,
 }
 
 

@@ -67,16 +67,34 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def simhash_classes(rows: DataFrame, key: str, simhash: str) -> DataFrame:
+    """rows(key, simhash) with class_id, the smallest key of all rows with the same hash."""
+    first = rows.groupBy(simhash).agg(F.min(key).alias("class_id"))
+    return rows.select(key, simhash).join(first, simhash)
+
+
 def simhash_neighbours(rows: DataFrame, key: str, simhash: str, most: int = 3) -> DataFrame:
-    """Pairs (a, b, distance), a < b, of 64-bit simhashes within ``most`` (3 at most) bits.
+    """Pairs (a, b, distance), a < b, of the class representatives (``simhash_classes``) whose 64-bit simhashes are within ``most`` bits.
 
-    Hashes so near agree in one of four 16-bit bands; pairs meet there and are kept in the first band that they share.
+    Rows of one hash are one class, so copies make no pairs. The bits are cut into most + 2 blocks; hashes so near agree in two of
+    them, meet in the tables keyed by two blocks, and are kept in the first that they share. A key has two blocks' bits, 25 for three
+    bits of distance, so groups by a key stay small as tables grow.
     """
-    band = F.posexplode(F.array(*[F.shiftrightunsigned(F.col(simhash), 16 * i).bitwiseAND(0xFFFF) for i in range(4)])).alias("band", "v")
-    cut = rows.select(key, simhash, band)
-    met = cut.alias("a").join(cut.alias("b"), F.expr(f"a.band = b.band and a.v = b.v and a.{key} < b.{key}"))
-    near = met.withColumn("distance", hamming(F.col(f"a.{simhash}"), F.col(f"b.{simhash}"))).where(F.col("distance") <= most)
-    return near.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), "distance").distinct()
+    n = most + 2
+    edges = [64 * i // n for i in range(n + 1)]
+
+    def block(h: Column, i: int) -> Column:
+        return F.shiftrightunsigned(h, edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1)
+
+    classes = rows.groupBy(F.col(simhash).alias("h")).agg(F.min(key).alias("k"))
+    tables = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), block(F.col("h"), i).alias("x"), block(F.col("h"), j).alias("y")) for t, (i, j) in enumerate(tables)])
+    cut = classes.select("k", "h", F.explode(keys).alias("_b")).select("k", "h", "_b.*")
+    met = cut.toDF("a", "ha", "t", "x", "y").join(cut.toDF("b", "hb", "t", "x", "y"), ["t", "x", "y"]).where("a < b")
+    near = met.withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most)
+    same = F.filter(F.array(*[F.when(block(F.col("ha"), i) == block(F.col("hb"), i), F.lit(i)) for i in range(n)]), lambda i: i.isNotNull())
+    table = F.array_position(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in tables]), F.struct(F.get(same, F.lit(0)).alias("i"), F.get(same, F.lit(1)).alias("j")))
+    return near.where(table == F.col("t") + 1).select("a", "b", "distance")
 
 
 def word_pairs(rows: DataFrame, key: str, words: str, least: float) -> DataFrame:

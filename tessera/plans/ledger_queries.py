@@ -347,8 +347,9 @@ ORACLES = {
     "unerased": "select doc_id from documents d where not exists (select 1 from documents e where e.doc_id % 8 = 0 and lower(trim(e.text)) = lower(trim(d.text)))",
     "contained_erasures": """with n as (select doc_id, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) as t from documents),
         p as (select distinct phrase from (select array_to_string(string_split(t, ' ')[3:7], ' ') as phrase from n where doc_id % 50 = 0
-            union all select string_split(t, ' ')[2] from n where doc_id % 50 = 25 and length(string_split(t, ' ')[2]) >= 6) where phrase <> '')
-        select doc_id, count(*) as phrases from n join p on contains(t, phrase) and regexp_matches(t, '(^|[^\\p{L}\\p{N}_])' || regexp_escape(phrase) || '($|[^\\p{L}\\p{N}_])') group by doc_id""",
+            union all select string_split(t, ' ')[2] from n where doc_id % 50 = 25 and length(string_split(t, ' ')[2]) >= 6) where phrase <> ''),
+        c as materialized (select doc_id, t, phrase from n join p on contains(t, phrase))
+        select doc_id, count(*) as phrases from c where regexp_matches(t, '(^|[^\\p{L}\\p{N}_])' || regexp_escape(phrase) || '($|[^\\p{L}\\p{N}_])') group by doc_id""",
     "episode_retention": """select bot, conv_id, turn, role from (select conv_id % 5 as bot, *, row_number() over w as n, sum(octet_length(encode(text))) over w as b from conversations where role in ('user', 'assistant')
         window w as (partition by conv_id % 5 order by conv_id desc, turn desc, role desc rows between unbounded preceding and current row)) where n <= 60 and b <= 40000""",
     "event_retention": "with " + LEDGER + """ select event_id from (select *, row_number() over w as n, sum(octet_length(encode(event_type)) + octet_length(encode(props))) over w as b from ledger

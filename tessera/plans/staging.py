@@ -49,6 +49,15 @@ def discard(*staged: DataFrame) -> None:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has staged, indexes too: for its end, when no frame that reads them is used any more."""
+    from tessera.operators import index
+
+    index._BUILT.clear()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -25,4 +25,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tessera.plans import staging
+
+    staging.clear(session)
     session.stop()

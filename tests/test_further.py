@@ -277,3 +277,31 @@ def test_searches_agree_with_and_without_an_index(spark):
     keyed = turns.withColumn("id", F.concat_ws("-", "conv_id", "turn", "role"))
     said = lambda i: sorted(tuple(x) for x in search.episode_query(turns, "red fox; hen", index=i).collect())
     assert said(index.build(keyed, "id", "text")) == said(None)
+
+
+def test_simhash_neighbours_against_brute_force(spark):
+    r = __import__("random").Random(6)
+    base = [r.getrandbits(64) for _ in range(8)]
+    made = []
+    for i in range(160):
+        h = base[i % 8]
+        for _ in range(r.randrange(0, 6)):
+            h ^= 1 << r.randrange(64)
+        made.append((i, h - (1 << 64) if h >= 1 << 63 else h))
+    rows = spark.createDataFrame(made, "id long, h long")
+    least = {}
+    for i, h in made:
+        least.setdefault(h, i)
+    bits = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    for most in (0, 3, 5):
+        want = {(min(i, j), max(i, j), bits(a, b)) for a, i in least.items() for b, j in least.items() if i < j and bits(a, b) <= most}
+        assert {tuple(x) for x in vector.simhash_neighbours(rows, "id", "h", most).collect()} == want
+    assert {(x.id, x.class_id) for x in vector.simhash_classes(rows, "id", "h").collect()} == {(i, least[h]) for i, h in made}
+
+
+def test_repositories_are_bound(spark):
+    from tessera import access
+
+    rows = spark.createDataFrame([("a", "src", 1), ("a", "src/x.py", 5), ("a", "srcs/x.py", 5), ("b", "src/x.py", 5), (None, None, None)], "repository_id string, path string, line long")
+    count = lambda *a: rows.where(access.bound_to(*a)).count()
+    assert (count(["a"]), count(["a"], "src/"), count(None, "src", 2), count(None, "src", None, 4), count([]), count(["a", "b"], "src/x.py")) == (3, 2, 2, 1, 0, 2)

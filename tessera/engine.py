@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from tessera import access
 from tessera.functions import spreadsheet, statements, text
-from tessera.operators import erasure, fusion, graph, index, journal, ledger, lexical, lifecycle, migration, observe, recall, search, vector
+from tessera.operators import codeclaims, erasure, fusion, graph, index, journal, ledger, lexical, lifecycle, migration, observe, recall, search, vector
 from tessera.sources import bundles, connectors, documents
 from tessera.streaming import identity, inbox
 
@@ -17,12 +17,12 @@ OPERATIONS: dict[str, Callable] = {
     "compare_search": fusion.compare_lists, "debug_search": fusion.compare_lists, "rerank": fusion.rerank_fusion, "diversify": fusion.capped_per_group, "collapse": recall.collapse, "coverage": recall.coverage,
     "query_secrets": lifecycle.registry_search, "memory_diff": statements.with_verdict, "extract": statements.extracted, "graph_extract_claim": statements.grounded_relation,
     "graph_query": graph.entity_query, "code_graph_neighbors": graph.neighbours, "document_neighbors": graph.neighbours, "code_line_context": graph.line_context, "document_unit_context": graph.unit_context,
-    "code_graph_status": graph.totals, "code_graph_ingest": graph.applied_snapshot, "invalidate_revision": graph.invalidated, "symbol_history": observe.history, "claim_history": observe.history,
+    "code_graph_status": graph.totals, "code_graph_ingest": graph.applied_snapshot, "invalidate_revision": graph.invalidated, "symbol_history": codeclaims.symbol_revisions, "code_claim_query": codeclaims.code_claims, "repository_context": codeclaims.repository_context, "patch_outcome_add": codeclaims.recorded_outcomes, "patched_claims": codeclaims.patched, "claim_history": observe.history,
     "document_ingest": documents.units_of, "document_chunks": documents.chunked, "document_scan": documents.scan, "document_status": documents.scan_actions, "source_record_upsert": documents.latest_records,
     "source_file_sync": connectors.observed, "source_list": connectors.source_list, "source_delete": connectors.source_deleted, "document_delete": connectors.source_deleted, "reindex": connectors.reindexed,
     "embed_pending": vector.pending, "semantic_search": vector.top_k, "embed": vector.hashed_ngrams, "near_duplicates": vector.simhash_neighbours,
     "decay_scan": lifecycle.decay_scan, "decay_stats": lifecycle.decay_stats, "decay_archive": lifecycle.decay_archive, "gc": lifecycle.collectable, "supersede": lifecycle.superseded,
-    "contradict": lifecycle.contradictions, "resolve_contradiction": lifecycle.resolved, "mark_used": lifecycle.feedback, "normalize_topics": lifecycle.topics, "summarize_topic": lifecycle.topics,
+    "contradict": lifecycle.contradictions, "resolve_contradiction": lifecycle.resolved, "resolve_by_policy": lifecycle.resolved_by_policy, "mark_used": lifecycle.feedback, "normalize_topics": lifecycle.topics, "summarize_topic": lifecycle.topics,
     "recent_changes": lifecycle.recent, "audit_log": lifecycle.recent, "mutation_log": lifecycle.recent, "undo_last": lifecycle.undone, "transaction": journal.state, "why_believe": journal.lineage, "rebuild_from_journal": lifecycle.latest_state, "federate_merge": lifecycle.merged,
     "health": lifecycle.health, "evaluate_retrieval": lifecycle.evaluated, "retrieval_metrics": lifecycle.retrieval_metrics, "shared_block_list": lifecycle.block_events,
     "secrecy_report": text.secret_findings, "immune_scan": text.has_secret, "context_sanitize": text.sanitized, "write_firewall": text.redacted, "is_social_close": text.is_social_close, "lint_claim": access.accepted,

@@ -66,6 +66,28 @@ def resolved(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
     return pairs.join(last, ["claim_a", "claim_b"], "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
 
 
+#: What decides between two claims, by policy: the larger is kept.
+POLICIES = {"newest": ("updated_at", "confidence"), "confident": ("confidence", "updated_at"), "salient": ("salience", "confidence")}
+
+
+def resolved_by_policy(pairs: DataFrame, claims: DataFrame, policy: str) -> DataFrame:
+    """Open pairs(claim_a, claim_b, status) with kept, dropped and status by a policy of POLICIES.
+
+    A pinned claim wins over one that isn't. Where all that the policy looks at is equal the pair stays open, with nothing kept. Pairs of claims that
+    aren't there, or aren't active any more, are resolved: what is left is kept.
+    """
+    first, second = POLICIES[policy]
+    worth = F.struct(F.coalesce("pinned", F.lit(False)).alias("p"), F.coalesce(F.col(first).cast("double"), F.lit(0.0)).alias("x"), F.coalesce(F.col(second).cast("double"), F.lit(0.0)).alias("y"))
+    live = claims.where("status = 'active'").select("id", worth.alias("w"))
+    own = pairs.where("status = 'open'").join(live.toDF("claim_a", "_a"), "claim_a", "left").join(live.toDF("claim_b", "_b"), "claim_b", "left")
+    a = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.col("_a") > F.col("_b")))
+    b = F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col("_b") > F.col("_a")))
+    kept = F.when(a, F.col("claim_a")).when(b, F.col("claim_b"))
+    dropped = F.when(a, F.col("claim_b")).when(b, F.col("claim_a"))
+    tie = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_a") == F.col("_b"))
+    return own.select("claim_a", "claim_b", kept.alias("kept"), dropped.alias("dropped"), F.when(tie, "open").otherwise("resolved").alias("status"))
+
+
 def feedback(marks: DataFrame) -> DataFrame:
     """Counts of outcomes for each claim; a mark counts once for each (answer_id, claim_id, outcome)."""
     once = marks.where(F.col("outcome").isin("used", "helpful", "irrelevant", "contradicted", "harmful")).select("answer_id", "claim_id", "outcome").distinct()

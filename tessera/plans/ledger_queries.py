@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import access
 from tessera.functions.patterns import KEPT
-from tessera.operators import erasure, fusion, journal
+from tessera.operators import codeclaims, erasure, fusion, journal
 from tessera.operators import ledger as L
 from tessera.operators import lifecycle as C
 from tessera.operators import observe
@@ -196,6 +196,46 @@ def claim_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.resolved(pairs, decided).select("claim_a", "claim_b", "status")
 
 
+def policy_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contradictions of one topic in two languages, decided by confidence and then by age."""
+    own = claims(spark, sf_dir).withColumn("confidence", F.floor(F.col("confidence") * 3) / 3)
+    pairs = C.contradictions(claims(spark, sf_dir), ["topic"], "project").withColumn("status", F.when((F.col("claim_a") + F.col("claim_b")) % 4 == 0, "resolved").otherwise("open"))
+    return C.resolved_by_policy(pairs, own.where("id % 13 <> 6"), "confident").select("claim_a", "claim_b", "kept", "status")
+
+
+def _code(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(metadata, symbols, outcomes): claims on symbols by document, the symbols as they are now, and orders as patches."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    symbol = F.concat(F.lit("s"), d % 40)
+    content = lambda n: F.md5(F.concat(F.lit("c"), n))
+    metadata = docs.select(d.alias("claim_id"), F.col("source").alias("repository_id"), F.concat_ws("/", "lang", F.concat(F.lit("f"), d % 8)).alias("file_path"), symbol.alias("symbol_id"), F.concat(F.lit("r"), d % 3).alias("symbol_revision"), content(d % 6).alias("content_hash"))
+    symbols = metadata.where(F.substring("symbol_id", 2, 9).cast("int") % 5 != 0).groupBy("repository_id", "symbol_id").agg(F.max("content_hash").alias("content_hash"))
+    o = F.col("o_orderkey")
+    files = F.to_json(F.array(F.concat(F.lit("en/f"), o % 8), F.concat(F.lit("de/f"), o % 5)))
+    changed = F.when(o % 3 != 0, F.to_json(F.array(F.concat(F.lit("s"), o % 40), F.concat(F.lit("s"), o % 40))))
+    outcomes = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("src"), F.col("o_custkey") % 20).alias("repository_id"), (o % 700).alias("patch_id"), o.alias("claim_id"), F.when(F.col("o_orderstatus") == "F", " Applied").when(F.col("o_orderstatus") == "O", "rolled_back").otherwise("odd").alias("outcome"),
+        content(o % 6).alias("old_content_hash"), content((o + 1) % 6).alias("new_content_hash"), files.alias("changed_files"), changed.alias("changed_symbols"), o.alias("created_at"), o.alias("updated_at"),
+    )
+    return metadata, symbols, codeclaims.recorded_outcomes(outcomes.where(F.col("created_at") % 2 == 0), outcomes.where(F.col("created_at") % 2 == 1))
+
+
+def repository_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each repository."""
+    return codeclaims.repository_context(claims(spark, sf_dir), *_code(spark, sf_dir))
+
+
+def patched_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What patches did to claims."""
+    metadata, _, outcomes = _code(spark, sf_dir)
+    return codeclaims.patched(outcomes, metadata).groupBy("repository_id", "effect").agg(F.count("*").alias("claims"), F.count_distinct("patch_id").alias("patches"))
+
+
+def symbol_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codeclaims.symbol_revisions(_code(spark, sf_dir)[0]).select("repository_id", "symbol_id", "symbol_revision", "claims", "place", "before", "changed")
+
+
 def recall_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("event_id")
     marks = table(spark, sf_dir, "events").select((d % 800).alias("answer_id"), (d % 40).alias("claim_id"), F.when(d % 5 == 0, "used").when(d % 5 == 1, "helpful").when(d % 5 == 2, "irrelevant").when(d % 5 == 3, "harmful").otherwise("seen").alias("outcome"))
@@ -311,7 +351,7 @@ def fresh_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     owner_usage, partition_usage, visible_events, valid_claims, live_relations, unlinked_sources, intact_documents, shareable_claims, rejected_claims, unerased, contained_erasures, episode_retention, event_retention,
     version_retention, evidence_samples, outbox, idempotent_events, coalesced, job_health, job_backoff, undecided_events, latency_histogram, latency_snapshot, observations, changed_observations,
-    order_history, decay_scan, decay_archive, decay_stats, garbage, superseded_claims, claim_contradictions, recall_feedback, journal_replay, transactions, transaction_lineage, recent_changes, merged_stores, topic_summaries,
+    order_history, decay_scan, decay_archive, decay_stats, garbage, superseded_claims, claim_contradictions, policy_resolutions, repository_contexts, patched_claims, symbol_revisions, recall_feedback, journal_replay, transactions, transaction_lineage, recent_changes, merged_stores, topic_summaries,
     health_scores, retrieval_evaluation, quality_metrics, ingestion_confusion, session_worth, shared_blocks, registry_search, shared_block_render,
     embedding_status, fresh_prefixes,
 )}
@@ -443,3 +483,24 @@ _LOG = """l as (select user_id % 10 as scope, event_id as revision, case when ev
         union all select l.scope, l.revision, l.tx, l.op, l.key, l.value, x.eff from l join x on l.scope = x.scope and l.revision = x.eff where l.tx is null and l.op in ('upsert', 'delete'))"""
 ORACLES["transactions"] = "with recursive " + _LOG + " select scope, key, revision, value from (select *, row_number() over (partition by scope, key order by eff desc, revision desc) as n from m) where n = 1 and op = 'upsert'"
 ORACLES["transaction_lineage"] = "with recursive " + _LOG + """ select scope, key, revision, coalesce(tx, '') as tx, eff as since, lead(eff) over w as until, row_number() over w as place from m window w as (partition by scope, key order by eff, revision)"""
+
+ORACLES["policy_resolutions"] = "with " + CLAIMS + """, p as (select topic, project, min(id) as id from claims where status = 'active' group by all),
+    o as (select a.id as claim_a, b.id as claim_b from p a join p b on a.topic = b.topic and a.id < b.id where (a.id + b.id) % 4 <> 0),
+    w as (select id, {'p': pinned, 'x': floor(confidence * 3) / 3, 'y': updated_at} as w from claims where status = 'active' and id % 13 <> 6)
+    select claim_a, claim_b, case when a.w is not null and (b.w is null or a.w > b.w) then claim_a when b.w is not null and (a.w is null or b.w > a.w) then claim_b end as kept,
+        case when a.w is not null and b.w is not null and a.w = b.w then 'open' else 'resolved' end as status from o left join w a on a.id = claim_a left join w b on b.id = claim_b"""
+_CODE = """m as (select doc_id as claim_id, source as repository_id, lang || '/f' || (doc_id % 8) as file_path, 's' || (doc_id % 40) as symbol_id, 'r' || (doc_id % 3) as symbol_revision, md5('c' || (doc_id % 6)) as content_hash from documents),
+    s as (select repository_id, symbol_id, max(content_hash) as now from m where cast(substr(symbol_id, 2) as integer) % 5 <> 0 group by all),
+    u as (select 'src' || (o_custkey % 20) as repository_id, o_orderkey % 700 as patch_id, case o_orderstatus when 'F' then 'applied' when 'O' then 'rolled_back' else 'pending' end as outcome, md5('c' || (o_orderkey % 6)) as old, md5('c' || ((o_orderkey + 1) % 6)) as new, o_orderkey as o from orders),
+    r as (select * from u qualify row_number() over (partition by repository_id, patch_id order by o desc) = 1)"""
+ORACLES["repository_contexts"] = "with " + CLAIMS + ", " + _CODE + """, c as (select m.*, case when now is null then 'orphaned' when now = content_hash then 'current' else 'stale' end as standing from m join claims on claim_id = id and status = 'active' left join s using (repository_id, symbol_id)),
+    k as (select repository_id, count(*) as claims, count(*) filter (standing = 'current') as current, count(*) filter (standing = 'stale') as stale, count(*) filter (standing = 'orphaned') as orphaned, count(distinct file_path) as files, count(distinct symbol_id) as symbols from c group by 1),
+    p as (select repository_id, count(*) filter (outcome = 'applied') as applied, count(*) filter (outcome = 'failed') as failed, count(*) filter (outcome = 'rolled_back') as rolled_back, count(*) filter (outcome = 'pending') as pending from r group by 1)
+    select repository_id, coalesce(claims, 0) as claims, coalesce(current, 0) as current, coalesce(stale, 0) as stale, coalesce(orphaned, 0) as orphaned, coalesce(files, 0) as files, coalesce(symbols, 0) as symbols,
+        coalesce(applied, 0) as applied, coalesce(failed, 0) as failed, coalesce(rolled_back, 0) as rolled_back, coalesce(pending, 0) as pending from k full join p using (repository_id)"""
+ORACLES["patched_claims"] = "with " + _CODE + """, d as (select repository_id, patch_id, o, case outcome when 'applied' then old else new end as b, case outcome when 'applied' then new else old end as a from r where outcome in ('applied', 'rolled_back')),
+    h as (select d.repository_id, patch_id, content_hash, a, b from d join m on m.repository_id = d.repository_id and m.symbol_id = 's' || (o % 40) where o % 3 <> 0
+        union all select d.repository_id, patch_id, content_hash, a, b from d join m on m.repository_id = d.repository_id and m.file_path in ('en/f' || (o % 8), 'de/f' || (o % 5)) where o % 3 = 0)
+    select repository_id, case when content_hash = b then 'invalidated' when content_hash = a then 'confirmed' else 'unclear' end as effect, count(*) as claims, count(distinct patch_id) as patches from h group by all"""
+ORACLES["symbol_revisions"] = "with " + _CODE + """, e as (select repository_id, symbol_id, symbol_revision, count(*) as claims, min(content_hash) as h from m group by all)
+    select repository_id, symbol_id, symbol_revision, claims, row_number() over w as place, lag(symbol_revision) over w as before, lag(h) over w is distinct from h as changed from e window w as (partition by repository_id, symbol_id order by symbol_revision)"""

@@ -287,3 +287,31 @@ def test_guard_of_disguised_russian_and_descriptive_texts(spark):
     plain = ["The report describes jailbreak prevention.", "We discussed prompt injection risks.", "Источник воды чист", "Straße und Fluß", "The source is cited."]
     got = spark.createDataFrame([(t,) for t in caught + plain], "t string").select(text.sanitized(F.col("t")).alias("s")).collect()
     assert [x.s for x in got] == ["[filtered: injection pattern detected]"] * len(caught) + plain
+
+
+def test_code_claims_by_key_and_standing(spark):
+    from tessera.operators import codeclaims as K
+
+    metadata = spark.createDataFrame([("c1", "r", "a.py", "s1", "1", "h1"), ("c2", "r", "a.py", "s2", "1", "h1"), ("c3", "r", "b.py", None, "2", None), ("c4", "q", "a.py", "s1", "1", "h1")], "claim_id string, repository_id string, file_path string, symbol_id string, symbol_revision string, content_hash string")
+    claims = spark.createDataFrame([("c1", "active"), ("c2", "archived"), ("c3", "active"), ("c4", "active")], "id string, status string")
+    ids = lambda *a, **k: sorted(x.id for x in K.code_claims(claims, metadata, *a, **k).collect())
+    assert ids("r") == ["c1", "c3"] and ids("r", "a.py", active_only=False) == ["c1", "c2"] and ids(symbol="s1") == ["c1", "c4"] and ids() == ["c1", "c3", "c4"]
+    symbols = spark.createDataFrame([("r", "s1", "h2"), ("q", "s1", "h1")], "repository_id string, symbol_id string, content_hash string")
+    assert {x.claim_id: x.standing for x in K.standing(metadata, symbols).collect()} == {"c1": "stale", "c2": "orphaned", "c3": "orphaned", "c4": "current"}
+    shape = "repository_id string, patch_id string, claim_id string, outcome string, old_content_hash string, new_content_hash string, changed_files string, changed_symbols string, created_at long, updated_at long"
+    one = spark.createDataFrame([("r", "p", "c1", "pending", "h1", "h2", '["a.py"]', None, 1, 1), ("q", "p", "c1", "what", None, None, "broken", None, 1, 1)], shape)
+    two = spark.createDataFrame([("r", "p", "c1", "Applied ", "h1", "h2", '["a.py"]', "[]", 5, 5)], shape)
+    kept = K.recorded_outcomes(one, two)
+    assert {(x.repository_id, x.outcome, x.created_at, x.updated_at) for x in kept.collect()} == {("r", "applied", 1, 5), ("q", "pending", 1, 1)}
+    assert {(x.claim_id, x.effect) for x in K.patched(kept, metadata).collect()} == {("c1", "invalidated"), ("c2", "invalidated")}
+    assert K.repository_context(claims, metadata, symbols, kept.limit(0)).where("repository_id = 'r'").first().asDict() == {
+        "repository_id": "r", "claims": 2, "current": 0, "stale": 1, "orphaned": 1, "files": 2, "symbols": 1, "applied": 0, "failed": 0, "rolled_back": 0, "pending": 0,
+    }
+
+
+def test_contradictions_by_policy(spark):
+    claims = spark.createDataFrame([(1, "active", 0.5, None, 10, False), (2, "active", 0.9, 0.1, 5, False), (3, "active", 0.5, None, 10, False), (4, "archived", 1.0, 1.0, 99, True), (5, "active", None, None, None, True)], "id long, status string, confidence double, salience double, updated_at long, pinned boolean")
+    pairs = spark.createDataFrame([(1, 2, "open"), (1, 3, "open"), (2, 4, "open"), (2, 5, "open"), (4, 9, "open"), (1, 2, "resolved")], "claim_a long, claim_b long, status string")
+    got = lambda p: {(x.claim_a, x.claim_b): (x.kept, x.dropped, x.status) for x in lifecycle.resolved_by_policy(pairs, claims, p).collect()}
+    assert got("confident") == {(1, 2): (2, 1, "resolved"), (1, 3): (None, None, "open"), (2, 4): (2, 4, "resolved"), (2, 5): (5, 2, "resolved"), (4, 9): (None, None, "resolved")}
+    assert got("newest")[1, 2] == (1, 2, "resolved") and got("salient")[1, 2] == (2, 1, "resolved")

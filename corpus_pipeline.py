@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm import line_dedup, mixing, ngram_join, pieces, quality
 from tessera.llm.queries import TARGETS, labelled_domains
 from tessera.llm.shared import table
-from tessera.plans.staging import stage
+from tessera.plans.staging import discard, stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the table ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), f"pipeline-{name}")
+        read, docs = docs, stage(f(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(read)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,7 @@ from tessera.functions import statements
 from tessera.functions import text as T
 from tessera.operators import graph as G
 from tessera.plans.staging import shared_dir
-from tessera.plans.tables import NOW, ledger, table
+from tessera.plans.tables import NOW, table
 from tessera.sources import documents as D
 from tessera.streaming import identity, inbox
 from tessera.streaming import ledger as S

@@ -68,7 +68,7 @@ def test_stages_on_no_documents(spark, documents, stage):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as from '{FOLDER}/{t}.parquet'")
     found = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in found.description]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.patterns import CODE_PREDICATES, DOCUMENT_PREDICATES
+from tessera.plans.staging import stage
 
 
 def known_predicate(predicate: Column, kind: str = "code") -> Column:
@@ -42,14 +43,21 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int =
 
 
 def reachable(edges: DataFrame, start: str, depth: int) -> DataFrame:
-    """(node, depth): every node within ``depth`` directed hops of one node, at its least depth, by a recursive query."""
-    return edges.sparkSession.sql(
-        """with recursive walk(node, depth) as (
-            select cast(:start as string), 0 union all
-            select e.b, w.depth + 1 from walk w join {edges} e on e.a = w.node where w.depth < :depth)
-        select node, min(depth) as depth from walk group by node""",
-        args={"start": start, "depth": int(depth)}, edges=edges.select("a", "b"),
-    )
+    """(node, depth): every node within ``depth`` directed hops of one node, at its least depth.
+
+    A join for each hop, from the nodes that the last one reached first; what it finds is staged, so plans don't grow and
+    a node is entered once. A recursive query would be held to ``spark.sql.cteRecursionRowLimit`` rows and carry every path.
+    """
+    ends = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    found = frontier = edges.sparkSession.createDataFrame([(start, 0)], "node string, depth int")
+    for hop in range(1, int(depth) + 1):
+        near = ends.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        known = found.select(F.col("node").alias("_k"))
+        frontier = stage(near.join(known, F.col("node").eqNullSafe(F.col("_k")), "left_anti").withColumn("depth", F.lit(hop)), "reachable")
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    return found
 
 
 def line_context(lines: DataFrame, wanted: DataFrame, radius: int = 20) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -73,27 +77,41 @@ def simhash_classes(rows: DataFrame, key: str, simhash: str) -> DataFrame:
     return rows.select(key, simhash).join(first, simhash)
 
 
-def simhash_neighbours(rows: DataFrame, key: str, simhash: str, most: int = 3) -> DataFrame:
-    """Pairs (a, b, distance), a < b, of the class representatives (``simhash_classes``) whose 64-bit simhashes are within ``most`` bits.
+def _dealt_bits(rows: DataFrame, simhash: str, most: int) -> list[int]:
+    """Masks of the blocks that 64 bits are dealt into, the bits that vary most first, so that each block gets its share of them.
 
-    Rows of one hash are one class, so copies make no pairs. The bits are cut into most + 2 blocks; hashes so near agree in two of
-    them, meet in the tables keyed by two blocks, and are kept in the first that they share. A key has two blocks' bits, 25 for three
-    bits of distance, so groups by a key stay small as tables grow.
+    There are most + 2 to most + 4 blocks: as many as it takes that those that near hashes share have about a bit for each doubling of the rows.
     """
-    n = most + 2
-    edges = [64 * i // n for i in range(n + 1)]
+    h = F.col(simhash)
+    n, *ones = rows.where(h.isNotNull()).agg(F.count("*"), *[F.sum(F.shiftrightunsigned(h, i).bitwiseAND(1)) for i in range(64)]).first()  # 65 numbers
+    rarer = [min(x or 0, n - (x or 0)) for x in ones]
+    varied = sum(x > 0 for x in rarer)
+    blocks = next((b for b in range(most + 2, most + 4) if varied * (b - most) / b >= math.log2(max(n, 1)) - 1), most + 4)
+    masks = [0] * blocks
+    for place, bit in enumerate(sorted(range(64), key=lambda i: -rarer[i])):
+        turn = place % (2 * blocks)  # to and fro, so that no block always picks first
+        masks[min(turn, 2 * blocks - 1 - turn)] |= 1 << bit
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
 
-    def block(h: Column, i: int) -> Column:
-        return F.shiftrightunsigned(h, edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1)
+def simhash_neighbours(rows: DataFrame, key: str, simhash: str, most: int = 3) -> DataFrame:
+    """Pairs (a, b, distance), a < b, of the class representatives (``simhash_classes``) whose 64-bit simhashes are within ``most`` bits.
 
+    Rows of one hash are one class, so copies make no pairs. The bits are dealt into n blocks (``_dealt_bits``); hashes so near agree in
+    n - most of them, meet in the tables keyed by so many blocks, and are kept in the first that they share. Bits that hardly vary are
+    spread over the blocks, as a block of them alone would be one key for all rows; groups by a key so stay small as tables grow.
+    """
+    masks = _dealt_bits(rows, simhash, most)
+    n = len(masks)
     classes = rows.groupBy(F.col(simhash).alias("h")).agg(F.min(key).alias("k"))
-    tables = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), block(F.col("h"), i).alias("x"), block(F.col("h"), j).alias("y")) for t, (i, j) in enumerate(tables)])
-    cut = classes.select("k", "h", F.explode(keys).alias("_b")).select("k", "h", "_b.*")
-    met = cut.toDF("a", "ha", "t", "x", "y").join(cut.toDF("b", "hb", "t", "x", "y"), ["t", "x", "y"]).where("a < b")
+    tables = list(combinations(range(n), n - most))
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("h").bitwiseAND(F.lit(reduce(or_, (masks[i] for i in table))).cast("long")).alias("x")) for t, table in enumerate(tables)])
+    cut = classes.where("h is not null").select("k", F.col("h").cast("long").alias("h")).select("k", "h", F.explode(keys).alias("_b")).select("k", "h", "_b.*")
+    met = cut.toDF("a", "ha", "t", "x").join(cut.toDF("b", "hb", "t", "x"), ["t", "x"]).where("a < b")
     near = met.withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most)
-    same = F.filter(F.array(*[F.when(block(F.col("ha"), i) == block(F.col("hb"), i), F.lit(i)) for i in range(n)]), lambda i: i.isNotNull())
-    table = F.array_position(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in tables]), F.struct(F.get(same, F.lit(0)).alias("i"), F.get(same, F.lit(1)).alias("j")))
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    same = F.filter(F.array(*[F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(masks)]), lambda i: i.isNotNull())
+    table = F.array_position(F.array(*[F.array(*map(F.lit, t)) for t in tables]), F.slice(same, 1, n - most))
     return near.where(table == F.col("t") + 1).select("a", "b", "distance")
 
 

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Characters of a text that are hashed together, beside the longest marker; phrases may have up to MOST.
 PART, MOST = 1 << 20, 8_000
+#: Windows that a task holds before it passes them on.
+HELD = 20_000
 #: A bitmap has eight bits a key, and 2**BITS (2 MiB) at most; with more keys it lets more through, and the join drops it.
 BITS = 24
 
@@ -160,10 +162,17 @@ class Search:
 def _searched(batches: Iterator[pa.RecordBatch], search: Search, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Each different window of a text that may be a marker, with the row's columns; whole: it is all of the text."""
     longest = max((x for own in search.lengths.values() for x in own), default=0)
+
+    def passed(batch: pa.RecordBatch, rows: list[int], out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        own = batch.select(names).take(pa.array(rows, pa.int64()))
+        extra = {n: pa.array(c, t) for n, c, t in zip(("length", "rolling", "_window", "_whole"), columns, (pa.int32(), pa.int64(), pa.string(), pa.bool_()), strict=True)}
+        return pa.record_batch({**{n: own.column(n) for n in names}, **extra})
+
     for batch in batches:
         rows, out = [], []
-        for i, text in enumerate(batch.column("_text").to_pylist()):
-            seen = set()
+        for i, text in enumerate(batch.column("_text")):
+            seen, text = set(), text.as_py()
             for a in range(0, max(len(text), 1), PART):  # a character before, and what the longest marker and its end need after
                 lead = min(a, 1)
                 part = text[a - lead : a + PART + longest + 1]
@@ -172,10 +181,10 @@ def _searched(batches: Iterator[pa.RecordBatch], search: Search, names: list[str
                         seen.add((length, rolling))
                         rows.append(i)
                         out.append((length, rolling, part[start : start + length], length == len(text)))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        own = batch.select(names).take(pa.array(rows, pa.int64()))
-        extra = {n: pa.array(c, t) for n, c, t in zip(("length", "rolling", "_window", "_whole"), columns, (pa.int32(), pa.int64(), pa.string(), pa.bool_()), strict=True)}
-        yield pa.record_batch({**{n: own.column(n) for n in names}, **extra})
+                if len(out) >= HELD:
+                    yield passed(batch, rows, out)
+                    rows, out = [], []
+        yield passed(batch, rows, out)
 
 
 def hits(rows: DataFrame, known: DataFrame, key: bytes, ids: list[str], text: str, owner: str | None = None, moment: str | None = None) -> DataFrame:

@@ -5,23 +5,27 @@ white space becomes one space). Blocks inside scripts, styles, navigation, heade
 forms, or elements whose class, id or role names an advert, notice, menu or comment are never main text. If the page marks its
 article (``article``, else ``main`` or role main), the blocks inside it are candidates for the text, in page order.
 
-Host suffix array. The token streams of a host's pages are put end to end and their suffixes ordered by their first
-tokens; suffixes that agree on them and come from different pages are parts of a repeated substring. Substrings of n tokens
-repeat exactly if all their windows do, so the order is kept as a distributed grouping by (host, window hash), where equal
-prefixes meet; counts combine before the shuffle, and no host, however large, is gathered in one task. A token is covered
-if a repeated window holds it. Every page is read this way:
-
-- Pages that mark no article: a window of ``run`` tokens is boilerplate if at least ``OPEN_PAGES`` pages and half of the
-  host's pages hold it; the tokens it covers are removed, and unique runs stay in order. Pages whose texts agree in three least
+Host suffix array. The token streams of a host's pages are put end to end, and their suffixes are brought into the order of their
+tokens by a distributed sort. Neighbours in it have their longest common prefix; suffixes that agree on more than their neighbours do form an
+interval, which is a repeated substring with its exact length, and its pages are counted there (``suffix_order``). Three things keep it
+in bounds without changing what it finds. Suffixes are first counted by their first ``run`` tokens, a bucket of the order, and
+only buckets with enough pages are sorted, as a repeat of that length can't begin in another. Suffixes are ordered by ``REST`` tokens
+beyond these: of a longer repeat every suffix is in the order too, so they cover all of it. A page counts once in each interval, by the common
+prefix with its own last suffix, so counts are sums, which meet over the borders of partitions: no host and no bucket is held in
+one task. A token is covered if the repeat at a suffix before it reaches it; unique runs stay in order. Every page is read this way:
+
+- Pages that mark no article: every suffix. A repeat of ``run`` tokens or more is boilerplate if at least ``OPEN_PAGES`` pages and half
+  of the host's pages hold it; the tokens it covers are removed. Pages whose texts agree in three least
   hashes of their windows are copies and count once, so an article under several addresses stays on each, and so do
   quotations. A page that would lose all it has stays whole. Before that, three or more blocks in a row that are mostly links
   go: a menu without a name.
-- Pages that mark one: the first two and last two blocks of the article, where mastheads and calls to subscribe stand.
-  Their windows of ``EDGE_RUN`` tokens are thinned by winnowing (the least hash of every ``WINNOW`` neighbours, which keeps
-  a window of each repeated run of ``EDGE_RUN + WINNOW - 1`` tokens; a shorter block is a window of its own). A window is
+- Pages that mark one: the suffixes of the first two and last two blocks of the article, where mastheads and calls to subscribe
+  stand, and of what stands outside it. They are a sparse suffix array: of every ``WINNOW`` neighbours the one whose first
+  ``EDGE_RUN`` tokens have the least hash, which keeps
+  one of each repeated run of ``EDGE_RUN + WINNOW - 1`` tokens; a shorter block is a suffix of its own. A repeat is
   boilerplate if at least ``EDGE_PAGES`` pages and a fifth of the host's pages hold it at such a place, or outside the
-  article, while their articles differ and no other host's pages do; a block that such windows cover by half or more is
-  removed. Pages whose articles have the same least hash of all windows count once, and windows whose pages are mostly
+  article, while their articles differ and no other host's pages hold its first tokens; a block that such repeats cover by half or more is
+  removed. Pages whose articles have the same least hash of all windows count once, and repeats whose pages are mostly
   such copies count for nothing, so copied, quoted and near-copied articles and sentences in general use stay whole.
 
 Contract. Null html counts as empty and gives an empty text. Html is read whole and never fails: unclosed tags close at
@@ -34,13 +38,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import bitmap, maybe
@@ -48,10 +53,14 @@ from tessera.llm.text import U64, mix
 from tessera.plans.staging import stage
 
 RUN = 6
+#: Tokens beyond a suffix's first ones by which it is ordered; no fewer than WINNOW, so that sampled suffixes leave no gap in a repeat.
+REST = 6
 #: Differing pages, and their share of the host's, that make a run boilerplate on pages that mark no article.
 OPEN_PAGES, OPEN_SHARE = 3, 0.5
 #: Blocks in a row, and the share of their characters within links, that make a menu.
 LINKS, LINKED = 3, 0.8
+#: How staged texts and suffixes are written.
+ZSTD = {"compression": "zstd"}
 #: Places that a host's pages are dealt over where they meet its runs.
 SALTS = 16
 #: Blocks at each edge of an article, tokens of their windows, and neighbours of which one window is kept.
@@ -281,7 +290,14 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def windows(text: str, run: int) -> np.ndarray:
     """Hashes of the runs of ``run`` tokens that start at each token."""
-    h = np.array([hash_token(t) for t in text.split(" ")], U64) if text else np.zeros(0, U64)
+    return _runs(token_hashes(text), run)
+
+
+def token_hashes(text: str) -> np.ndarray:
+    return np.array([hash_token(t) for t in text.split(" ")], U64) if text else np.zeros(0, U64)
+
+
+def _runs(h: np.ndarray, run: int) -> np.ndarray:
     n = len(h) - run + 1
     if n < 1:
         return np.zeros(0, U64)
@@ -293,31 +309,117 @@ def windows(text: str, run: int) -> np.ndarray:
 
 def hash_token(t: str) -> int:
     """The same in every process."""
-    import zlib
-
     raw = t.encode()
     return zlib.crc32(raw) << 32 | zlib.adler32(raw)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+def _rest(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The REST tokens from each place on, 4 bytes each that compare as bytes; zeros follow the last token."""
+    codes = np.concatenate([np.maximum(h >> U64(32), U64(1)), np.zeros(REST, U64)]).astype(">u4")
+    return codes[np.minimum(at.astype(np.int64), len(h))[:, None] + np.arange(REST)]
+
+
+def _binary(rest: np.ndarray) -> pa.Array:
+    """Rows of a matrix as one binary value each."""
+    ends = np.arange(len(rest) + 1, dtype=np.int32) * (4 * REST)
+    return pa.Array.from_buffers(pa.binary(), len(rest), [None, pa.py_buffer(ends), pa.py_buffer(rest.astype(">u4").tobytes())])
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hk, key, prefix, pages, n) of the intervals of suffixes that come in order, by the common prefixes of neighbours.
+
+    An interval is told at its full depth and, whole buckets, at depth 0; one at an end of the batch, which may hold it in part, at every depth, so
+    that parts add up by their prefix.
+    """
     for b in batches:
-        found = [np.unique(windows(text, run)) for text in b.column("stream").to_pylist()]
-        at = pa.array(np.repeat(np.arange(b.num_rows), [len(w) for w in found]))
-        w = np.concatenate(found) if found else np.zeros(0, U64)
-        yield pa.record_batch({"host": b.column("host").take(at), "w": w.view(np.int64), "sketch": b.column("sketch").take(at)})
+        if not b.num_rows:
+            continue
+        hk, key, own, pages, n = (b.column(c).to_numpy() for c in ("hk", "key", "own", "pages", "n"))
+        raw = b.column("rest").to_pylist()
+        rest = np.frombuffer(b"".join(raw), ">u4").reshape(-1, REST)
+        common = np.full(len(raw), -1)
+        alike = (hk[1:] == hk[:-1]) & (key[1:] == key[:-1])
+        common[1:][alike] = np.cumprod(rest[1:][alike] == rest[:-1][alike], 1).sum(1)
+        found, deeper = [], np.zeros((0, 2), np.int64)
+        for depth in range(REST, -1, -1):
+            first = np.flatnonzero(common < depth)
+            span = np.column_stack([first, np.append(first[1:], len(raw))])
+            held, total = np.add.reduceat(np.where(own < depth, pages, 0), first), np.add.reduceat(n, first)
+            ends = (span[:, 0] == 0) | (span[:, 1] == len(raw))
+            told = np.isin(span @ [len(raw) + 1, 1], deeper @ [len(raw) + 1, 1])
+            for i in np.flatnonzero(ends | ((held > 1) & (~told if depth else True))).tolist():
+                found.append((first[i], raw[first[i]][: 4 * depth], held[i], total[i]))
+            deeper = span
+        at = np.array([x[0] for x in found])
+        yield pa.record_batch(
+            {"hk": hk[at], "key": key[at], "prefix": pa.array([x[1] for x in found], pa.binary()), "pages": np.array([x[2] for x in found], np.int64), "n": np.array([x[3] for x in found], np.int64)}
+        )
+
+
+def suffix_order(suffixes: DataFrame, least: DataFrame, differ: float = 0) -> DataFrame:
+    """(hk, key, prefix) of the repeats that at least ``least`` of a host's pages hold: the host suffix array, read by intervals.
+
+    suffixes: (hk, key, rest, sketch) with the hash of a suffix's first tokens and the tokens after them, rows of one sketch counting
+    as one page; least: (hk, least). A repeat is its key and the first tokens of rest. Those beyond a key are told only if their
+    pages are ``differ`` of the suffixes that begin so.
+    """
+    same = sum((F.substring("rest", 1, 4 * k) == F.substring("before", 1, 4 * k)).cast("int") for k in range(1, REST + 1))
+    rows = suffixes.groupBy("hk", "key", "sketch", "rest").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("before", F.lag("rest").over(Window.partitionBy("hk", "key", "sketch").orderBy("rest")))
+    rows = rows.groupBy("hk", "key", "rest", F.coalesce(same, F.lit(-1)).alias("own")).agg(F.count("*").alias("pages"), F.sum("n").alias("n"))
+    order = rows.repartitionByRange("hk", "key", "rest").sortWithinPartitions("hk", "key", "rest")
+    found = order.mapInArrow(_intervals, "hk long, key long, prefix binary, pages long, n long").groupBy("hk", "key", "prefix").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"))
+    return found.join(least, "hk").where((F.col("pages") >= F.col("least")) & ((F.length("prefix") == 0) | (F.col("pages") >= differ * F.col("n")))).select("hk", "key", "prefix")
+
+
+def _reach(key: int, rest: bytes, known: dict[int, list[bytes]]) -> int:
+    """Tokens beyond the first ones that the longest repeat at a suffix holds."""
+    return max((len(p) // 4 for p in known[key] if rest.startswith(p)), default=0)
+
+
+def _known(repeated: list[dict]) -> dict[int, list[bytes]]:
+    out: dict[int, list[bytes]] = {}
+    for x in repeated:
+        out.setdefault(x["key"] & 0xFFFFFFFFFFFFFFFF, []).append(x["prefix"])
+    return out
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], run: int, wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(hk, key, sketch) for the buckets that a stream's suffixes begin in; with wanted also rest, a row for each suffix under the wanted keys."""
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            part = b.slice(i, 256)
+            keys, rests, size = [], [], []
+            for text in part.column("stream").to_pylist():
+                h = token_hashes(text)
+                w = _runs(h, run)
+                if wanted is None:
+                    w = np.unique(w)
+                else:
+                    at = np.flatnonzero(maybe(wanted, w))
+                    w = w[at]
+                    rests.append(_rest(h, at + run))
+                keys.append(w)
+                size.append(len(w))
+            at = pa.array(np.repeat(np.arange(part.num_rows), size))
+            out = {"hk": part.column("hk").take(at), "key": np.concatenate(keys).view(np.int64), "sketch": part.column("sketch").take(at)}
+            yield pa.record_batch(out if wanted is None else out | {"rest": _binary(np.concatenate(rests))})
 
 
 def _uncovered(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for text, repeated in zip(b.column("text").to_pylist(), b.column("repeated").to_pylist(), strict=True):
-            w = windows(text, run)
+            h = token_hashes(text)
+            w = _runs(h, run)
             if repeated and len(w):
-                tokens = text.split(" ")
-                starts = np.flatnonzero(np.isin(w, np.array(repeated, np.int64).view(U64)))
+                tokens, known = text.split(" "), _known(repeated)
+                starts = np.flatnonzero(np.isin(w, np.array(list(known), U64)))
+                rest = _rest(h, starts + run)
                 covered = np.zeros(len(tokens) + 1, np.int64)
-                np.add.at(covered, starts, 1)
-                np.add.at(covered, starts + run, -1)
+                for start, key, r in zip(starts.tolist(), w[starts].tolist(), rest, strict=True):
+                    covered[start] += 1
+                    covered[min(start + run + _reach(key, r.tobytes(), known), len(tokens))] -= 1
                 kept = np.cumsum(covered[:-1]) == 0
                 if kept.any():
                     text = " ".join(t for t, k in zip(tokens, kept, strict=True) if k)
@@ -325,24 +427,26 @@ def _uncovered(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.Recor
         yield pa.record_batch({"page_id": b.column("page_id"), "url": b.column("url"), "text": pa.array(out, pa.string())})
 
 
-def edge_windows(block: str) -> np.ndarray:
-    """The thinned windows of a block's tokens, as (start, end, hash) rows."""
-    w = windows(block, EDGE_RUN)
+def edge_suffixes(block: str) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled suffixes of a block's tokens: (start, end of the first tokens, their hash) rows, and the tokens after them."""
+    h = token_hashes(block)
+    w = _runs(h, EDGE_RUN)
     if len(w) < WINNOW:
-        tokens = block.count(" ") + 1
-        return np.array([(0, tokens, windows(block, tokens)[0])], U64)
-    least = np.lib.stride_tricks.sliding_window_view(w, WINNOW)
-    at = np.unique(least.argmin(1) + np.arange(len(least)))
-    return np.stack([at.astype(U64), (at + EDGE_RUN).astype(U64), w[at]], 1)
+        rows = np.array([(0, len(h), _runs(h, len(h))[0])], U64)
+    else:
+        least = np.lib.stride_tricks.sliding_window_view(w, WINNOW)
+        at = np.unique(least.argmin(1) + np.arange(len(least)))
+        rows = np.stack([at.astype(U64), (at + EDGE_RUN).astype(U64), w[at]], 1)
+    return rows, _rest(h, rows[:, 1])
 
 
-def _places(head: list[str], tail: list[str], other: str | None) -> list[tuple[int, str, np.ndarray]]:
-    """(side, block, windows with keys) for the blocks of both edges; what stands outside the article counts on both sides."""
+def _places(head: list[str], tail: list[str], other: str | None) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
+    """(side, block, suffixes with keys, their rests) for the blocks of both edges; what stands outside the article, last of a side, counts on both."""
     out = []
+    beside = edge_suffixes(other) if other else None
     for side, texts in enumerate((head, tail)):
-        for block in [*texts, *([other] if other else [])]:
-            w = edge_windows(block)
-            out.append((side, block, np.column_stack([w[:, :2], mix(w[:, 2] + U64(side + 1))])))
+        for block, (w, rest) in [*((t, edge_suffixes(t)) for t in texts), *([(other, beside)] if beside else [])]:
+            out.append((side, block, np.column_stack([w[:, :2], mix(w[:, 2] + U64(side + 1))]), rest))
     return out
 
 
@@ -359,19 +463,36 @@ def _cut_edges(text: str, head: list[int], tail: list[int]) -> tuple[list[str],
 
 
 def _edge_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """(key, hk, sketch, page) of the edges' windows; with wanted, only of the article's own blocks and under the wanted keys."""
+    """(hk, key, sketch) for the buckets that the suffixes of a page's edges begin in; with wanted also rest, page and whether the suffix is in
+    the article, a row for each suffix under the wanted keys."""
     for b in batches:
         cols = [b.column(c).to_pylist() for c in ("text", "head", "tail", "other")]
-        keys, size = [], []
+        keys, rests, edge, size = [], [], [], []
         for text, head, tail, other in zip(*cols, strict=True):
             first, _, last = _cut_edges(text, head, tail)
-            k = [x[2][:, 2] for x in _places(first, last, other if wanted is None else None)]
-            k = np.unique(np.concatenate(k)) if k else np.zeros(0, U64)
-            keys.append(k if wanted is None else k[maybe(wanted, k)])
-            size.append(len(keys[-1]))
+            found = _places(first, last, other)
+            k = np.concatenate([x[2][:, 2] for x in found]) if found else np.zeros(0, U64)
+            if wanted is None:
+                k = np.unique(k)
+            elif found:
+                at = np.flatnonzero(maybe(wanted, k))
+                rest = np.concatenate([x[3] for x in found])[at]
+                # Of equal suffixes of a page one is kept, one of the article's if there is any.
+                inside = np.repeat([x[1] is not other for x in found], [len(x[2]) for x in found])[at]
+                front = np.argsort(~inside, kind="stable")
+                _, once = np.unique(np.column_stack([k[at][front], rest[front].astype(U64)]), axis=0, return_index=True)
+                at, rest, inside = at[front][once], rest[front][once], inside[front][once]
+                k = k[at]
+                rests.append(rest)
+                edge.append(inside)
+            keys.append(k)
+            size.append(len(k))
         at = pa.array(np.repeat(np.arange(b.num_rows), size))
-        keys = np.concatenate(keys) if keys else np.zeros(0, U64)
-        yield pa.record_batch({"key": keys.view(np.int64)} | {c: b.column(c).take(at) for c in ("hk", "sketch", "page")})
+        out = {"hk": b.column("hk").take(at), "key": (np.concatenate(keys) if keys else np.zeros(0, U64)).view(np.int64), "sketch": b.column("sketch").take(at)}
+        if wanted is not None:
+            rest = np.concatenate(rests) if rests else np.zeros((0, REST), ">u4")
+            out |= {"rest": _binary(rest), "page": b.column("page").take(at), "edge": np.concatenate(edge) if edge else np.zeros(0, bool)}
+        yield pa.record_batch(out)
 
 
 def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,14 +501,16 @@ def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, head, tail, repeated in zip(*(b.column(c).to_pylist() for c in ("text", "head", "tail", "repeated")), strict=True):
             if repeated:
                 first, middle, last = _cut_edges(text, head, tail)
-                known = np.array(repeated, np.int64).view(U64)
+                known = _known(repeated)
                 kept: list[list[str]] = [[], []]
-                for side, block, rows in _places(first, last, None):
-                    covered = np.zeros(block.count(" ") + 2, np.int64)
-                    hit = rows[np.isin(rows[:, 2], known)].astype(np.int64)
-                    np.add.at(covered, hit[:, 0], 1)
-                    np.add.at(covered, hit[:, 1], -1)
-                    if 2 * (np.cumsum(covered[:-1]) > 0).sum() < len(covered) - 1:
+                for side, block, rows, rest in _places(first, last, None):
+                    n = block.count(" ") + 1
+                    covered = np.zeros(n + 1, np.int64)
+                    for (start, end, key), r in zip(rows.tolist(), rest, strict=True):
+                        if key in known:
+                            covered[start] += 1
+                            covered[min(end + _reach(key, r.tobytes(), known), n)] -= 1
+                    if 2 * (np.cumsum(covered[:-1]) > 0).sum() < n:
                         kept[side].append(block)
                 text = " ".join([*kept[0], *([middle] if middle else []), *kept[1]])
             out.append(text)
@@ -397,17 +520,20 @@ def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _without_edges(marked: DataFrame) -> DataFrame:
     """(page_id, url, text) of pages that mark their article, less the blocks at its edges that the host repeats."""
     rows = marked.where("host <> ''").select("hk", "text", "head", "tail", "other", "sketch", "page")
-    schema = "key long, hk int, sketch int, page long"
+    schema = "hk long, key long, sketch int"
     seen = rows.mapInArrow(_edge_rows, schema).groupBy("key", "hk", "sketch").agg(F.count("*").alias("n"))
     often = seen.groupBy("key").agg(F.min("hk").alias("hk"), F.max("hk").alias("last"), F.count("*").alias("pages"), F.sum("n").alias("n"))
     often = often.where((F.col("hk") == F.col("last")) & (F.col("pages") >= EDGE_PAGES) & (F.col("pages") >= EDGE_DIFFER * F.col("n")))
     sizes = rows.select("hk", "sketch").distinct().groupBy("hk").agg((F.count("*") * EDGE_SHARE).alias("least"))
-    often = stage(often.select("key", "hk", "pages").join(sizes, "hk").where("pages >= least").select("key", "hk"), "html-often")
+    often = stage(often.select("key", "hk", "pages").join(sizes, "hk").where("pages >= least").select("key", "hk", F.greatest("least", F.lit(EDGE_PAGES)).alias("least")), "html-often")
     if often.isEmpty():
         return marked.select("page_id", "url", "text")
     wanted = marked.sparkSession.sparkContext.broadcast(bitmap(often, "key"))
-    own = rows.where("size(head) > 0").mapInArrow(lambda b: _edge_rows(b, wanted.value), schema).select("key", "hk", "page").distinct()
-    hit = own.join(often, ["key", "hk"]).groupBy("page").agg(F.collect_set("key").alias("repeated"))
+    suffixes = rows.mapInArrow(lambda b: _edge_rows(b, wanted.value), schema + ", rest binary, page long, edge boolean")
+    suffixes = stage(suffixes.join(often.select("key", "hk"), ["key", "hk"], "left_semi"), "html-suffixes", ZSTD)
+    repeats = stage(suffix_order(suffixes, often.select("hk", "least").distinct(), EDGE_DIFFER), "html-repeats")
+    own = suffixes.where("edge").select("hk", "key", "rest", "page").distinct().join(repeats, ["hk", "key"]).where("startswith(rest, prefix)")
+    hit = own.groupBy("page").agg(F.collect_set(F.struct("key", "prefix")).alias("repeated"))
     cut = marked.join(stage(hit, "html-hit"), "page", "left").select("page_id", "url", "text", "head", "tail", "repeated")
     return cut.mapInArrow(_trimmed, "page_id long, url string, text string")
 
@@ -418,19 +544,22 @@ def html_extract(pages: DataFrame, run: int = RUN) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
     schema = "page_id long, url string, host string, text string, open boolean, other string, head array<int>, tail array<int>, sketch int"
-    found = stage(own.mapInArrow(_extracted, schema), "html-blocks")
-    page = F.xxhash64("page_id", "url", "text")
-    done = _without_edges(found.where("not open").withColumns({"page": page, "hk": F.hash("host")}))
+    found = stage(own.mapInArrow(_extracted, schema), "html-blocks", ZSTD).withColumns({"page": F.xxhash64("page_id", "url", "text"), "hk": F.xxhash64("host")})
+    done = _without_edges(found.where("not open"))
     done = done.unionByName(found.where("open and host = ''").select("page_id", "url", "text"))
-    rest = found.where("open and host <> ''").withColumn("page", page)
+    rest = found.where("open and host <> ''")
     if not rest.isEmpty():
-        own = found.where("host <> ''").join(rest.select("host").distinct(), "host", "left_semi")
-        streams = own.select("host", "sketch", F.concat_ws(" ", F.when(F.col("open"), F.col("text")), F.when(F.col("other") != "", F.col("other"))).alias("stream"))
-        held = streams.mapInArrow(lambda b: _suffixes(b, run), "host string, w long, sketch int").distinct().groupBy("host", "w").agg(F.count("*").alias("pages"))
-        sizes = own.select("host", "sketch").distinct().groupBy("host").agg(F.greatest(F.lit(OPEN_PAGES), F.count("*") * OPEN_SHARE).alias("least"))
+        own = found.where("host <> ''").join(rest.select("hk").distinct(), "hk", "left_semi")
+        streams = own.select("hk", "sketch", F.concat_ws(" ", F.when(F.col("open"), F.col("text")), F.when(F.col("other") != "", F.col("other"))).alias("stream"))
+        schema = "hk long, key long, sketch int"
+        held = streams.mapInArrow(lambda b: _suffixes(b, run), schema).distinct().groupBy("hk", "key").agg(F.count("*").alias("pages"))
+        sizes = own.select("hk", "sketch").distinct().groupBy("hk").agg(F.greatest(F.lit(OPEN_PAGES), F.count("*") * OPEN_SHARE).alias("least"))
+        buckets = stage(held.join(sizes, "hk").where("pages >= least").select("hk", "key", "least"), "html-buckets")
+        wanted = pages.sparkSession.sparkContext.broadcast(bitmap(buckets, "key"))
+        suffixes = streams.mapInArrow(lambda b: _suffixes(b, run, wanted.value), schema + ", rest binary").join(buckets.select("hk", "key"), ["hk", "key"], "left_semi")
         # A run that half of the pages hold is one of at most twice as many as a page has on average, so a host's fit a row.
-        repeated = held.join(sizes, "host").where("pages >= least").groupBy("host").agg(F.collect_list("w").alias("repeated"))
-        salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        cut = rest.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "url", "text", "repeated")
+        repeated = suffix_order(suffixes, buckets.select("hk", "least").distinct()).groupBy("hk").agg(F.collect_list(F.struct("key", "prefix")).alias("repeated"))
+        salted = stage(repeated, "html-repeats").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        cut = rest.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(salted, ["hk", "salt"], "left").select("page_id", "url", "text", "repeated")
         done = done.unionByName(cut.mapInArrow(lambda b: _uncovered(b, run), "page_id long, url string, text string"))
     return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

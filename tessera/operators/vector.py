@@ -107,7 +107,8 @@ def simhash_neighbours(rows: DataFrame, key: str, simhash: str, most: int = 3) -
     tables = list(combinations(range(n), n - most))
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("h").bitwiseAND(F.lit(reduce(or_, (masks[i] for i in table))).cast("long")).alias("x")) for t, table in enumerate(tables)])
     cut = classes.where("h is not null").select("k", F.col("h").cast("long").alias("h")).select("k", "h", F.explode(keys).alias("_b")).select("k", "h", "_b.*")
-    met = cut.toDF("a", "ha", "t", "x").join(cut.toDF("b", "hb", "t", "x"), ["t", "x"]).where("a < b")
+    # Spark's estimate leaves out that a row gives one for each table, so without the hint it would send all of them to every task through the driver.
+    met = cut.toDF("a", "ha", "t", "x").join(cut.toDF("b", "hb", "t", "x").hint("merge"), ["t", "x"]).where("a < b")
     near = met.withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most)
     differ = F.col("ha").bitwiseXOR(F.col("hb"))
     same = F.filter(F.array(*[F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(masks)]), lambda i: i.isNotNull())

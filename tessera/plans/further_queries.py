@@ -13,7 +13,7 @@ from tessera.functions import spreadsheet, statements
 from tessera.functions import text as T
 from tessera.operators import fusion, graph, lifecycle, migration, observe, recall, search, vector
 from tessera.operators import ledger as L
-from tessera.plans.retrieval_queries import _ASKED, _RANKS, TERMS, _bm25_sql, _claim_ranks, questions
+from tessera.plans.retrieval_queries import _RANKS, TERMS, _asked_sql, _bm25_sql, _claim_ranks, questions
 from tessera.plans.staging import shared_dir
 from tessera.plans.tables import CLAIMS, NOW, claims, table, text_index, texts
 from tessera.sources import connectors
@@ -267,9 +267,9 @@ def social_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every user turn: whether the replies that are found are near enough to answer from."""
+    """For every user turn, all words of it: whether the replies that are found are near enough to answer from."""
     asked = questions(spark, sf_dir)
-    found = text_index(spark, sf_dir, "replies").answers(asked.select("query_id", "query"), 5)
+    found = text_index(spark, sf_dir, "replies").answers(asked.select("query_id", "query"), 5, most_terms=None)
     return recall.answer_policy(found.where("score >= 14"), asked)
 
 
@@ -372,7 +372,7 @@ ORACLES: dict[str, str] = {
     "event_moments": "select event_id, cast(floor(epoch(case when event_id % 4 = 3 then date_trunc('minute', ts) else ts end)) as bigint) as moment from events",
     "chosen_texts": "select p_partkey, case when p_partkey % 3 = 0 then p_name || ' and some more of it' else p_name end as text from part",
     "social_closes": """select ['thanks!', 'ok', 'what now?', 'Sounds good...', 'see you', 'good night, friend'][event_id % 6 + 1] as said, event_id % 6 in (0, 1, 3, 4) as closes, count(*) as turns from events group by all""",
-    "answer_policies": "with " + _ASKED + """ select q.query_id, count(r.id) as items, case when count(r.id) > 0 then 'answer_with_citations' else 'abstain' end as policy
+    "answer_policies": "with " + _asked_sql() + """ select q.query_id, count(r.id) as items, case when count(r.id) > 0 then 'answer_with_citations' else 'abstain' end as policy
         from q left join r on r.query_id = q.query_id and r.score >= 14 group by q.query_id""",
     "secret_flags": f"select doc_id, {_SECRET} as secret from documents",
     "observation_expiry": f"""select user_id % 50 as owner, event_type as topic, least(coalesce(min(case when event_id % 3 = 0 then {NOW} + event_id % 1000 * 86400 end), 4611686018427387904), {NOW} + 365 * 86400) as expires_at, count(*) as support from events group by all""",
